@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import searches  # noqa: F401
+from checks import columns, loads, reports, searches  # noqa: F401

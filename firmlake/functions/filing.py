@@ -24,7 +24,9 @@ def company_number_from_name(name: Column) -> Column:
 
 
 def period_end_from_name(name: Column) -> Column:
-    return F.try_to_date(_group(name, DATE_BEFORE_EXTENSION), "yyyyMMdd")
+    """Eight digits before the extension as a date; impossible dates and year zero give NULL."""
+    digits = _group(name, DATE_BEFORE_EXTENSION)
+    return F.when(~digits.startswith("0000"), F.try_to_date(digits, "yyyyMMdd"))
 
 
 def local_name(tag: Column) -> Column:

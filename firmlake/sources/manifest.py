@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlake.operators.latest import first_per_key
 
-# File names of the products.
-COMPANY_FILE = r"(?i)BasicCompanyData-(\d{4}-\d{2}-\d{2})-part(\d+)_(\d+)\.zip"
-PSC_FILE = r"(?i)psc-snapshot-(\d{4}-\d{2}-\d{2})_(\d+)of(\d+)\.zip"
-ACCOUNTS_DAILY_FILE = r"(?i)Accounts_Bulk_Data-(\d{4}-\d{2}-\d{2})\.zip"
-ACCOUNTS_MONTHLY_FILE = r"(?i)Accounts_Monthly_Data-([a-zA-Z]+\d{4})\.zip"
+# File names of the products. Groups: company date, part, parts; PSC date, part, parts; day; month and year.
+PRODUCT_FILE = (
+    r"(?i)(?:BasicCompanyData-(\d{4}-\d{2}-\d{2})-part(\d+)_(\d+)"
+    r"|psc-snapshot-(\d{4}-\d{2}-\d{2})_(\d+)of(\d+)"
+    r"|Accounts_Bulk_Data-(\d{4}-\d{2}-\d{2})"
+    r"|Accounts_Monthly_Data-([a-zA-Z]+\d{4}))\.zip"
+)
 
 LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
 LINK_TARGET = r"(?is)\bhref\s*=\s*[\"']?([^\"'>]*)[\"']?$"
@@ -28,38 +30,28 @@ def links(pages: DataFrame, base_url: str) -> DataFrame:
     return pages.select(*keep, found).withColumn("_href", target).select(*keep, "position", absolute.alias("url"))
 
 
-def _part(pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract("url", pattern, group), F.lit(""))
-
-
 def classify(urls: DataFrame) -> DataFrame:
     """Product, date and part of every link that names a product file; other links and impossible dates are dropped."""
-    kinds = {
-        "company": (F.try_to_date(_part(COMPANY_FILE, 1), "yyyy-MM-dd"), COMPANY_FILE, False),
-        "psc": (F.try_to_date(_part(PSC_FILE, 1), "yyyy-MM-dd"), PSC_FILE, False),
-        "accounts": (F.try_to_date(_part(ACCOUNTS_DAILY_FILE, 1), "yyyy-MM-dd"), None, False),
-        "accounts_archive": (F.try_to_date(_part(ACCOUNTS_MONTHLY_FILE, 1), "MMMMyyyy"), None, True),
-    }
-    entry = F.coalesce(
-        *[
-            F.when(
-                date.isNotNull(),
-                F.struct(
-                    F.lit(kind.removesuffix("_archive")).alias("product"),
-                    date.alias("file_date"),
-                    (_part(parts, 2).try_cast("int") if parts else F.lit(None).cast("int")).alias("part"),
-                    (_part(parts, 3).try_cast("int") if parts else F.lit(None).cast("int")).alias("total_parts"),
-                    F.lit(archive).alias("is_monthly_archive"),
-                ),
-            )
-            for kind, (date, parts, archive) in kinds.items()
-        ]
-    )
-    keep = [c for c in urls.columns if c != "url"]
+    groups = F.array(*[F.regexp_extract("url", PRODUCT_FILE, i) for i in range(1, 9)])
+    company, company_part, company_parts, psc, psc_part, psc_parts, day, month = (F.col("_g")[i] for i in range(8))
+    product = F.when(company != "", "company").when(psc != "", "psc").otherwise("accounts")
+    date = F.coalesce(F.try_to_date(F.concat(company, psc, day), "yyyy-MM-dd"), F.try_to_date(month, "MMMMyyyy"))
     return (
-        urls.withColumn("_e", entry)
-        .where("_e is not null")
-        .select(*keep, "url", F.substring_index("url", "/", -1).alias("filename"), "_e.*")
+        # Links that name no product file go first: they are most of any page.
+        urls.where(F.col("url").rlike(PRODUCT_FILE))
+        .withColumn("_g", groups)
+        .withColumns(
+            {
+                "product": product,
+                "filename": F.substring_index("url", "/", -1),
+                "file_date": date,
+                "part": F.concat(company_part, psc_part).try_cast("int"),
+                "total_parts": F.concat(company_parts, psc_parts).try_cast("int"),
+                "is_monthly_archive": month != "",
+            }
+        )
+        .drop("_g")
+        .where("file_date is not null")
     )
 
 

@@ -21,6 +21,7 @@ from firmlake.sources.logs import ingestion_log, last_batch, log_batch
 from firmlake.sources.tables import KeyedTable
 
 TABLE_OF = {"company": "companies", "psc": "officers", "accounts": "financials"}
+LISTING = "path string, modificationTime timestamp, length long, content binary"
 SEARCH_NAME = "bulk_ingestion"
 # States of a batch.
 RUNNING, PAUSED, COMPLETED, WITH_ERRORS, FAILED = "running", "paused", "completed", "completed_with_errors", "failed"
@@ -99,6 +100,7 @@ def watch(
     # Only paths are selected, so the stream lists files without reading them.
     found = (
         spark.readStream.format("binaryFile")
+        .schema(LISTING)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(landing)
