@@ -34,21 +34,21 @@ def day(c: str) -> Column:
 def plain(df: DataFrame) -> DataFrame:
     """Types both engines print alike: dates and times as text, money as doubles, whole numbers as bigint."""
 
-    def column(f: T.StructField) -> Column:
-        c = F.col(f"`{f.name}`")
+    def column(f: T.StructField) -> str:
+        c = f"`{f.name}`"
         if isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
-        elif isinstance(f.dataType, T.ArrayType):
-            c = F.array_join(c.cast("array<string>"), "|")
-        return c.alias(f.name)
-
-    return df.select(*[column(f) for f in df.schema])
+            return f"date_format({c}, 'yyyy-MM-dd') AS {c}"
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss') AS {c}"
+        if isinstance(f.dataType, T.DecimalType):
+            return f"CAST({c} AS double) AS {c}"
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            return f"CAST({c} AS bigint) AS {c}"
+        if isinstance(f.dataType, T.ArrayType):
+            return f"array_join(CAST({c} AS array<string>), '|') AS {c}"
+        return c
+
+    return df.selectExpr(*[column(f) for f in df.schema])
 
 
 def companies(spark: SparkSession, folder: str) -> DataFrame:

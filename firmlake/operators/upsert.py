@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +11,11 @@ INSERT, UPDATE, SKIP, KEEP = "insert", "update", "skip", "keep"
 
 
 def _any_null(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys))
 
 
 def _match(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+    return F.expr(" AND ".join(f"n.`{k}` <=> o.`{k}`" for k in keys))
 
 
 def dedupe_load(source: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -25,37 +23,26 @@ def dedupe_load(source: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return latest_per_key(source, keys, order)
 
 
-def _joined(target: DataFrame, source: DataFrame, keys: list[str], old: list[str], hash_col: str | None, how: str):
+def _joined(target: DataFrame, source: DataFrame, keys: list[str], hash_col: str | None, how: str) -> DataFrame:
     """Source rows ``n`` beside stored rows ``o`` with the action that follows."""
-    o = target.select(*old, F.lit(True).alias("_stored")).alias("o")
+    o = target.withColumn("_stored", F.lit(True)).alias("o")
     n = source.withColumn("_loaded", F.lit(True)).alias("n")
-    same = F.col(f"n.{hash_col}").eqNullSafe(F.col(f"o.{hash_col}")) if hash_col else F.lit(False)
-    action = (
-        F.when(F.col("_loaded").isNull(), KEEP)
-        .when(F.col("_stored").isNull(), INSERT)
-        .when(same, SKIP)
-        .otherwise(UPDATE)
-    )
-    return n.join(o, _match(keys), how).withColumn("action", action)
-
-
-def _columns(target, source, keys, stamps, kept, changed_flag):
-    """Value of every target column for an inserted, an updated and an untouched row."""
-    updated = [c for c in target.columns if c in source.columns and c not in kept and c not in keys]
-    chosen = []
-    for c in target.columns:
-        new = F.col(f"n.{c}") if c in source.columns else stamps.get(c, F.lit(None))
-        if c in keys:
-            value = F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
-        elif c == changed_flag:
-            value = F.when(F.col("action") == INSERT, F.lit(False)).when(F.col("action") == UPDATE, F.lit(True))
-            value = value.otherwise(F.col(f"o.{c}"))
-        elif c in updated or (c in stamps and c not in kept):
-            value = F.when(F.col("action").isin(INSERT, UPDATE), new).otherwise(F.col(f"o.{c}"))
-        else:
-            value = F.when(F.col("action") == INSERT, new).otherwise(F.col(f"o.{c}"))
-        chosen.append(value.cast(target.schema[c].dataType).alias(c))
-    return chosen
+    same = f"n.`{hash_col}` <=> o.`{hash_col}`" if hash_col else "false"
+    action = f"""CASE WHEN _loaded IS NULL THEN '{KEEP}' WHEN _stored IS NULL THEN '{INSERT}'
+        WHEN {same} THEN '{SKIP}' ELSE '{UPDATE}' END"""
+    return n.join(o, _match(keys), how).withColumn("action", F.expr(action))
+
+
+def _value(c: str, source: DataFrame, keys: list[str], kept: list[str], changed_flag: str | None) -> str:
+    """What a target column holds afterwards, as SQL over ``n``, ``o`` and ``action``."""
+    new = f"n.`{c}`" if c in source.columns else "NULL"
+    if c in keys:
+        return f"coalesce(n.`{c}`, o.`{c}`)"
+    if c == changed_flag:
+        return f"CASE action WHEN '{INSERT}' THEN false WHEN '{UPDATE}' THEN true ELSE o.`{c}` END"
+    if c in source.columns and c not in kept:
+        return f"CASE WHEN action IN ('{INSERT}', '{UPDATE}') THEN {new} ELSE o.`{c}` END"
+    return f"CASE WHEN action = '{INSERT}' THEN {new} ELSE o.`{c}` END"
 
 
 def upsert(
@@ -74,8 +61,12 @@ def upsert(
     every matching row is. ``stamps`` gives columns the source lacks, such as the batch id. Columns in ``kept`` are set
     on insert only. NULL key parts are equal to each other. Nothing is ever deleted.
     """
-    rows = _joined(target, source, keys, target.columns, hash_col, "full")
-    return rows.select(*_columns(target, source, keys, stamps or {}, kept or [], changed_flag), "action")
+    source = source.withColumns(stamps or {})
+    values = [
+        f"CAST({_value(f.name, source, keys, kept or [], changed_flag)} AS {f.dataType.simpleString()}) AS `{f.name}`"
+        for f in target.schema
+    ]
+    return _joined(target, source, keys, hash_col, "full").selectExpr(*values, "action")
 
 
 def changes(
@@ -96,21 +87,17 @@ def changes(
     plain unique constraint would.
     """
     stamps, kept = stamps or {}, kept or []
-    rewritten = {c for c in target.columns if (c in source.columns or c in stamps) and c not in kept and c not in keys}
-    # Skipped rows keep their stored stamps, so the old values of stamped columns are needed as well.
-    old = [c for c in target.columns if c not in rewritten or c in stamps or c in (hash_col, changed_flag)]
-    slim = target.select(*old)
+    payload = {c for c in source.columns if c not in keys and c not in kept and c not in (hash_col, changed_flag)}
+    # The stored payload is not read: a skipped row shows the source's, and is not meant to be written.
+    slim = target.select(*[c for c in target.columns if c not in payload])
     if not null_safe_keys:
         slim = slim.where(~_any_null(keys))
-    rows = _joined(slim, source, keys, old, hash_col, "left")
-    stored = target.columns
-    columns = _columns(target, source, keys, stamps, kept, changed_flag)
-    # For a skipped row the payload equals the source's by hash; take it from there instead of reading it again.
-    columns = [
-        (F.col(f"n.{c}").cast(target.schema[c].dataType).alias(c) if c not in old else value)
-        for c, value in zip(stored, columns)
-    ]
-    return rows.select(*columns, "action")
+    source = source.withColumns(stamps)
+    values = []
+    for f in target.schema:
+        value = f"n.`{f.name}`" if f.name in payload else _value(f.name, source, keys, kept, changed_flag)
+        values.append(f"CAST({value} AS {f.dataType.simpleString()}) AS `{f.name}`")
+    return _joined(slim, source, keys, hash_col, "left").selectExpr(*values, "action")
 
 
 def action_counts(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(15, 2)
@@ -175,14 +174,16 @@ TEXT_LIMITS = {
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of the schema, in its order and types: missing ones NULL, unknown ones dropped, bad values NULL."""
 
-    def column(field: T.StructField):
-        if field.name not in df.columns:
-            return F.lit(None).cast(field.dataType).alias(field.name)
-        c, have = F.col(field.name), df.schema[field.name].dataType
-        if have == field.dataType:
-            return c
-        if isinstance(have, T.StringType) and isinstance(field.dataType, T.IntegerType):
-            c = c.try_cast("double")
-        return c.try_cast(field.dataType).alias(field.name)
-
-    return df.select(*[column(field) for field in schema])
+    have = {f.name: f.dataType for f in df.schema}
+
+    def column(field: T.StructField) -> str:
+        name, kind = f"`{field.name}`", field.dataType.simpleString()
+        if field.name not in have:
+            return f"CAST(NULL AS {kind}) AS {name}"
+        if have[field.name] == field.dataType:
+            return name
+        if isinstance(have[field.name], T.StringType) and isinstance(field.dataType, T.IntegerType):
+            return f"try_cast(try_cast({name} AS double) AS int) AS {name}"
+        return f"try_cast({name} AS {kind}) AS {name}"
+
+    return df.selectExpr(*[column(field) for field in schema])
