@@ -91,9 +91,8 @@ FROM companies LEFT JOIN industries ON list_contains(prefixes, left(sic_codes[1]
 )
 def primary(spark, folder):
     code = company.primary_sic(F.col("sic_codes"))
-    return star.companies(spark, folder).select(
-        "company_number", code.alias("primary_sic_code"), company.industry_category(code).alias("industry_category")
-    )
+    rows = star.companies(spark, folder).select("company_number", code.alias("primary_sic_code"))
+    return rows.withColumn("industry_category", company.industry_category("primary_sic_code"))
 
 
 @query(
@@ -163,7 +162,7 @@ def display_money(spark, folder):
 
 def psc_lines(spark, folder):
     """orders as JSON lines, some unreadable or without a company."""
-    o = star.read(spark, folder, "orders")
+    o = star.read(spark, folder, "orders").repartition("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     record = F.to_json(
         F.struct(

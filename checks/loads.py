@@ -10,11 +10,10 @@ from checks import star
 from checks.columns import CSV_SQL, PSC_COLUMNS, PSC_HASH, PSC_SQL, csv_shaped, psc_lines
 from checks.registry import over, query
 from firmlake import schemas
-from firmlake.functions.hashing import row_hash
 from firmlake.operators.upsert import action_counts, changes, dedupe_load, upsert
 from firmlake.plans import promotion
 from firmlake.plans.products import ACCOUNTS, COMPANY, PSC, accepted, rejects
-from firmlake.schemas import FINANCIAL_HASH, FINANCIAL_KEY, OFFICER_KEY, conform
+from firmlake.schemas import FINANCIAL_HASH, FINANCIAL_KEY, OFFICER_HASH, OFFICER_KEY, conform
 from firmlake.session import settle, work_path
 from firmlake.sources.accounts import parse_documents
 from firmlake.sources.archives import write_filings, write_lines
@@ -28,7 +27,7 @@ FIELDS = ["turnover", "profit_loss", "total_assets", "total_liabilities", "net_a
 
 def first_load(spark, folder):
     """Periods that ended before CUT, as an earlier batch stored them."""
-    rows = star.financials(spark, folder).where(F.col("period_end") < F.lit(CUT).cast("date"))
+    rows = star.hashed(star.financials(spark, folder), FINANCIAL_HASH).where(f"period_end < DATE'{CUT}'")
     rows = dedupe_load(rows, FINANCIAL_KEY, ["financial_id"])
     return rows.select(
         *FINANCIAL_KEY, *FIELDS, "data_hash", F.lit("b1").alias("batch_id"), F.lit(False).alias("change_detected")
@@ -39,8 +38,7 @@ def second_load(spark, folder):
     """All periods; those without a proper start have a new turnover."""
     rows = star.financials(spark, folder)
     doubled = F.when(F.col("period_start") == F.col("period_end"), F.col("turnover") * 2).otherwise(F.col("turnover"))
-    rows = rows.withColumn("turnover", doubled.cast(star.MONEY))
-    rows = rows.withColumn("data_hash", row_hash(rows, FINANCIAL_HASH))
+    rows = star.hashed(rows.withColumn("turnover", doubled.cast(star.MONEY)), FINANCIAL_HASH)
     return dedupe_load(rows, FINANCIAL_KEY, ["financial_id"]).select(*FINANCIAL_KEY, *FIELDS, "data_hash")
 
 
@@ -91,7 +89,7 @@ def upsert_actions(spark, folder):
 def officer_loads(spark, folder):
     cut = F.lit(CUT).cast("timestamp_ntz")
     columns = [*OFFICER_KEY, "nationality", "data_hash"]
-    rows = dedupe_load(star.officers(spark, folder), OFFICER_KEY, ["officer_id"])
+    rows = dedupe_load(star.hashed(star.officers(spark, folder), OFFICER_HASH), OFFICER_KEY, ["officer_id"])
     stored = rows.where(F.col("last_updated") < cut).select(*columns, F.lit("b1").alias("batch_id"))
     return stored, rows.select(*columns)
 
@@ -156,7 +154,7 @@ WHERE c.batch_id = '{BATCH}' AND NOT c.needs_review AND o.officer_name IS NOT NU
 def promote_officers(spark, folder):
     stored = spark.createDataFrame([], schemas.PRODUCTION_OFFICERS)
     rows, _ = promotion.promote_officers(
-        star.officers(spark, folder), star.companies(spark, folder), stored, BATCH, now()
+        star.hashed(star.officers(spark, folder), OFFICER_HASH), star.companies(spark, folder), stored, BATCH, now()
     )
     return rows.select("company_number", "officer_name", "officer_role", "appointed_on", "is_active", "action")
 
@@ -258,7 +256,7 @@ def psc_archives(spark, folder):
 
 def filing_documents(spark, folder):
     """One inline or plain XBRL filing per order, in several layouts."""
-    o = star.read(spark, folder, "orders")
+    o = star.read(spark, folder, "orders").repartition("o_orderkey")
     day = star.day("o_orderdate")
     end, start = F.date_format(day, "yyyy-MM-dd"), F.date_format(F.date_sub(day, 364), "yyyy-MM-dd")
     before = F.date_format(F.date_sub(day, 365), "yyyy-MM-dd")
@@ -379,7 +377,7 @@ def store_batch(spark, folder, tables):
         {"company_number": F.substring("company_number", -8, 8), "company_name": F.coalesce("company_name", F.lit("UNNAMED"))}
     )
     tables.companies.write_changes(conform(companies, schemas.STAGING_COMPANIES), "start")
-    officers = dedupe_load(star.officers(spark, folder), OFFICER_KEY, ["officer_id"])
+    officers = dedupe_load(star.hashed(star.officers(spark, folder), OFFICER_HASH), OFFICER_KEY, ["officer_id"])
     tables.officers.write_changes(conform(officers, schemas.STAGING_OFFICERS), "start")
     tables.financials.write_changes(conform(staged_financials(spark, folder), schemas.STAGING_FINANCIALS), "start")
 

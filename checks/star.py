@@ -14,7 +14,6 @@ from firmlake.functions.company import industry_category, primary_sic, quality_s
 from firmlake.functions.hashing import row_hash
 from firmlake.operators.latest import latest_per_key
 from firmlake.plans.promotion import financial_rows
-from firmlake.schemas import COMPANY_HASH, FINANCIAL_HASH, OFFICER_HASH
 
 MONEY = "decimal(15,2)"
 
@@ -24,7 +23,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def number(key: str) -> Column:
-    return F.lpad(F.col(key).cast("string"), 8, "0")
+    return F.expr(f"lpad(CAST({key} AS string), 8, '0')")
 
 
 def day(c: str) -> Column:
@@ -59,80 +58,78 @@ def companies(spark: SparkSession, folder: str) -> DataFrame:
     rows = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").join(
         region, nation.n_regionkey == region.r_regionkey, "left"
     )
-    balance = F.col("c_acctbal")
-    codes = F.array(
-        F.concat(((F.col("c_custkey") * 7) % 90 + 10).cast("string"), F.lit("110")),
-        F.concat((F.col("c_nationkey") + 55).cast("string"), F.lit("200")),
+    loaded = "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(c_custkey AS int))"
+    return rows.selectExpr(
+        "concat(CASE WHEN c_acctbal < -900 THEN 'X' ELSE '' END, lpad(CAST(c_custkey AS string), 8, '0')) AS company_number",
+        "CASE WHEN NOT c_acctbal BETWEEN 0 AND 50 THEN c_name END AS company_name",
+        "CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'active' ELSE lower(c_mktsegment) END AS company_status",
+        "'Private Limited Company' AS company_type",
+        "CASE WHEN c_nationkey = 3 THEN '' ELSE n_name END AS locality",
+        "CASE WHEN c_acctbal >= 0 THEN concat('PC', CAST(c_nationkey AS string)) END AS postal_code",
+        "r_name AS region",
+        """CASE WHEN c_acctbal BETWEEN 9000 AND 9200 THEN CAST(array() AS array<string>)
+           ELSE array(concat(CAST(c_custkey * 7 % 90 + 10 AS string), '110'), concat(CAST(c_nationkey + 55 AS string), '200')) END AS sic_codes""",
+        "date_add(DATE'1990-01-01', CAST(c_custkey * 37 % 12000 AS int)) AS incorporation_date",
+        "'{}' AS raw_data",
+        "concat('batch_', lower(c_mktsegment)) AS batch_id",
+        "c_acctbal < 0 AS needs_review",
+        "CAST(NULL AS string) AS review_notes",
+        "c_nationkey < 12 AS change_detected",
+        f"{loaded} AS ingested_at",
+        f"{loaded} + make_dt_interval(0, c_nationkey) AS last_updated",
+        f"CASE WHEN c_acctbal > 5000 THEN {loaded} END AS merged_at",
     )
-    loaded = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=F.col("c_custkey").cast("int"))
-    rows = rows.select(
-        F.when(balance < -900, F.concat(F.lit("X"), number("c_custkey"))).otherwise(number("c_custkey")).alias("company_number"),
-        F.when(~balance.between(0, 50), F.col("c_name")).alias("company_name"),
-        F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), "active").otherwise(F.lower("c_mktsegment")).alias("company_status"),
-        F.lit("Private Limited Company").alias("company_type"),
-        F.when(F.col("c_nationkey") == 3, "").otherwise(F.col("n_name")).alias("locality"),
-        F.when(balance >= 0, F.concat(F.lit("PC"), F.col("c_nationkey").cast("string"))).alias("postal_code"),
-        F.col("r_name").alias("region"),
-        F.when(balance.between(9000, 9200), F.array().cast("array<string>")).otherwise(codes).alias("sic_codes"),
-        F.date_add(F.lit("1990-01-01").cast("date"), ((F.col("c_custkey") * 37) % 12000).cast("int")).alias("incorporation_date"),
-        F.lit("{}").alias("raw_data"),
-        F.concat(F.lit("batch_"), F.lower("c_mktsegment")).alias("batch_id"),
-        (balance < 0).alias("needs_review"),
-        F.lit(None).cast("string").alias("review_notes"),
-        (F.col("c_nationkey") < 12).alias("change_detected"),
-        loaded.alias("ingested_at"),
-        (loaded + F.make_dt_interval(hours=F.col("c_nationkey"))).alias("last_updated"),
-        F.when(balance > 5000, loaded).alias("merged_at"),
-    )
-    return rows.withColumn("data_hash", row_hash(rows, COMPANY_HASH))
+
+
+def hashed(rows: DataFrame, fields: list[str]) -> DataFrame:
+    return rows.withColumn("data_hash", row_hash(rows, fields))
 
 
 def financials(spark: SparkSession, folder: str) -> DataFrame:
     """Staging financials: one per order, so a company may have two rows for a day."""
-    price = F.col("o_totalprice").cast(MONEY)
-    share = F.lit("0.00")
-    for priority, part in (("2-HIGH", "0.20"), ("3-MEDIUM", "0.45"), ("4-NOT SPECIFIED", "0.75"), ("5-LOW", "1.10")):
-        share = F.when(F.col("o_orderpriority") == priority, part).otherwise(share)
-    owed = (price * share.cast("decimal(3,2)")).cast(MONEY)
-    loaded = F.col("o_orderdate").cast("timestamp_ntz")
-    rows = read(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("financial_id"),
-        number("o_custkey").alias("company_number"),
-        F.when(F.col("o_orderstatus") == "P", day("o_orderdate")).otherwise(F.date_sub(day("o_orderdate"), 365)).alias("period_start"),
-        day("o_orderdate").alias("period_end"),
-        (price * 100).cast(MONEY).alias("turnover"),
-        (price - F.lit("200000.00").cast(MONEY)).cast(MONEY).alias("profit_loss"),
-        price.alias("total_assets"),
-        owed.alias("total_liabilities"),
-        (price - owed).cast(MONEY).alias("net_assets_liabilities"),
-        (price * F.lit("0.50").cast("decimal(3,2)")).cast(MONEY).alias("current_assets"),
-        (owed * F.lit("0.40").cast("decimal(3,2)")).cast(MONEY).alias("current_liabilities"),
-        *[F.lit(None).cast(MONEY).alias(c) for c in ("fixed_assets", "cost_sales", "gross_profit_loss", "operating_profit_loss", "profit_loss_on_ordinary_activities_before_tax")],
-        F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise("bulk_xbrl").alias("source"),
-        F.lit("{}").alias("raw_data"),
-        loaded.alias("ingested_at"),
-        loaded.alias("last_updated"),
-        F.when(F.col("o_orderstatus") == "F", loaded).alias("merged_at"),
-    )
-    return rows.withColumn("data_hash", row_hash(rows, FINANCIAL_HASH))
+    price = "CAST(o_totalprice AS decimal(15,2))"
+    owed = f"""CAST({price} * CAST(CASE o_orderpriority WHEN '2-HIGH' THEN 0.20 WHEN '3-MEDIUM' THEN 0.45
+        WHEN '4-NOT SPECIFIED' THEN 0.75 WHEN '5-LOW' THEN 1.10 ELSE 0.00 END AS decimal(3,2)) AS decimal(15,2))"""
+    unknown = [
+        "fixed_assets", "cost_sales", "gross_profit_loss", "operating_profit_loss",
+        "profit_loss_on_ordinary_activities_before_tax",
+    ]
+    return read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS financial_id",
+        "lpad(CAST(o_custkey AS string), 8, '0') AS company_number",
+        "CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS date) ELSE date_sub(CAST(o_orderdate AS date), 365) END AS period_start",
+        "CAST(o_orderdate AS date) AS period_end",
+        f"CAST({price} * 100 AS decimal(15,2)) AS turnover",
+        f"CAST({price} - 200000.00 AS decimal(15,2)) AS profit_loss",
+        f"{price} AS total_assets",
+        f"{owed} AS total_liabilities",
+        f"CAST({price} - {owed} AS decimal(15,2)) AS net_assets_liabilities",
+        f"CAST({price} * 0.50 AS decimal(15,2)) AS current_assets",
+        f"CAST({owed} * 0.40 AS decimal(15,2)) AS current_liabilities",
+        *[f"CAST(NULL AS decimal(15,2)) AS {c}" for c in unknown],
+        "CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE 'bulk_xbrl' END AS source",
+        "'{}' AS raw_data",
+        "CAST(o_orderdate AS timestamp_ntz) AS ingested_at",
+        "CAST(o_orderdate AS timestamp_ntz) AS last_updated",
+        "CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS timestamp_ntz) END AS merged_at",
+    )
 
 
 def officers(spark: SparkSession, folder: str) -> DataFrame:
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    rows = read(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("officer_id"),
-        number("o_custkey").alias("company_number"),
-        F.when(~((status == "P") & (priority == "5-LOW")), F.concat(F.lit("Officer "), F.col("o_orderkey").cast("string"))).alias("officer_name"),
-        F.when(priority == "4-NOT SPECIFIED", "").otherwise(priority).alias("officer_role"),
-        F.when(F.col("o_totalprice") >= 20000, day("o_orderdate")).alias("appointed_on"),
-        F.when(status != "O", F.date_add(day("o_orderdate"), 365)).alias("resigned_on"),
-        F.lit(None).cast("date").alias("date_of_birth"),
-        F.when(priority != "2-HIGH", "British").alias("nationality"),
-        F.lit("{}").alias("raw_data"),
-        F.col("o_orderdate").cast("timestamp_ntz").alias("last_updated"),
-    )
-    rows = rows.withColumn("is_active", F.col("resigned_on").isNull())
-    return rows.withColumn("data_hash", row_hash(rows, OFFICER_HASH))
+    return read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS officer_id",
+        "lpad(CAST(o_custkey AS string), 8, '0') AS company_number",
+        """CASE WHEN NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
+           THEN concat('Officer ', CAST(o_orderkey AS string)) END AS officer_name""",
+        "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE o_orderpriority END AS officer_role",
+        "CASE WHEN o_totalprice >= 20000 THEN CAST(o_orderdate AS date) END AS appointed_on",
+        "CASE WHEN o_orderstatus != 'O' THEN date_add(CAST(o_orderdate AS date), 365) END AS resigned_on",
+        "CAST(NULL AS date) AS date_of_birth",
+        "CASE WHEN o_orderpriority != '2-HIGH' THEN 'British' END AS nationality",
+        "'{}' AS raw_data",
+        "o_orderstatus = 'O' AS is_active",
+        "CAST(o_orderdate AS timestamp_ntz) AS last_updated",
+    )
 
 
 CONTACT_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
@@ -141,17 +138,16 @@ CONTACT_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_q
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
     """One contact per officer and source: the latest line item."""
     lines = latest_per_key(read(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], CONTACT_ORDER)
-    mail = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("@example.com"))
-    return lines.select(
-        F.col("l_orderkey").alias("officer_id"),
-        mail.alias("email"),
-        (F.col("l_linestatus") == "F").alias("email_verified"),
-        F.lit(None).cast("string").alias("phone"),
-        F.lit(False).alias("phone_verified"),
-        F.lit(None).cast("string").alias("linkedin_url"),
-        F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("source"),
-        (1 - 5 * F.col("l_discount").cast("decimal(3,2)")).cast("decimal(3,2)").alias("confidence_score"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate").cast("timestamp_ntz")).alias("verified_at"),
+    return lines.selectExpr(
+        "l_orderkey AS officer_id",
+        "concat('o', CAST(l_orderkey AS string), '@example.com') AS email",
+        "l_linestatus = 'F' AS email_verified",
+        "CAST(NULL AS string) AS phone",
+        "false AS phone_verified",
+        "CAST(NULL AS string) AS linkedin_url",
+        "concat('line', CAST(l_linenumber AS string)) AS source",
+        "CAST(1 - 5 * CAST(l_discount AS decimal(3,2)) AS decimal(3,2)) AS confidence_score",
+        "CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS timestamp_ntz) END AS verified_at",
     )
 
 
@@ -159,7 +155,7 @@ def production_companies(spark: SparkSession, folder: str) -> DataFrame:
     rows = companies(spark, folder).withColumn("primary_sic_code", primary_sic(F.col("sic_codes")))
     return rows.withColumns(
         {
-            "industry_category": industry_category(F.col("primary_sic_code")),
+            "industry_category": industry_category("primary_sic_code"),
             "data_quality_score": quality_score(),
             "accounts_next_due_date": F.date_add("incorporation_date", 270),
             "conf_stm_next_due_date": F.date_add("incorporation_date", 14),
@@ -171,32 +167,27 @@ def production_financials(spark: SparkSession, folder: str) -> DataFrame:
     return financial_rows(financials(spark, folder))
 
 
-# What an event says about a batch.
-STATES = {"view": "running", "click": "paused", "purchase": "completed", "signup": "completed", "error": "failed"}
-
-
 def ingestion_log(spark: SparkSession, folder: str) -> DataFrame:
-    status = F.lit(None).cast("string")
-    for kind, state in STATES.items():
-        status = F.when(F.col("event_type") == kind, state).otherwise(status)
-    ts = F.col("ts").cast("timestamp_ntz")
-    cents = F.round(F.col("value") * 100).cast("long")
-    return read(spark, folder, "events").select(
-        F.concat(F.lit("batch_"), F.col("user_id").cast("string")).alias("batch_id"),
-        F.lit("bulk_ingestion").alias("search_name"),
-        status.alias("status"),
-        ts.alias("started_at"),
-        F.when(status.isin("completed", "failed"), ts).alias("completed_at"),
-        cents.alias("companies_count"),
-        (cents % 20).alias("files_total"),
-        F.least(cents % 7, cents % 20).alias("files_completed"),
-        F.when(status == "running", "part1.zip").alias("current_file"),
-        (cents % 100).cast("int").alias("current_file_progress"),
-        ts.alias("logged_at"),
+    """Every event as a state of the user's batch."""
+    status = """CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'completed'
+        WHEN 'signup' THEN 'completed' WHEN 'error' THEN 'failed' END"""
+    cents = "CAST(round(value * 100) AS bigint)"
+    return read(spark, folder, "events").selectExpr(
+        "concat('batch_', CAST(user_id AS string)) AS batch_id",
+        "'bulk_ingestion' AS search_name",
+        f"{status} AS status",
+        "CAST(ts AS timestamp_ntz) AS started_at",
+        f"CASE WHEN {status} IN ('completed', 'failed') THEN CAST(ts AS timestamp_ntz) END AS completed_at",
+        f"{cents} AS companies_count",
+        f"{cents} % 20 AS files_total",
+        f"least({cents} % 7, {cents} % 20) AS files_completed",
+        f"CASE WHEN {status} = 'running' THEN 'part1.zip' END AS current_file",
+        f"CAST({cents} % 100 AS int) AS current_file_progress",
+        "CAST(ts AS timestamp_ntz) AS logged_at",
     )
 
 
 def merges(spark: SparkSession, folder: str) -> DataFrame:
     """Batches that have been merged once: users who bought for more than 30."""
-    bought = read(spark, folder, "events").where((F.col("event_type") == "purchase") & (F.col("value") > 30))
-    return bought.select(F.concat(F.lit("batch_"), F.col("user_id").cast("string")).alias("batch_id"))
+    bought = read(spark, folder, "events").where("event_type = 'purchase' AND value > 30")
+    return bought.selectExpr("concat('batch_', CAST(user_id AS string)) AS batch_id")

@@ -48,19 +48,18 @@ def no_codes(codes: Column) -> Column:
     return codes.isNull() | (F.size(codes) == 0)
 
 
-def industry_category(code: Column) -> Column:
-    """Industry name of a code, by its first two digits; NULL outside the known industries."""
-    prefix = F.substring(code, 1, 2)
-    label = F.lit(None).cast("string")
-    for name, prefixes in INDUSTRY_PREFIXES.items():
-        label = F.when(prefix.isin(prefixes), name).otherwise(label)
-    return label
+def industry_category(code: str) -> Column:
+    """Industry name of the code in a column, by its first two digits; NULL outside the known industries."""
+    branches = " ".join(
+        f"WHEN '{p}' THEN '{name}'" for name, prefixes in INDUSTRY_PREFIXES.items() for p in prefixes
+    )
+    return F.expr(f"CASE substring({code}, 1, 2) {branches} END")
 
 
 def quality_score() -> Column:
     """Share of filled fields weighted by QUALITY_POINTS, between 0.00 and 1.00."""
-    score = F.lit(0).cast("decimal(4,1)")
-    for field, points in QUALITY_POINTS.items():
-        present = ~no_codes(F.col(field)) if field == "sic_codes" else filled(F.col(field))
-        score = score + F.when(present, F.lit(points).cast("decimal(4,1)")).otherwise(F.lit(0).cast("decimal(4,1)"))
-    return F.least(score / F.lit(QUALITY_TOTAL), F.lit(1).cast("decimal(3,2)")).cast("decimal(3,2)")
+    points = [
+        f"CASE WHEN {'size(sic_codes) > 0' if field == 'sic_codes' else f'{field} != ' + repr('')} THEN {value} ELSE 0.0 END"
+        for field, value in QUALITY_POINTS.items()
+    ]
+    return F.expr(f"CAST(least(({' + '.join(points)}) / {QUALITY_TOTAL}, 1.0) AS decimal(3,2))")

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date layouts, tried in this order.
-REGISTER_LAYOUTS = ["d/M/yyyy", "yyyy-MM-dd", "d-M-yyyy", "d.M.yyyy"]
-FILING_LAYOUTS = [
-    "yyyy-MM-dd",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "d.M.yyyy",
-    "d.M.yy",
-    "d/M/yy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-    "MMMM d yyyy",
-    "MMM d yyyy",
-    "d-MMM-yyyy",
-    "yyyyMMdd",
-]
-
-
-def parse_any(c: Column, layouts: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_date(c, layout) for layout in layouts])
+# Accepted date layouts with the shape of the text they fit. The shape picks the one layout to try, since a
+# failed attempt is far dearer than a match.
+REGISTER_LAYOUTS = {
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+}
+FILING_LAYOUTS = {
+    **REGISTER_LAYOUTS,
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,} \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "MMMM d yyyy": r"^[A-Za-z]{4,} \d{1,2} \d{4}$",
+    "MMM d yyyy": r"^[A-Za-z]{3} \d{1,2} \d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "d.M.yy": r"^\d{1,2}\.\d{1,2}\.\d{2}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+
+
+def parse_any(c: Column, layouts: dict[str, str]) -> Column:
+    date = F.lit(None).cast("date")
+    for layout, shape in reversed(layouts.items()):
+        date = F.when(c.rlike(shape), F.try_to_date(c, layout)).otherwise(date)
+    return date
 
 
 def register_date(c: Column) -> Column:
@@ -34,8 +40,7 @@ def register_date(c: Column) -> Column:
 def filing_date(c: Column) -> Column:
     """Dates as people write them in filings: ordinals, commas and repeated blanks are ignored."""
     plain = F.regexp_replace(F.trim(c), r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
-    plain = F.regexp_replace(plain, r"[,\s]+", " ")
-    return parse_any(plain, FILING_LAYOUTS)
+    return parse_any(F.regexp_replace(plain, r"[,\s]+", " "), FILING_LAYOUTS)
 
 
 def whole_number(c: Column) -> Column:
@@ -48,7 +53,7 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
     text = F.format_string(
         "%04d-%02d-%02d", whole_number(year), whole_number(month), F.coalesce(whole_number(day), F.lit(1))
     )
-    return F.when(whole_number(year).isNotNull() & whole_number(month).isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(whole_number(year).isNotNull() & whole_number(month).isNotNull(), parse_any(text, REGISTER_LAYOUTS))
 
 
 def reference_day(day: Column, month: Column) -> Column:

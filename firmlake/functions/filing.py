@@ -36,6 +36,4 @@ def local_name(tag: Column) -> Column:
 
 def number(text: Column) -> Column:
     """Decimal from a plain number after commas and blanks are taken out; anything else is NULL."""
-    plain = F.regexp_replace(text, r"[,\s]", "")
-    looks_numeric = plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$")
-    return F.when(looks_numeric, plain.try_cast("decimal(38,6)"))
+    return F.translate(text, ", \t\r\n", "").try_cast("decimal(38,6)")

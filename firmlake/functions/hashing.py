@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _as_text(df: DataFrame, field: str) -> Column:
+def _as_text(name: str, kind: T.DataType) -> str:
     """Canonical text of a field: NULL is empty, arrays are quoted lists, money keeps at least one decimal."""
-    if field not in df.columns:
-        return F.lit("")
-    c, kind = F.col(field), df.schema[field].dataType
+    c = f"`{name}`"
     if isinstance(kind, T.ArrayType):
-        quoted = F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
-        c = F.when(F.size(c) > 0, quoted).when(F.size(c) == 0, F.lit("[]"))
-    elif isinstance(kind, T.DecimalType) and kind.scale == 2:
-        c = F.regexp_replace(c.cast("string"), "0$", "")
-    return F.coalesce(c.cast("string"), F.lit(""))
+        quoted = f"""concat("['", array_join({c}, "', '"), "']")"""
+        return f"CASE WHEN size({c}) > 0 THEN {quoted} WHEN size({c}) = 0 THEN '[]' ELSE '' END"
+    if isinstance(kind, T.DecimalType) and kind.scale == 2:
+        return f"coalesce(regexp_replace(CAST({c} AS string), '0$', ''), '')"
+    return f"coalesce(CAST({c} AS string), '')"
 
 
 def row_hash(df: DataFrame, fields: list[str]) -> Column:
     """MD5 of the fields' canonical texts joined with ``|``; fields the frame lacks count as NULL."""
-    return F.md5(F.concat_ws("|", *[_as_text(df, f) for f in fields]))
+    kinds = {f.name: f.dataType for f in df.schema}
+    texts = [_as_text(f, kinds[f]) if f in kinds else "''" for f in fields]
+    return F.expr(f"md5(concat_ws('|', {', '.join(texts)}))")

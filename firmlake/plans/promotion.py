@@ -53,7 +53,7 @@ def company_rows(staged: DataFrame) -> DataFrame:
     """Staged companies in production shape: first industry code, industry and quality score added."""
     rows = staged.withColumn("primary_sic_code", primary_sic(F.col("sic_codes")))
     return rows.withColumns(
-        {"industry_category": industry_category(F.col("primary_sic_code")), "data_quality_score": quality_score()}
+        {"industry_category": industry_category("primary_sic_code"), "data_quality_score": quality_score()}
     )
 
 

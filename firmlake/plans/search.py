@@ -191,7 +191,7 @@ def company_profiles(
         companies.join(latest, "company_number", "left")
         .join(active_officers(officers), "company_number", "left")
         .withColumn("primary_sic_code", primary_sic(F.col("sic_codes")))
-        .withColumn("industry_category", industry_category(F.col("primary_sic_code")))
+        .withColumn("industry_category", industry_category("primary_sic_code"))
         .withColumn("active_officers_count", F.coalesce("active_officers", F.lit(0).cast("long")))
     )
 

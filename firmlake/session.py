@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every column expression doubles the time it takes to build a wide plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,122 +1,98 @@
 """Accounts filings: facts from XBRL and inline XBRL documents, resolved into one wide row per filing and period.
 
-Both document kinds become the same row shape, so everything after reading is shared: contexts give a fact its period,
-the tag dictionary gives it a column, and the best fact of each column is kept. Facts that no column accepts are dropped
-before anything is shuffled.
+A document is taken apart where its archive entry is unpacked, and only the facts that matter leave the task: those a
+column accepts, and the periods of the other numbers. Everything after that is relational: the report period, the best
+fact of each column, the wide row.
 """
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from firmlake.functions.dates import filing_date
 from firmlake.functions.filing import company_number_from_name, local_name, number, period_end_from_name
 from firmlake.functions.hashing import row_hash
 from firmlake.schemas import COUNT_TAGS, FINANCIAL_DATA, FINANCIAL_HASH, MONEY_TAGS, TEXT_TAGS, conform
-from firmlake.sources.archives import read_bodies
-from firmlake.sources.tags import is_wanted, tag_dictionary
+from firmlake.sources.archives import Entry, read_entries
+from firmlake.sources.tags import tag_dictionary, wanted_names
 
 XBRL_EXTENSIONS = ["xml", "xbrl"]
 IXBRL_EXTENSIONS = ["html", "htm"]
 SOURCE = "bulk_xbrl"
 
 PLACE = ["archive", "entry", "pos", "inner_pos"]
-CONTEXT = "array<struct<id string, start string, end string>>"
-FACT = "array<struct<tag string, ctx string, raw string, is_text boolean, sign string, scale string>>"
-DATED_FACT = (
-    "struct<n int, tag string, local string, raw string, is_text boolean, value decimal(38,6), period date>"
+FACTS = (
+    "archive string, entry string, pos long, inner_pos long, doc_company string, reject string, n int, tag string, "
+    "period string, start string, raw string, is_text boolean, factor double"
 )
+FACTS_PER_BATCH = 20_000
 
 # Elements of an XBRL document that are structure and not facts.
 STRUCTURE = {
     "context", "schemaRef", "unit", "entity", "identifier", "period", "startDate", "endDate", "instant", "segment",
 }
 
-CONTEXT_ELEMENT = r"(?is)<(?:\w+:)?context\b[^>]*>.*?</(?:\w+:)?context>"
-NUMBER_ELEMENT = r"(?is)<(?:\w+:)?nonFraction(?=[^>]*\bname=[\"'])(?=[^>]*\bcontextRef=[\"'])[^>]*(?<!/)>.*?</(?:\w+:)?nonFraction>"
-TEXT_ELEMENT = r"(?is)<(?:\w+:)?nonNumeric(?=[^>]*\bname=[\"'])(?=[^>]*\bcontextRef=[\"'])[^>]*(?<!/)>.*?</(?:\w+:)?nonNumeric>"
-IDENTIFIER = r"(?is)<(?:xbrli:)?identifier[^>]*>([^<]+)</(?:xbrli:)?identifier>"
+CONTEXT = re.compile(r"<(?:\w+:)?context\b([^>]*)>(.*?)</(?:\w+:)?context>", re.I | re.S)
+CONTEXT_END = re.compile(r"<(?:\w+:)?(?:endDate|instant)\s*>([^<]+)<", re.I)
+NUMBER = re.compile(r"<(?:\w+:)?nonFraction\b([^>]*)(?<!/)>(.*?)</(?:\w+:)?nonFraction>", re.I | re.S)
+TEXT = re.compile(r"<(?:\w+:)?nonNumeric\b([^>]*)(?<!/)>(.*?)</(?:\w+:)?nonNumeric>", re.I | re.S)
+IDENTIFIER = re.compile(r"<(?:xbrli:)?identifier[^>]*>([^<]+)</", re.I)
+ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+INNER_TAG = re.compile(r"<[^>]*>")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _local(tag: str) -> str:
+    return tag.split("}" if "}" in tag else ":", 1)[-1].lower()
 
 
-def _attribute(element: Column, name: str) -> Column:
-    """Value of an attribute of the element's opening tag, in whatever order the attributes come."""
-    value = F.regexp_extract(element, rf"(?is)^<[^>]*?\b{name}=[\"']([^\"']+)[\"']", 1)
-    return F.nullif(value, F.lit(""))
+def _attributes(opening: str) -> dict[str, str]:
+    return {name.lower(): a or b for name, a, b in ATTRIBUTE.findall(opening)}
 
 
-def _inside(element: Column, name: str) -> Column:
-    value = F.regexp_extract(element, rf"(?is)<(?:\w+:)?{name}\s*>([^<]+)</(?:\w+:)?{name}\s*>", 1)
-    return F.nullif(F.trim(value), F.lit(""))
+def _factor(attributes: dict[str, str]) -> float:
+    """What an inline number is multiplied with according to its sign and scale."""
+    scale = attributes.get("scale", "0")
+    power = int(scale) if re.fullmatch(r"-?\d{1,2}", scale) else 0
+    return (-1.0 if attributes.get("sign") == "-" else 1.0) * 10.0**power
 
 
-def _content(element: Column) -> Column:
-    """Text of an element without inner tags."""
-    body = F.regexp_replace(F.regexp_replace(element, r"(?s)^<[^>]*>", ""), r"(?s)</[^<>]*>$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", ""), r"^\s+|\s+$", ""))
+def _read_inline(body: bytes, apply_sign_scale: bool):
+    """(company, context id -> (end, start), facts) of an inline document.
 
-
-def _facts(elements: Column, is_text: bool) -> Column:
-    return F.transform(
-        elements,
-        lambda e: F.struct(
-            _attribute(e, "name").alias("tag"),
-            _attribute(e, "contextRef").alias("ctx"),
-            _content(e).alias("raw"),
-            F.lit(is_text).alias("is_text"),
-            _attribute(e, "sign").alias("sign"),
-            _attribute(e, "scale").alias("scale"),
-        ),
-    )
-
-
-def _name_first(element: Column) -> Column:
-    return element.rlike(r"(?is)^<[^>]*?\bname=[^>]*?\bcontextRef=")
-
-
-def parse_ixbrl(documents: DataFrame) -> DataFrame:
-    """Contexts and facts of inline XBRL documents, column ``body`` as text or bytes.
-
-    Numbers whose ``name`` comes before ``contextRef`` count as earlier than the others: later facts replace earlier
-    ones of the same tag, so the order matters. Empty, self-closed elements are not facts.
+    Facts are (tag, context, text, is text, factor) in the order in which later ones replace earlier ones: numbers whose
+    name comes before the context, the other numbers, texts. Empty, self-closed elements are not facts.
     """
-    text = F.replace(F.make_valid_utf8(F.col("body").cast("string")), F.lit("\ufffd"), F.lit(""))
-    found = documents.withColumn("_text", text).select(
-        *[c for c in PLACE if c in documents.columns],
-        F.nullif(F.trim(F.regexp_extract("_text", IDENTIFIER, 1)), F.lit("")).alias("doc_company"),
-        _found(F.col("_text"), CONTEXT_ELEMENT).alias("_contexts"),
-        _found(F.col("_text"), NUMBER_ELEMENT).alias("_numbers"),
-        _found(F.col("_text"), TEXT_ELEMENT).alias("_texts"),
-    )
-    contexts = F.transform(
-        "_contexts",
-        lambda e: F.struct(
-            _attribute(e, "id").alias("id"),
-            F.lit(None).cast("string").alias("start"),
-            F.coalesce(_inside(e, "endDate"), _inside(e, "instant")).alias("end"),
-        ),
-    )
-    in_order = F.concat(F.filter("_numbers", _name_first), F.filter("_numbers", lambda e: ~_name_first(e)))
-    facts = F.concat(_facts(in_order, False), _facts(F.col("_texts"), True))
-    return found.select(
-        *[c for c in PLACE if c in documents.columns],
-        "doc_company",
-        contexts.cast(CONTEXT).alias("contexts"),
-        facts.cast(FACT).alias("facts"),
-        F.lit(None).cast("string").alias("reject"),
-    )
-
-
-def _read_document(body: bytes) -> dict:
-    """Contexts and facts of one XBRL document."""
+    text = body.decode("utf-8", "ignore")
+    company = IDENTIFIER.search(text)
+    contexts = {}
+    for opening, content in CONTEXT.findall(text):
+        end, name = CONTEXT_END.search(content), _attributes(opening).get("id")
+        if name and end:
+            contexts[name] = (end[1].strip(), None)
+    early, late, texts = [], [], []
+    for pattern, is_text in ((NUMBER, False), (TEXT, True)):
+        for opening, content in pattern.findall(text):
+            attributes = _attributes(opening)
+            tag, context = attributes.get("name"), attributes.get("contextref")
+            if not tag or not context:
+                continue
+            factor = _factor(attributes) if apply_sign_scale and not is_text else 1.0
+            fact = (tag, context, INNER_TAG.sub("", content).strip(), is_text, factor)
+            order = list(attributes)
+            target = texts if is_text else early if order.index("name") < order.index("contextref") else late
+            target.append(fact)
+    return (company[1].strip() if company else None), contexts, early + late + texts
+
+
+def _read_xbrl(body: bytes):
+    """The same of an XBRL document, whose facts may be numbers or texts."""
 
     def local(tag) -> str:
         return tag.rpartition("}")[2] if isinstance(tag, str) else ""
@@ -124,146 +100,158 @@ def _read_document(body: bytes) -> dict:
     def first(element, name):
         return next((e.text for e in element.iter() if local(e.tag) == name and e is not element), None)
 
-    root = ET.fromstring(body)
-    contexts, facts, company, registered = [], [], None, None
-    for e in root.iter():
+    contexts, facts, company, registered = {}, [], None, None
+    for e in ET.fromstring(body).iter():
         name, text = local(e.tag), (e.text or "").strip()
         if name == "context" and e.get("id"):
             end = first(e, "endDate") or first(e, "instant")
             if end:
-                contexts.append({"id": e.get("id"), "start": first(e, "startDate"), "end": end})
-        if name == "identifier" and company is None and len(text) == 8 and (text.isdigit() or text[:2].isalpha()):
+                contexts[e.get("id")] = (end.strip(), first(e, "startDate"))
+        elif name == "identifier" and company is None and len(text) == 8 and (text.isdigit() or text[:2].isalpha()):
             company = text
-        if name == "CompaniesHouseRegisteredNumber" and registered is None and text:
+        elif name == "CompaniesHouseRegisteredNumber" and registered is None and text:
             registered = text
         if name and name not in STRUCTURE and text:
-            facts.append({"tag": e.tag, "ctx": e.get("contextRef"), "raw": text, "is_text": None, "sign": None,
-                          "scale": None})
-    return {"doc_company": company or registered, "contexts": contexts, "facts": facts, "reject": None}
-
-
-def parse_xbrl(documents: DataFrame) -> DataFrame:
-    """Contexts and facts of XBRL documents, column ``body`` as bytes; a broken document gives a reject reason."""
-    place = [documents.schema[c] for c in PLACE if c in documents.columns]
-    names = [f.name for f in place]
-    schema = T.StructType(
-        [*place, *T.StructType.fromDDL(f"doc_company string, contexts {CONTEXT}, facts {FACT}, reject string")]
-    )
+            facts.append((e.tag, e.get("contextRef"), text, None, 1.0))
+    return company or registered, contexts, facts
+
+
+def _is_number(text: str) -> bool:
+    try:
+        float(text.replace(",", "").replace(" ", ""))
+        return True
+    except ValueError:
+        return False
+
+
+def _rows(e: Entry, wanted: frozenset[str], apply_sign_scale: bool):
+    """Fact rows of one entry: one without a tag, one per accepted fact, one per period of the other numbers."""
+    place = (e.archive, e.entry, e.pos, e.inner_pos)
+    if e.reject is not None:
+        yield (*place, None, e.reject, 0, None, None, None, None, None, 1.0)
+        return
+    try:
+        read = _read_xbrl(e.body) if e.extension in XBRL_EXTENSIONS else _read_inline(e.body, apply_sign_scale)
+    except ET.ParseError as error:
+        yield (*place, None, f"xml: {error}", 0, None, None, None, None, None, 1.0)
+        return
+    company, contexts, facts = read
+    starts = {}
+    for end, start in contexts.values():
+        if start:
+            starts.setdefault(end, start.strip())
+    yield (*place, company, None, 0, None, None, None, None, None, 1.0)
+    for end, start in starts.items():
+        yield (*place, company, None, 0, None, end, start, None, None, 1.0)
+    others = set()
+    for n, (tag, context, raw, is_text, factor) in enumerate(facts, 1):
+        end = contexts.get(context, (None, None))[0]
+        if end is None:
+            continue
+        if _local(tag) in wanted:
+            yield (*place, company, None, n, tag, end, None, raw, is_text, factor)
+        elif not is_text and end not in others and _is_number(raw):
+            others.add(end)
+            yield (*place, company, None, n, None, end, None, raw, False, 1.0)
+
+
+def fact_converter(apply_sign_scale: bool = False):
+    """Turns entries into Arrow batches of FACTS."""
+    wanted = wanted_names()
+    schema = to_arrow_schema(T.StructType.fromDDL(FACTS))
+
+    def batch(rows):
+        columns = zip(*rows) if rows else ([] for _ in schema)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def convert(entries):
+        rows = []
+        for e in entries:
+            rows.extend(_rows(e, wanted, apply_sign_scale))
+            if len(rows) >= FACTS_PER_BATCH:
+                yield batch(rows)
+                rows = []
+        yield batch(rows)
+
+    return convert
+
+
+def document_facts(documents: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
+    """Facts of documents that are rows already: archive, entry, pos, inner_pos, extension, body and reject."""
+    convert = fact_converter(apply_sign_scale)
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for values in batch.to_dict("records"):
-                try:
-                    read = _read_document(values["body"])
-                except ET.ParseError as error:
-                    read = {"doc_company": None, "contexts": [], "facts": [], "reject": f"xml: {error}"}
-                rows.append({**{n: values[n] for n in names}, **read})
-            yield pd.DataFrame(rows, columns=schema.names)
+        yield from convert(Entry(**row) for b in batches for row in b.to_pylist())
+
+    return documents.select(*Entry._fields).mapInArrow(run, FACTS)
 
-    return documents.select(*names, F.col("body").cast("binary").alias("body")).mapInPandas(run, schema)
 
+def report_facts(facts: DataFrame) -> DataFrame:
+    """The facts of each report period, with company, value and reject reason.
 
-def located(parsed: DataFrame) -> DataFrame:
-    """Company and period from the file name, else the company from the document; a reason for what has no company."""
+    Company and period come from the file name, the company else from the document. Without a period in the name every
+    period with a number is one: ``opens`` marks the rows that make a record on their own. Rows without a tag carry
+    what holds for the whole record, such as the start of a context with the same end.
+    """
     company = F.coalesce(company_number_from_name(F.col("entry")), F.nullif(F.col("doc_company"), F.lit("")))
-    return parsed.withColumns(
+    rows = facts.withColumns(
         {
             "company_number": company,
             "named_period": period_end_from_name(F.col("entry")),
+            "fact_period": F.try_to_date("period", "yyyy-MM-dd"),
             "reject": F.coalesce("reject", F.when(company.isNull(), "no company number")),
         }
     )
-
-
-def _last_definitions(contexts: str) -> Column:
-    """Contexts without those whose id is defined again later."""
-    rest = F.col(contexts)
-    return F.filter(contexts, lambda c, i: ~F.exists(F.slice(rest, i + 2, F.size(rest) + 1), lambda d: d["id"] == c["id"]))
-
-
-def _value(fact: Column, apply_sign_scale: bool) -> Column:
-    value = F.when(~F.coalesce(fact["is_text"], F.lit(False)), number(fact["raw"]))
-    if apply_sign_scale:
-        factor = F.pow(F.lit(10.0), F.coalesce(fact["scale"].try_cast("int"), F.lit(0)))
-        sign = F.when(fact["sign"] == "-", -1).otherwise(1)
-        value = (value.cast("double") * factor * sign).try_cast("decimal(38,6)")
-    return value
-
-
-def dated_facts(filings: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
-    """One row per filing, report period and accepted fact, after one row with a NULL tag per filing and period.
-
-    The report period is the one in the file name, else every period some number belongs to. A rejected filing gives
-    its NULL-tag row only. Signs and scales of inline facts are ignored unless ``apply_sign_scale`` is set.
-    """
-    ending = F.filter("contexts", lambda c: c["id"].isNotNull() & c["end"].isNotNull())
-    entries = F.transform("_last", lambda c: F.struct(c["id"], F.try_to_date(c["end"], "yyyy-MM-dd")))
-    accepted = F.filter("facts", lambda f: is_wanted(F.lower(local_name(f["tag"]))))
-    facts = F.transform(
-        # Other facts matter only for finding the periods of a filing that names none.
-        F.when(F.col("named_period").isNotNull(), accepted).otherwise(F.col("facts")),
-        lambda f, n: F.struct(
-            n.alias("n"),
-            f["tag"].alias("tag"),
-            F.lower(local_name(f["tag"])).alias("local"),
-            f["raw"].alias("raw"),
-            f["is_text"].alias("is_text"),
-            _value(f, apply_sign_scale).alias("value"),
-            F.when(f["ctx"].isNotNull(), F.try_element_at(F.col("_period_of"), f["ctx"])).alias("period"),
-        ),
-    )
-    numbers = F.filter("_facts", lambda f: f["value"].isNotNull() & f["period"].isNotNull())
-    periods = (
-        F.when(F.col("reject").isNotNull(), F.array(F.lit(None).cast("date")))
-        .when(F.col("named_period").isNotNull(), F.array("named_period"))
-        .otherwise(F.array_distinct(F.transform(numbers, lambda f: f["period"])))
-    )
-    per_period = (
-        filings.withColumn("_ending", ending)
-        .withColumn("_last", _last_definitions("_ending"))
-        .withColumn("_period_of", F.map_from_entries(entries))
-        .withColumn("_facts", facts)
-        .withColumn("period_end", F.explode(periods))
-    )
-    period = F.col("period_end")
-    starts = F.filter(
-        "_ending", lambda c: (F.try_to_date(c["end"], "yyyy-MM-dd") == period) & c["start"].isNotNull()
+    usable = F.col("reject").isNull()
+    named = usable & F.col("named_period").isNotNull()
+    whole_filing = F.col("period").isNull()
+    kept = (
+        (~usable & whole_filing)
+        | (named & (whole_filing | (F.col("fact_period") == F.col("named_period"))))
+        | (usable & F.col("named_period").isNull() & F.col("fact_period").isNotNull())
     )
-    # An inline number that is not a number is no fact at all.
-    mine = F.filter(
-        "_facts",
-        lambda f: (f["period"] == period) & is_wanted(f["local"]) & (f["value"].isNotNull() | ~f["is_text"].eqNullSafe(False)),
+    scaled = F.when(F.col("factor") == 1, number(F.col("raw"))).otherwise(
+        (number(F.col("raw")).cast("double") * F.col("factor")).try_cast("decimal(38,6)")
     )
-    none = F.array(F.lit(None).cast(DATED_FACT))
-    rows = per_period.select(
-        *PLACE,
-        "company_number",
-        "period_end",
-        F.try_to_date(F.get(starts, F.lit(0))["start"], "yyyy-MM-dd").alias("context_start"),
-        F.coalesce(F.size(mine), F.lit(0)).alias("n_facts"),
-        "reject",
-        F.explode(F.coalesce(F.concat(none, mine), none)).alias("_f"),
-    )
-    return rows.select(*[c for c in rows.columns if c != "_f"], "_f.n", "_f.tag", "_f.local", "_f.raw", "_f.value")
+    value = F.when(~F.coalesce("is_text", F.lit(False)), scaled)
+    rows = rows.where(kept).select(
+        *PLACE, "company_number", "reject",
+        F.when(usable, F.coalesce("named_period", "fact_period")).alias("period_end"),
+        F.try_to_date("start", "yyyy-MM-dd").alias("context_start"),
+        (~usable | F.col("named_period").isNotNull()).alias("sure"),
+        "n", "tag", "raw", "is_text", value.alias("value"),
+    )
+    # A number element whose content is no number is no fact.
+    tag = F.when(F.col("value").isNotNull() | ~F.col("is_text").eqNullSafe(False), F.col("tag"))
+    return rows.select(
+        *PLACE, "company_number", "reject", "period_end", "context_start", "n", "raw", "value",
+        (F.col("sure") | F.col("value").isNotNull()).alias("opens"),
+        tag.alias("tag"), F.lower(local_name(tag)).alias("local"),
+    )
 
 
-def resolve_tags(facts: DataFrame, keys: list[str], dictionary: DataFrame | None = None) -> DataFrame:
-    """Best fact of every column per group: ``(keys, column, raw, value)``.
+def resolve_tags(
+    facts: DataFrame, keys: list[str], dictionary: DataFrame | None = None, carry: dict[str, str] | None = None
+) -> DataFrame:
+    """Best fact of every column per group: ``(keys, column, raw, value, facts)``.
 
     Candidate tags go by priority; among equal ones the tag seen first counts, with the last value it was given. Number
     columns take numbers only, text columns take any text. ``facts`` has the keys, n, tag, local, raw and value. Tags
-    outside the dictionary are dropped; a NULL tag gives a row with NULL column, so that its group survives. The
-    dictionary is a constant, so broadcasting it is safe.
+    outside the dictionary are dropped; a NULL tag gives a row with NULL column, so that its group survives. ``carry``
+    names further columns and how to sum them up (min or max). The dictionary is a constant, so broadcasting it is safe.
     """
     dictionary = dictionary if dictionary is not None else tag_dictionary(facts.sparkSession)
     dictionary = F.broadcast(dictionary.withColumnRenamed("tag", "local"))
+    carried = [F.expr(f"{how}({c})").alias(c) for c, how in (carry or {}).items()]
     per_tag = facts.groupBy(*keys, "local", "tag", F.col("value").isNotNull().alias("is_number")).agg(
-        F.min("n").alias("first_n"), F.max_by(F.struct("raw", "value"), "n").alias("last")
-    )
+        F.min("n").alias("first_n"), F.max_by(F.struct("raw", "value"), "n").alias("last"),
+        F.count("tag").alias("facts"), *carried,
+    )
     ranked = per_tag.join(dictionary, "local", "left").where("tag is null or not numeric or is_number")
     best = F.min_by("last", F.struct(~F.col("is_number"), "priority", "first_n"))
-    return ranked.groupBy(*keys, "column").agg(best.alias("best")).select(*keys, "column", "best.raw", "best.value")
+    found = ranked.groupBy(*keys, "column").agg(best.alias("best"), F.sum("facts").alias("facts"), *carried)
+    return found.select(*keys, "column", "best.raw", "best.value", "facts", *(carry or {}))
 
 
 def wide_records(facts: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -271,44 +259,43 @@ def wide_records(facts: DataFrame, dictionary: DataFrame | None = None) -> DataF
 
     One shuffle, on the filing: all groupings that follow contain its keys.
     """
-    keys = [*PLACE, "company_number", "period_end", "context_start", "n_facts", "reject"]
-    best = resolve_tags(facts.repartition(*PLACE, "period_end"), keys, dictionary)
+    keys = [*PLACE, "company_number", "period_end", "reject"]
+    carry = {"opens": "max", "context_start": "max"}
+    best = resolve_tags(facts.repartition(*PLACE, "period_end"), keys, dictionary, carry)
     entry = F.when(F.col("column").isNotNull(), F.struct("column", F.struct("raw", "value")))
-    rows = best.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
-
-    def raw(c: str) -> Column:
-        return F.try_element_at(F.col("found"), F.lit(c))["raw"]
+    rows = best.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("found"),
+        F.sum("facts").cast("int").alias("n_facts"),
+        F.max("opens").alias("opens"),
+        F.max("context_start").alias("context_start"),
+    )
+    return (
+        rows.where("opens")
+        .withColumn("start_text", F.expr("try_element_at(found, 'period_start').raw"))
+        .withColumn("period_start", F.coalesce(filing_date(F.col("start_text")), F.col("context_start")))
+        .selectExpr(
+            *PLACE, "company_number", "period_end", "n_facts", "reject", "period_start",
+            *[f"try_cast(try_element_at(found, '{c}').value AS decimal(15,2)) AS {c}" for c in MONEY_TAGS],
+            *[f"try_cast(try_element_at(found, '{c}').value AS int) AS {c}" for c in COUNT_TAGS],
+            *[f"try_element_at(found, '{c}').raw AS {c}" for c in TEXT_TAGS if c != "period_start"],
+            f"'{SOURCE}' AS source", "'{}' AS raw_data",
+        )
+    )
 
-    def value(c: str) -> Column:
-        return F.try_element_at(F.col("found"), F.lit(c))["value"]
 
-    return rows.select(
-        *PLACE, "company_number", "period_end", "n_facts", "reject",
-        F.coalesce(filing_date(raw("period_start")), F.col("context_start")).alias("period_start"),
-        *[value(c).try_cast("decimal(15,2)").alias(c) for c in MONEY_TAGS],
-        *[value(c).try_cast("int").alias(c) for c in COUNT_TAGS],
-        *[raw(c).alias(c) for c in TEXT_TAGS if c != "period_start"],
-        F.lit(SOURCE).alias("source"),
-        F.lit("{}").alias("raw_data"),
-    )
+def records(facts: DataFrame) -> DataFrame:
+    """Table rows of the facts; rows with a ``reject`` reason stand for documents that gave no record."""
+    wide = wide_records(report_facts(facts))
+    extra = [wide.schema[c] for c in (*PLACE, "n_facts", "reject")]
+    rows = conform(wide, T.StructType([*FINANCIAL_DATA.fields, *extra]))
+    return rows.withColumn("data_hash", row_hash(rows, FINANCIAL_HASH))
 
 
 def parse_documents(documents: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
-    """Records of documents with archive, entry, pos, inner_pos, extension, body and reject.
-
-    Rows with a ``reject`` reason stand for documents that gave no record.
-    """
-    readable = documents.where("reject is null")
-    inline = parse_ixbrl(readable.where(F.col("extension").isin(IXBRL_EXTENSIONS)))
-    plain = parse_xbrl(readable.where(F.col("extension").isin(XBRL_EXTENSIONS)))
-    unread = documents.where("reject is not null").select(*PLACE, "reject")
-    filings = located(inline.unionByName(plain).unionByName(unread, allowMissingColumns=True))
-    records = wide_records(dated_facts(filings, apply_sign_scale))
-    extra = [records.schema[c] for c in (*PLACE, "n_facts", "reject")]
-    rows = conform(records, T.StructType([*FINANCIAL_DATA.fields, *extra]))
-    return rows.withColumn("data_hash", row_hash(rows, FINANCIAL_HASH))
+    return records(document_facts(documents, apply_sign_scale))
 
 
 def read_financials(paths: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
     """Records and rejects of the accounts archives in column ``path``."""
-    return parse_documents(read_bodies(paths, XBRL_EXTENSIONS + IXBRL_EXTENSIONS), apply_sign_scale)
+    extensions = XBRL_EXTENSIONS + IXBRL_EXTENSIONS
+    return records(read_entries(paths, extensions, fact_converter(apply_sign_scale), FACTS))

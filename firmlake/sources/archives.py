@@ -12,6 +12,8 @@ import io
 import struct
 import zipfile
 import zlib
+from collections import namedtuple
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,11 +28,10 @@ ENTRIES = (
     "archive string, entry string, pos long, offset long, packed long, unpacked long, method int, extension string, "
     "reject string"
 )
-BODIES = "archive string, entry string, pos long, inner_pos long, extension string, body binary, reject string"
+Entry = namedtuple("Entry", "archive entry pos inner_pos extension body reject")
 LINES = "archive string, entry string, line_no long, line string, reject string"
 LINES_PER_BATCH = 10_000
 ROWS_PER_LISTING = 10_000
-BODY_BYTES_PER_BATCH = 32 << 20
 
 
 def open_file(path: str):
@@ -95,43 +96,41 @@ def _inflate(f, offset: int, packed: int, unpacked: int, method: int) -> bytes:
     return data
 
 
-def read_bodies(paths: DataFrame, extensions: list[str]) -> DataFrame:
-    """Whole entries with one of the extensions; archives inside an archive are opened one level deep."""
+def read_entries(paths: DataFrame, extensions: list[str], convert: Callable, ddl: str) -> DataFrame:
+    """Rows that ``convert`` makes of the entries with one of the extensions.
+
+    ``convert`` takes an iterator of Entry and yields Arrow batches of the schema ``ddl``; it runs where the entry is
+    unpacked, so bodies never leave the task. Archives inside an archive are opened one level deep. Entries that cannot
+    be read arrive with a reject reason and without a body.
+    """
     wanted = list_entries(paths).where(F.col("reject").isNotNull() | F.col("extension").isin(*extensions, "zip"))
     spread = wanted.repartitionByRange("archive", "pos")
 
-    def entry_rows(f, e):
-        data = _inflate(f, int(e.offset), int(e.packed), int(e.unpacked), int(e.method))
-        if e.extension != "zip":
-            yield (e.archive, e.entry, e.pos, 0, e.extension, data, None)
+    def unpack(f, e):
+        data = _inflate(f, e["offset"], e["packed"], e["unpacked"], e["method"])
+        if e["extension"] != "zip":
+            yield Entry(e["archive"], e["entry"], e["pos"], 0, e["extension"], data, None)
             return
         with zipfile.ZipFile(io.BytesIO(data)) as inner:
             for inner_pos, name in enumerate(inner.namelist()):
                 if extension(name) in extensions:
-                    yield (e.archive, name, e.pos, inner_pos, extension(name), inner.read(name), None)
+                    yield Entry(e["archive"], name, e["pos"], inner_pos, extension(name), inner.read(name), None)
 
-    def run(batches):
+    def entries(batches):
         handle, opened = None, None
         for batch in batches:
-            rows, size = [], 0
-            for e in batch.itertuples(index=False):
-                if e.reject is not None:
-                    rows.append((e.archive, None, None, None, None, None, e.reject))
+            for e in batch.to_pylist():
+                if e["reject"] is not None:
+                    yield Entry(e["archive"], None, None, None, None, None, e["reject"])
                     continue
-                if opened != e.archive:
-                    handle, opened = open_file(e.archive), e.archive
                 try:
-                    for row in entry_rows(handle, e):
-                        rows.append(row)
-                        size += len(row[5])
-                        if size >= BODY_BYTES_PER_BATCH:
-                            yield _frame(rows, BODIES)
-                            rows, size = [], 0
+                    if opened != e["archive"]:
+                        handle, opened = open_file(e["archive"]), e["archive"]
+                    yield from unpack(handle, e)
                 except Exception as error:
-                    rows.append((e.archive, e.entry, e.pos, 0, e.extension, None, f"entry: {error}"))
-            yield _frame(rows, BODIES)
+                    yield Entry(e["archive"], e["entry"], e["pos"], 0, e["extension"], None, f"entry: {error}")
 
-    return spread.mapInPandas(run, BODIES)
+    return spread.mapInArrow(lambda batches: convert(entries(batches)), ddl)
 
 
 def _first_entry(z: zipfile.ZipFile, extensions: tuple[str, ...], any_entry: bool) -> str | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.schemas import COUNT_TAGS, MONEY_TAGS, TAG_DICTIONARY
@@ -41,8 +41,7 @@ def read_taxonomies(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
-def is_wanted(local: Column) -> Column:
-    """True for a lower-case local tag name that some column accepts."""
-    names = {t.lower().replace("-", "").replace("_", "") for tags in TAG_DICTIONARY.values() for t in tags}
-    names |= {t.lower() for tags in TAG_DICTIONARY.values() for t in tags}
-    return local.isin(sorted(names))
+def wanted_names(dictionary: dict[str, list[str]] | None = None) -> frozenset[str]:
+    """Lower-cased local tag names that some column accepts."""
+    tags = {t.lower() for tags in (dictionary or TAG_DICTIONARY).values() for t in tags}
+    return frozenset(tags | {t.replace("-", "").replace("_", "") for t in tags})

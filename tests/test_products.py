@@ -186,12 +186,10 @@ def test_accounts_archive(spark, folder):
     assert [r["company_number"] for r in accepted(ACCOUNTS, parsed, companies).collect()] == ["09652609"]
 
 
-def test_many_entries_are_shared_by_tasks(spark, folder):
-    from firmlake.sources.archives import read_bodies
-
+def test_every_entry_of_a_large_archive(spark, folder):
     z = make_zip(os.path.join(folder, "many.zip"), **{f"Prod_1_{i:08d}_20180331.html": INLINE for i in range(400)})
-    bodies = read_bodies(paths(spark, z), ["html"])
-    assert bodies.where("reject is null").select("entry").distinct().count() == 400
+    parsed = ACCOUNTS.read(paths(spark, z))
+    assert parsed.where("turnover = 1234").select("company_number").distinct().count() == 400
 
 
 def test_tag_sources(spark, folder):
