@@ -162,7 +162,7 @@ def display_money(spark, folder):
 
 def psc_lines(spark, folder):
     """orders as JSON lines, some unreadable or without a company."""
-    o = star.read(spark, folder, "orders").repartition("o_orderkey")
+    o = star.spread(star.read(spark, folder, "orders"), "o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     record = F.to_json(
         F.struct(

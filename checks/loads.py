@@ -256,7 +256,7 @@ def psc_archives(spark, folder):
 
 def filing_documents(spark, folder):
     """One inline or plain XBRL filing per order, in several layouts."""
-    o = star.read(spark, folder, "orders").repartition("o_orderkey")
+    o = star.spread(star.read(spark, folder, "orders"), "o_orderkey")
     day = star.day("o_orderdate")
     end, start = F.date_format(day, "yyyy-MM-dd"), F.date_format(F.date_sub(day, 364), "yyyy-MM-dd")
     before = F.date_format(F.date_sub(day, 365), "yyyy-MM-dd")
@@ -324,7 +324,7 @@ def filings_roundtrip(spark, folder):
 @query("accounts_archives", FILING_SQL)
 def accounts_archives(spark, folder):
     paths = as_paths(
-        write_filings(filing_documents(spark, folder).repartition(4), work_path(spark, "accounts-zips"))
+        write_filings(filing_documents(spark, folder), work_path(spark, "accounts-zips"))
     )
     return ACCOUNTS.read(paths).where("reject is null").select(*FILING_COLUMNS)
 

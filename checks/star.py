@@ -22,6 +22,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has: for small rows that become large documents."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def number(key: str) -> Column:
     return F.expr(f"lpad(CAST({key} AS string), 8, '0')")
 

@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from firmlake.functions.dates import filing_date
-from firmlake.functions.filing import company_number_from_name, local_name, number, period_end_from_name
+from firmlake.functions.filing import company_number_from_name, number, period_end_from_name
 from firmlake.functions.hashing import row_hash
 from firmlake.schemas import COUNT_TAGS, FINANCIAL_DATA, FINANCIAL_HASH, MONEY_TAGS, TEXT_TAGS, conform
-from firmlake.sources.archives import Entry, read_entries
+from firmlake.sources.archives import list_entries, read_entries
 from firmlake.sources.tags import tag_dictionary, wanted_names
 
 XBRL_EXTENSIONS = ["xml", "xbrl"]
@@ -29,8 +29,8 @@ SOURCE = "bulk_xbrl"
 
 PLACE = ["archive", "entry", "pos", "inner_pos"]
 FACTS = (
-    "archive string, entry string, pos long, inner_pos long, doc_company string, reject string, n int, tag string, "
-    "period string, start string, raw string, is_text boolean, factor double"
+    "archive string, entry string, pos long, inner_pos long, company_number string, reject string, sure boolean, n int, "
+    "tag string, local string, period string, start string, raw string, is_text boolean, factor double"
 )
 FACTS_PER_BATCH = 20_000
 
@@ -124,35 +124,44 @@ def _is_number(text: str) -> bool:
         return False
 
 
-def _rows(e: Entry, wanted: frozenset[str], apply_sign_scale: bool):
-    """Fact rows of one entry: one without a tag, one per accepted fact, one per period of the other numbers."""
-    place = (e.archive, e.entry, e.pos, e.inner_pos)
-    if e.reject is not None:
-        yield (*place, None, e.reject, 0, None, None, None, None, None, 1.0)
-        return
-    try:
-        read = _read_xbrl(e.body) if e.extension in XBRL_EXTENSIONS else _read_inline(e.body, apply_sign_scale)
-    except ET.ParseError as error:
-        yield (*place, None, f"xml: {error}", 0, None, None, None, None, None, 1.0)
+def _rows(e: dict, body: bytes | None, wanted: frozenset[str], apply_sign_scale: bool):
+    """Fact rows of one document, limited to its report period when its name tells one.
+
+    Rows without a tag stand for the filing, for a period's start, and for a period of numbers no column accepts.
+    """
+    place = (e["archive"], e["entry"], e["pos"], e["inner_pos"])
+    company, named, reject = e["name_company"], e["named_period"], e["reject"]
+    named = named.isoformat() if named else None
+    contexts, facts = {}, []
+    if reject is None:
+        try:
+            is_xbrl = e["extension"] in XBRL_EXTENSIONS
+            found, contexts, facts = _read_xbrl(body) if is_xbrl else _read_inline(body, apply_sign_scale)
+            company = company or found
+            reject = None if company else "no company number"
+        except ET.ParseError as error:
+            reject = f"xml: {error}"
+    if reject is not None:
+        yield (*place, company, reject, True, 0, None, None, None, None, None, None, 1.0)
         return
-    company, contexts, facts = read
-    starts = {}
+    head = (*place, company, None, named is not None)
+    if named:
+        yield (*head, 0, None, None, named, None, None, None, 1.0)
+    starts, others = set(), set()
     for end, start in contexts.values():
-        if start:
-            starts.setdefault(end, start.strip())
-    yield (*place, company, None, 0, None, None, None, None, None, 1.0)
-    for end, start in starts.items():
-        yield (*place, company, None, 0, None, end, start, None, None, 1.0)
-    others = set()
+        if start and end not in starts and end == (named or end):
+            starts.add(end)
+            yield (*head, 0, None, None, end, start.strip(), None, None, 1.0)
     for n, (tag, context, raw, is_text, factor) in enumerate(facts, 1):
         end = contexts.get(context, (None, None))[0]
-        if end is None:
+        if end is None or end != (named or end):
             continue
-        if _local(tag) in wanted:
-            yield (*place, company, None, n, tag, end, None, raw, is_text, factor)
-        elif not is_text and end not in others and _is_number(raw):
+        local = _local(tag)
+        if local in wanted:
+            yield (*head, n, tag, local, end, None, raw, is_text, factor)
+        elif not named and not is_text and end not in others and _is_number(raw):
             others.add(end)
-            yield (*place, company, None, n, None, end, None, raw, False, 1.0)
+            yield (*head, n, None, None, end, None, raw, False, 1.0)
 
 
 def fact_converter(apply_sign_scale: bool = False):
@@ -165,10 +174,10 @@ def fact_converter(apply_sign_scale: bool = False):
         arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    def convert(entries):
+    def convert(documents):
         rows = []
-        for e in entries:
-            rows.extend(_rows(e, wanted, apply_sign_scale))
+        for e, body in documents:
+            rows.extend(_rows(e, body, wanted, apply_sign_scale))
             if len(rows) >= FACTS_PER_BATCH:
                 yield batch(rows)
                 rows = []
@@ -177,57 +186,45 @@ def fact_converter(apply_sign_scale: bool = False):
     return convert
 
 
+def with_name_facts(entries: DataFrame) -> DataFrame:
+    """Adds what the file name tells: the company number and the report period."""
+    return entries.withColumns(
+        {
+            "name_company": company_number_from_name(F.col("entry")),
+            "named_period": period_end_from_name(F.col("entry")),
+        }
+    )
+
+
 def document_facts(documents: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
     """Facts of documents that are rows already: archive, entry, pos, inner_pos, extension, body and reject."""
     convert = fact_converter(apply_sign_scale)
-
-    def run(batches):
-        yield from convert(Entry(**row) for b in batches for row in b.to_pylist())
-
-    return documents.select(*Entry._fields).mapInArrow(run, FACTS)
+    named = with_name_facts(documents.select(*PLACE, "extension", "body", "reject"))
+    return named.mapInArrow(lambda batches: convert((e, e["body"]) for b in batches for e in b.to_pylist()), FACTS)
 
 
 def report_facts(facts: DataFrame) -> DataFrame:
-    """The facts of each report period, with company, value and reject reason.
+    """Facts with their value and report period; ``opens`` marks rows that make a record on their own.
 
-    Company and period come from the file name, the company else from the document. Without a period in the name every
-    period with a number is one: ``opens`` marks the rows that make a record on their own. Rows without a tag carry
-    what holds for the whole record, such as the start of a context with the same end.
+    A filing whose name tells its period gives that one record in any case, another filing one record for every period
+    with a number.
     """
-    company = F.coalesce(company_number_from_name(F.col("entry")), F.nullif(F.col("doc_company"), F.lit("")))
+    scaled = F.when(F.col("factor") == 1, number(F.col("raw"))).otherwise(
+        (number(F.col("raw")).cast("double") * F.col("factor")).try_cast("decimal(38,6)")
+    )
     rows = facts.withColumns(
         {
-            "company_number": company,
-            "named_period": period_end_from_name(F.col("entry")),
-            "fact_period": F.try_to_date("period", "yyyy-MM-dd"),
-            "reject": F.coalesce("reject", F.when(company.isNull(), "no company number")),
+            "period_end": F.try_to_date("period", "yyyy-MM-dd"),
+            "context_start": F.try_to_date("start", "yyyy-MM-dd"),
+            "value": F.when(~F.coalesce("is_text", F.lit(False)), scaled),
         }
     )
-    usable = F.col("reject").isNull()
-    named = usable & F.col("named_period").isNotNull()
-    whole_filing = F.col("period").isNull()
-    kept = (
-        (~usable & whole_filing)
-        | (named & (whole_filing | (F.col("fact_period") == F.col("named_period"))))
-        | (usable & F.col("named_period").isNull() & F.col("fact_period").isNotNull())
-    )
-    scaled = F.when(F.col("factor") == 1, number(F.col("raw"))).otherwise(
-        (number(F.col("raw")).cast("double") * F.col("factor")).try_cast("decimal(38,6)")
-    )
-    value = F.when(~F.coalesce("is_text", F.lit(False)), scaled)
-    rows = rows.where(kept).select(
-        *PLACE, "company_number", "reject",
-        F.when(usable, F.coalesce("named_period", "fact_period")).alias("period_end"),
-        F.try_to_date("start", "yyyy-MM-dd").alias("context_start"),
-        (~usable | F.col("named_period").isNotNull()).alias("sure"),
-        "n", "tag", "raw", "is_text", value.alias("value"),
-    )
     # A number element whose content is no number is no fact.
-    tag = F.when(F.col("value").isNotNull() | ~F.col("is_text").eqNullSafe(False), F.col("tag"))
-    return rows.select(
+    is_fact = F.col("value").isNotNull() | ~F.col("is_text").eqNullSafe(False)
+    return rows.where("reject is not null or period_end is not null").select(
         *PLACE, "company_number", "reject", "period_end", "context_start", "n", "raw", "value",
         (F.col("sure") | F.col("value").isNotNull()).alias("opens"),
-        tag.alias("tag"), F.lower(local_name(tag)).alias("local"),
+        F.when(is_fact, F.col("tag")).alias("tag"), F.when(is_fact, F.col("local")).alias("local"),
     )
 
 
@@ -297,5 +294,5 @@ def parse_documents(documents: DataFrame, apply_sign_scale: bool = False) -> Dat
 
 def read_financials(paths: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
     """Records and rejects of the accounts archives in column ``path``."""
-    extensions = XBRL_EXTENSIONS + IXBRL_EXTENSIONS
-    return records(read_entries(paths, extensions, fact_converter(apply_sign_scale), FACTS))
+    listing = with_name_facts(list_entries(paths, XBRL_EXTENSIONS + IXBRL_EXTENSIONS))
+    return records(read_entries(listing, fact_converter(apply_sign_scale), FACTS))

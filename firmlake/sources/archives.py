@@ -12,7 +12,6 @@ import io
 import struct
 import zipfile
 import zlib
-from collections import namedtuple
 from collections.abc import Callable
 
 import numpy as np
@@ -25,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENTRIES = (
-    "archive string, entry string, pos long, offset long, packed long, unpacked long, method int, extension string, "
-    "reject string"
+    "archive string, entry string, pos long, inner_pos long, offset long, packed long, unpacked long, method int, "
+    "nested boolean, extension string, reject string"
 )
-Entry = namedtuple("Entry", "archive entry pos inner_pos extension body reject")
 LINES = "archive string, entry string, line_no long, line string, reject string"
 LINES_PER_BATCH = 10_000
 ROWS_PER_LISTING = 10_000
@@ -48,33 +46,52 @@ def extension(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def one_task_per_archive(paths: DataFrame) -> DataFrame:
-    """Spread the paths; archives are few and heavy, so neighbours in the listing must not share a task."""
-    return paths.select("path").repartition("path")
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread evenly in key order over as many tasks as a shuffle has.
+
+    The count is given outright: rows that stand for whole files are tiny, and adaptive execution would otherwise merge
+    them all into one task.
+    """
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def list_entries(paths: DataFrame) -> DataFrame:
-    """Entries of the archives in column ``path``; an archive that cannot be read gives one row with a reason."""
+def list_entries(paths: DataFrame, extensions: list[str]) -> DataFrame:
+    """Entries with one of the extensions in the archives of column ``path``, also in archives one level inside.
+
+    Only directories are read. What cannot be opened gives one row with a reject reason.
+    """
+
+    def entries(path):
+        with open_file(path) as f, zipfile.ZipFile(f) as z:
+            for pos, e in enumerate(z.infolist()):
+                place = (e.header_offset, e.compress_size, e.file_size, e.compress_type)
+                kind = extension(e.filename)
+                if kind in extensions:
+                    yield (path, e.filename, pos, 0, *place, False, kind, None)
+                elif kind == "zip":
+                    try:
+                        with zipfile.ZipFile(io.BytesIO(z.read(e))) as inner:
+                            for inner_pos, name in enumerate(inner.namelist()):
+                                if extension(name) in extensions:
+                                    yield (path, name, pos, inner_pos, *place, True, extension(name), None)
+                    except Exception as error:
+                        yield (path, e.filename, pos, 0, *place, True, kind, f"entry: {error}")
 
     def run(batches):
         for batch in batches:
             for path in batch["path"]:
                 rows = []
                 try:
-                    with open_file(path) as f, zipfile.ZipFile(f) as z:
-                        for pos, e in enumerate(z.infolist()):
-                            if e.is_dir():
-                                continue
-                            rows.append((path, e.filename, pos, e.header_offset, e.compress_size, e.file_size,
-                                         e.compress_type, extension(e.filename), None))
-                            if len(rows) >= ROWS_PER_LISTING:
-                                yield _frame(rows, ENTRIES)
-                                rows = []
+                    for row in entries(path):
+                        rows.append(row)
+                        if len(rows) >= ROWS_PER_LISTING:
+                            yield _frame(rows, ENTRIES)
+                            rows = []
                 except Exception as error:
-                    rows.append((path, None, None, None, None, None, None, None, f"archive: {error}"))
+                    rows.append((path, *[None] * 9, f"archive: {error}"))
                 yield _frame(rows, ENTRIES)
 
-    return one_task_per_archive(paths).mapInPandas(run, ENTRIES)
+    return spread(paths.select("path"), "path").mapInPandas(run, ENTRIES)
 
 
 def _frame(rows: list[tuple], ddl: str) -> pd.DataFrame:
@@ -96,41 +113,33 @@ def _inflate(f, offset: int, packed: int, unpacked: int, method: int) -> bytes:
     return data
 
 
-def read_entries(paths: DataFrame, extensions: list[str], convert: Callable, ddl: str) -> DataFrame:
-    """Rows that ``convert`` makes of the entries with one of the extensions.
+def read_entries(listing: DataFrame, convert: Callable, ddl: str) -> DataFrame:
+    """Rows that ``convert`` makes of listed entries.
 
-    ``convert`` takes an iterator of Entry and yields Arrow batches of the schema ``ddl``; it runs where the entry is
-    unpacked, so bodies never leave the task. Archives inside an archive are opened one level deep. Entries that cannot
-    be read arrive with a reject reason and without a body.
+    ``convert`` takes an iterator of (listing row, body) and yields Arrow batches of the schema ``ddl``. It runs where
+    the entry is unpacked, so bodies never leave the task. A row with a reject reason comes without a body.
     """
-    wanted = list_entries(paths).where(F.col("reject").isNotNull() | F.col("extension").isin(*extensions, "zip"))
-    spread = wanted.repartitionByRange("archive", "pos")
-
-    def unpack(f, e):
-        data = _inflate(f, e["offset"], e["packed"], e["unpacked"], e["method"])
-        if e["extension"] != "zip":
-            yield Entry(e["archive"], e["entry"], e["pos"], 0, e["extension"], data, None)
-            return
-        with zipfile.ZipFile(io.BytesIO(data)) as inner:
-            for inner_pos, name in enumerate(inner.namelist()):
-                if extension(name) in extensions:
-                    yield Entry(e["archive"], name, e["pos"], inner_pos, extension(name), inner.read(name), None)
-
-    def entries(batches):
-        handle, opened = None, None
+
+    def bodies(batches):
+        handle, opened, inner, inner_at = None, None, None, None
         for batch in batches:
             for e in batch.to_pylist():
-                if e["reject"] is not None:
-                    yield Entry(e["archive"], None, None, None, None, None, e["reject"])
-                    continue
+                body = None
                 try:
-                    if opened != e["archive"]:
-                        handle, opened = open_file(e["archive"]), e["archive"]
-                    yield from unpack(handle, e)
+                    if e["reject"] is None:
+                        if opened != e["archive"]:
+                            handle, opened, inner_at = open_file(e["archive"]), e["archive"], None
+                        if not e["nested"] or inner_at != e["offset"]:
+                            body = _inflate(handle, e["offset"], e["packed"], e["unpacked"], e["method"])
+                        if e["nested"]:
+                            if inner_at != e["offset"]:
+                                inner, inner_at = zipfile.ZipFile(io.BytesIO(body)), e["offset"]
+                            body = inner.read(inner.infolist()[e["inner_pos"]])
                 except Exception as error:
-                    yield Entry(e["archive"], e["entry"], e["pos"], 0, e["extension"], None, f"entry: {error}")
+                    e["reject"], body = f"entry: {error}", None
+                yield e, body
 
-    return spread.mapInArrow(lambda batches: convert(entries(batches)), ddl)
+    return spread(listing, "archive", "pos", "inner_pos").mapInArrow(lambda b: convert(bodies(b)), ddl)
 
 
 def _first_entry(z: zipfile.ZipFile, extensions: tuple[str, ...], any_entry: bool) -> str | None:
@@ -171,7 +180,7 @@ def read_lines(paths: DataFrame, extensions: tuple[str, ...] = (".json", ".txt")
                 except Exception as error:
                     yield batch(path, None, 0, [None], f"archive: {error}")
 
-    return one_task_per_archive(paths).mapInArrow(run, LINES)
+    return spread(paths.select("path"), "path").mapInArrow(run, LINES)
 
 
 def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -253,7 +262,7 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
                 values[target].append(fields.get(source) or None)
         return batch(path, name, row_nos, reject, {t: pa.array(v, pa.string()) for t, v in values.items()})
 
-    return one_task_per_archive(paths).mapInArrow(run, ddl)
+    return spread(paths.select("path"), "path").mapInArrow(run, ddl)
 
 
 def _write(path: str, entries) -> pd.DataFrame:
