@@ -226,11 +226,11 @@ TAG_SQL = """WITH facts AS (
 dict(col, local, priority, is_num) AS (VALUES ('turnover', 'turnoverrevenue', 0, TRUE), ('turnover', 'turnovergrossoperatingrevenue', 1, TRUE),
   ('net_assets_liabilities', 'netassetsliabilities', 0, TRUE), ('report_title', 'reporttitle', 0, FALSE),
   ('current_liabilities', 'currentliabilities', 0, TRUE), ('current_liabilities', 'accruedliabilities', 1, TRUE)),
-per_tag AS (SELECT filing, tag, lower(split_part(tag, ':', 2)) AS local, value IS NOT NULL AS is_number, MIN(n) AS first_n,
+per_tag AS (SELECT filing, tag, lower(split_part(tag, ':', 2)) AS local, value IS NOT NULL AS is_number, MIN(n) AS first_n, COUNT(*) AS facts,
   arg_max(raw, n) AS raw, max_by(CAST(value AS VARCHAR), CASE WHEN value IS NOT NULL THEN n END) AS value FROM facts GROUP BY ALL),
-ranked AS (SELECT filing, col, raw, value, row_number() OVER (PARTITION BY filing, col ORDER BY CASE WHEN is_number THEN 0 ELSE 1 END, priority, first_n) AS rn
+ranked AS (SELECT filing, col, raw, value, CAST(SUM(facts) OVER (PARTITION BY filing, col) AS BIGINT) AS facts, row_number() OVER (PARTITION BY filing, col ORDER BY CASE WHEN is_number THEN 0 ELSE 1 END, priority, first_n) AS rn
   FROM per_tag JOIN dict USING (local) WHERE NOT is_num OR is_number)
-SELECT filing, col AS "column", raw, CAST(value AS DOUBLE) AS value FROM ranked WHERE rn = 1"""
+SELECT filing, col AS "column", raw, CAST(value AS DOUBLE) AS value, facts FROM ranked WHERE rn = 1"""
 
 
 @query("tag_resolution", TAG_SQL)

@@ -82,9 +82,10 @@ def changes(
 ) -> DataFrame:
     """The source's rows as they would be stored, with ``action`` insert, update or skip.
 
-    Only the key, the hash and the columns that survive an update are read from the target, so the cost follows the
-    load and not the width of the table. ``null_safe_keys=False`` inserts rows with a NULL key part every time, as a
-    plain unique constraint would.
+    Only the key, the hash and the columns that survive an update are read from the target, and the target is first
+    cut down to the source's keys: for a load below the broadcast threshold it is scanned but not shuffled. The source
+    is read twice for that, so give a table or a settled frame when it is costly. ``null_safe_keys=False`` inserts rows
+    with a NULL key part every time, as a plain unique constraint would.
     """
     stamps, kept = stamps or {}, kept or []
     payload = {c for c in source.columns if c not in keys and c not in kept and c not in (hash_col, changed_flag)}
@@ -92,6 +93,7 @@ def changes(
     slim = target.select(*[c for c in target.columns if c not in payload])
     if not null_safe_keys:
         slim = slim.where(~_any_null(keys))
+    slim = slim.alias("o").join(source.select(*keys).alias("n"), _match(keys), "left_semi")
     source = source.withColumns(stamps)
     values = []
     for f in target.schema:

@@ -8,8 +8,9 @@ micro-batch writes the same folders again and reads the table as it was before,
 from __future__ import annotations
 
 import datetime as dt
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -57,21 +58,36 @@ def load_files(
     }
     log_batch(spark, tables.ingestion_log, state)
     try:
-        parsed = settle(parse(product, files), f"parsed-{product.name}")
+        seen = Observation()
+        read = parse(product, files).observe(
+            seen, F.count("*").alias("rows"), F.count_if(F.col("reject").isNotNull()).alias("rejects")
+        )
+        parsed = settle(read, f"parsed-{product.name}")
         bad = rejects(parsed)
         bad.withColumn("product", F.lit(product.name)).write.mode("overwrite").parquet(
             f"{tables.rejects}/load-{batch_id}"
         )
         companies = tables.companies.read() if product.needs_company else None
-        rows = accepted(product, parsed, companies)
+        rows = settle(accepted(product, parsed, companies), f"accepted-{product.name}")
         stored = table.read(before=table.version_for(batch_id))
         stamp = F.lit(started).cast("timestamp_ntz")
         changed = load_changes(product, stored, rows, batch_id, stamp)
         table.write_changes(changed.where("action in ('insert', 'update')"), batch_id)
         failed = bad.where("entry is null").select("archive").distinct().count()
+        written = table.read_changes(batch_id).agg(
+            F.count("*").alias("affected"), F.count_if("change_detected").alias("updated")
+        ).first()
+        counts = {
+            **seen.get,
+            "inserted": written["affected"] - written["updated"],
+            "updated": written["updated"],
+            # Unchanged rows, duplicates within the load and orphans.
+            "skipped": seen.get["rows"] - seen.get["rejects"] - written["affected"],
+        }
         state |= {
             "status": WITH_ERRORS if failed else COMPLETED,
-            "companies_count": table.read_changes(batch_id).count(),
+            "companies_count": written["affected"],
+            "metadata": json.dumps(counts),
             "files_completed": state["files_total"] - failed,
             "completed_at": _now(),
             "error_message": f"{failed} files could not be read" if failed else None,

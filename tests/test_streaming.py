@@ -1,9 +1,14 @@
+import hashlib
+import json
 import os
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
 from firmlake.plans.products import ACCOUNTS, COMPANY, PSC
 from firmlake.plans.promotion import Tables
 from firmlake.sources.logs import current_batches, ingestion_log
-from firmlake.streaming.ingest import ingest_available, load_manifest, pause, watch
+from firmlake.streaming.ingest import ingest_available, load_files, load_manifest, pause, watch
 from tests.test_products import INLINE, PSC_LINES, make_zip
 
 
@@ -28,6 +33,7 @@ def test_incremental_files(spark, folder):
     assert state(t) == first
     log = current_batches(ingestion_log(spark, t.ingestion_log)).collect()
     assert [(r["status"], r["files_total"], r["files_completed"], r["companies_count"]) for r in log] == [("completed_with_errors", 2, 1, 2)]
+    assert json.loads(log[0]["metadata"]) == {"rows": 3, "rejects": 1, "inserted": 2, "updated": 0, "skipped": 0}
     rejected = spark.read.parquet(f"{t.rejects}/load-company_checkpoint_000000000").collect()
     assert len(rejected) == 1 and rejected[0]["archive"].endswith("b.zip")
 
@@ -72,6 +78,17 @@ def test_pause_then_resume(spark, folder):
     assert {r["company_name"] for r in t.companies.read().collect()} == {"C0", "C1", "C2"}
 
 
+def test_custom_product(spark, folder):
+    """A product with its own transform and hash fields."""
+    c = companies_zip(os.path.join(folder, "c.zip"), ("00000001", "one", "Active"))
+    paths = spark.createDataFrame([(c,)], "path string")
+    upper = replace(COMPANY, transform=lambda df: df.withColumn("company_name", F.upper("company_name")), hash_fields=["company_name"])
+    t = Tables.below(spark, os.path.join(folder, "tables"))
+    load_files(spark, t, upper, paths, "b1")
+    row = t.companies.read().first()
+    assert (row["company_name"], row["data_hash"]) == ("ONE", hashlib.md5(b"ONE").hexdigest())
+
+
 def test_manifest_load(spark, folder):
     t = Tables.below(spark, os.path.join(folder, "tables"))
     c = companies_zip(os.path.join(folder, "c.zip"), ("00000001", "ONE", "Active"), ("09652609", "NINE", "Active"))
