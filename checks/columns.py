@@ -162,7 +162,7 @@ def display_money(spark, folder):
 
 def psc_lines(spark, folder):
     """orders as JSON lines, some unreadable or without a company."""
-    o = star.spread(star.read(spark, folder, "orders"), "o_orderkey")
+    o = star.read(spark, folder, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     record = F.to_json(
         F.struct(
@@ -181,7 +181,7 @@ def psc_lines(spark, folder):
         )
     )
     line = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("{"), record)).otherwise(record)
-    return o.select(F.col("o_orderkey").alias("line_no"), line.alias("line"))
+    return star.spread(o.select(F.col("o_orderkey").alias("line_no"), line.alias("line")), "line_no")
 
 
 PSC_SQL = """

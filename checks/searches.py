@@ -30,7 +30,6 @@ def filter_query(name: str, predicate, condition: dict) -> None:
 
     @query(name, over("profiles", body=sql))
     def build(spark, folder):
-
         found = profiles(spark, folder)
         hits = F.array_compact(F.array(*[F.when(predicate(code), code) for code in condition]))
         return found.select(F.explode(hits).alias("code"), "company_number")
@@ -167,6 +166,18 @@ def search_count(spark, folder):
     return s.search_count(profiles(spark, folder), WIDE)
 
 
+@query(
+    "search_response",
+    over("profiles", body=f"""SELECT total, least(25, greatest(total - 5, 0)) AS returned,
+5 + least(25, greatest(total - 5, 0)) < total AS has_more FROM (SELECT COUNT(*) AS total FROM profiles WHERE {WIDE_SQL})"""),
+)
+def search_response(spark, folder):
+    """Page and total of one job, as the row a caller would answer with."""
+    answer = s.search_response(profiles(spark, folder), WIDE)
+    row = (answer["total"], len(answer["companies"]), answer["has_more"])
+    return spark.createDataFrame([row], "total long, returned long, has_more boolean")
+
+
 @query(
     "search_page_default",
     over("profiles", body=f"""SELECT {PAGE} FROM profiles WHERE LOWER(company_status) = 'active'

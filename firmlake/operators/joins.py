@@ -39,17 +39,21 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def spread_join(
+    many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", hot_from: DataFrame | None = None
+) -> DataFrame:
     """Equi-join of a skewed frame with one that has few rows per key.
 
     Rows of a hot key on the ``many`` side are spread over pieces by a hash of the whole row; the matching rows of the
     ``one`` side are repeated once per piece. Everything else joins as usual. Rows with a NULL key, which match nothing,
-    are spread as well. ``how`` is inner, left, left_semi or left_anti, seen from the ``many`` side.
+    are spread as well. ``how`` is inner, left, left_semi or left_anti, seen from the ``many`` side. The hot keys are
+    looked up in ``hot_from``: give the stored table there when ``many`` is costly to compute. Exact copies of a row
+    share a piece, so take duplicates out first.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(many, keys))
+    hot = F.broadcast(hot_keys(many if hot_from is None else hot_from, keys))
 
     spread = F.abs(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]) % 1_000_003).cast("int")
     left = many.withColumn("_hot", key_text(keys)).join(hot, "_hot", "left")
@@ -66,9 +70,11 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     return left.join(right, [*keys, "_piece"], how).drop("_piece")
 
 
-def guard_orphans(rows: DataFrame, parents: DataFrame, key: str = "company_number") -> DataFrame:
+def guard_orphans(
+    rows: DataFrame, parents: DataFrame, key: str = "company_number", hot_from: DataFrame | None = None
+) -> DataFrame:
     """Rows whose parent exists."""
-    return spread_join(rows, parents.select(key).where(F.col(key).isNotNull()), [key], "left_semi")
+    return spread_join(rows, parents.select(key).where(F.col(key).isNotNull()), [key], "left_semi", hot_from)
 
 
 def orphans(rows: DataFrame, parents: DataFrame, key: str = "company_number") -> DataFrame:

@@ -70,7 +70,7 @@ def accepted(product: Product, parsed: DataFrame, companies: DataFrame | None) -
     for k in required:
         rows = rows.where(F.col(k).isNotNull())
     rows = dedupe_load(rows, product.keys, product.order)
-    return guard_orphans(rows, companies) if product.needs_company else rows
+    return guard_orphans(rows, companies, hot_from=parsed) if product.needs_company else rows
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ ENTRIES = (
 )
 LINES = "archive string, entry string, line_no long, line string, reject string"
 LINES_PER_BATCH = 10_000
+CSV_BLOCK_BYTES = 16 << 20  # also the longest record
 ROWS_PER_LISTING = 10_000
 
 
@@ -229,7 +230,9 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
         with z.open(name) as stream:
             reader = pacsv.open_csv(
                 stream,
-                read_options=pacsv.ReadOptions(use_threads=False, column_names=columns, skip_rows=1),
+                read_options=pacsv.ReadOptions(
+                    use_threads=False, column_names=columns, skip_rows=1, block_size=CSV_BLOCK_BYTES
+                ),
                 parse_options=pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=set_aside),
                 convert_options=pacsv.ConvertOptions(
                     column_types={c: pa.string() for c in columns}, include_columns=wanted, null_values=[""],
