@@ -217,7 +217,7 @@ def psc_rejects(spark, folder):
 
 
 TAG_SQL = """WITH facts AS (
-  SELECT l_orderkey AS filing, CAST(l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS BIGINT) AS n,
+  SELECT l_orderkey AS filing, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber AS n,
     CASE WHEN l_partkey % 3 = 0 THEN 'uk:' ELSE 'core:' END || CASE l_linenumber WHEN 1 THEN 'TurnoverRevenue'
       WHEN 2 THEN 'TurnoverGrossOperatingRevenue' WHEN 3 THEN 'NetAssetsLiabilities' WHEN 4 THEN 'ReportTitle'
       WHEN 5 THEN 'AccruedLiabilities' WHEN 6 THEN 'CurrentLiabilities' ELSE 'Unknown' END AS tag,
@@ -246,7 +246,7 @@ def tag_resolution(spark, folder):
     raw = F.when(F.col("l_returnflag") == "R", "n/a").otherwise(price)
     facts = lines.select(
         F.col("l_orderkey").alias("filing"),
-        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("n"),
+        (F.round(F.col("l_extendedprice") * 100).cast("long") * 10 + F.col("l_linenumber")).alias("n"),
         F.concat(prefix, tag).alias("tag"), raw.alias("raw"),
     ).withColumns({"local": F.lower(filing.local_name(F.col("tag"))), "value": filing.number(F.col("raw"))})
     known = resolve_tags(facts, ["filing"], tag_dictionary(spark))
@@ -315,7 +315,7 @@ def manifest_dates(spark, folder):
 @query(
     "archive_supersedes_daily",
     f"""{MANIFEST_SQL} SELECT {MANIFEST_COLUMNS} FROM m WHERE rn = 1 AND product = 'accounts' AND (is_monthly_archive
-OR file_date > (SELECT last_day(MAX(file_date)) FROM m WHERE is_monthly_archive))""",
+OR file_date > coalesce((SELECT last_day(MAX(file_date)) FROM m WHERE is_monthly_archive), DATE '0001-01-01'))""",
 )
 def archive_supersedes_daily(spark, folder):
     return drop_superseded_dailies(site_manifest(spark, folder).where("product = 'accounts'"))
@@ -335,7 +335,7 @@ def monthly_first_snapshot(spark, folder):
     f"""{MANIFEST_SQL}, r AS (SELECT * FROM m WHERE rn = 1 AND file_date BETWEEN DATE '2024-02-10' AND DATE '2024-06-20')
 SELECT {MANIFEST_COLUMNS} FROM r WHERE product = 'company'
   OR (product = 'psc' AND file_date IN (SELECT MIN(file_date) FROM r WHERE product = 'psc' GROUP BY date_trunc('month', file_date)))
-  OR (product = 'accounts' AND (is_monthly_archive OR file_date > (SELECT last_day(MAX(file_date)) FROM r WHERE is_monthly_archive)))""",
+  OR (product = 'accounts' AND (is_monthly_archive OR file_date > coalesce((SELECT last_day(MAX(file_date)) FROM r WHERE is_monthly_archive), DATE '0001-01-01')))""",
 )
 def manifest_choice(spark, folder):
     return choose(site_manifest(spark, folder), "2024-02-10", "2024-06-20")

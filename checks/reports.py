@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import star
 from checks.registry import over, query, stamp
 from firmlake.operators.expectations import (
-    company_rules, contact_rules, duplicate_keys, financial_rules, officer_rules, violation_counts,
+    company_rules, contact_rules, duplicate_keys, financial_rules, manifest_rules, officer_rules, violation_counts,
 )
 from firmlake.operators.joins import flag_existing
 from firmlake.operators.latest import latest_per_key
@@ -312,6 +312,22 @@ def expectations(spark, folder):
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
+@query(
+    "manifest_check",
+    """SELECT rule, COUNT(*) AS rows FROM (SELECT unnest(list_filter([CASE WHEN event_type = 'error' THEN 'product_missing' END,
+  CASE WHEN value < 1 THEN 'url_missing' END, CASE WHEN event_type = 'signup' THEN 'unknown_product' END], lambda x: x IS NOT NULL)) AS rule
+FROM events) GROUP BY rule""",
+)
+def manifest_check(spark, folder):
+    """Events as a list of files to load; some name no product, an unknown one, or no address."""
+    files = star.read(spark, folder, "events").selectExpr(
+        """CASE event_type WHEN 'view' THEN 'company' WHEN 'click' THEN 'psc' WHEN 'purchase' THEN 'accounts'
+           WHEN 'signup' THEN 'other' END AS product""",
+        "CASE WHEN value >= 1 THEN concat('file-', event_id) END AS url",
+    )
+    return violation_counts(files, manifest_rules())
+
+
 @query(
     "duplicate_keys",
     """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, COUNT(*) AS rows FROM lineitem

@@ -15,6 +15,7 @@ from firmlake.operators.joins import guard_orphans
 from firmlake.operators.upsert import changes, dedupe_load
 from firmlake.sources.accounts import PLACE, read_financials
 from firmlake.sources.company_csv import read_companies
+from firmlake.sources.manifest import file_order
 from firmlake.sources.psc_json import read_officers
 
 
@@ -63,13 +64,15 @@ def parse(product: Product, paths: DataFrame) -> DataFrame:
 def accepted(product: Product, parsed: DataFrame, companies: DataFrame | None) -> DataFrame:
     """Usable rows, one per key, whose company exists.
 
+    Of several rows for a key the one from the latest file counts, by date and part in the file name, then by place.
     Duplicates go first: that takes the copies of a hot key away before the join with the companies.
     """
     required = [k for k in ("company_number", "period_end") if k in product.keys]
     rows = parsed.where("reject is null")
     for k in required:
         rows = rows.where(F.col(k).isNotNull())
-    rows = dedupe_load(rows, product.keys, product.order)
+    later = file_order(F.col("archive"))
+    rows = dedupe_load(rows.withColumns(later), product.keys, [*later, *product.order]).drop(*later)
     return guard_orphans(rows, companies, hot_from=parsed) if product.needs_company else rows
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlake.operators.latest import first_per_key
@@ -55,6 +55,14 @@ def classify(urls: DataFrame) -> DataFrame:
     )
 
 
+def file_order(path: Column) -> dict[str, Column]:
+    """Date and part number in a product file's name, to tell which of two files is later; NULL for other names."""
+    day = F.try_to_date(F.regexp_extract(path, r"-(\d{4}-\d{2}-\d{2})[^/]*$", 1), "yyyy-MM-dd")
+    month = F.try_to_date(F.regexp_extract(path, r"-([a-zA-Z]+\d{4})\.zip$", 1), "MMMMyyyy")
+    part = F.regexp_extract(path, r"(?i)(?:part|_)(\d+)(?:_|of)\d+\.zip$", 1).try_cast("int")
+    return {"_file_date": F.coalesce(day, month), "_file_part": part}
+
+
 def manifest(pages: DataFrame, base_url: str) -> DataFrame:
     """Product files of index pages ``(page_no, html)``; of equal file names the first in page order counts."""
     files = classify(links(pages.select("page_no", "html"), base_url))

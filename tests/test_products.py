@@ -76,6 +76,15 @@ def test_company_csv(spark, folder):
     assert places == [0, 1, 2, 3, 4]
 
 
+def test_latest_file_wins(spark, folder):
+    names = ["BasicCompanyData-2025-01-01-part2_10.zip", "BasicCompanyData-2025-01-01-part10_10.zip",
+             "a/BasicCompanyData-2024-12-01-part1_1.zip"]
+    os.makedirs(os.path.join(folder, "a"))
+    files = [make_zip(os.path.join(folder, n), **{"c.csv": f"CompanyNumber,CompanyName\n00000001,{n}\n"}) for n in names]
+    rows = accepted(COMPANY, COMPANY.read(paths(spark, *files)), None).collect()
+    assert [r["company_name"] for r in rows] == [names[1]]
+
+
 PSC_LINES = [
     '{"company_number":"00000001","data":{"name_elements":{"title":"Ms","forename":"Ann","surname":"Example"},"address":{"address_line_1":"1 High Street","locality":"London","postal_code":"EC1A 1AA","country":"England"},"date_of_birth":{"year":1980,"month":5},"kind":"individual-person-with-significant-control","nationality":"British","notified_on":"2018-01-15","natures_of_control":["ownership-of-shares-25-to-50-percent",null,"voting-rights-25-to-50-percent"]}}',
     '{"data":{"name":"No Company"}}',
