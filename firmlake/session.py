@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,22 @@ def build_session(name: str, master: str | None = None, **extra: str) -> SparkSe
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; where it is installed on all of them, that is not needed."""
+    context = spark.sparkContext
+    if getattr(context, "_firmlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="firmlake-package-"), "firmlake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(folder, name)
+                archive.write(file, os.path.relpath(file, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._firmlake_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: ``spark.checkpoint.dir``; only where that is unset, one of our own for this session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
