@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmlake.llm import fm_index, sharding
+from firmlake.llm import fm_index, minhash, sharding
 from firmlake.llm.registry import query, table
 
 SHARDS = 24
@@ -42,3 +42,23 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
 @query("op10_fm_index", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return fm_index.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = w.doc_id"""
+
+
+@query("op9_minhash", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
