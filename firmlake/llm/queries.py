@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from firmlake.llm import fm_index, minhash, sharding
+from firmlake.llm import bpe, fm_index, minhash, sharding
 from firmlake.llm.registry import query, table
 
 SHARDS = 24
 
 
+def vocabulary() -> str:
+    """The word-level vocabulary; FIRMLAKE_VOCABULARY names another file."""
+    own = os.environ.get("FIRMLAKE_VOCABULARY")
+    if own:
+        return own
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op1_vector_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), SHARDS)
@@ -62,3 +74,8 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM re
 @query("op9_minhash", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_speculative_bpe")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), vocabulary())
