@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm import bpe, fm_index, line_dedup, minhash, sharding, toxicity
+from firmlake.llm import bpe, fm_index, line_dedup, minhash, sharding, toxicity, warc
 from firmlake.llm.registry import query, table
+from firmlake.session import settle, work_path
 
 SHARDS = 24
 
@@ -118,3 +119,22 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_nb_ngrams")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
+
+
+@query("op8_capture_index", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    place = work_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), f"{place}/archives")
+    found = settle(warc.captures(spark, f"{place}/archives"), "captures")
+    warc.write_index(found, f"{place}/index")
+    return warc.read_index(spark, f"{place}/index").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
