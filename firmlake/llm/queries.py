@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm import bpe, fm_index, line_dedup, minhash, sharding, toxicity, warc
+from firmlake.llm import bpe, fm_index, hnsw, line_dedup, minhash, sharding, toxicity, warc
 from firmlake.llm.registry import query, table
 from firmlake.session import settle, work_path
 
@@ -138,3 +138,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_index(spark, f"{place}/index").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op2_hnsw", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return hnsw.search(hnsw.build_index(rows), rows.where("vec_id % 50 = 0"))
