@@ -202,7 +202,7 @@ def _build(key, rows):
     by_node = np.argsort(node, kind="stable")
     starts = np.concatenate(([0], np.cumsum(np.bincount(node, minlength=len(first)))))
     vectors = raw[first]
-    seed = ids[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    seed = (ids[first].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     seed = (seed ^ (seed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     graph = Graph.build(_unit(vectors).astype(np.float32), seed ^ (seed >> np.uint64(32)))
     parts = {

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm import bpe, fm_index, hnsw, line_dedup, minhash, sharding, toxicity, warc
+from firmlake.llm import bpe, fm_index, hnsw, line_dedup, minhash, sharding, toxicity, url_filter, warc
 from firmlake.llm.registry import query, table
 from firmlake.session import settle, work_path
 
@@ -152,3 +152,65 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return hnsw.search(hnsw.build_index(rows), rows.where("vec_id % 50 = 0"))
+
+
+# Captures and lists are derived from the pages: every page is a capture of its URL, and reports of pages put hosts,
+# domains and URLs on a list and take them off again.
+_FETCHED = "timestamp '2023-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast((page_id * 7919) % 17520 as int), 0, 0)"
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", F.expr(_FETCHED).alias("fetched_at"))
+
+
+def page_entries(pages: DataFrame) -> DataFrame:
+    name = url_filter.host(F.col("url"))
+    rows = pages.where("page_id is not null and url is not null").select(
+        "page_id", "url", name.alias("host"), F.expr(_FETCHED.replace("7919", "104729")).alias("at")
+    )
+    kinds = (
+        ("host", F.col("host"), "page_id % 40 = 7", 9), ("url", F.col("url"), "page_id % 5 = 1", 40),
+        ("domain", F.array_join(F.slice(F.split("host", r"\."), -2, 2), "."), "page_id % 2000 = 3", 3),
+    )
+    out = None
+    for scope, value, chosen, days in kinds:
+        own = rows.where(chosen).select(F.lit(scope).alias("scope"), value.alias("value"), "at", "page_id")
+        ends = F.col("at") + F.make_dt_interval(F.lit(days) + F.col("page_id") % 11)
+        both = own.select("scope", "value", F.lit(True).alias("listed"), "at").union(own.select("scope", "value", F.lit(False), ends))
+        out = both if out is None else out.union(both)
+    return out
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, url, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')
+    THEN regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)', 2)), '\.+$', '') ELSE '' END AS host,
+    TIMESTAMP '2023-01-01 00:00:00' + to_hours(CAST((page_id * 7919) % 17520 AS INTEGER)) AS fetched_at,
+    TIMESTAMP '2023-01-01 00:00:00' + to_hours(CAST((page_id * 104729) % 17520 AS INTEGER)) AS at_
+  FROM pages),
+n AS (SELECT *, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
+    lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || host ||
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*((:[0-9]*)?[^#]*)', 1) ELSE url END AS clean,
+    string_split(host, '.') AS labels FROM p),
+listed AS (
+  SELECT 'host:' || host AS key, at_, 9 + page_id % 11 AS days FROM n WHERE page_id % 40 = 7 AND url IS NOT NULL
+  UNION ALL SELECT 'url:' || clean, at_, 40 + page_id % 11 FROM n WHERE page_id % 5 = 1 AND url IS NOT NULL
+  UNION ALL SELECT 'domain:' || array_to_string(labels[greatest(len(labels) - 1, 1) :], '.'), at_, 3 + page_id % 11 FROM n
+    WHERE page_id % 2000 = 3 AND url IS NOT NULL),
+e AS (SELECT key, at_, max(state) AS state FROM (
+    SELECT key, at_, 1 AS state FROM listed UNION ALL SELECT key, at_ + to_days(CAST(days AS INTEGER)), 0 FROM listed) GROUP BY ALL),
+i AS (SELECT key, state, at_ AS a, lead(at_) OVER (PARTITION BY key ORDER BY at_) AS b FROM e),
+k AS (SELECT DISTINCT page_id, url, fetched_at, unnest(list_distinct(['url:' || clean] || CASE WHEN host = '' THEN [] ELSE ['host:' || host] ||
+    CASE WHEN len(labels) > 1 THEN list_transform(generate_series(1, len(labels) - 1),
+      lambda j: 'domain:' || array_to_string(labels[j:], '.')) ELSE [] END END)) AS key FROM n WHERE url <> ''),
+m AS (SELECT page_id, url, fetched_at, count(DISTINCT key) AS n, string_agg(DISTINCT key, ' ' ORDER BY key) AS reasons
+  FROM k JOIN i USING (key) WHERE state = 1 AND fetched_at >= a AND (b IS NULL OR fetched_at < b) GROUP BY ALL)
+SELECT p.page_id, p.url, strftime(p.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, m.n IS NOT NULL AS blocked,
+  CAST(coalesce(m.n, 0) AS BIGINT) AS n_reasons, coalesce(reasons, '') AS reasons
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url AND p.fetched_at = m.fetched_at"""
+
+
+@query("op7_temporal_lists", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    out = url_filter.evaluate(page_captures(pages), page_entries(pages))
+    return out.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
