@@ -30,6 +30,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.llm.common import fresh, kinds
+
 NEVER = np.int64(1 << 40)
 MOST_WORDS = 1 << 19  # encoded words that a worker keeps
 
@@ -265,21 +267,23 @@ def _encoding(path: str, names: list[str] | None):
                     yield pa.record_batch(
                         [*batch.columns[:-1], pa.array([len(i) // 4 for i in ids], pa.int64()),
                          pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())),
-                         pa.array(decoded, pa.string())], names=[*names, "n_tokens", "token_ids", "decoded"],
+                         pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(decoded, pa.string())],
+                        names=names,
                     )
 
     return run
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``n_tokens, token_ids, decoded``. A null or empty text has no tokens and decodes to the empty text."""
-    taken = {"n_tokens", "token_ids", "decoded", "_text"}.intersection(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are taken")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(
-        _encoding(path, docs.columns), f"{kinds}, n_tokens long, token_ids array<int>, decoded string"
-    )
+    """``docs`` with last columns ``n_tokens, token_ids, ids_sha256, decoded``.
+
+    A null or empty text has no tokens and decodes to the empty text. If the documents have columns of these names, the
+    new ones get an underscore in front.
+    """
+    new = [fresh(docs.columns, n) for n in ("n_tokens", "token_ids", "ids_sha256", "decoded")]
+    plain = docs.withColumn(fresh([*docs.columns, *new], "_text"), F.col("text").cast("string"))
+    added = ", ".join(f"`{n}` {t}" for n, t in zip(new, ("long", "array<int>", "string", "string")))
+    return plain.mapInArrow(_encoding(path, [*docs.columns, *new]), f"{kinds(docs)}, {added}")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -287,3 +291,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         _encoding(path, None), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
+
+
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256`` of every row's whole text."""
+    out = encode(docs.select("doc_id", "text"), path)
+    return out.select("doc_id", "n_tokens", "token_ids", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.llm.common import fresh
+
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 19  # an index is built once so many symbols are gathered,
 SHARD_BYTES = 32 << 20  # or texts of so many bytes
@@ -223,7 +225,8 @@ def _searcher(phrases: Phrases):
             k = 0
             for batch in held:
                 out = []
-                for old in batch.column("_found").to_pylist():
+                last = batch.num_columns - 1
+                for old in batch.column(last).to_pylist():
                     out.append({
                         "n_words": shard.words[k],
                         "spans": [{"begin": a, "end": b} for a, b in merged(
@@ -231,11 +234,11 @@ def _searcher(phrases: Phrases):
                         "items": sorted({*items[k], *((old or {}).get("items") or [])}, key=str),
                     })
                     k += 1
-                yield batch.set_column(batch.schema.get_field_index("_found"), "_found", pa.array(out, FOUND))
+                yield batch.set_column(last, batch.schema.names[last], pa.array(out, FOUND))
 
         for batch in batches:
             held.append(batch)
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(batch.num_columns - 2).to_pylist():
                 shard.add(text)
             if shard.full:
                 yield from flush()
@@ -257,22 +260,23 @@ def benchmark_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterat
 
 
 def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``_found``: number of words, merged word spans [begin, end) and item ids.
+    """``docs`` with a last column ``_found``: number of words, merged word spans [begin, end) and item ids.
 
     A phrase is each run of ``window`` words of an item, or the whole item if it has fewer; items without words, with a
     null id or a null text have none. A null or empty text has no words. Repeated rows are searched each. Benchmarks
-    above BLOCK_BYTES are searched in several passes over the documents, each with a bounded list of phrases.
+    above BLOCK_BYTES are searched in several passes over the documents, each with a bounded list of phrases. If the
+    documents have a column of that name, the new one gets another underscore in front.
     """
-    if "_found" in docs.columns or "_text" in docs.columns:
-        raise ValueError("columns _found and _text are taken")
-    out = docs.withColumn("_text", F.col(text)).withColumn("_found", F.lit(None).cast(FOUND_SQL))
+    found = fresh(docs.columns, "_found")
+    plain = fresh([*docs.columns, found], "_text")
+    out = docs.withColumn(plain, F.col(text).cast("string")).withColumn(found, F.lit(None).cast(FOUND_SQL))
     passes = 0
     for block in benchmark_blocks(items):
         out = out.mapInArrow(_searcher(Phrases(block, window)), out.schema)
         passes += 1
     if not passes:
         out = out.mapInArrow(_searcher(Phrases([], window)), out.schema)
-    return out.drop("_text")
+    return out.drop(plain)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -288,23 +292,32 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without the benchmark's words; a document that is left without words goes, if it lost some."""
+    """The documents without the benchmark's words, all columns; a document that loses all its words goes.
+
+    ``n_chars``, where there is one, follows the text.
+    """
     names = docs.columns
-    found = find_phrases(docs, items, window)
+    at = [n.lower() for n in names].index("text")
+    size = next((k for k, n in enumerate(names) if n.lower() == "n_chars"), None)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts, keep = batch.column(at).to_pylist(), []
-            for k, f in enumerate(batch.column("_found").to_pylist()):
+            sizes = batch.column(size).to_pylist() if size is not None else []
+            for k, f in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 spans = [(s["begin"], s["end"]) for s in f["spans"]]
                 if spans:
                     texts[k] = cut_words(texts[k], spans)
+                    if sizes:
+                        sizes[k] = len(texts[k])
                 keep.append(f["n_words"] > sum(b - a for a, b in spans) or not spans)
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, columns[at].type)
+            if sizes:
+                columns[size] = pa.array(sizes, columns[size].type)
+            yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(cut, docs.schema)
+    return find_phrases(docs, items, window).mapInArrow(cut, docs.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.llm.common import fresh, kinds
 from firmlake.session import settle
 
 MIN_WORDS = 50
@@ -115,28 +116,39 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lost.append(len(gone))
         yield pa.record_batch(
             [*batch.columns[: width - 2], pa.array(texts, pa.string()), pa.array(had, pa.int64()), pa.array(lost, pa.int64())],
-            names=[*batch.schema.names[: width - 2], "_kept", "_lines", "_removed"],
+            names=[*batch.schema.names[: width - 2], "\x00text", "\x00lines", "\x00removed"],  # by place
         )
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text that is left, and columns ``_lines, _removed`` (non-blank lines it had and lost).
+    """``docs`` with the text that is left, and last columns ``_lines, _removed`` (non-blank lines it had and lost).
 
     Lines are compared without ASCII white space at their ends. A null text stays null, an empty one empty; blank lines
-    stay, but a document that loses all other lines becomes empty. All other columns are kept as they are.
+    stay, but a document that loses all other lines becomes empty. All other columns are kept as they are; if some have
+    the new columns' names, the new ones get another underscore in front.
     """
-    if {"_lines", "_removed", "_h", "_kept"}.intersection(docs.columns):
-        raise ValueError("columns _lines, _removed, _h and _kept are taken")
-    spans = repeats(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "spans")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
-    others = [c for c in docs.columns if c != "text"]
-    cut = joined.select(*[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("text"), "spans")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-2])
-    out = cut.mapInArrow(_cut, f"{kinds}, _kept string, _lines long, _removed long")
-    return out.withColumnRenamed("_kept", "text").select(*docs.columns, "_lines", "_removed")
+    names = docs.columns
+    lines, removed, code, own, id_ = (fresh(names, n) for n in ("_lines", "_removed", "_hash", "_spans", "_id"))
+    spans = repeats(docs, min_words).toDF(id_, code, own)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(code))
+    others = [F.col(f"`{c}`") for c in names if c.lower() != "text"]
+    joined = docs.join(spans, same, "left").select(*others, F.col("text").cast("string").alias("text"), own)
+    before = joined.drop("text", own)
+    kept = fresh(names, "_kept")
+    out = joined.mapInArrow(_cut, ", ".join(x for x in (kinds(before), f"`{kept}` string, `{lines}` long, `{removed}` long") if x))
+    order = [F.col(kept).alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names]
+    return out.select(*order, lines, removed)
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents with the text that is left; a document goes if it had lines and lost all of them."""
-    return deduplicate(docs).where("_removed = 0 or _removed < _lines").select(docs.columns)
+    """The documents with the text that is left, all columns; a document goes if it had lines and lost all of them.
+
+    ``n_chars``, where there is one, follows the text.
+    """
+    out = deduplicate(docs)
+    lines, removed = (F.col(c) for c in out.columns[-2:])
+    columns = [
+        F.when(removed > 0, F.length("text")).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c)
+        if c.lower() == "n_chars" else F.col(f"`{c}`") for c in docs.columns
+    ]
+    return out.where((removed == 0) | (removed < lines)).select(columns)

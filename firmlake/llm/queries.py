@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm import bpe, fm_index, hnsw, line_dedup, minhash, sharding, toxicity, url_filter, warc
+from firmlake.llm import bpe, fm_index, hnsw, html_template, line_dedup, minhash, sharding, toxicity, url_filter, warc
 from firmlake.llm.registry import query, table
 from firmlake.session import settle, work_path
 
@@ -214,3 +214,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     out = url_filter.evaluate(page_captures(pages), page_entries(pages))
     return out.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+# In these pages the main text is what the article element holds; the operator finds that element by itself.
+OP6_SQL = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '') AS h FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(h1|p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(t, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+  FROM t)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c"""
+
+
+@query("op6_template_slots", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.extract(table(spark, folder, "pages"))

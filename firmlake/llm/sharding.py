@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.llm.common import fresh
 from firmlake.session import settle
 
 LARGE = 1 / 64  # of a shard, in any dimension
@@ -130,11 +131,12 @@ def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Write the documents below ``path``, one folder per shard; every column is kept."""
-    if "shard" in docs.columns:
-        raise ValueError("the table has a column named shard")
-    rows = settle(measure(docs), "sharding")
-    placed = place(rows, shards).select("doc_id", F.col("_group"), "shard").distinct()
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("_group")))
-    placed = placed.select(F.struct("doc_id", "_group").alias("_key"), "shard")
-    keyed.join(placed, keyed["_key"].eqNullSafe(placed["_key"])).drop("_key").write.partitionBy("shard").parquet(path)
+    """Write the documents below ``path``, one folder per shard; every column is kept.
+
+    The folders are named after a new column ``shard``, with underscores in front if the table has one already.
+    """
+    shard, key = fresh(docs.columns, "shard"), fresh(docs.columns, "_key")
+    placed = place(settle(measure(docs), "sharding"), shards).select("doc_id", "_group", "shard").distinct()
+    placed = placed.select(F.struct("doc_id", "_group").alias(key), F.col("shard").alias(shard))
+    own = F.struct(F.col("doc_id"), F.xxhash64("text").alias("_group"))
+    docs.join(placed, own.eqNullSafe(placed[key])).drop(key).write.partitionBy(shard).parquet(path)

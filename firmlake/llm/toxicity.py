@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.llm.common import fresh, kinds
 from firmlake.session import settle
 
 SAMPLE = 4000  # documents of each class the model is fitted on, at most
@@ -154,11 +155,13 @@ def _scorer(model: Model):
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_toxicity`` from 0 to 1; null and empty texts are scored as texts without features."""
-    if {"_toxicity", "_text"}.intersection(docs.columns):
-        raise ValueError("columns _toxicity and _text are taken")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_scorer(model), f"{kinds}, _toxicity double")
+    """``docs`` with a last column ``_toxicity`` from 0 to 1; null and empty texts are scored as texts without features.
+
+    If the documents have a column of that name, the new one gets another underscore in front.
+    """
+    score = fresh(docs.columns, "_toxicity")
+    plain = docs.withColumn(fresh([*docs.columns, score], "_text"), F.col("text").cast("string"))
+    return plain.mapInArrow(_scorer(model), f"{kinds(docs)}, `{score}` double")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,4 +175,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score below one half, with all their columns."""
-    return with_scores(docs, fit(docs, labels)).where("_toxicity < 0.5").drop("_toxicity")
+    scored = with_scores(docs, fit(docs, labels))
+    return scored.where(F.col(scored.columns[-1]) < 0.5).drop(scored.columns[-1])
