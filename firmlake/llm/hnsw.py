@@ -182,12 +182,21 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes; cosines do not change, not even by rounding."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
-    scale = np.abs(rows).max(axis=1, keepdims=True)  # first, so that no square overflows or vanishes
-    rows = rows / scale
+    rows = _scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of scaled rows with a scaled query, row by row: equal vectors get equal results wherever they are scored."""
+    return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -239,13 +248,13 @@ def _searcher(k: int, ef: int):
                 graph.links[l] = flat[at : at + links.size].reshape(links.shape)
                 at += links.size
             graph.entry = row["entry"]
-            own, raw = asked.column("vec_id").to_numpy(), _unit(_matrix(asked.column("vector"), dim))
-            units = _unit(vectors)
+            own, raw = asked.column("vec_id").to_numpy(), _scaled(_matrix(asked.column("vector"), dim))
+            units, scaled = _unit(raw).astype(np.float32), _scaled(vectors)
             for start in range(0, len(own), BATCH):
-                found = graph.search(raw[start : start + BATCH].astype(np.float32), min(ef, max(8, len(vectors))))
+                found = graph.search(units[start : start + BATCH], min(ef, max(8, len(vectors))))
                 for q, nodes in enumerate(found, start):
                     nodes = nodes[nodes >= 0]
-                    scores = units[nodes] @ raw[q]
+                    scores = cosines(scaled[nodes], raw[q])
                     times = np.minimum(starts[nodes + 1] - starts[nodes], k + 1)  # its own row and k others at most
                     ids = np.concatenate([members[starts[n] : starts[n] + t] for n, t in zip(nodes, times)])
                     scores = np.repeat(scores, times)

@@ -113,13 +113,13 @@ def _code(text: str) -> int:
 
 
 def prefixes(path: str) -> list[str]:
-    """The elements that a path runs through, from the outermost."""
-    parts = path.split(">")[1:]
-    return [">" + ">".join(parts[: k + 1]) for k in range(len(parts))]
+    """The elements that a path runs through, from the page itself (the empty path) on."""
+    parts = path.split(">")
+    return [">".join(parts[: k + 1]) for k in range(len(parts))]
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and token: how often, the fingerprint's summand, and the words under it (an element) or in it (a text)."""
+    """Per page and token: how often, the fingerprint's summand, and the words under it (an element, but for marked ones) or in it (a text)."""
     for batch in batches:
         rows: list[tuple] = []
         for host, url, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -130,7 +130,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, text in own:
                 words = len(text.split())
                 for p in prefixes(path):
-                    under[p] += words
+                    under[p] += words if "!" not in path else 0
                     if last is None or not (last + ">").startswith(p + ">"):
                         elements[p] += 1
                 last = path
@@ -173,7 +173,7 @@ def deduce(pages: DataFrame) -> DataFrame:
     constant = valid.where((F.col("pages") >= CONSTANT * F.col("n")) & (F.col("size") > 1)).select("host", F.explode("texts").alias("t"))
     constant = settle(constant.select("host", "t.path", "t.text_code", "t.words"), "constants")
     # Words of the slots under each element of the frame: all words less those of the template's texts there.
-    fixed = constant.alias("c").join(frame.alias("f"), F.expr("c.host = f.host and (c.path = f.path or startswith(c.path, f.path || '>'))"))
+    fixed = constant.alias("c").join(frame.alias("f"), F.expr("c.host = f.host and (c.path = f.path or startswith(c.path, f.path || '>')) and not contains(c.path, '!')"))
     fixed = fixed.groupBy("f.host", "f.path").agg(F.sum("c.words").alias("fixed"))
     free = frame.join(fixed, ["host", "path"], "left").where(~F.col("path").contains("!"))
     free = free.select("host", "path", (F.col("words") - F.coalesce("fixed", F.lit(0))).alias("words"))

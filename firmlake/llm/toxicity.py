@@ -149,7 +149,7 @@ def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "_toxicity"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "\x00score"])  # by place
 
     return run
 
