@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +40,16 @@ def local_name(tag: Column) -> Column:
 def number(text: Column) -> Column:
     """Decimal from a plain number after commas and blanks are taken out; anything else is NULL."""
     return F.translate(text, ", \t\r\n", "").try_cast("decimal(38,6)")
+
+
+def name_facts(name: str) -> tuple[str | None, dt.date | None]:
+    """Company number and period end of one file name: the two column functions above, where an entry is read."""
+    parts = name.split("_")
+    third = parts[2] if len(parts) > 2 and len(parts[2]) == 8 else None
+    found = re.search(NUMBER_BETWEEN_MARKS, name, re.ASCII) or re.search(LETTERED_NUMBER, name, re.ASCII)
+    digits = re.search(DATE_BEFORE_EXTENSION, name, re.ASCII)
+    try:
+        end = dt.date(int(digits[1][:4]), int(digits[1][4:6]), int(digits[1][6:])) if digits else None
+    except ValueError:
+        end = None
+    return third or (found[1] if found else None), end

@@ -33,8 +33,9 @@ def normalize_name(c: Column) -> Column:
 
 
 def contains_ci(c: Column, term: str) -> Column:
-    """Case-insensitive substring test; ``%`` and ``_`` in the term act as wildcards."""
-    return c.ilike(f"%{term}%")
+    """Case-insensitive substring test; ``%`` and ``_`` in the term act as wildcards, a backslash stands for itself."""
+    escaped = term.replace("\\", "\\\\")
+    return c.ilike(f"%{escaped}%")
 
 
 def join_filled(values: list[Column], separator: str) -> Column:

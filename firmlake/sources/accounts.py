@@ -1,8 +1,8 @@
 """Accounts filings: facts from XBRL and inline XBRL documents, resolved into one wide row per filing and period.
 
-A document is taken apart where its archive entry is unpacked, and only the facts that matter leave the task: those a
-column accepts, and the periods of the other numbers. Everything after that is relational: the report period, the best
-fact of each column, the wide row.
+A document is taken apart where its archive entry is unpacked. All its facts are at hand there, so the best fact of each
+column is picked there too, and one row per report period leaves the task; nothing is shuffled before the rows of a load
+are made unique. ``resolve_tags`` answers the same question for facts that come as a table.
 """
 
 from __future__ import annotations
@@ -17,22 +17,23 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from firmlake.functions.dates import filing_date
-from firmlake.functions.filing import company_number_from_name, number, period_end_from_name
+from firmlake.functions.filing import name_facts, number
 from firmlake.functions.hashing import row_hash
 from firmlake.schemas import COUNT_TAGS, FINANCIAL_DATA, FINANCIAL_HASH, MONEY_TAGS, TEXT_TAGS, conform
 from firmlake.sources.archives import list_entries, read_entries
-from firmlake.sources.tags import tag_dictionary, wanted_names
+from firmlake.sources.tags import candidates, tag_dictionary
 
 XBRL_EXTENSIONS = ["xml", "xbrl"]
 IXBRL_EXTENSIONS = ["html", "htm"]
 SOURCE = "bulk_xbrl"
 
 PLACE = ["archive", "entry", "pos", "inner_pos"]
-FACTS = (
-    "archive string, entry string, pos long, inner_pos long, company_number string, reject string, sure boolean, n int, "
-    "tag string, local string, period string, start string, raw string, is_text boolean, factor double"
+PERIODS = (
+    "archive string, entry string, pos long, inner_pos long, company_number string, reject string, period string, "
+    "start string, n_facts int, found map<string, struct<raw string, factor double>>"
 )
-FACTS_PER_BATCH = 20_000
+ROWS_PER_BATCH = 5_000
+PLAIN_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", re.ASCII)
 
 # Elements of an XBRL document that are structure and not facts.
 STRUCTURE = {
@@ -117,57 +118,77 @@ def _read_xbrl(body: bytes):
 
 
 def _is_number(text: str) -> bool:
-    try:
-        float(text.replace(",", "").replace(" ", ""))
-        return True
-    except ValueError:
-        return False
+    """Is it a number as ``functions.filing.number`` reads one?"""
+    return PLAIN_NUMBER.fullmatch(text.translate(str.maketrans("", "", ", \t\r\n"))) is not None
 
 
-def _rows(e: dict, body: bytes | None, wanted: frozenset[str], apply_sign_scale: bool):
-    """Fact rows of one document, limited to its report period when its name tells one.
+def _best(facts: list[tuple], accepted: dict) -> tuple[int, dict[str, tuple[str, float]]]:
+    """Number of facts that some column takes, and the best (raw, factor) of each column.
 
-    Rows without a tag stand for the filing, for a period's start, and for a period of numbers no column accepts.
+    ``facts`` of one period: (tag, local name, raw, is text, factor), in order. Candidates go by being a number, then by
+    priority; among equal ones the tag seen first counts, with the last value it was given. Number columns take numbers
+    only, text columns take any text; a number element whose content is no number is no fact.
+    """
+    tags: dict[tuple, list] = {}
+    for n, (tag, local, raw, is_text, factor) in enumerate(facts):
+        is_number = not is_text and _is_number(raw)
+        if is_number or is_text is not False:
+            seen = tags.setdefault((local, tag, is_number), [n, 0, None])
+            seen[1:] = seen[1] + 1, (raw, factor)
+    count, best = 0, {}
+    for (local, _, is_number), (first, times, last) in tags.items():
+        for column, priority, numeric in accepted[local]:
+            if is_number or not numeric:
+                count += times
+                rank = (not is_number, priority, first)
+                if column not in best or rank < best[column][0]:
+                    best[column] = (rank, last)
+    return count, {c: last for c, (_, last) in best.items()}
+
+
+def _rows(e: dict, body: bytes | None, accepted: dict, apply_sign_scale: bool):
+    """One row per report period of a document, or one with a reject reason.
+
+    A filing whose name tells its period gives that one record in any case, another filing one record for every period
+    with a number, be it one that no column takes.
     """
     place = (e["archive"], e["entry"], e["pos"], e["inner_pos"])
-    company, named, reject = e["name_company"], e["named_period"], e["reject"]
-    named = named.isoformat() if named else None
-    contexts, facts = {}, []
+    company, named = name_facts(e["entry"] or "")
+    reject, contexts, facts = e["reject"], {}, []
     if reject is None:
         try:
             is_xbrl = e["extension"] in XBRL_EXTENSIONS
             found, contexts, facts = _read_xbrl(body) if is_xbrl else _read_inline(body, apply_sign_scale)
             company = company or found
             reject = None if company else "no company number"
-        except ET.ParseError as error:
-            reject = f"xml: {error}"
+        except Exception as error:  # whatever one document fails with costs that document only
+            reject = f"document: {error}"
     if reject is not None:
-        yield (*place, company, reject, True, 0, None, None, None, None, None, None, 1.0)
+        yield (*place, company, reject, None, None, None, None)
         return
-    head = (*place, company, None, named is not None)
-    if named:
-        yield (*head, 0, None, None, named, None, None, None, 1.0)
-    starts, others = set(), set()
-    for end, start in contexts.values():
-        if start and end not in starts and end == (named or end):
-            starts.add(end)
-            yield (*head, 0, None, None, end, start.strip(), None, None, 1.0)
-    for n, (tag, context, raw, is_text, factor) in enumerate(facts, 1):
-        end = contexts.get(context, (None, None))[0]
-        if end is None or end != (named or end):
+    periods: dict[str, list] = {named.isoformat(): []} if named else {}
+    opened = set(periods)
+    for tag, context, raw, is_text, factor in facts:
+        end, local = contexts.get(context, (None, None))[0], _local(tag)
+        if end is None or (named and end not in opened):
             continue
-        local = _local(tag)
-        if local in wanted:
-            yield (*head, n, tag, local, end, None, raw, is_text, factor)
-        elif not named and not is_text and end not in others and _is_number(raw):
-            others.add(end)
-            yield (*head, n, None, None, end, None, raw, False, 1.0)
+        if not is_text and end not in opened and _is_number(raw):
+            opened.add(end)
+        if local in accepted:
+            periods.setdefault(end, []).append((tag, local, raw, is_text, factor))
+    starts: dict[str, str] = {}
+    for end, start in contexts.values():
+        if start:
+            starts[end] = max(starts.get(end, ""), start.strip())
+    for end in sorted(opened):
+        count, best = _best(periods.get(end, []), accepted)
+        yield (*place, company, None, end, starts.get(end), count, [(c, {"raw": r, "factor": f}) for c, (r, f) in best.items()])
 
 
-def fact_converter(apply_sign_scale: bool = False):
-    """Turns entries into Arrow batches of FACTS."""
-    wanted = wanted_names()
-    schema = to_arrow_schema(T.StructType.fromDDL(FACTS))
+def period_converter(apply_sign_scale: bool = False, dictionary: dict[str, list[str]] | None = None):
+    """Turns entries into Arrow batches of PERIODS."""
+    accepted = candidates(dictionary)
+    schema = to_arrow_schema(T.StructType.fromDDL(PERIODS))
 
     def batch(rows):
         columns = zip(*rows) if rows else ([] for _ in schema)
@@ -177,8 +198,8 @@ def fact_converter(apply_sign_scale: bool = False):
     def convert(documents):
         rows = []
         for e, body in documents:
-            rows.extend(_rows(e, body, wanted, apply_sign_scale))
-            if len(rows) >= FACTS_PER_BATCH:
+            rows.extend(_rows(e, body, accepted, apply_sign_scale))
+            if len(rows) >= ROWS_PER_BATCH:
                 yield batch(rows)
                 rows = []
         yield batch(rows)
@@ -186,46 +207,11 @@ def fact_converter(apply_sign_scale: bool = False):
     return convert
 
 
-def with_name_facts(entries: DataFrame) -> DataFrame:
-    """Adds what the file name tells: the company number and the report period."""
-    return entries.withColumns(
-        {
-            "name_company": company_number_from_name(F.col("entry")),
-            "named_period": period_end_from_name(F.col("entry")),
-        }
-    )
-
-
-def document_facts(documents: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
-    """Facts of documents that are rows already: archive, entry, pos, inner_pos, extension, body and reject."""
-    convert = fact_converter(apply_sign_scale)
-    named = with_name_facts(documents.select(*PLACE, "extension", "body", "reject"))
-    return named.mapInArrow(lambda batches: convert((e, e["body"]) for b in batches for e in b.to_pylist()), FACTS)
-
-
-def report_facts(facts: DataFrame) -> DataFrame:
-    """Facts with their value and report period; ``opens`` marks rows that make a record on their own.
-
-    A filing whose name tells its period gives that one record in any case, another filing one record for every period
-    with a number.
-    """
-    scaled = F.when(F.col("factor") == 1, number(F.col("raw"))).otherwise(
-        (number(F.col("raw")).cast("double") * F.col("factor")).try_cast("decimal(38,6)")
-    )
-    rows = facts.withColumns(
-        {
-            "period_end": F.try_to_date("period", "yyyy-MM-dd"),
-            "context_start": F.try_to_date("start", "yyyy-MM-dd"),
-            "value": F.when(~F.coalesce("is_text", F.lit(False)), scaled),
-        }
-    )
-    # A number element whose content is no number is no fact.
-    is_fact = F.col("value").isNotNull() | ~F.col("is_text").eqNullSafe(False)
-    return rows.where("reject is not null or period_end is not null").select(
-        *PLACE, "company_number", "reject", "period_end", "context_start", "n", "raw", "value",
-        (F.col("sure") | F.col("value").isNotNull()).alias("opens"),
-        F.when(is_fact, F.col("tag")).alias("tag"), F.when(is_fact, F.col("local")).alias("local"),
-    )
+def document_periods(documents: DataFrame, apply_sign_scale: bool = False, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
+    """Periods of documents that are rows already: archive, entry, pos, inner_pos, extension, body and reject."""
+    convert = period_converter(apply_sign_scale, dictionary)
+    rows = documents.select(*PLACE, "extension", "body", "reject")
+    return rows.mapInArrow(lambda batches: convert((e, e["body"]) for b in batches for e in b.to_pylist()), PERIODS)
 
 
 def resolve_tags(
@@ -235,64 +221,65 @@ def resolve_tags(
 
     Candidate tags go by priority; among equal ones the tag seen first counts, with the last value it was given. Number
     columns take numbers only, text columns take any text. ``facts`` has the keys, n, tag, local, raw and value. Tags
-    outside the dictionary are dropped; a NULL tag gives a row with NULL column, so that its group survives. ``carry``
-    names further columns and how to sum them up (min or max). The dictionary is a constant, so broadcasting it is safe.
+    outside the dictionary are dropped before anything is shuffled; a NULL tag gives a row with NULL column, so that its
+    group survives. ``carry`` names further columns and how to sum them up (min or max). The built-in dictionary is a
+    constant and is broadcast; another one is joined as its size calls for.
     """
-    dictionary = dictionary if dictionary is not None else tag_dictionary(facts.sparkSession)
-    dictionary = F.broadcast(dictionary.withColumnRenamed("tag", "local"))
+    known = F.broadcast(tag_dictionary(facts.sparkSession)) if dictionary is None else dictionary
+    known = known.withColumnRenamed("tag", "local")
     carried = [F.expr(f"{how}({c})").alias(c) for c, how in (carry or {}).items()]
-    per_tag = facts.groupBy(*keys, "local", "tag", F.col("value").isNotNull().alias("is_number")).agg(
+    is_number = F.col("value").isNotNull()
+    rows = facts.join(known, "local", "left").where(
+        F.col("tag").isNull() | (F.col("column").isNotNull() & (~F.col("numeric") | is_number))
+    )
+    per_tag = rows.groupBy(*keys, "column", "priority", "local", "tag", is_number.alias("is_number")).agg(
         F.min("n").alias("first_n"), F.max_by(F.struct("raw", "value"), "n").alias("last"),
         F.count("tag").alias("facts"), *carried,
     )
-    ranked = per_tag.join(dictionary, "local", "left").where("tag is null or not numeric or is_number")
     best = F.min_by("last", F.struct(~F.col("is_number"), "priority", "first_n"))
-    found = ranked.groupBy(*keys, "column").agg(best.alias("best"), F.sum("facts").alias("facts"), *carried)
+    found = per_tag.groupBy(*keys, "column").agg(best.alias("best"), F.sum("facts").alias("facts"), *carried)
     return found.select(*keys, "column", "best.raw", "best.value", "facts", *(carry or {}))
 
 
-def wide_records(facts: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """One row per filing and report period with a column per dictionary entry.
+def wide_records(periods: DataFrame) -> DataFrame:
+    """One row per filing and report period with a column per dictionary entry: a projection of PERIODS."""
 
-    One shuffle, on the filing: all groupings that follow contain its keys.
-    """
-    keys = [*PLACE, "company_number", "period_end", "reject"]
-    carry = {"opens": "max", "context_start": "max"}
-    best = resolve_tags(facts.repartition(*PLACE, "period_end"), keys, dictionary, carry)
-    entry = F.when(F.col("column").isNotNull(), F.struct("column", F.struct("raw", "value")))
-    rows = best.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("found"),
-        F.sum("facts").cast("int").alias("n_facts"),
-        F.max("opens").alias("opens"),
-        F.max("context_start").alias("context_start"),
-    )
-    return (
-        rows.where("opens")
-        .withColumn("start_text", F.expr("try_element_at(found, 'period_start').raw"))
-        .withColumn("period_start", F.coalesce(filing_date(F.col("start_text")), F.col("context_start")))
-        .selectExpr(
-            *PLACE, "company_number", "period_end", "n_facts", "reject", "period_start",
-            *[f"try_cast(try_element_at(found, '{c}').value AS decimal(15,2)) AS {c}" for c in MONEY_TAGS],
-            *[f"try_cast(try_element_at(found, '{c}').value AS int) AS {c}" for c in COUNT_TAGS],
-            *[f"try_element_at(found, '{c}').raw AS {c}" for c in TEXT_TAGS if c != "period_start"],
-            f"'{SOURCE}' AS source", "'{}' AS raw_data",
-        )
+    def raw(column: str):
+        return F.expr(f"try_element_at(found, '{column}').raw")
+
+    def value(column: str):
+        factor = F.expr(f"try_element_at(found, '{column}').factor")
+        plain = number(raw(column))
+        return F.when(factor == 1, plain).otherwise((plain.cast("double") * factor).try_cast("decimal(38,6)"))
+
+    rows = periods.withColumn("period_end", F.try_to_date("period", "yyyy-MM-dd")).where("reject is not null or period_end is not null")
+    start = F.coalesce(filing_date(raw("period_start")), F.try_to_date("start", "yyyy-MM-dd"))
+    return rows.select(
+        *PLACE, "company_number", "period_end", "n_facts", "reject", start.alias("period_start"),
+        *[value(c).try_cast("decimal(15,2)").alias(c) for c in MONEY_TAGS],
+        *[value(c).try_cast("int").alias(c) for c in COUNT_TAGS],
+        *[raw(c).alias(c) for c in TEXT_TAGS if c != "period_start"],
+        F.lit(SOURCE).alias("source"), F.lit("{}").alias("raw_data"),
     )
 
 
-def records(facts: DataFrame) -> DataFrame:
-    """Table rows of the facts; rows with a ``reject`` reason stand for documents that gave no record."""
-    wide = wide_records(report_facts(facts))
+def records(periods: DataFrame) -> DataFrame:
+    """Table rows of the periods; rows with a ``reject`` reason stand for documents that gave no record."""
+    wide = wide_records(periods)
     extra = [wide.schema[c] for c in (*PLACE, "n_facts", "reject")]
     rows = conform(wide, T.StructType([*FINANCIAL_DATA.fields, *extra]))
     return rows.withColumn("data_hash", row_hash(rows, FINANCIAL_HASH))
 
 
-def parse_documents(documents: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
-    return records(document_facts(documents, apply_sign_scale))
+def parse_documents(documents: DataFrame, apply_sign_scale: bool = False, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
+    return records(document_periods(documents, apply_sign_scale, dictionary))
 
 
-def read_financials(paths: DataFrame, apply_sign_scale: bool = False) -> DataFrame:
-    """Records and rejects of the accounts archives in column ``path``."""
-    listing = with_name_facts(list_entries(paths, XBRL_EXTENSIONS + IXBRL_EXTENSIONS))
-    return records(read_entries(listing, fact_converter(apply_sign_scale), FACTS))
+def read_financials(paths: DataFrame, apply_sign_scale: bool = False, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
+    """Records and rejects of the accounts archives in column ``path``.
+
+    ``dictionary`` replaces the built-in one: column -> candidate tags, the better ones first.
+    """
+    listing = list_entries(paths, XBRL_EXTENSIONS + IXBRL_EXTENSIONS)
+    convert = period_converter(apply_sign_scale, dictionary)
+    return records(read_entries(listing, convert, PERIODS, XBRL_EXTENSIONS + IXBRL_EXTENSIONS))

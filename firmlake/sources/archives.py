@@ -1,8 +1,13 @@
 """ZIP archives as rows.
 
 Archives are opened where they lie and read by seeking, never loaded whole. A listing pass reads only the archives'
-directories; the entries are then spread by archive and position, so one archive with a third of all filings is shared
-by many tasks. A single compressed entry cannot be split and is streamed in batches instead.
+directories; the entries are then dealt by archive and block of positions, so one archive with a third of all filings is
+shared by many tasks. A nested archive is one unit: it is unpacked once, where its entries are read. A single compressed
+CSV or JSON entry cannot be split; it is streamed in blocks, and its rows are dealt out right after reading, so that all
+parsing that follows is shared.
+
+Damage costs as little as possible: an entry whose checksum is wrong, a record with too many fields, a line that is not
+UTF-8 or whose quote stays open becomes one reject, and reading goes on with what follows. Records have no longest length.
 """
 
 from __future__ import annotations
@@ -10,27 +15,31 @@ from __future__ import annotations
 import csv
 import io
 import struct
+import sys
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.csv as pacsv
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ENTRIES = (
-    "archive string, entry string, pos long, inner_pos long, offset long, packed long, unpacked long, method int, "
+    "archive string, entry string, pos long, inner_pos long, offset long, packed long, unpacked long, crc long, method int, "
     "nested boolean, extension string, reject string"
 )
 LINES = "archive string, entry string, line_no long, line string, reject string"
-LINES_PER_BATCH = 10_000
-CSV_BLOCK_BYTES = 16 << 20  # also the longest record
+BLOCK_BYTES = 4 << 20  # lines are handed on in blocks of about this size; a longer line makes a larger block
 ROWS_PER_LISTING = 10_000
+ENTRIES_PER_TASK = 64  # neighbours in an archive that stay together
+MOST_QUOTED_LINES = 20  # lines a quoted value may run over
 
 
 def open_file(path: str):
@@ -47,100 +56,104 @@ def extension(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows spread evenly in key order over as many tasks as a shuffle has.
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Rows dealt by the hash of the keys to as many tasks as a shuffle has.
 
     The count is given outright: rows that stand for whole files are tiny, and adaptive execution would otherwise merge
     them all into one task.
     """
-    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def list_entries(paths: DataFrame, extensions: list[str]) -> DataFrame:
-    """Entries with one of the extensions in the archives of column ``path``, also in archives one level inside.
+    """Entries with one of the extensions in the archives of column ``path``, and a row per nested archive.
 
     Only directories are read. What cannot be opened gives one row with a reject reason.
     """
+    schema = to_arrow_schema(T.StructType.fromDDL(ENTRIES))
 
-    def entries(path):
-        with open_file(path) as f, zipfile.ZipFile(f) as z:
-            for pos, e in enumerate(z.infolist()):
-                place = (e.header_offset, e.compress_size, e.file_size, e.compress_type)
-                kind = extension(e.filename)
-                if kind in extensions:
-                    yield (path, e.filename, pos, 0, *place, False, kind, None)
-                elif kind == "zip":
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(z.read(e))) as inner:
-                            for inner_pos, name in enumerate(inner.namelist()):
-                                if extension(name) in extensions:
-                                    yield (path, name, pos, inner_pos, *place, True, extension(name), None)
-                    except Exception as error:
-                        yield (path, e.filename, pos, 0, *place, True, kind, f"entry: {error}")
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else ([] for _ in schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches):
-        for batch in batches:
-            for path in batch["path"]:
+        for incoming in batches:
+            for path in incoming.column("path").to_pylist():
                 rows = []
                 try:
-                    for row in entries(path):
-                        rows.append(row)
-                        if len(rows) >= ROWS_PER_LISTING:
-                            yield _frame(rows, ENTRIES)
-                            rows = []
+                    with open_file(path) as f, zipfile.ZipFile(f) as z:
+                        for pos, e in enumerate(z.infolist()):
+                            kind = extension(e.filename)
+                            if kind in extensions or kind == "zip":
+                                place = (e.header_offset, e.compress_size, e.file_size, e.CRC, e.compress_type)
+                                rows.append((path, e.filename, pos, 0, *place, kind not in extensions, kind, None))
+                            if len(rows) >= ROWS_PER_LISTING:
+                                yield batch(rows)
+                                rows = []
                 except Exception as error:
-                    rows.append((path, *[None] * 9, f"archive: {error}"))
-                yield _frame(rows, ENTRIES)
-
-    return spread(paths.select("path"), "path").mapInPandas(run, ENTRIES)
+                    rows.append((path, *[None] * 10, f"archive: {error}"))
+                yield batch(rows)
 
+    return spread(paths.select("path"), "path").mapInArrow(run, ENTRIES)
 
-def _frame(rows: list[tuple], ddl: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[part.split()[0] for part in ddl.split(", ")]).astype(object)
 
-
-def _inflate(f, offset: int, packed: int, unpacked: int, method: int) -> bytes:
+def _inflate(f, e: dict) -> bytes:
     """One entry by its place in the archive, without reading the archive's directory again."""
-    f.seek(offset)
+    f.seek(e["offset"])
     name_length, extra_length = struct.unpack("<HH", f.read(30)[26:30])
-    f.seek(offset + 30 + name_length + extra_length)
-    data = f.read(packed)
-    if method == zipfile.ZIP_DEFLATED:
+    f.seek(e["offset"] + 30 + name_length + extra_length)
+    data = f.read(e["packed"])
+    if e["method"] == zipfile.ZIP_DEFLATED:
         data = zlib.decompress(data, -15)
-    elif method != zipfile.ZIP_STORED:
-        raise ValueError(f"compression method {method}")
-    if len(data) != unpacked:
+    elif e["method"] != zipfile.ZIP_STORED:
+        raise ValueError(f"compression method {e['method']}")
+    if len(data) != e["unpacked"]:
         raise ValueError("wrong length")
+    if zlib.crc32(data) != e["crc"]:
+        raise ValueError("wrong checksum")
     return data
 
 
-def read_entries(listing: DataFrame, convert: Callable, ddl: str) -> DataFrame:
+def read_entries(listing: DataFrame, convert: Callable, ddl: str, extensions: list[str]) -> DataFrame:
     """Rows that ``convert`` makes of listed entries.
 
     ``convert`` takes an iterator of (listing row, body) and yields Arrow batches of the schema ``ddl``. It runs where
-    the entry is unpacked, so bodies never leave the task. A row with a reject reason comes without a body.
+    the entry is unpacked, so bodies never leave the task. A row with a reject reason comes without a body. The entries
+    of a nested archive come one after the other, those with one of the extensions.
     """
 
+    def nested(e: dict, body: bytes) -> Iterator[tuple[dict, bytes | None]]:
+        with zipfile.ZipFile(io.BytesIO(body)) as inner:
+            for k, name in enumerate(inner.infolist()):
+                if extension(name.filename) in extensions:
+                    own = {**e, "entry": name.filename, "inner_pos": k, "extension": extension(name.filename)}
+                    try:
+                        yield own, inner.read(name)
+                    except Exception as error:
+                        yield {**own, "reject": f"entry: {error}"}, None
+
     def bodies(batches):
-        handle, opened, inner, inner_at = None, None, None, None
+        handle, opened = None, None
         for batch in batches:
             for e in batch.to_pylist():
-                body = None
+                if e["reject"] is not None:
+                    yield e, None
+                    continue
                 try:
-                    if e["reject"] is None:
-                        if opened != e["archive"]:
-                            handle, opened, inner_at = open_file(e["archive"]), e["archive"], None
-                        if not e["nested"] or inner_at != e["offset"]:
-                            body = _inflate(handle, e["offset"], e["packed"], e["unpacked"], e["method"])
-                        if e["nested"]:
-                            if inner_at != e["offset"]:
-                                inner, inner_at = zipfile.ZipFile(io.BytesIO(body)), e["offset"]
-                            body = inner.read(inner.infolist()[e["inner_pos"]])
+                    if opened != e["archive"]:
+                        handle, opened = open_file(e["archive"]), e["archive"]
+                    body = _inflate(handle, e)
+                    if e["nested"]:
+                        yield from nested(e, body)
+                        continue
                 except Exception as error:
-                    e["reject"], body = f"entry: {error}", None
+                    opened = None
+                    yield {**e, "reject": f"entry: {error}"}, None
+                    continue
                 yield e, body
 
-    return spread(listing, "archive", "pos", "inner_pos").mapInArrow(lambda b: convert(bodies(b)), ddl)
+    dealt = spread(listing, "archive", F.floor(F.col("pos") / ENTRIES_PER_TASK))
+    return dealt.mapInArrow(lambda b: convert(bodies(b)), ddl)
 
 
 def _first_entry(z: zipfile.ZipFile, extensions: tuple[str, ...], any_entry: bool) -> str | None:
@@ -151,16 +164,45 @@ def _first_entry(z: zipfile.ZipFile, extensions: tuple[str, ...], any_entry: boo
     return names[0] if any_entry and names else None
 
 
+def _line_blocks(stream) -> Iterator[list[bytes]]:
+    """Lines of a stream without their ends, in blocks of about BLOCK_BYTES; a line may be of any length."""
+    parts: list[bytes] = []
+    while data := stream.read(BLOCK_BYTES):
+        cut = data.rfind(b"\n") + 1
+        if not cut:
+            parts.append(data)
+            continue
+        yield b"".join([*parts, data[: cut - 1]]).split(b"\n")
+        parts = [data[cut:]]
+    rest = b"".join(parts)
+    if rest:
+        yield rest.split(b"\n")
+
+
+def _texts(lines: list[bytes]) -> tuple[list[str | None], list[str | None]]:
+    """The lines as texts, and a reason for those that are none."""
+    try:
+        return b"\n".join(lines).decode().split("\n"), [None] * len(lines)
+    except UnicodeDecodeError:
+        texts, reasons = [], []
+        for line in lines:
+            try:
+                texts.append(line.decode())
+                reasons.append(None)
+            except UnicodeDecodeError as error:
+                texts.append(None)
+                reasons.append(f"line: {error}")
+        return texts, reasons
+
+
 def read_lines(paths: DataFrame, extensions: tuple[str, ...] = (".json", ".txt")) -> DataFrame:
-    """Lines of the first entry with one of the extensions, else of the first entry."""
-    columns = [part.split()[0] for part in LINES.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-    schema = pa.schema(list(zip(columns, kinds)))
+    """Lines of the first entry with one of the extensions, else of the first entry; a line that is not UTF-8 is a reject."""
+    schema = to_arrow_schema(T.StructType.fromDDL(LINES))
 
-    def batch(archive, entry, first, lines, reject=None):
+    def batch(archive, entry, first, lines, rejects):
         n = len(lines)
-        data = [[archive] * n, [entry] * n, list(range(first, first + n)), lines, [reject] * n]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(data, kinds)], schema=schema)
+        data = [[archive] * n, [entry] * n, range(first, first + n), lines, rejects]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(data, schema)], schema=schema)
 
     def run(batches):
         for incoming in batches:
@@ -170,18 +212,124 @@ def read_lines(paths: DataFrame, extensions: tuple[str, ...] = (".json", ".txt")
                         name = _first_entry(z, extensions, any_entry=True)
                         if name is None:
                             raise ValueError("no entry")
-                        first, lines = 0, []
+                        first = 0
                         with z.open(name) as stream:
-                            for raw in stream:
-                                lines.append(raw.rstrip(b"\r\n").decode("utf-8", "replace"))
-                                if len(lines) >= LINES_PER_BATCH:
-                                    yield batch(path, name, first, lines)
-                                    first, lines = first + len(lines), []
-                        yield batch(path, name, first, lines)
+                            for lines in _line_blocks(stream):
+                                yield batch(path, name, first, *_texts([x.rstrip(b"\r") for x in lines]))
+                                first += len(lines)
                 except Exception as error:
-                    yield batch(path, None, 0, [None], f"archive: {error}")
+                    yield batch(path, None, 0, [None], [f"archive: {error}"])
+
+    return spread(spread(paths.select("path"), "path").mapInArrow(run, LINES), "archive", "line_no")
+
+
+class _Records:
+    """CSV records from lines. Blocks of plain lines go through Arrow's reader, lines it stumbles over one by one."""
+
+    def __init__(self, header: list[str], mapping: dict[str, str]):
+        self.columns = [h if header.index(h) == i else f"_repeat_{i}" for i, h in enumerate(header)]
+        self.header, self.mapping = header, mapping
+        self.wanted = [h for h in dict.fromkeys(header) if h in mapping]
+        self.first = 0  # number of the next record
+        csv.field_size_limit(sys.maxsize)
+
+    def blocks(self, lines: list[bytes], last: bool) -> tuple[list[tuple], list[bytes]]:
+        """(record numbers, rejects, columns) of the lines' records, and lines to be read with the next block."""
+        out: list[tuple] = []
+        lines = [x.rstrip(b"\r") for x in lines]
+        rest = self._read([x for x in lines if x], out, last)
+        return out, rest
+
+    def _read(self, lines: list[bytes], out: list[tuple], last: bool) -> list[bytes]:
+        if not lines:
+            return []
+        if self._plain(lines, out):
+            return []
+        if len(lines) > 1:
+            half = len(lines) // 2
+            rest = self._read(lines[:half], out, False)
+            return self._read(rest + lines[half:], out, last) if len(rest) < half else self._one(lines, out, last)
+        return self._one(lines, out, last)
+
+    def _plain(self, lines: list[bytes], out: list[tuple]) -> bool:
+        """Read lines that are a record each; false, and nothing read, if they are not."""
+        data, odd = b"\n".join(lines) + b"\n", []
 
-    return spread(paths.select("path"), "path").mapInArrow(run, LINES)
+        def set_aside(row):
+            odd.append((row.number, row.expected_columns, row.actual_columns, row.text))
+            return "skip"
+
+        try:
+            data.decode()
+            table = pacsv.read_csv(
+                pa.BufferReader(data),
+                read_options=pacsv.ReadOptions(use_threads=False, column_names=self.columns, block_size=len(data) + 1),
+                parse_options=pacsv.ParseOptions(newlines_in_values=False, invalid_row_handler=set_aside),
+                convert_options=pacsv.ConvertOptions(
+                    column_types={c: pa.string() for c in self.columns}, include_columns=self.wanted, null_values=[""],
+                    strings_can_be_null=True, quoted_strings_can_be_null=True,
+                ),
+            )
+            breaks = b'"' in data and any(pa.compute.any(pa.compute.match_substring(c, "\n")).as_py() for c in table.columns)
+        except (pa.ArrowInvalid, UnicodeDecodeError):
+            return False
+        if table.num_rows + len(odd) != len(lines) or breaks or any(o[3].count('"') % 2 for o in odd):
+            return False
+        aside = {o[0] - 1: o for o in odd}
+        numbers = [self.first + k for k in range(len(lines)) if k not in aside]
+        out.append((numbers, None, {self.mapping[h]: table.column(h).combine_chunks() for h in self.wanted}))
+        for k, (_, expected, actual, text) in sorted(aside.items()):
+            self._aside(self.first + k, text, expected, actual, out)
+        self.first += len(lines)
+        return True
+
+    def _aside(self, number: int, text: str, expected: int, actual: int, out: list[tuple]) -> None:
+        """A record with another number of fields: padded if it has too few, else a reject."""
+        if actual < expected:
+            self._fields(number, next(csv.reader([text])), out)
+        else:
+            out.append(([number], [f"{actual} fields instead of {expected}: {text}"], {}))
+
+    def _fields(self, number: int, fields: list[str], out: list[tuple]) -> None:
+        named = dict(zip(self.header, fields))
+        columns = {self.mapping[h]: pa.array([named.get(h) or None], pa.string()) for h in self.wanted}
+        out.append(([number], None, columns))
+
+    def _one(self, lines: list[bytes], out: list[tuple], last: bool) -> list[bytes]:
+        """The first line is no record of its own: join it with the lines that follow, or set it aside.
+
+        Lines that follow belong to it if they close its quote, give it the right number of fields, and none of them is
+        a record by itself.
+        """
+        if len(lines) <= MOST_QUOTED_LINES and not last:
+            return lines
+        try:
+            lines[0].decode()
+            for k in range(2, min(len(lines), MOST_QUOTED_LINES) + 1):
+                if self._is_record(lines[k - 1]):
+                    break
+                text = b"\n".join(lines[:k]).decode()
+                if text.count('"') % 2 == 0:
+                    rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
+                    if len(rows) == 1 and len(rows[0]) == len(self.header):
+                        self._fields(self.first, rows[0], out)
+                        self.first += 1
+                        return self._read(lines[k:], out, last)
+            reason = "a quote stays open"
+        except UnicodeDecodeError as error:
+            reason = str(error)
+        except csv.Error:
+            reason = "a quote stays open"
+        out.append(([self.first], [f"line: {reason}: {lines[0].decode('utf-8', 'replace')}"], {}))
+        self.first += 1
+        return self._read(lines[1:], out, last)
+
+    def _is_record(self, line: bytes) -> bool:
+        try:
+            rows = list(csv.reader([line.decode()], strict=True))
+        except (csv.Error, UnicodeDecodeError):
+            return False
+        return len(rows) == 1 and len(rows[0]) == len(self.header) > 1 and line.count(b'"') % 2 == 0
 
 
 def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -189,7 +337,8 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
     ``mapping`` gives source column -> target column; header names are trimmed, unmapped columns dropped, missing ones
     NULL, and only the empty text is NULL. A record with too few fields is padded, one with too many goes out with a
-    ``reject`` reason and its text. ``row_no`` is the record's place in the entry.
+    ``reject`` reason and its text, and so does a line that is not UTF-8 or whose quote stays open for more than
+    MOST_QUOTED_LINES lines or up to a line that is a record of its own. ``row_no`` is the record's place in the entry.
     """
     targets = list(mapping.values())
     ddl = "archive string, entry string, row_no long, reject string, " + ", ".join(f"`{t}` string" for t in targets)
@@ -212,60 +361,24 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
                         name = _first_entry(z, (".csv",), any_entry=False)
                         if name is None:
                             raise ValueError("no .csv entry")
-                        yield from records(z, path, name)
+                        with z.open(name) as stream:
+                            for part in records(stream):
+                                yield batch(path, name, *part)
                 except Exception as error:
                     yield batch(path, None, [0], [f"archive: {error}"], {})
 
-    def records(z, path, name):
-        with z.open(name) as head:
-            header = [h.strip() for h in next(csv.reader(io.TextIOWrapper(head, "utf-8-sig", newline="")), [])]
-        wanted = [h for h in dict.fromkeys(header) if h in mapping]
-        odd = []
-
-        def set_aside(row):
-            odd.append((row.number, row.expected_columns, row.actual_columns, row.text))
-            return "skip"
-
-        columns = [h if header.index(h) == i else f"_repeat_{i}" for i, h in enumerate(header)]
-        with z.open(name) as stream:
-            reader = pacsv.open_csv(
-                stream,
-                read_options=pacsv.ReadOptions(
-                    use_threads=False, column_names=columns, skip_rows=1, block_size=CSV_BLOCK_BYTES
-                ),
-                parse_options=pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=set_aside),
-                convert_options=pacsv.ConvertOptions(
-                    column_types={c: pa.string() for c in columns}, include_columns=wanted, null_values=[""],
-                    strings_can_be_null=True, quoted_strings_can_be_null=True, check_utf8=False,
-                ),
-            )
-            first_row, seen = 0, 0
-            for part in reader:
-                # Records set aside leave gaps in the numbering of the others.
-                gaps = np.array([(o[0] or 0) - 2 for o in odd], dtype=np.int64)
-                span = np.arange(first_row, first_row + part.num_rows + len(gaps))
-                row_nos = np.setdiff1d(span, gaps)[: part.num_rows]
-                first_row = int(row_nos[-1]) + 1 if len(row_nos) else first_row
-                data = {mapping[h]: part.column(h) for h in wanted}
-                yield batch(path, name, row_nos, None, data)
-                if len(odd) > seen:
-                    yield set_aside_rows(path, name, header, odd[seen:])
-                    seen = len(odd)
-            if len(odd) > seen:
-                yield set_aside_rows(path, name, header, odd[seen:])
-
-    def set_aside_rows(path, name, header, odd):
-        row_nos, reject, values = [], [], {t: [] for t in targets}
-        for number, expected, actual, text in odd:
-            row_nos.append((number or 0) - 2)
-            short = actual < expected
-            reject.append(None if short else f"{actual} fields instead of {expected}: {text}")
-            fields = dict(zip(header, next(csv.reader([text])))) if short else {}
-            for source, target in mapping.items():
-                values[target].append(fields.get(source) or None)
-        return batch(path, name, row_nos, reject, {t: pa.array(v, pa.string()) for t, v in values.items()})
-
-    return spread(paths.select("path"), "path").mapInArrow(run, ddl)
+    def records(stream):
+        reader, rest = None, []
+        for lines in _line_blocks(stream):
+            if reader is None:
+                first = lines.pop(0).rstrip(b"\r").decode("utf-8-sig")
+                reader = _Records([h.strip() for h in next(csv.reader([first]), [])], mapping)
+            out, rest = reader.blocks(rest + lines, last=False)
+            yield from out
+        if reader is not None:
+            yield from reader.blocks(rest, last=True)[0]
+
+    return spread(spread(paths.select("path"), "path").mapInArrow(run, ddl), "archive", "row_no")
 
 
 def _write(path: str, entries) -> pd.DataFrame:

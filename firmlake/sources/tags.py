@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,25 +12,43 @@ from firmlake.schemas import COUNT_TAGS, MONEY_TAGS, TAG_DICTIONARY
 DICTIONARY = "column string, tag string, priority int, numeric boolean"
 
 
-def tag_dictionary(spark: SparkSession, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per column and candidate tag in lower case; a lower priority is better.
+def spellings(tag: str) -> list[str]:
+    """A tag in lower case, and without ``-`` and ``_`` where that differs."""
+    return list(dict.fromkeys([tag.lower(), tag.lower().replace("-", "").replace("_", "")]))
+
 
-    A second spelling without ``-`` and ``_`` is listed when it differs. The size is that of the dictionary constant.
-    """
-    rows = []
+def is_numeric(column: str) -> bool:
+    return column in MONEY_TAGS or column in COUNT_TAGS
+
+
+def candidates(dictionary: dict[str, list[str]] | None = None) -> dict[str, list[tuple[str, int, bool]]]:
+    """Spelling -> (column, priority, numeric) of the columns that accept it; a lower priority is better."""
+    found: dict[str, list[tuple[str, int, bool]]] = {}
     for column, tags in (dictionary or TAG_DICTIONARY).items():
         for priority, tag in enumerate(tags):
-            for spelling in dict.fromkeys([tag.lower(), tag.lower().replace("-", "").replace("_", "")]):
-                rows.append((column, spelling, priority, column in MONEY_TAGS or column in COUNT_TAGS))
+            for spelling in spellings(tag):
+                found.setdefault(spelling, []).append((column, priority, is_numeric(column)))
+    return found
+
+
+def tag_dictionary(spark: SparkSession, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per column and candidate tag. The size is that of the dictionary, which is a constant."""
+    rows = [(c, tag, priority, numeric) for tag, found in candidates(dictionary).items() for c, priority, numeric in found]
     return spark.createDataFrame(rows, DICTIONARY)
 
 
+def load_tag_dictionary(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """A dictionary kept as a JSON object ``column -> [tags]``: a configuration file that the driver reads."""
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    found = json.loads(text)
+    if not isinstance(found, dict) or not all(isinstance(tags, list) for tags in found.values()):
+        raise ValueError(f"{path} is no JSON object of lists")
+    return {str(column): [str(tag) for tag in tags] for column, tags in found.items()}
+
+
 def read_tag_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """A dictionary kept as a JSON object ``column -> [tags]``, read as ``(column, tag, priority)``."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.map_entries(F.from_json("value", "map<string, array<string>>")))
-    pairs = text.select(entries.alias("e")).select("e.key", F.posexplode("e.value").alias("priority", "tag"))
-    return pairs.select(F.col("key").alias("column"), F.lower("tag").alias("tag"), "priority")
+    """The same dictionary as rows, as ``tag_dictionary`` gives them."""
+    return tag_dictionary(spark, load_tag_dictionary(spark, path))
 
 
 def read_taxonomies(spark: SparkSession, *paths: str) -> DataFrame:
@@ -39,9 +59,3 @@ def read_taxonomies(spark: SparkSession, *paths: str) -> DataFrame:
         .where(F.col("tag").isNotNull())
         .select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("taxonomy"), "tag", "uses", "numeric_uses")
     )
-
-
-def wanted_names(dictionary: dict[str, list[str]] | None = None) -> frozenset[str]:
-    """Lower-cased local tag names that some column accepts."""
-    tags = {t.lower() for tags in (dictionary or TAG_DICTIONARY).values() for t in tags}
-    return frozenset(tags | {t.replace("-", "").replace("_", "") for t in tags})

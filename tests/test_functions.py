@@ -76,3 +76,13 @@ def test_trigrams(spark):
     sims = column(spark, ["word", "two words", "", None], lambda c: text.trigram_similarity(c, F.lit("word")))
     assert sims[0] == 1.0 and abs(sims[1] - 4 / 11) < 1e-9
     assert sims[2] == 0.0
+
+
+def test_name_facts_of_one_name_and_of_a_column_agree(spark):
+    from firmlake.functions.filing import company_number_from_name, name_facts, period_end_from_name
+
+    names = ["Prod223_2125_09652609_20180331.html", "a_b_SC123456_20181399.xml", "x_00001234_.htm", "filing-1.html", "SC123456 x.html",
+             "p_q_short_00000101.xml", "_12345678.html", "", "a_b_12345678"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = df.select("name", company_number_from_name(F.col("name")).alias("c"), period_end_from_name(F.col("name")).alias("d")).collect()
+    assert {r["name"]: (r["c"], r["d"]) for r in got} == {n: name_facts(n) for n in names}

@@ -5,12 +5,15 @@ import zipfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from firmlake.plans.products import ACCOUNTS, COMPANY, PSC, accepted, rejects
-from firmlake.sources.accounts import parse_documents
+from firmlake.sources import archives
+from firmlake.sources.accounts import parse_documents, resolve_tags
+from firmlake.sources.archives import read_csv, read_lines
 from firmlake.sources.company_csv import CSV_COLUMNS
 from firmlake.sources.psc_json import parse_lines
-from firmlake.sources.tags import read_tag_dictionary, read_taxonomies, tag_dictionary
+from firmlake.sources.tags import load_tag_dictionary, read_tag_dictionary, read_taxonomies, tag_dictionary
 
 
 def make_zip(path, **entries):
@@ -76,6 +79,82 @@ def test_company_csv(spark, folder):
     assert places == [0, 1, 2, 3, 4]
 
 
+def csv_rows(spark, folder, body):
+    z = make_zip(os.path.join(folder, "one.zip"), **{"a.csv": body})
+    found = read_csv(paths(spark, z), {"A": "a", "B": "b"}).orderBy("row_no").collect()
+    return [(r["row_no"], r["a"], r["b"], r["reject"] and r["reject"].split(":")[0]) for r in found]
+
+
+def test_an_open_quote_costs_one_line(spark, folder):
+    body = 'A,B\n1,one\n2,"two\n3,"three"\n4,four\n5,"fi\nve"\n6,six,more\n7\n' + "8,\xff\n".replace("\xff", "z") + '9,"x"" y"\n'
+    got = csv_rows(spark, folder, body)
+    assert got == [(0, "1", "one", None), (1, None, None, "line"), (2, "3", "three", None), (3, "4", "four", None), (4, "5", "fi\nve", None),
+                   (5, None, None, "3 fields instead of 2"), (6, "7", None, None), (7, "8", "z", None), (8, "9", 'x" y', None)]
+
+
+def test_an_open_quote_in_a_large_entry(spark, folder, monkeypatch):
+    rows = [f"{k},name {k}" for k in range(60_000)]
+    rows[1] = '1,"name 1'
+    rows[59_999] = '59999,"end'
+    got = csv_rows(spark, folder, "A,B\n" + "\n".join(rows))
+    assert len(got) == 60_000 and [r[0] for r in got if r[3]] == [1, 59_999] and got[2] == (2, "2", "name 2", None)
+
+
+def test_a_record_longer_than_any_block(spark, folder):
+    long = "x" * (archives.BLOCK_BYTES * 3)
+    got = csv_rows(spark, folder, f'A,B\n1,one\n2,"{long}, y"\n3,three\n')
+    assert [(r[1], len(r[2]), r[3]) for r in got] == [("1", 3, None), ("2", len(long) + 3, None), ("3", 5, None)]
+
+
+def test_bytes_that_are_no_text(spark, folder):
+    z = make_zip(os.path.join(folder, "b.zip"), **{"a.csv": b"A,B\n1,one\n2,\xff\xfe\n3,three\n"})
+    found = read_csv(paths(spark, z), {"A": "a", "B": "b"}).orderBy("row_no").collect()
+    assert [(r["a"], r["reject"] is None) for r in found] == [("1", True), (None, False), ("3", True)]
+    z = make_zip(os.path.join(folder, "l.zip"), **{"a.json": b"{}\n\xff\n[]"})
+    found = read_lines(paths(spark, z)).orderBy("line_no").collect()
+    assert [(r["line"], r["reject"] is None) for r in found] == [("{}", True), (None, False), ("[]", True)]
+
+
+def test_the_rows_of_one_archive_are_shared(spark, folder):
+    z = make_zip(os.path.join(folder, "one.zip"), **{"a.csv": "A,B\n" + "".join(f"{k},x\n" for k in range(4000)), "a.json": "{}\n" * 4000})
+    for df in (read_csv(paths(spark, z), {"A": "a", "B": "b"}), read_lines(paths(spark, z), (".json",))):
+        tasks = df.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 8 and max(r["count"] for r in tasks) < 800
+
+
+def test_damaged_entries_cost_themselves(spark, folder):
+    path = make_zip(os.path.join(folder, "d.zip"), **{f"Prod_1_{k:08d}_20180331.html": INLINE for k in range(4)})
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for k in range(4):
+            z.writestr(f"Prod_1_{k:08d}_20180331.html", INLINE)
+    data = bytearray(open(path, "rb").read())
+    at = data.index(b"1,234", data.index(b"Prod_1_00000002"))
+    data[at] = ord("9")  # another digit in a stored entry: only the checksum tells
+    open(path, "wb").write(data)
+    odd = {"odd.xml": "<?xml version='1.0' encoding='foo'?><a/>", "wide.xml": XBRL.replace("?>", " encoding='utf-16'?>", 1)}
+    second = make_zip(os.path.join(folder, "e.zip"), **odd)
+    parsed = ACCOUNTS.read(paths(spark, path, second)).collect()
+    assert sorted(r["company_number"] for r in parsed if r["reject"] is None) == ["00000000", "00000001", "00000003"]
+    assert sorted(r["entry"] for r in parsed if r["reject"]) == ["Prod_1_00000002_20180331.html", "odd.xml", "wide.xml"]
+
+
+def test_a_dictionary_of_one_s_own(spark, folder):
+    with open(os.path.join(folder, "own.json"), "w") as f:
+        f.write('{"turnover": ["Creditors"], "debtors": ["Turnover_Revenue"]}')
+    own = load_tag_dictionary(spark, os.path.join(folder, "own.json"))
+    r = parse_documents(documents(spark, ("Prod223_2125_09652609_20180331.html", INLINE)), dictionary=own).first()
+    assert (r["turnover"], r["debtors"], r["creditors"], r["n_facts"]) == (Decimal("500.00"), Decimal("1234.00"), None, 2)
+    facts = [(1, 1, "uk:Creditors", "creditors", "5", Decimal(5)), (1, 2, "uk:TurnoverRevenue", "turnoverrevenue", "7", Decimal(7))]
+    df = spark.createDataFrame(facts, "id int, n int, tag string, local string, raw string, value decimal(38,6)")
+    got = resolve_tags(df, ["id"], read_tag_dictionary(spark, os.path.join(folder, "own.json"))).collect()
+    assert {(x["column"], x["raw"]) for x in got} == {("turnover", "5"), ("debtors", "7")}
+
+
+def test_no_shuffle_before_the_rows_are_made_unique(spark, capsys):
+    parse_documents(documents(spark, ("Prod223_2125_09652609_20180331.html", INLINE))).explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_latest_file_wins(spark, folder):
     names = ["BasicCompanyData-2025-01-01-part2_10.zip", "BasicCompanyData-2025-01-01-part10_10.zip",
              "a/BasicCompanyData-2024-12-01-part1_1.zip"]
@@ -207,7 +286,7 @@ def test_tag_sources(spark, folder):
     with open(os.path.join(folder, "d.json"), "w") as f:
         f.write('{"turnover": ["A", "b-c"], "debtors": ["D"]}')
     got = sorted(tuple(r) for r in read_tag_dictionary(spark, os.path.join(folder, "d.json")).collect())
-    assert got == [("debtors", "d", 0), ("turnover", "a", 0), ("turnover", "b-c", 1)]
+    assert got == [("debtors", "d", 0, True), ("turnover", "a", 0, True), ("turnover", "b-c", 1, True), ("turnover", "bc", 1, True)]
     with open(os.path.join(folder, "tax.csv"), "w") as f:
         f.write(",Element Count,Element Name,Of Which are Numerical,source\n86,4.0,fixedassets,4.0,all\n")
     assert tuple(read_taxonomies(spark, os.path.join(folder, "tax.csv")).first()) == ("tax", "fixedassets", 4.0, 4.0)
