@@ -6,14 +6,14 @@
 2. Bins are banded ROWS at a time. In each bucket the least class is the hub, and every other class gets one edge to it:
    a bucket of n classes yields n - 1 candidate edges.
 3. Each edge is confirmed on the full sets: 100 * intersection >= 75 * union.
-4. A star can miss a link between two classes that are both unlike the hub. So the candidate edges' own components
-   (families) that fell apart into several components are searched once more, in blocks: classes of different components
-   whose signatures agree in nearly three quarters of the bins are confirmed on the full sets as well. Families of which
-   all classes are linked already, the usual case for groups of copies, cost nothing here.
-5. Components by alternating stars.
+4. Confirmed links give components, by alternating stars.
+5. A star can miss a link between two classes that are both unlike the hub. So components that a rejected edge ties
+   together (families) are searched once more, in blocks: classes of different components whose signatures agree in
+   nearly three quarters of the bins are confirmed on the full sets as well, and their links merge components. Groups of
+   copies that are linked already, the usual case, cost nothing here.
 
 With BANDS bands of ROWS rows, a pair at the threshold shares no bucket with probability (1 - 0.75^4)^48 = 1.2e-8; the
-agreement asked for in step 4 lies four and a half standard deviations below the threshold.
+agreement asked for in step 5 lies four and a half standard deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.llm.components import components
+from firmlake.llm.common import fresh
+from firmlake.llm.components import components, settle_rows
 from firmlake.session import settle
 
 SHINGLE = 5
@@ -34,8 +35,8 @@ ROWS, BANDS = 4, 48
 BINS = ROWS * BANDS
 SHARE = (75, 100)
 ATTEMPTS = 1024
-AGREE = round(BINS * 0.75 - 4.5 * (BINS * 0.75 * 0.25) ** 0.5)  # equal bins that step 4 asks for
-BLOCK = 2048  # classes of a family that are compared in one task
+AGREE = round(BINS * 0.75 - 4.5 * (BINS * 0.75 * 0.25) ** 0.5)  # equal bins that step 5 asks for
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # classes of a family, and their shingles, that are compared in one task
 MOST_WORDS = 1 << 20  # word hashes a worker keeps
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -174,57 +175,77 @@ def confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return with_one.join(two, "u").select("u", "v", "_a", "_b").mapInArrow(_confirm, "u long, v long")
 
 
-def _similar(left: np.ndarray, right: np.ndarray, n_left, n_right, c_left, c_right, same: bool):
-    """Index pairs of different components whose sizes and signatures allow a link."""
-    order = np.argsort(n_right, kind="stable")
-    sizes = n_right[order]
-    for i in range(len(left)):
-        low = np.searchsorted(sizes, -(-n_left[i] * SHARE[0] // SHARE[1]), side="left")
-        high = np.searchsorted(sizes, n_left[i] * SHARE[1] // SHARE[0], side="right")
+class _Sets(dict):
+    """The set that each number stands in, while sets are merged."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+
+def _alike(left, right, same: bool) -> list[tuple[int, int, int]]:
+    """(equal bins, i, j) of rows of different components whose sizes and signatures allow a link, most alike first."""
+    signs, sizes, component = left
+    other_signs, other_sizes, other_component = right
+    order = np.argsort(other_sizes, kind="stable")
+    sorted_sizes, out = other_sizes[order], []
+    for i in range(len(signs)):
+        low = np.searchsorted(sorted_sizes, -(-sizes[i] * SHARE[0] // SHARE[1]), side="left")
+        high = np.searchsorted(sorted_sizes, sizes[i] * SHARE[1] // SHARE[0], side="right")
         js = order[low:high]
-        js = js[c_right[js] != c_left[i]]
+        js = js[other_component[js] != component[i]]
         if same:
             js = js[js > i]
-        if len(js):
-            js = js[(right[js] == left[i]).sum(axis=1) >= AGREE]
-            yield from ((i, int(j)) for j in js)
+        agree = (other_signs[js] == signs[i]).sum(axis=1)
+        near = agree >= AGREE
+        out += zip(agree[near].tolist(), [i] * int(near.sum()), js[near].tolist())
+    return sorted(out, reverse=True)
 
 
 def _blocks(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    same = key[1].as_py() == key[2].as_py()
-    read = lambda t: (
-        t.column("node").to_numpy(), np.frombuffer(b"".join(t.column("_sign").to_pylist()), np.uint16).reshape(-1, BINS),
-        t.column("n_shingles").to_numpy(), t.column("component").to_numpy(),
-    )
+    """Links between the components of two blocks: enough of them to merge all that are linked."""
     u, v = [], []
     if left.num_rows and right.num_rows:
-        a, sa, na, ca = read(left)
-        b, sb, nb, cb = read(right)
-        for i, j in _similar(sa, sb, na, nb, ca, cb, same):
-            u.append(min(a[i], b[j]))
-            v.append(max(a[i], b[j]))
+
+        def read(t: pa.Table):
+            signs = np.frombuffer(b"".join(t.column("_sign").to_pylist()), np.uint16).reshape(-1, BINS)
+            return signs, t.column("n_shingles").to_numpy(), t.column("component").to_numpy()
+
+        one, two = read(left), read(right)
+        pairs = _alike(one, two, key[1].as_py() == key[2].as_py())
+        sets, merged = ({}, {}), _Sets()
+
+        def full(side: int, table: pa.Table, k: int) -> np.ndarray:
+            if k not in sets[side]:
+                sets[side][k] = shingles(table.column("text")[k].as_py())
+            return sets[side][k]
+
+        for _, i, j in pairs:
+            a, b = merged.find(int(one[2][i])), merged.find(int(two[2][j]))
+            if a != b and linked(full(0, left, i), full(1, right, j)):
+                merged[max(a, b)] = min(a, b)
+                u.append(one[2][i])
+                v.append(two[2][j])
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def across(members: DataFrame) -> DataFrame:
-    """Candidate edges between components of a family; ``members``: node, family, component, n_shingles, _sign.
+    """Links ``u, v`` between components of a family; ``members``: family, component, node, n_shingles, _sign, text.
 
-    A family is cut into blocks of about BLOCK classes by the hash of the class; each pair of blocks is one group, so a
-    task holds two blocks whatever the family's size.
+    A family is cut into blocks of at most about BLOCK classes and BLOCK_SHINGLES shingles by the hash of the class; each
+    pair of blocks is one group, so a task holds two blocks whatever the family's size. Only links that merge
+    components come out, not the pairs that were compared.
     """
-    counts = members.groupBy("family").agg(
-        F.count("*").alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")
-    ).where("_a <> _b").select("family", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_k"))
-    rows = members.join(settle(counts, "families"), "family").withColumn(
-        "_own", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
-    )
-    others = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
-    rows = rows.withColumn("_other", others)
-    columns = ["family", "_i", "_j", "node", "component", "n_shingles", "_sign"]
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    counts = settle_rows(members.groupBy("family").agg(parts.alias("_k")), "blocks", 1)
+    rows = members.join(counts, "family").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    columns = ["family", "_i", "_j", "component", "n_shingles", "_sign", "text"]
     left = rows.where("_own <= _other").withColumns({"_i": F.col("_own"), "_j": F.col("_other")}).select(columns)
     right = rows.where("_other <= _own").withColumns({"_i": F.col("_other"), "_j": F.col("_own")}).select(columns).toDF(*columns)
     keys = ["family", "_i", "_j"]
-    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(_blocks, "u long, v long").distinct()
+    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(_blocks, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -256,30 +277,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = settle(hubs.select("key", "hub"), "hubs")
     edges = entries.join(hubs, "key").where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     edges = settle(edges.distinct(), "edges")
-
-    needed = edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "node")
-    needed = settle(nodes.select("node", "first_doc").join(needed, "node").dropDuplicates(["node"]), "needed")
-    named = classes.select("node", "_c1", "_c2")
-    texts = _texts(docs, needed, named)
-    links = settle(confirm(edges, texts), "links")
-
-    members = components(links).withColumnRenamed("node", "_node")
-    family = components(edges)
-    joined = family.withColumnRenamed("component", "family").join(members, F.col("node") == F.col("_node"), "left").select(
-        "node", "family", F.coalesce("component", "node").alias("component")
-    )
-    joined = settle(joined, "members")
-    apart = joined.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    open_members = joined.join(settle(apart.select("family"), "apart"), "family").join(
-        nodes.select("node", "n_shingles", "_sign").dropDuplicates(["node"]), "node"
-    )
-    more = settle(across(settle(open_members, "open")), "more")
-    more_links = confirm(more, texts)
-    found = settle(components(links.union(more_links)), "components")
+    n_edges = edges.count()
+    ends = edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "node")
+    needed = nodes.select("node", "first_doc").join(ends, "node").dropDuplicates(["node"])
+    texts = _texts(docs, settle_rows(needed, "needed", n_edges), classes.select("node", "_c1", "_c2"))
+    links = settle_rows(confirm(edges, texts), "links", n_edges)
+    members = settle_rows(components(links, n_edges), "members", n_edges)
+    found = _search_families(edges, members, nodes, texts, n_edges)
 
     known = classes.select("node", "_c1", "_c2", "first_doc").join(found, "node", "left").select(
         "_c1", "_c2", "first_doc", F.coalesce("component", "node").alias("component")
     )
+    known = settle(known, "known")
     least = known.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = settle(known.join(settle(least, "least"), "component").select("_c1", "_c2", "component_id"), "named")
     out = described.select("doc_id", "n_shingles", "_c1", "_c2").join(named, ["_c1", "_c2"], "left")
@@ -289,6 +298,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _named(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The components of the pairs' nodes, where they differ; a node without links is its own component."""
+    one = members.select(F.col("node").alias("_u"), F.col("component").alias("_cu"))
+    two = members.select(F.col("node").alias("_v"), F.col("component").alias("_cv"))
+    both = pairs.join(one, F.col("u") == F.col("_u"), "left").join(two, F.col("v") == F.col("_v"), "left")
+    both = both.select(F.coalesce("_cu", "u").alias("u"), F.coalesce("_cv", "v").alias("v"))
+    return both.where("u <> v").distinct()
+
+
+def _search_families(edges: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+    """``node, component`` after links between components that stars missed."""
+    rejected = settle_rows(_named(edges, members), "rejected", rows)
+    n_rejected = rejected.count()
+    if not n_rejected:
+        return members
+    family = settle_rows(components(rejected, n_rejected), "families", n_rejected)
+    family = family.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    own = members.union(family.join(members, family["component"] == members["node"], "left_anti").select(
+        family["component"].alias("node"), family["component"].alias("component")))
+    own = own.join(family, "component").join(nodes.select("node", "n_shingles", "_sign").dropDuplicates(["node"]), "node")
+    more = settle_rows(across(settle(own.join(texts, "node"), "open")), "links", rows)
+    root = settle_rows(components(more, n_rejected), "roots", n_rejected)
+    root = root.select(F.col("node").alias("_c"), F.col("component").alias("_root"))
+    both = members.union(more.select("u", "u").union(more.select("v", "v")).distinct()).distinct()
+    return both.join(root, F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_root", "component").alias("component"))
+
+
 def _texts(docs: DataFrame, needed: DataFrame, named: DataFrame) -> DataFrame:
     """``node, text``: the text of each class that stands in an edge, from its document with the least id."""
     wanted = needed.join(named, "node").select("node", "first_doc", "_c1", "_c2")
@@ -312,7 +348,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows that share a ``doc_id`` stay or go together.
     """
-    marks = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    id_ = fresh(docs.columns, "_id")
+    marks = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("_n"))
     marks = settle(marks, "kept")
-    kept = docs.join(marks.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = docs.join(marks.select(id_), F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
     return kept if marks.where("_n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
