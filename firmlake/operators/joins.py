@@ -1,88 +1,30 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins with a parent table.
+
+One company may own a large share of the children. These joins keep the children on the left, beside plain rows on the
+right, so that adaptive execution can split the partition of such a company; nothing is counted or salted beforehand.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_HOT_KEYS = 1000
-TRACKED_KEYS = 10_000
-
-
-def key_text(keys: list[str]) -> Column:
-    """One text per key combination; NULL when any part is NULL."""
-    if len(keys) == 1:
-        return F.col(keys[0]).cast("string")
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
-    return F.when(whole, F.to_json(F.struct(*[F.col(k) for k in keys])))
-
-
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that hold more rows than two average shuffle partitions: ``(_hot, _pieces)``.
-
-    A frequent-items sketch finds them in one pass over the key columns. At most MOST_HOT_KEYS rows come out, whatever
-    the input's size, which is what makes broadcasting them safe. The counts only steer how rows are spread.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketch = F.expr(f"approx_top_k(_key, {MOST_HOT_KEYS}, {TRACKED_KEYS})")
-    counted = df.select(key_text(keys).alias("_key")).where("_key is not null")
-    top = counted.agg(sketch.alias("_top"), F.count("*").alias("_total"))
-    return (
-        top.select(F.explode("_top").alias("_t"), "_total")
-        .select(
-            F.col("_t.item").alias("_hot"),
-            F.ceil(F.col("_t.count") * partitions / F.col("_total")).cast("int").alias("_pieces"),
-        )
-        .where("_pieces > 2")
-    )
-
-
-def spread_join(
-    many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", hot_from: DataFrame | None = None
-) -> DataFrame:
-    """Equi-join of a skewed frame with one that has few rows per key.
-
-    Rows of a hot key on the ``many`` side are spread over pieces by a hash of the whole row; the matching rows of the
-    ``one`` side are repeated once per piece. Everything else joins as usual. Rows with a NULL key, which match nothing,
-    are spread as well. ``how`` is inner, left, left_semi or left_anti, seen from the ``many`` side. The hot keys are
-    looked up in ``hot_from``: give the stored table there when ``many`` is costly to compute. Exact copies of a row
-    share a piece, so take duplicates out first.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type: {how}")
-    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(many if hot_from is None else hot_from, keys))
-
-    spread = F.abs(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]) % 1_000_003).cast("int")
-    left = many.withColumn("_hot", key_text(keys)).join(hot, "_hot", "left")
-    left = left.withColumn(
-        "_piece",
-        F.when(F.col("_hot").isNull(), spread % partitions)
-        .when(F.col("_pieces").isNotNull(), spread % F.col("_pieces"))
-        .otherwise(0),
-    ).drop("_hot", "_pieces")
 
-    right = one.withColumn("_hot", key_text(keys)).join(hot, "_hot", "left")
-    pieces = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
-    right = right.withColumn("_piece", F.explode(pieces)).drop("_hot", "_pieces")
-    return left.join(right, [*keys, "_piece"], how).drop("_piece")
+def _known(parents: DataFrame, key: str) -> DataFrame:
+    return parents.select(key).where(F.col(key).isNotNull())
 
 
-def guard_orphans(
-    rows: DataFrame, parents: DataFrame, key: str = "company_number", hot_from: DataFrame | None = None
-) -> DataFrame:
+def guard_orphans(rows: DataFrame, parents: DataFrame, key: str = "company_number") -> DataFrame:
     """Rows whose parent exists."""
-    return spread_join(rows, parents.select(key).where(F.col(key).isNotNull()), [key], "left_semi", hot_from)
+    return rows.join(_known(parents, key), key, "left_semi")
 
 
 def orphans(rows: DataFrame, parents: DataFrame, key: str = "company_number") -> DataFrame:
     """Rows whose parent is missing: what ``guard_orphans`` leaves out."""
-    return spread_join(rows, parents.select(key).where(F.col(key).isNotNull()), [key], "left_anti")
+    return rows.join(_known(parents, key), key, "left_anti")
 
 
 def flag_existing(df: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """Boolean column: does the row's key occur in the other frame?"""
-    seen = other.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
+    seen = _known(other, key).distinct().withColumn(name, F.lit(True))
     return df.join(seen, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,11 @@ from firmlake import schemas
 from firmlake.functions.company import industry_category, primary_sic, quality_score
 from firmlake.functions.finance import current_ratio, debt_to_equity, profit_margin
 from firmlake.operators.expectations import company_rules, financial_rules, officer_rules, split
-from firmlake.operators.joins import guard_orphans, spread_join
+from firmlake.operators.joins import guard_orphans, orphans
 from firmlake.operators.latest import latest_per_key
 from firmlake.operators.upsert import changes
 from firmlake.plans.validation import LEAST_SCORE, validate_batch
+from firmlake.session import discard, settle
 from firmlake.sources.logs import log_merge
 from firmlake.sources.tables import KeyedTable
 
@@ -38,7 +40,7 @@ def eligible_companies(companies: DataFrame, batch_id: str) -> DataFrame:
 
 def _children(rows: DataFrame, companies: DataFrame, batch_id: str) -> DataFrame:
     numbers = _cleared(companies, batch_id).select("company_number").where("company_number is not null")
-    return spread_join(rows, numbers, ["company_number"], "left_semi")
+    return rows.join(numbers, "company_number", "left_semi")
 
 
 def eligible_officers(officers: DataFrame, companies: DataFrame, batch_id: str) -> DataFrame:
@@ -96,33 +98,41 @@ def _promote(rows: DataFrame, production: DataFrame, keys: list[str], batch_id:
     )
 
 
+def _companies(eligible: DataFrame, production: DataFrame, batch_id: str, now: Column, parity: bool):
+    rows = company_rows(eligible)
+    valid, broken = split(rows, company_rules(rows))
+    return _promote(valid, production, schemas.COMPANY_KEY, batch_id, now, PARITY_KEPT["companies"] if parity else []), broken
+
+
+def _officers(eligible: DataFrame, production: DataFrame, batch_id: str, now: Column, parity: bool):
+    rows = latest_per_key(officer_rows(eligible), schemas.OFFICER_KEY, ["last_updated", "data_hash"])
+    valid, broken = split(rows, officer_rules(rows))
+    return _promote(valid, production, schemas.OFFICER_KEY, batch_id, now, PARITY_KEPT["officers"] if parity else []), broken
+
+
+def _financials(eligible: DataFrame, production: DataFrame, batch_id: str, now: Column, parity: bool):
+    rows = financial_rows(eligible)
+    valid, broken = split(rows, financial_rules(rows.select("company_number", "source")))
+    return _promote(valid, production, schemas.FINANCIAL_KEY, batch_id, now, PARITY_KEPT["financials"] if parity else []), broken
+
+
 def promote_companies(staged: DataFrame, production: DataFrame, batch_id: str, now: Column, parity: bool = False):
     """(production rows that the batch's companies give, rows that break a table rule); staged keys are unique."""
-    kept = PARITY_KEPT["companies"] if parity else []
-    rows = company_rows(eligible_companies(staged, batch_id))
-    valid, broken = split(rows, company_rules(rows))
-    return _promote(valid, production, schemas.COMPANY_KEY, batch_id, now, kept), broken
+    return _companies(eligible_companies(staged, batch_id), production, batch_id, now, parity)
 
 
 def promote_officers(
     officers: DataFrame, companies: DataFrame, production: DataFrame, batch_id: str, now: Column, parity: bool = False
 ):
     """As for companies. A role that becomes ``unknown`` may meet another row's key; the later staged row counts."""
-    kept = PARITY_KEPT["officers"] if parity else []
-    rows = officer_rows(eligible_officers(officers, companies, batch_id))
-    rows = latest_per_key(rows, schemas.OFFICER_KEY, ["last_updated", "data_hash"])
-    valid, broken = split(rows, officer_rules(rows))
-    return _promote(valid, production, schemas.OFFICER_KEY, batch_id, now, kept), broken
+    return _officers(eligible_officers(officers, companies, batch_id), production, batch_id, now, parity)
 
 
 def promote_financials(
     financials: DataFrame, companies: DataFrame, production: DataFrame, batch_id: str, now: Column, parity: bool = False
 ):
     """As for companies; a period must have a start before its end."""
-    kept = PARITY_KEPT["financials"] if parity else []
-    rows = financial_rows(eligible_financials(financials, companies, batch_id))
-    valid, broken = split(rows, financial_rules(rows.select("company_number", "source")))
-    return _promote(valid, production, schemas.FINANCIAL_KEY, batch_id, now, kept), broken
+    return _financials(eligible_financials(financials, companies, batch_id), production, batch_id, now, parity)
 
 
 def mark_merged(staged: DataFrame, now: Column) -> DataFrame:
@@ -141,6 +151,7 @@ class Tables:
     production_financials: KeyedTable
     ingestion_log: str
     merge_log: str
+    file_log: str
     rejects: str
 
     @classmethod
@@ -156,21 +167,27 @@ class Tables:
         }
         tables = {n: KeyedTable(spark, f"{folder}/{n}", schema, keys) for n, (schema, keys) in plan.items()}
         return cls(**tables, ingestion_log=f"{folder}/ingestion_log", merge_log=f"{folder}/merge_log",
-                   rejects=f"{folder}/rejects")
+                   file_log=f"{folder}/file_log", rejects=f"{folder}/rejects")
+
+
+def _stored(rows: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key was written; NULL key parts are equal to each other."""
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
+    return rows.alias("r").join(written.select(*keys).alias("w"), same, "left_semi")
 
 
 def merge_batch(spark: SparkSession, t: Tables, batch_id: str, now: Column | None = None, dry_run: bool = False,
-                parity: bool = False) -> dict:
+                parity: bool = False, compact_after: int = 20) -> dict:
     """Validate, then promote companies, officers and financials in that order, mark them merged and log the merge.
 
-    A batch that scores below LEAST_SCORE is refused. A dry run counts the same selection and writes nothing. Each step
-    writes the change set named after the batch, so a promotion repeated after a failure replaces what it wrote before.
+    A batch that scores below LEAST_SCORE is refused. A dry run counts the same selection and writes nothing. Every run
+    promotes the staging rows as they are now, under change sets of its own: a batch promoted again, be it after a
+    failure or after a review, updates what is there and adds what was cleared since. Only rows that reached production
+    are marked; those that broke a rule or whose company is not in production go to the rejects and wait.
     """
     now = now if now is not None else F.current_timestamp()
     now = now.cast("timestamp_ntz")
-    companies = t.companies.read(before=t.companies.version_for(f"merged-{batch_id}"))
-    financials = t.financials.read(before=t.financials.version_for(f"merged-{batch_id}"))
-    officers = t.officers.read()
+    companies, officers, financials = t.companies.read(), t.officers.read(), t.financials.read()
     report = validate_batch(companies, officers, batch_id)
     if report["quality_score"] < LEAST_SCORE:
         return {"status": "failed", "reason": "quality_score_too_low", "report": report}
@@ -185,36 +202,44 @@ def merge_batch(spark: SparkSession, t: Tables, batch_id: str, now: Column | Non
     # One instant for all three tables, also when a lost task is run again.
     at = spark.range(1).select(now.alias("now")).first()["now"]
     stamp = F.lit(at).cast("timestamp_ntz")
+    label = f"{batch_id}-{uuid.uuid4().hex[:12]}"
+    # Each selection is made once; what follows reads the settled rows.
+    staged = {
+        "companies": settle(eligible_companies(companies, batch_id), "eligible-companies"),
+        "officers": settle(eligible_officers(officers, companies, batch_id), "eligible-officers"),
+        "financials": settle(eligible_financials(financials, companies, batch_id), "eligible-financials"),
+    }
 
-    def before(table: KeyedTable) -> DataFrame:
-        return table.read(before=table.version_for(f"promotion-{batch_id}"))
-
-    def store(table: KeyedTable, rows: DataFrame, broken: DataFrame, name: str) -> dict[str, int]:
-        label = f"promotion-{batch_id}"
-        table.write_changes(rows, label)
-        reasons = broken.select("company_number", F.array_join("violations", ",").alias("reason"))
-        reasons.write.mode("overwrite").parquet(f"{t.rejects}/promotion-{batch_id}-{name}")
-        written = table.read_changes(label)
-        return written.agg(
+    def store(name: str, keys: list[str], shape, promote, guarded: bool) -> dict[str, int]:
+        """Write the production rows, the rejects and the marks of one table; counts of what was written."""
+        table: KeyedTable = getattr(t, f"production_{name}")
+        rows, broken = promote(staged[name], table.read(), batch_id, stamp, parity)
+        bad = broken.select("company_number", F.array_join("violations", ",").alias("reason"))
+        if guarded:
+            rows = settle(rows, f"promoted-{name}")
+            known = t.production_companies.read()
+            lost = orphans(rows, known).select("company_number", F.lit("company_not_in_production").alias("reason"))
+            bad = bad.unionByName(lost)
+        table.write_changes(guard_orphans(rows, known) if guarded else rows, f"promotion-{label}")
+        bad.write.mode("overwrite").parquet(f"{t.rejects}/promotion-{batch_id}-{name}")
+        written = table.read_changes(f"promotion-{label}")
+        # The production key may differ from the staged one, so the staged row goes along.
+        shaped = shape(staged[name].withColumn("_staged", F.struct("*")))
+        marked = _stored(shaped, written, keys).select("_staged.*")
+        getattr(t, name).write_changes(mark_merged(marked, stamp), f"merged-{label}")
+        counts = written.agg(
             F.count_if(F.col("first_seen") == F.col("last_updated")).alias("inserted"),
             F.count_if(F.col("first_seen") != F.col("last_updated")).alias("updated"),
         ).first().asDict()
-
-    done = store(
-        t.production_companies,
-        *promote_companies(companies, before(t.production_companies), batch_id, stamp, parity),
-        "companies",
-    )
-    known = t.production_companies.read()
-    people, bad_people = promote_officers(officers, companies, before(t.production_officers), batch_id, stamp, parity)
-    people_done = store(t.production_officers, guard_orphans(people, known), bad_people, "officers")
-    money, bad_money = promote_financials(
-        financials, companies, before(t.production_financials), batch_id, stamp, parity
-    )
-    money_done = store(t.production_financials, guard_orphans(money, known), bad_money, "financials")
-    t.companies.write_changes(mark_merged(eligible_companies(companies, batch_id), stamp), f"merged-{batch_id}")
-    merged = mark_merged(eligible_financials(financials, companies, batch_id), stamp)
-    t.financials.write_changes(merged, f"merged-{batch_id}")
+        if guarded:
+            discard(rows)
+        table.compact(compact_after)
+        return counts
+
+    done = store("companies", schemas.COMPANY_KEY, lambda df: df, _companies, False)
+    people_done = store("officers", schemas.OFFICER_KEY, officer_rows, _officers, True)
+    money_done = store("financials", schemas.FINANCIAL_KEY, lambda df: df, _financials, True)
+    discard(*staged.values())
 
     stats = {
         "companies_merged": done["inserted"],

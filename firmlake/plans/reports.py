@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlake.functions.company import no_codes
 from firmlake.functions.text import filled
-from firmlake.operators.joins import flag_existing, spread_join
+from firmlake.operators.joins import flag_existing
 from firmlake.operators.latest import latest_financials
 from firmlake.plans.search import active_officers
 from firmlake.sources.logs import current_batches, last_batch
@@ -37,19 +37,20 @@ def active_companies_with_financials(
 def officers_with_contacts(officers: DataFrame, companies: DataFrame, contacts: DataFrame) -> DataFrame:
     """Officers in office with company name and contacts, best confidence first.
 
-    Officers per company and contacts per officer may both be very uneven, so both joins spread hot keys. The officer's
-    id closes the sort key: the range sort can then cut through any number of equal confidences.
+    Officers per company and contacts per officer may both be very uneven. Both joins are inner ones over plain rows, so
+    adaptive execution can split either side; officers without contacts, one row each, come from an anti-join with the
+    distinct ids. The officer's id closes the sort key: the range sort can then cut through any number of equal confidences.
     """
     names = companies.select("company_number", "company_name")
     active = officers.where("is_active").select(
         "officer_id", "officer_name", "officer_role", "company_number", "appointed_on", "is_active", "nationality"
     )
-    named = spread_join(active, names, ["company_number"])
     details = contacts.select(
         "officer_id", "email", "email_verified", "phone", "phone_verified", "linkedin_url", "confidence_score",
         F.col("source").alias("contact_source"),
     )
-    reached = spread_join(details, named, ["officer_id"])
+    named = active.join(names, "company_number")
+    reached = details.join(named, "officer_id")
     alone = named.join(contacts.select("officer_id").distinct(), "officer_id", "left_anti")
     return reached.unionByName(alone, allowMissingColumns=True).orderBy(
         F.desc_nulls_last("confidence_score"), F.asc("officer_id"), F.asc_nulls_last("contact_source")
@@ -99,20 +100,24 @@ def company_overview(
 def review_queue(
     companies: DataFrame, officers: DataFrame, batch_id: str | None = None, limit: int | None = 100
 ) -> DataFrame:
-    """Companies marked for review with their officer counts, newest first; of one batch when given."""
+    """Companies marked for review with their officer counts, newest first; of one batch when given.
+
+    The order does not depend on the counts: the rows are chosen first, and only their officers are counted.
+    """
     marked = companies.where("needs_review")
     if batch_id is not None:
         marked = marked.where(F.col("batch_id") == batch_id)
-    counts = officers.groupBy("company_number").agg(F.count("*").alias("officer_count"))
-    queue = (
-        marked.select(
-            "company_number", "company_name", "needs_review", "review_notes", "ingested_at", "last_updated"
-        )
-        .join(counts, "company_number", "left")
+    order = [F.desc_nulls_last("ingested_at"), F.asc("company_number")]
+    queue = marked.select("company_number", "company_name", "needs_review", "review_notes", "ingested_at", "last_updated")
+    if limit is not None:
+        queue = queue.orderBy(*order).limit(limit)
+    own = officers.select("company_number").join(queue.select("company_number").distinct(), "company_number", "left_semi")
+    counts = own.groupBy("company_number").agg(F.count("*").alias("officer_count"))
+    return (
+        queue.join(counts, "company_number", "left")
         .withColumn("officer_count", F.coalesce("officer_count", F.lit(0).cast("long")))
-        .orderBy(F.desc_nulls_last("ingested_at"), "company_number")
+        .orderBy(*order)
     )
-    return queue.limit(limit) if limit is not None else queue
 
 
 def data_quality(companies: DataFrame) -> DataFrame:

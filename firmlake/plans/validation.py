@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlake.functions.company import no_codes
 from firmlake.functions.text import filled
-from firmlake.operators.joins import spread_join
 
 # Issue type -> (severity, text after the count), in report order.
 COMPANY_ISSUES = {
@@ -36,7 +37,7 @@ def batch_children(children: DataFrame, companies: DataFrame, batch_id: str | No
     if batch_id is None:
         return children
     numbers = batch_companies(companies, batch_id).select("company_number").where("company_number is not null")
-    return spread_join(children, numbers, ["company_number"], "left_semi")
+    return children.join(numbers, "company_number", "left_semi")
 
 
 def company_checks(companies: DataFrame) -> DataFrame:
@@ -140,3 +141,15 @@ def mark_for_review(
             "needs_review": hit | F.col("needs_review"),
         }
     )
+
+
+def mark_table(table, batch_id: str | None = None, criteria: dict[str, Column] | None = None) -> int:
+    """Store the marks of ``mark_for_review`` in a keyed staging table; returns how many rows were marked.
+
+    Only rows that are marked now are written; each call has a change set of its own.
+    """
+    rows = table.read()
+    marked = mark_for_review(rows, batch_id, criteria).where("marked").select(*rows.columns)
+    label = f"review-{uuid.uuid4().hex[:12]}"
+    table.write_changes(marked, label)
+    return table.read_changes(label).count()

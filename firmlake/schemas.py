@@ -136,6 +136,7 @@ INGESTION_LOG = _struct(
     batch_id=_S, search_name=_S, status=_S, started_at=_TS, completed_at=_TS, companies_count=_L, error_message=_S,
     metadata=_S, files_total=_L, files_completed=_L, current_file=_S, current_file_progress=_I, logged_at=_TS,
 )
+FILE_LOG = _struct(batch_id=_S, product=_S, file=_S, status=_S, rows=_L, rejects=_L, logged_at=_TS)
 MERGE_LOG = _struct(
     batch_id=_S, merged_at=_TS, companies_merged=_L, officers_merged=_L, financials_merged=_L, contacts_merged=_L,
     merged_by=_S, notes=_S,

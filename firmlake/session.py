@@ -67,4 +67,14 @@ def settle(df, purpose: str = "settled"):
     spark = df.sparkSession
     path = work_path(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._firmlake_path = path
+    return out
+
+
+def discard(*frames) -> None:
+    """Delete what ``settle`` wrote for the frames, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._firmlake_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

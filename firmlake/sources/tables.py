@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from firmlake.operators.latest import latest_per_key
 
-FOLDER = re.compile(r"(full|changes)-(\d{9})(?:-(.+))?")
+FOLDER = re.compile(r"(full|changes)-(\d{9,})(?:-(.+))?")
 
 
 def folders(spark: SparkSession, parent: str) -> dict[str, bool]:
@@ -29,6 +29,12 @@ def folders(spark: SparkSession, parent: str) -> dict[str, bool]:
     return {n: fs.exists(path(f"{parent}/{n}/_SUCCESS")) for n in names}
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote, through the cluster's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
@@ -49,14 +55,12 @@ class KeyedTable:
         newer = [f[3] for f in done if f[0] == "changes" and (base is None or f[1] > base[1])]
         return (base[3] if base else None), newer
 
-    def latest_version(self) -> int:
-        """Highest version in use, finished or not."""
-        return max((f[1] for f in self._folders()), default=0)
-
     def version_for(self, label: str) -> int:
-        """The version a load has used before, else the next free one."""
-        used = [f[1] for f in self._folders() if f[0] == "changes" and f[2] == label]
-        return used[0] if used else self.latest_version() + 1
+        """The version a load has used before, unless a full copy covers it already, else the next free one."""
+        found = self._folders()
+        covered = max((f[1] for f in found if f[0] == "full" and f[4]), default=0)
+        used = [f[1] for f in found if f[0] == "changes" and f[2] == label and f[1] > covered]
+        return used[0] if used else max((f[1] for f in found), default=0) + 1
 
     def read(self, before: int | None = None) -> DataFrame:
         """Current rows, or the rows as they were before a version."""
@@ -66,7 +70,7 @@ class KeyedTable:
             return full
         news = self._parquet(*newer)
         if len(newer) > 1:
-            version = F.regexp_extract("_metadata.file_path", r"/changes-(\d{9})[^/]*/[^/]*$", 1)
+            version = F.regexp_extract("_metadata.file_path", r"/changes-(\d{9,})[^/]*/[^/]*$", 1).cast("long")
             news = latest_per_key(news.withColumn("_version", version), self.keys, ["_version"]).drop("_version")
         if base is None:
             return news
@@ -86,14 +90,19 @@ class KeyedTable:
     def compact(self, after: int = 1) -> bool:
         """Fold the change sets into a new full copy once there are ``after`` of them.
 
-        Its files cover disjoint key ranges, so lookups by key skip files.
+        Its files cover disjoint key ranges, so lookups by key skip files. Folders that the full copy before this one
+        had replaced already are removed; those this one replaces stay until then, for readers that have begun.
         """
         _, newer = self._current()
         if len(newer) < max(after, 1):
             return False
+        before = max((f[1] for f in self._folders() if f[0] == "full" and f[4]), default=0)
         version = max(int(FOLDER.fullmatch(n)[2]) for n in newer)
         rows = self.read().repartitionByRange(*self.keys).sortWithinPartitions(*self.keys)
         rows.write.mode("overwrite").parquet(f"{self.path}/full-{version:09d}")
+        for kind, number, _, name, _ in self._folders():
+            if number < before or (number == before and kind == "changes"):
+                remove(self.spark, f"{self.path}/{name}")
         return True
 
     def _changes(self, version: int, label: str) -> str:

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from firmlake.operators.expectations import manifest_rules, split
 from firmlake.plans.products import PRODUCTS, Product, accepted, load_changes, parse, rejects
 from firmlake.plans.promotion import Tables
-from firmlake.session import settle
-from firmlake.sources.logs import ingestion_log, last_batch, log_batch
+from firmlake.session import discard, settle
+from firmlake.sources.logs import current_batches, ingestion_log, log_batch, log_files
 from firmlake.sources.tables import KeyedTable
 
 TABLE_OF = {"company": "companies", "psc": "officers", "accounts": "financials"}
@@ -43,66 +45,106 @@ def load_files(
     paths: DataFrame,
     batch_id: str,
     now: dt.datetime | None = None,
+    files_per_step: int = 100,
 ) -> dict:
     """Load the archives in column ``path`` as one batch; returns its log row.
 
-    The archives are read once: the parsed rows are written to the shared folder, and both the rejects and the changes
-    start from there. A file that cannot be opened costs that file only.
+    The archives are read once, ``files_per_step`` at a time: the parsed rows are written to the shared folder, and both
+    the rejects and the changes start from there. After each step the log has the files that are done, each with its
+    rows, and the batch's progress. A file that cannot be opened costs that file only. What was written for the load
+    alone is deleted when it ends.
     """
     started = now or _now()
     table = staging_table(tables, product)
-    files = paths.select("path").distinct()
+    files = settle(paths.select("path").distinct(), "files")
     state = {
         "batch_id": batch_id, "search_name": SEARCH_NAME, "status": RUNNING, "started_at": started,
         "files_total": files.count(), "files_completed": 0, "logged_at": started,
     }
     log_batch(spark, tables.ingestion_log, state)
+    kept = [files]
     try:
-        seen = Observation()
-        read = parse(product, files).observe(
-            seen, F.count("*").alias("rows"), F.count_if(F.col("reject").isNotNull()).alias("rejects")
-        )
-        parsed = settle(read, f"parsed-{product.name}")
+        steps = max(1, -(-state["files_total"] // files_per_step))
+        parts, failed = [], 0
+        for step in range(steps):
+            own = files.where(F.pmod(F.xxhash64("path"), F.lit(steps)) == step)
+            part = settle(parse(product, own), f"parsed-{product.name}")
+            parts.append(part)
+            kept.append(part)
+            done = settle(_file_rows(own, part, product, batch_id), "file-log")
+            log_files(done, tables.file_log)
+            counts = done.agg(F.count("*").alias("n"), F.count_if(F.col("status") == FAILED).alias("bad"), F.max("file").alias("last")).first()
+            discard(done)
+            failed += counts["bad"]
+            state |= {
+                "files_completed": state["files_completed"] + counts["n"] - counts["bad"], "current_file": counts["last"],
+                "current_file_progress": 100, "logged_at": _now(),
+            }
+            if step + 1 < steps:
+                log_batch(spark, tables.ingestion_log, state)
+        parsed = reduce(DataFrame.unionByName, parts)
         bad = rejects(parsed)
         bad.withColumn("product", F.lit(product.name)).write.mode("overwrite").parquet(
             f"{tables.rejects}/load-{batch_id}"
         )
         companies = tables.companies.read() if product.needs_company else None
         rows = settle(accepted(product, parsed, companies), f"accepted-{product.name}")
+        kept.append(rows)
         stored = table.read(before=table.version_for(batch_id))
         stamp = F.lit(started).cast("timestamp_ntz")
         changed = load_changes(product, stored, rows, batch_id, stamp)
         table.write_changes(changed.where("action in ('insert', 'update')"), batch_id)
-        failed = bad.where("entry is null").select("archive").distinct().count()
+        read = parsed.agg(F.count("*").alias("rows"), F.count_if(F.col("reject").isNotNull()).alias("rejects")).first().asDict()
         written = table.read_changes(batch_id).agg(
             F.count("*").alias("affected"), F.count_if("change_detected").alias("updated")
         ).first()
         counts = {
-            **seen.get,
+            **read,
             "inserted": written["affected"] - written["updated"],
             "updated": written["updated"],
             # Unchanged rows, duplicates within the load and orphans.
-            "skipped": seen.get["rows"] - seen.get["rejects"] - written["affected"],
+            "skipped": read["rows"] - read["rejects"] - written["affected"],
         }
         state |= {
             "status": WITH_ERRORS if failed else COMPLETED,
             "companies_count": written["affected"],
             "metadata": json.dumps(counts),
-            "files_completed": state["files_total"] - failed,
+            "current_file": None,
+            "current_file_progress": None,
             "completed_at": _now(),
             "error_message": f"{failed} files could not be read" if failed else None,
         }
     except Exception as error:
         log_batch(
             spark, tables.ingestion_log,
-            state | {"status": FAILED, "error_message": str(error)[:2000], "completed_at": _now(), "logged_at": _now()},
+            state | {"status": FAILED, "error_message": str(error), "completed_at": _now(), "logged_at": _now()},
         )
         raise
     state["logged_at"] = _now()
     log_batch(spark, tables.ingestion_log, state)
+    discard(*kept)
     return state
 
 
+def _file_rows(files: DataFrame, parsed: DataFrame, product: Product, batch_id: str) -> DataFrame:
+    """One row per file: its rows that can be used, and whether it could be read at all."""
+    counts = parsed.groupBy("archive").agg(
+        F.count_if(F.col("reject").isNull()).alias("rows"), F.count_if(F.col("reject").isNotNull()).alias("rejects"),
+        F.max(F.col("reject").isNotNull() & F.col("entry").isNull()).alias("unread"),
+    )
+    unread = F.coalesce("unread", F.lit(False))
+    return files.join(counts, F.col("path") == F.col("archive"), "left").select(
+        F.lit(batch_id).alias("batch_id"), F.lit(product.name).alias("product"), F.col("path").alias("file"),
+        F.when(unread, FAILED).otherwise(COMPLETED).alias("status"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+        F.coalesce("rejects", F.lit(0)).cast("long").alias("rejects"), F.lit(_now()).cast("timestamp_ntz").alias("logged_at"),
+    )
+
+
+def batch_prefix(product: Product, query_id: str) -> str:
+    """Start of the batch ids of a stream: no two streams share a query id, nor does a new checkpoint at an old path."""
+    return f"{product.name}_{query_id.replace('-', '')}"
+
+
 def watch(
     spark: SparkSession,
     tables: Tables,
@@ -111,6 +153,7 @@ def watch(
     checkpoint: str,
     pattern: str = "*.zip",
     files_per_batch: int = 1000,
+    files_per_step: int = 100,
 ) -> StreamingQuery:
     """Start loading every file of the landing folder that is not loaded yet; the query ends when all are."""
     # Only paths are selected, so the stream lists files without reading them.
@@ -122,13 +165,16 @@ def watch(
         .load(landing)
         .select("path")
     )
-    name = f"{product.name}_{checkpoint.rstrip('/').rsplit('/', 1)[-1]}"
 
     def run(paths: DataFrame, epoch: int) -> None:
-        load_files(spark, tables, product, paths, f"{name}_{epoch:09d}")
+        # The checkpoint keeps the query's id; it is there before the first micro-batch runs.
+        kept = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"]
+        batch_id = f"{batch_prefix(product, json.loads(kept)['id'])}_{epoch:09d}"
+        load_files(spark, tables, product, paths, batch_id, files_per_step=files_per_step)
 
     return (
         found.writeStream.foreachBatch(run)
+        .queryName(f"{product.name}-{uuid.uuid4().hex}")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -145,15 +191,25 @@ def ingest_available(
     staging_table(tables, product).compact(compact_after)
 
 
-def pause(spark: SparkSession, tables: Tables, query: StreamingQuery) -> None:
-    """Stop a running load after the micro-batch in hand is dropped, and log the batch as paused.
+def pause(spark: SparkSession, tables: Tables, query: StreamingQuery) -> str | None:
+    """Stop a running load after the micro-batch in hand is dropped, and log that batch as paused; returns its id.
 
-    Starting ``watch`` again with the same checkpoint continues.
+    The batch in hand is the first one of the stream that has no completed state. Starting ``watch`` again with the same
+    checkpoint continues with it. A load that has ended already is not paused.
     """
+    if not query.isActive:
+        return None
+    product = PRODUCTS[query.name.split("-", 1)[0]]
+    prefix = batch_prefix(product, str(query.id))
     query.stop()
-    running = last_batch(ingestion_log(spark, tables.ingestion_log), RUNNING).first()
-    if running:
-        log_batch(spark, tables.ingestion_log, running.asDict() | {"status": PAUSED, "logged_at": _now()})
+    own = current_batches(ingestion_log(spark, tables.ingestion_log)).where(F.col("batch_id").startswith(f"{prefix}_"))
+    done = F.max(F.when(F.col("status").isin(COMPLETED, WITH_ERRORS), F.substring_index("batch_id", "_", -1).cast("long")))
+    last = own.agg(done.alias("n")).first()["n"]
+    batch_id = f"{prefix}_{0 if last is None else last + 1:09d}"
+    begun = own.where(F.col("batch_id") == batch_id).first()
+    state = begun.asDict() if begun else {"batch_id": batch_id, "search_name": SEARCH_NAME, "started_at": _now(), "files_completed": 0}
+    log_batch(spark, tables.ingestion_log, state | {"status": PAUSED, "error_message": None, "completed_at": None, "logged_at": _now()})
+    return batch_id
 
 
 def load_manifest(spark: SparkSession, tables: Tables, files: DataFrame, batch_id: str) -> tuple[list[dict], DataFrame]:
@@ -161,6 +217,7 @@ def load_manifest(spark: SparkSession, tables: Tables, files: DataFrame, batch_i
 
     Returns the log rows and the entries that name no known product or no address. One pass per product, not per file.
     """
+    files = settle(files.select("product", "url"), "manifest")
     good, bad = split(files, manifest_rules())
     states = []
     for name, product in PRODUCTS.items():

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from firmlake.operators.expectations import contact_rules, financial_rules, split
-from firmlake.operators.joins import flag_existing, guard_orphans, hot_keys, orphans, spread_join
+from firmlake.operators.joins import flag_existing, guard_orphans, orphans
 from firmlake.operators.latest import latest_per_key
 from firmlake.operators.upsert import changes, upsert
 from firmlake.sources.tables import KeyedTable
@@ -68,11 +69,9 @@ def test_upsert_is_a_fold_and_table_agrees(spark, folder, batches):
 
 
 def test_table_repeats_and_ignores_unfinished_writes(spark, folder):
-    import os
-
     schema = spark.createDataFrame([], "k string, v string").schema
     table = KeyedTable(spark, f"{folder}/t", schema, ["k"])
-    assert table.read().count() == 0 and table.latest_version() == 0
+    assert table.read().count() == 0 and table.version_for("x") == 1
     rows = spark.createDataFrame([("a", "1")], schema)
     assert table.write_changes(rows, "x") == 1 and table.write_changes(rows, "x") == 1
     os.makedirs(f"{folder}/t/changes-000000002-broken")
@@ -84,27 +83,43 @@ def test_table_repeats_and_ignores_unfinished_writes(spark, folder):
     assert sorted(map(tuple, table.read().collect()), key=str) == [("a", "2"), (None, "m")]
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join_under_skew(spark, how):
-    many = spark.range(6000).select(
-        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 50).cast("string")).alias("k"),
-        F.col("id"),
-    )
-    one = spark.createDataFrame([("hot", "H"), ("1", "A"), ("2", "B"), (None, "N"), ("zz", "Z")], "k string, name string")
-    assert [r["_hot"] for r in hot_keys(many, ["k"]).collect()] == ["hot"]
-    plain = many.join(one, "k", how)
-    got = spread_join(many, one, ["k"], how)
-    assert sorted(got.columns) == sorted(plain.columns)
-    order = sorted(plain.columns)
-    key = lambda r: tuple(str(v) for v in r)
-    assert sorted(map(tuple, got.select(order).collect()), key=key) == sorted(map(tuple, plain.select(order).collect()), key=key)
-
-
-def test_spread_join_on_two_keys(spark):
-    many = spark.range(3000).select(F.lit("a").alias("x"), F.when(F.col("id") < 2900, 1).otherwise(2).alias("y"), "id")
-    one = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two")], "x string, y int, name string")
-    got = spread_join(many, one, ["x", "y"]).groupBy("name").count().collect()
-    assert {r["name"]: r["count"] for r in got} == {"one": 2900, "two": 100}
+def test_a_repeat_after_compaction_is_stored(spark, folder):
+    schema = spark.createDataFrame([], "k string, v string").schema
+    table = KeyedTable(spark, f"{folder}/t", schema, ["k"])
+    assert table.write_changes(spark.createDataFrame([("a", "1"), ("b", "1")], schema), "b1") == 1
+    assert table.compact()
+    assert table.write_changes(spark.createDataFrame([("a", "2")], schema), "b1") == 2
+    assert sorted(map(tuple, table.read().collect())) == [("a", "2"), ("b", "1")]
+    assert table.write_changes(spark.createDataFrame([("a", "3")], schema), "b1") == 2  # not covered yet: replaced
+    assert table.compact() and sorted(map(tuple, table.read().collect())) == [("a", "3"), ("b", "1")]
+    table.write_changes(spark.createDataFrame([("c", "1")], schema), "b3")
+    assert table.compact() and len(table.read().collect()) == 3
+    assert sorted(os.listdir(f"{folder}/t")) == ["changes-000000003-b3", "full-000000002", "full-000000003"]
+
+
+def test_versions_of_any_length(spark, folder):
+    schema = spark.createDataFrame([], "k string").schema
+    table = KeyedTable(spark, f"{folder}/t", schema, ["k"])
+    spark.createDataFrame([("a",)], schema).write.parquet(f"{folder}/t/changes-9999999999-x")
+    assert table.write_changes(spark.createDataFrame([("b",)], schema), "y") == 10_000_000_000
+    assert sorted(r["k"] for r in table.read().collect()) == ["a", "b"]
+
+
+def test_adaptive_execution_splits_a_hot_parent(spark):
+    many = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 9000).cast("string")).alias("company_number"), "id", F.lit("x" * 40).alias("pad"))
+    one = spark.range(9000).select(F.col("id").cast("string").alias("company_number")).union(spark.createDataFrame([("hot",)], "company_number string"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = guard_orphans(many, one)
+        assert len(kept.collect()) == 300_000
+        assert "skewed" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_orphans_and_flags(spark):

@@ -100,18 +100,21 @@ def test_promotion(spark, folder):
     assert done["stats"] == {"companies_merged": 9, "companies_updated": 0, "officers_merged": 2, "financials_merged": 2, "contacts_merged": 0}
     assert {r["officer_role"] for r in t.production_officers.read().collect()} == {"director", "unknown"}
     assert t.companies.read().where("merged_at is null").count() == 0
+    assert t.officers.read().where("merged_at is not null").count() == 2
+    # A period without a start broke a rule: it is not marked, and it waits.
+    assert [r["company_number"] for r in t.financials.read().where("merged_at is null").collect()] == ["00000002"]
     assert [r["batch_id"] for r in merge_log(spark, t.merge_log).collect()] == ["b1"]
     reasons = spark.read.parquet(f"{t.rejects}/promotion-b1-financials").collect()
     assert [r["reason"] for r in reasons] == ["period_start_missing"]
     again = promotion.merge_batch(spark, t, "b1", F.lit(dt.datetime(2026, 2, 1)))
-    assert again["stats"]["companies_merged"] == 9  # the repeated promotion replaces its own change set
+    assert (again["stats"]["companies_merged"], again["stats"]["companies_updated"]) == (0, 9)  # by key: nothing comes twice
     assert t.production_companies.read().count() == 9
     c2 = c.where("company_number = '00000001'").withColumns({"company_name": F.lit("NEW NAME"), "batch_id": F.lit("b2")})
     t.companies.write_changes(c2, "second")
     done = promotion.merge_batch(spark, t, "b2", F.lit(dt.datetime(2026, 3, 1)))
     assert done["stats"]["companies_updated"] == 1
     row = t.production_companies.read().where("company_number = '00000001'").first()
-    assert (row["company_name"], row["first_seen"], row["last_updated"]) == ("NEW NAME", dt.datetime(2026, 2, 1), dt.datetime(2026, 3, 1))
+    assert (row["company_name"], row["first_seen"], row["last_updated"]) == ("NEW NAME", NOW, dt.datetime(2026, 3, 1))
     bad = c.withColumns({"company_number": F.concat(F.lit("X"), "company_number"), "company_name": F.lit(None).cast("string"),
                          "locality": F.lit("L"), "batch_id": F.lit("b3")})
     t.companies.write_changes(bad, "third")
@@ -119,6 +122,47 @@ def test_promotion(spark, folder):
     assert refused["status"] == "failed" and refused["reason"] == "quality_score_too_low"
 
 
+def test_promotion_marks_only_what_it_stored(spark, folder):
+    t = promotion.Tables.below(spark, folder)
+    c, f, o = tables(spark)
+    c = c.withColumns({
+        "company_status": F.when(F.col("company_number") != "00000004", F.col("company_status")),
+        "needs_review": F.col("company_number") == "00000001", "locality": F.lit("L"),
+    })
+    f = f.withColumn("period_start", F.coalesce("period_start", F.lit(dt.date(2020, 6, 1))))
+    f = f.unionByName(f.where("company_number = '00000002'").withColumn("company_number", F.lit("00000004")))
+    for table, rows in ((t.companies, c), (t.financials, f), (t.officers, o)):
+        table.write_changes(rows, "start")
+    promotion.merge_batch(spark, t, "b1", F.lit(NOW))
+    waiting = {r["company_number"] for r in t.companies.read().where("merged_at is null").collect()}
+    assert waiting == {"00000001", "00000004"}  # one under review, one that broke a rule
+    assert {r["company_number"] for r in t.financials.read().where("merged_at is null").collect()} == {"00000001", "00000004"}
+    lost = spark.read.parquet(f"{t.rejects}/promotion-b1-financials").collect()
+    assert [(r["company_number"], r["reason"]) for r in lost] == [("00000004", "company_not_in_production")]
+    # The review is over: the same batch again picks the company and its children up.
+    cleared = t.companies.read().where("company_number = '00000001'").withColumn("needs_review", F.lit(False))
+    t.companies.write_changes(cleared, "review")
+    again = promotion.merge_batch(spark, t, "b1", F.lit(dt.datetime(2026, 2, 1)))
+    assert (again["stats"]["companies_merged"], again["stats"]["companies_updated"]) == (1, 7)
+    assert t.production_companies.read().count() == 8
+    assert {r["company_number"] for r in t.companies.read().where("merged_at is null").collect()} == {"00000004"}
+
+
+def test_review_marks_are_stored(spark, folder):
+    t = promotion.Tables.below(spark, folder)
+    c, _, _ = tables(spark)
+    t.companies.write_changes(c.withColumn("company_name", F.when(F.col("company_number") != "00000002", F.col("company_name"))), "start")
+    assert validation.mark_table(t.companies, "b1") == 1 and validation.mark_table(t.companies, "b9") == 0
+    row = t.companies.read().where("needs_review").first()
+    assert (row["company_number"], row["review_notes"]) == ("00000002", "Missing critical data: company_name ")
+
+
+def test_a_backslash_is_a_letter(spark):
+    df = spark.createDataFrame([("A\\B LTD",), ("AB LTD",), ("A%B",)], "company_name string")
+    assert [r[0] for r in df.where(s.search_term("a\\b")).collect()] == ["A\\B LTD"]
+    assert df.where(s.search_term("a_b")).count() == 2
+
+
 def test_parity_keeps_addresses(spark):
     c, _, _ = tables(spark)
     stored = conform(c.withColumns({"address_line_1": F.lit("OLD"), "locality": F.lit("OLD")}), schemas.PRODUCTION_COMPANIES)

@@ -1,13 +1,18 @@
+import glob
 import hashlib
 import json
 import os
+import shutil
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from firmlake.plans.products import ACCOUNTS, COMPANY, PSC
 from firmlake.plans.promotion import Tables
-from firmlake.sources.logs import current_batches, ingestion_log
+from firmlake.plans.reports import processed_per_product
+from firmlake.session import shared_folder
+from firmlake.sources.logs import current_batches, file_log, ingestion_log, last_batch
+from firmlake.streaming import ingest
 from firmlake.streaming.ingest import ingest_available, load_files, load_manifest, pause, watch
 from tests.test_products import INLINE, PSC_LINES, make_zip
 
@@ -34,7 +39,7 @@ def test_incremental_files(spark, folder):
     log = current_batches(ingestion_log(spark, t.ingestion_log)).collect()
     assert [(r["status"], r["files_total"], r["files_completed"], r["companies_count"]) for r in log] == [("completed_with_errors", 2, 1, 2)]
     assert json.loads(log[0]["metadata"]) == {"rows": 3, "rejects": 1, "inserted": 2, "updated": 0, "skipped": 0}
-    rejected = spark.read.parquet(f"{t.rejects}/load-company_checkpoint_000000000").collect()
+    rejected = spark.read.parquet(f"{t.rejects}/load-{log[0]['batch_id']}").collect()
     assert len(rejected) == 1 and rejected[0]["archive"].endswith("b.zip")
 
     ingest_available(spark, t, COMPANY, landing, checkpoint)  # nothing new has landed
@@ -52,6 +57,47 @@ def test_incremental_files(spark, folder):
     assert {r["officer_name"] for r in t.officers.read().collect()} == {"Ms Ann Example", "Beta Holdings", "X", "Odd"}
 
 
+def test_streams_with_checkpoints_of_one_name(spark, folder):
+    """Neither another stream nor a new checkpoint at an old path may replace what was loaded."""
+    t = Tables.below(spark, os.path.join(folder, "tables"))
+    for name in ("a", "b"):
+        os.makedirs(os.path.join(folder, name))
+        companies_zip(os.path.join(folder, name, "f.zip"), (f"0000000{name}", name, "Active"))
+        ingest_available(spark, t, COMPANY, os.path.join(folder, name), os.path.join(folder, f"cp{name}", "checkpoint"))
+    assert {r["company_number"] for r in t.companies.read().collect()} == {"0000000a", "0000000b"}
+    shutil.rmtree(os.path.join(folder, "cpa"))
+    os.makedirs(os.path.join(folder, "c"))
+    companies_zip(os.path.join(folder, "c", "f.zip"), ("0000000c", "c", "Active"))
+    ingest_available(spark, t, COMPANY, os.path.join(folder, "c"), os.path.join(folder, "cpa", "checkpoint"))
+    assert {r["company_number"] for r in t.companies.read().collect()} == {"0000000a", "0000000b", "0000000c"}
+    assert len({r["batch_id"] for r in ingestion_log(spark, t.ingestion_log).collect()}) == 3
+
+
+def test_progress_and_files_are_logged(spark, folder):
+    t = Tables.below(spark, os.path.join(folder, "tables"))
+    files = [companies_zip(os.path.join(folder, f"f{i}.zip"), *[(f"{i}{k:07d}", "N", "Active") for k in range(i + 1)]) for i in range(5)]
+    with open(os.path.join(folder, "bad.zip"), "wb") as f:
+        f.write(b"junk")
+    paths = spark.createDataFrame([(p,) for p in [*files, os.path.join(folder, "bad.zip")]], "path string")
+    seen = []
+    old = ingest.log_batch
+    ingest.log_batch = lambda s, f, row: (seen.append((row["status"], row["files_completed"], row.get("current_file"))), old(s, f, row))
+    try:
+        load_files(spark, t, COMPANY, paths, "b1", files_per_step=2)
+    finally:
+        ingest.log_batch = old
+    assert [x[0] for x in seen] == ["running"] * (len(seen) - 1) + ["completed_with_errors"] and len(seen) > 2
+    done = [x[1] for x in seen]
+    assert done == sorted(done) and done[0] == 0 and done[-1] == 5 and 0 < done[1] < 5 and seen[1][2]
+    logged = file_log(spark, t.file_log)
+    assert {os.path.basename(r["file"]): (r["status"], r["rows"]) for r in logged.collect()} == {
+        **{f"f{i}.zip": ("completed", i + 1) for i in range(5)}, "bad.zip": ("failed", 0)}
+    assert processed_per_product(logged).first()["processed"] == 15
+    left = glob.glob(f"{shared_folder(spark)}/firmlake/parsed-company-*")
+    load_files(spark, t, COMPANY, paths.limit(2), "b2")
+    assert glob.glob(f"{shared_folder(spark)}/firmlake/parsed-company-*") == left  # nothing of the load stays behind
+
+
 def test_one_file_at_a_time_equals_one_batch(spark, folder):
     files = [[("00000001", "A", "Active"), ("00000002", "B", "Active")], [("00000001", "A2", "Active")], [("00000003", "C", "x"), ("00000002", "B", "Active")]]
     results = []
@@ -73,9 +119,17 @@ def test_pause_then_resume(spark, folder):
     for i in range(3):
         companies_zip(os.path.join(landing, f"f{i}.zip"), (f"0000000{i}", f"C{i}", "Active"))
     t = Tables.below(spark, os.path.join(folder, "tables"))
-    pause(spark, t, watch(spark, t, COMPANY, landing, checkpoint, files_per_batch=1))
+    paused = pause(spark, t, watch(spark, t, COMPANY, landing, checkpoint, files_per_batch=1))
+    states = {r["batch_id"]: r["status"] for r in current_batches(ingestion_log(spark, t.ingestion_log)).collect()}
+    assert paused and states[paused] == "paused" and set(states.values()) <= {"paused", "completed"}
+    assert last_batch(ingestion_log(spark, t.ingestion_log), "paused").first()["batch_id"] == paused
     ingest_available(spark, t, COMPANY, landing, checkpoint, files_per_batch=1)
     assert {r["company_name"] for r in t.companies.read().collect()} == {"C0", "C1", "C2"}
+    states = {r["batch_id"]: r["status"] for r in current_batches(ingestion_log(spark, t.ingestion_log)).collect()}
+    assert states[paused] == "completed" and set(states.values()) == {"completed"}
+    ended = watch(spark, t, COMPANY, landing, checkpoint)
+    ended.awaitTermination()
+    assert pause(spark, t, ended) is None
 
 
 def test_custom_product(spark, folder):
