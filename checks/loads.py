@@ -11,13 +11,16 @@ from checks.columns import CSV_SQL, PSC_COLUMNS, PSC_HASH, PSC_SQL, csv_shaped,
 from checks.registry import over, query
 from firmlake import schemas
 from firmlake.operators.upsert import action_counts, changes, dedupe_load, upsert
-from firmlake.plans import promotion
+from firmlake.plans import promotion, reports
 from firmlake.plans.products import ACCOUNTS, COMPANY, PSC, accepted, rejects
 from firmlake.schemas import FINANCIAL_HASH, FINANCIAL_KEY, OFFICER_HASH, OFFICER_KEY, conform
+from firmlake.plans.validation import mark_table
 from firmlake.session import settle, work_path
 from firmlake.sources.accounts import parse_documents
 from firmlake.sources.archives import write_filings, write_lines
+from firmlake.sources.logs import current_batches, file_log, ingestion_log
 from firmlake.sources.tables import KeyedTable
+from firmlake.sources.tags import load_tag_dictionary
 from firmlake.streaming.ingest import ingest_available, load_manifest
 
 BATCH = "batch_building"
@@ -145,18 +148,30 @@ def promote_companies(spark, folder):
     )
 
 
+def known_officers(spark, folder):
+    """Production as earlier batches left it: the officers who have an urgent role, under another nationality."""
+    seen = F.lit(BEFORE).cast("timestamp_ntz")
+    rows = promotion.officer_rows(star.officers(spark, folder).where("officer_role = '1-URGENT'"))
+    rows = rows.withColumns({"nationality": F.lit("unknown"), "first_seen": seen, "last_updated": seen, "source_batch_id": F.lit("b0")})
+    return conform(rows, schemas.PRODUCTION_OFFICERS)
+
+
 @query(
     "promote_officers",
     over("companies", "officers", body=f"""SELECT DISTINCT o.company_number, o.officer_name, CASE WHEN o.officer_role = '' THEN 'unknown' ELSE o.officer_role END AS officer_role,
-CAST(o.appointed_on AS VARCHAR) AS appointed_on, o.is_active, 'insert' AS action FROM officers o JOIN companies c ON o.company_number = c.company_number
+CAST(o.appointed_on AS VARCHAR) AS appointed_on, o.is_active, o.nationality,
+CASE WHEN o.officer_role = '1-URGENT' THEN 'update' ELSE 'insert' END AS action,
+CASE WHEN o.officer_role = '1-URGENT' THEN '2025-01-01 00:00:00' ELSE '2026-01-02 03:04:05' END AS first_seen, '2026-01-02 03:04:05' AS last_updated
+FROM officers o JOIN companies c ON o.company_number = c.company_number
 WHERE c.batch_id = '{BATCH}' AND NOT c.needs_review AND o.officer_name IS NOT NULL"""),
 )
 def promote_officers(spark, folder):
-    stored = spark.createDataFrame([], schemas.PRODUCTION_OFFICERS)
     rows, _ = promotion.promote_officers(
-        star.hashed(star.officers(spark, folder), OFFICER_HASH), star.companies(spark, folder), stored, BATCH, now()
+        star.hashed(star.officers(spark, folder), OFFICER_HASH), star.companies(spark, folder), known_officers(spark, folder), BATCH, now()
+    )
+    return rows.select(
+        "company_number", "officer_name", "officer_role", "appointed_on", "is_active", "nationality", "action", "first_seen", "last_updated"
     )
-    return rows.select("company_number", "officer_name", "officer_role", "appointed_on", "is_active", "action")
 
 
 PROMOTED_FINANCIALS = over("companies", "financials", body="").rstrip() + f""",
@@ -173,15 +188,20 @@ def staged_financials(spark, folder):
 @query(
     "promote_financials",
     PROMOTED_FINANCIALS + """SELECT company_number, CAST(period_end AS VARCHAR) AS period_end, CAST(profit_loss AS DOUBLE) AS profit_after_tax,
-CAST(net_assets_liabilities AS DOUBLE) AS net_worth, CASE WHEN source = '' THEN 'api' ELSE source END AS source, 'insert' AS action
+CAST(net_assets_liabilities AS DOUBLE) AS net_worth, CASE WHEN source = '' THEN 'api' ELSE source END AS source,
+CASE WHEN period_end < DATE '1999-01-01' THEN 'update' ELSE 'insert' END AS action,
+CASE WHEN period_end < DATE '1999-01-01' THEN '2025-01-01 00:00:00' ELSE '2026-01-02 03:04:05' END AS first_seen
 FROM mine WHERE period_end > period_start""",
 )
 def promote_financials(spark, folder):
-    stored = spark.createDataFrame([], schemas.PRODUCTION_FINANCIALS)
+    """Production holds the older periods already, with other figures."""
+    seen = F.lit(BEFORE).cast("timestamp_ntz")
+    stored = promotion.financial_rows(staged_financials(spark, folder).where(f"period_end < DATE'{CUT}'"))
+    stored = stored.withColumns({"profit_after_tax": F.lit(0), "first_seen": seen, "last_updated": seen, "source_batch_id": F.lit("b0")})
     rows, _ = promotion.promote_financials(
-        staged_financials(spark, folder), star.companies(spark, folder), stored, BATCH, now()
+        staged_financials(spark, folder), star.companies(spark, folder), conform(stored, schemas.PRODUCTION_FINANCIALS), BATCH, now()
     )
-    return rows.select("company_number", "period_end", "profit_after_tax", "net_worth", "source", "action")
+    return rows.select("company_number", "period_end", "profit_after_tax", "net_worth", "source", "action", "first_seen")
 
 
 @query(
@@ -199,17 +219,17 @@ def promotion_violations(spark, folder):
 
 @query("keyed_table", UPSERT_SQL + STATE_SQL.replace("action, ", "", 1).replace("period_end, action,", "period_end,"))
 def keyed_table(spark, folder):
-    """Two loads through a table on disk, folded into a full copy."""
+    """Two loads through a table on disk, folded into a full copy, and the first one's label used again for more rows."""
     stored = first_load(spark, folder)
     table = KeyedTable(spark, work_path(spark, "financials"), stored.schema, FINANCIAL_KEY)
     table.write_changes(stored, "b1")
     table.compact()
-    table.write_changes(
-        changes(table.read(), second_load(spark, folder), FINANCIAL_KEY, stamps=stamps()).where(
-            "action in ('insert', 'update')"
-        ),
-        "b2",
+    rows = settle(
+        changes(table.read(), second_load(spark, folder), FINANCIAL_KEY, stamps=stamps()).where("action in ('insert', 'update')")
     )
+    odd = F.pmod(F.xxhash64(*FINANCIAL_KEY), F.lit(2)) == 1
+    table.write_changes(rows.where(odd), "b1")  # the full copy covers the first change set of this label
+    table.write_changes(rows.where(~odd), "b2")
     return table.read().select("company_number", "period_end", "turnover", "batch_id", "change_detected")
 
 
@@ -346,63 +366,171 @@ CASE WHEN c_mktsegment = 'MACHINERY' OR c_acctbal < 0 THEN 2 ELSE 1 END AS deliv
 def incremental_load(spark, folder):
     """Two deliveries land in a folder; a stream run after each loads only what is new.
 
-    The second run sees the first run's files again and must leave them alone.
+    The second run sees the first run's files again and must leave them alone. A third of the first delivery comes through
+    another stream whose checkpoint has the same last part: neither may replace what the other has loaded.
     """
     base = work_path(spark, "incremental")
     tables = promotion.Tables.below(spark, f"{base}/tables")
     raw = csv_shaped(spark, folder)
-    csv_archives(raw.where("trim(` CompanyStatus`) != 'Machinery'"), f"{base}/landing/first").collect()
-    ingest_available(spark, tables, COMPANY, f"{base}/landing/*", f"{base}/checkpoint")
+    first = raw.where("trim(` CompanyStatus`) != 'Machinery'")
+    third = F.col("`CompanyNumber`").cast("long") % 3 == 0 if "CompanyNumber" in raw.columns else F.col("` CompanyNumber`").cast("long") % 3 == 0
+    csv_archives(first.where(~third), f"{base}/landing/first").collect()
+    csv_archives(first.where(third), f"{base}/other").collect()
+    ingest_available(spark, tables, COMPANY, f"{base}/landing/*", f"{base}/one/checkpoint")
+    ingest_available(spark, tables, COMPANY, f"{base}/other", f"{base}/two/checkpoint")
     csv_archives(renamed(spark, folder), f"{base}/landing/second").collect()
-    ingest_available(spark, tables, COMPANY, f"{base}/landing/*", f"{base}/checkpoint")
+    ingest_available(spark, tables, COMPANY, f"{base}/landing/*", f"{base}/one/checkpoint")
     epoch = F.regexp_extract("batch_id", r"(\d+)$", 1).cast("long")
     return tables.companies.read().select("company_number", "company_name", "change_detected", (epoch + 1).alias("delivery"))
 
 
+@query(
+    "load_log",
+    """SELECT 'b1_company' AS batch_id, 'completed' AS status, 100.0::DOUBLE AS progress, COUNT(*) AS processed, COUNT(*) AS affected
+FROM customer WHERE c_mktsegment <> 'MACHINERY'
+UNION ALL SELECT 'b2_company', 'completed', 100.0::DOUBLE, COUNT(*), COUNT(*) FILTER (WHERE c_mktsegment = 'MACHINERY' OR c_acctbal < 0) FROM customer""",
+)
+def load_log(spark, folder):
+    """State, progress and rows of two loads, from the logs that the loads wrote."""
+    tables = two_loads(spark, folder)
+    rows = file_log(spark, tables.file_log).where("status = 'completed'").groupBy("batch_id").agg(F.sum("rows").alias("processed"))
+    log = ingestion_log(spark, tables.ingestion_log)
+    affected = current_batches(log).select("batch_id", F.col("companies_count").alias("affected"))
+    return reports.batch_progress(log).join(rows, "batch_id").join(affected, "batch_id")
+
+
 @query("batch_load", INCREMENTAL_SQL.replace("THEN 2 ELSE 1 END AS delivery", "THEN 'b2_company' ELSE 'b1_company' END AS batch_id"))
 def batch_load(spark, folder):
     """The same two deliveries as lists of files."""
+    return two_loads(spark, folder).companies.read().select("company_number", "company_name", "change_detected", "batch_id")
+
+
+def two_loads(spark, folder):
     base = work_path(spark, "batch")
     tables = promotion.Tables.below(spark, f"{base}/tables")
     first = as_paths(csv_archives(csv_shaped(spark, folder).where("trim(` CompanyStatus`) != 'Machinery'"), f"{base}/first"))
     second = as_paths(csv_archives(renamed(spark, folder), f"{base}/second"))
     for batch_id, paths in (("b1", first), ("b2", second)):
         load_manifest(spark, tables, paths.select(F.lit("company").alias("product"), F.col("path").alias("url")), batch_id)
-    return tables.companies.read().select("company_number", "company_name", "change_detected", "batch_id")
+    return tables
 
 
 def store_batch(spark, folder, tables):
-    """Staging tables from the derived frames, without the blemishes that would refuse the batch."""
+    """Staging tables from the derived frames, without the blemishes that would refuse the batch.
+
+    A fifth of the companies lacks its status.
+    """
+    fifth = F.substring("company_number", -8, 8).cast("long") % 5 == 0
     companies = star.companies(spark, folder).withColumns(
-        {"company_number": F.substring("company_number", -8, 8), "company_name": F.coalesce("company_name", F.lit("UNNAMED"))}
-    )
+        {"company_name": F.coalesce("company_name", F.lit("UNNAMED")),
+         "company_status": F.when(~fifth, F.col("company_status")), "company_number": F.substring("company_number", -8, 8)}
+    )
     tables.companies.write_changes(conform(companies, schemas.STAGING_COMPANIES), "start")
     officers = dedupe_load(star.hashed(star.officers(spark, folder), OFFICER_HASH), OFFICER_KEY, ["officer_id"])
     tables.officers.write_changes(conform(officers, schemas.STAGING_OFFICERS), "start")
     tables.financials.write_changes(conform(staged_financials(spark, folder), schemas.STAGING_FINANCIALS), "start")
 
 
+MERGE_SQL = over("companies", "officers", "financials", body="").rstrip() + f""",
+firms AS (SELECT right(company_number, 8) AS company_number, COALESCE(company_name, 'UNNAMED') AS company_name, needs_review,
+  c_nation % 5 = 0 AS without_status, batch_id FROM (SELECT companies.*, CAST(right(company_number, 8) AS BIGINT) AS c_nation FROM companies)
+  WHERE batch_id = '{BATCH}'),
+one AS (SELECT *, row_number() OVER (PARTITION BY company_number, period_end ORDER BY financial_id DESC) AS rn FROM financials),
+periods AS (SELECT one.*, firms.without_status, period_end > period_start AS sound FROM one JOIN firms USING (company_number) WHERE rn = 1),
+people AS (SELECT company_number, officer_name, CASE WHEN officer_role = '' THEN 'unknown' ELSE officer_role END AS role, any_value(without_status) AS without_status
+  FROM officers JOIN firms USING (company_number) WHERE officer_name IS NOT NULL
+  GROUP BY company_number, officer_name, role, appointed_on)
+SELECT 'companies' AS kind, company_number, company_name AS detail, CASE WHEN needs_review THEN 2 ELSE 1 END AS run,
+  NOT without_status AS promoted FROM firms
+UNION ALL SELECT 'officers', company_number, officer_name || ' ' || role, 2, TRUE FROM people WHERE NOT without_status
+UNION ALL SELECT 'financials', company_number, CAST(period_end AS VARCHAR) || ' ' || CAST(profit_loss AS VARCHAR), 2, sound AND NOT without_status FROM periods"""
+
+
+@query("merge_batch", MERGE_SQL)
+def merge_batch(spark, folder):
+    """A staged batch through validation and promotion, twice, with a review cleared in between.
+
+    A fifth of the companies has no status and breaks a rule; their children are orphans. Companies and periods are listed
+    as staging has them, with whether they are marked as merged; officers as production has them. The run is that in which
+    a company was first promoted (or would have been).
+    """
+    tables = promotion.Tables.below(spark, work_path(spark, "merge"))
+    store_batch(spark, folder, tables)
+    first, second = now(), F.lit(NOW + dt.timedelta(days=1)).cast("timestamp_ntz")
+    under_review = settle(tables.companies.read().where(f"batch_id = '{BATCH}' and needs_review"), "review")
+    for stamp in (first, second):
+        result = promotion.merge_batch(spark, tables, BATCH, stamp)
+        if result["status"] != "success":
+            raise ValueError(str(result))
+        tables.companies.write_changes(under_review.withColumn("needs_review", F.lit(False)), "cleared")
+    # The second run saw the cleared companies: what was promoted by it has its time.
+    own = settle(tables.companies.read().where(f"batch_id = '{BATCH}'"), "own")
+    production = {n: getattr(tables, f"production_{n}").read() for n in ("companies", "officers", "financials")}
+    seen = production["companies"].select("company_number", F.col("first_seen").alias("seen"))
+    stored = own.join(seen, "company_number", "left").select(
+        F.lit("companies").alias("kind"), "company_number", F.col("company_name").alias("detail"),
+        F.when(F.col("seen") == F.lit(NOW), 1).when(F.col("seen").isNotNull(), 2).alias("run"),
+        F.col("seen").isNotNull().alias("promoted"),
+    )
+    review = under_review.select("company_number", F.lit(2).alias("_late"))
+    stored = stored.join(review, "company_number", "left").withColumn("run", F.coalesce("run", "_late", F.lit(1))).drop("_late")
+    people = production["officers"].select(
+        F.lit("officers").alias("kind"), "company_number", F.concat_ws(" ", "officer_name", "officer_role").alias("detail"),
+        F.lit(2).alias("run"), F.lit(True).alias("promoted"),
+    )
+    staged = tables.financials.read().join(own.select("company_number"), "company_number", "left_semi")
+    periods = staged.select(
+        F.lit("financials").alias("kind"), "company_number",
+        F.concat_ws(" ", F.col("period_end").cast("string"), F.col("profit_loss").cast("string")).alias("detail"), F.lit(2).alias("run"),
+        F.coalesce(F.col("merged_at") >= F.lit(NOW), F.lit(False)).alias("promoted"),  # older marks are those of the fixture
+    )
+    columns = ["kind", "company_number", "detail", "run", "promoted"]
+    return stored.select(columns).unionByName(people.select(columns)).unionByName(periods.select(columns))
+
+
 @query(
-    "merge_batch",
-    over("companies", "officers", "financials", body="").rstrip() + f""",
-chosen AS (SELECT right(company_number, 8) AS company_number FROM companies WHERE batch_id = '{BATCH}' AND NOT needs_review),
-one AS (SELECT *, row_number() OVER (PARTITION BY company_number, period_end ORDER BY financial_id DESC) AS rn FROM financials)
-SELECT 'companies' AS table_name, company_number, COUNT(*) AS rows FROM chosen GROUP BY ALL
-UNION ALL SELECT 'officers', company_number, COUNT(*) FROM officers WHERE officer_name IS NOT NULL AND company_number IN (FROM chosen) GROUP BY ALL
-UNION ALL SELECT 'financials', company_number, COUNT(*) FROM one WHERE rn = 1 AND period_end > period_start AND company_number IN (FROM chosen) GROUP BY ALL""",
+    "promotion_rejects",
+    MERGE_SQL[: MERGE_SQL.index("SELECT 'companies' AS kind")] + """SELECT 'companies' AS kind, company_number, 'company_status_missing' AS reason FROM firms WHERE without_status AND NOT needs_review
+UNION ALL SELECT 'officers', p.company_number, 'company_not_in_production' FROM people p JOIN firms f ON p.company_number = f.company_number
+  WHERE p.without_status AND NOT f.needs_review
+UNION ALL SELECT 'financials', p.company_number, CASE WHEN NOT sound THEN 'period_not_positive' ELSE 'company_not_in_production' END
+  FROM periods p JOIN firms f ON p.company_number = f.company_number WHERE NOT f.needs_review AND (NOT sound OR p.without_status)""",
 )
-def merge_batch(spark, folder):
-    """A staged batch through validation and promotion; rows per company in each production table."""
+def promotion_rejects(spark, folder):
+    """What one promotion sets aside, row by row."""
     tables = promotion.Tables.below(spark, work_path(spark, "merge"))
     store_batch(spark, folder, tables)
-    result = promotion.merge_batch(spark, tables, BATCH, now())
-    if result["status"] != "success":
-        raise ValueError(str(result))
-    counts = [
-        t.read().groupBy("company_number").agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
-        for name, t in (
-            ("companies", tables.production_companies), ("officers", tables.production_officers),
-            ("financials", tables.production_financials),
-        )
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    promotion.merge_batch(spark, tables, BATCH, now())
+    parts = [
+        spark.read.parquet(f"{tables.rejects}/promotion-{BATCH}-{n}").select(F.lit(n).alias("kind"), "company_number", "reason")
+        for n in ("companies", "officers", "financials")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "review_marks",
+    over("companies", body=f"""SELECT company_number, needs_review OR (batch_id = '{BATCH}' AND company_name IS NULL) AS needs_review,
+CASE WHEN batch_id = '{BATCH}' AND company_name IS NULL THEN 'Missing critical data: company_name ' ELSE review_notes END AS review_notes FROM companies"""),
+)
+def review_marks(spark, folder):
+    """The staging table after the marks of a batch were stored in it."""
+    tables = promotion.Tables.below(spark, work_path(spark, "review"))
+    tables.companies.write_changes(conform(star.companies(spark, folder), schemas.STAGING_COMPANIES), "start")
+    mark_table(tables.companies, BATCH)
+    return tables.companies.read().select("company_number", "needs_review", "review_notes")
+
+
+@query(
+    "own_tag_dictionary",
+    """SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS company_number, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS period_end,
+CAST(o_custkey * 10 AS DOUBLE) AS turnover, CAST(2 AS DOUBLE) AS creditors, CAST(NULL AS DOUBLE) AS fixed_assets FROM orders""",
+)
+def own_tag_dictionary(spark, folder):
+    """Filings read with a dictionary kept as JSON, which fills columns from other tags."""
+    path = work_path(spark, "dictionary")
+    text = '{"turnover": ["Creditors"], "creditors": ["Nothing", "fixed_Assets"]}'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    own = load_tag_dictionary(spark, path)
+    rows = parse_documents(documents(spark, folder), dictionary=own).where("reject is null")
+    return rows.select("company_number", "period_end", "turnover", "creditors", "fixed_assets")

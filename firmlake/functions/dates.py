@@ -15,6 +15,8 @@ REGISTER_LAYOUTS = {
 }
 FILING_LAYOUTS = {
     **REGISTER_LAYOUTS,
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d-M-yy": r"^\d{1,2}-\d{1,2}-\d{2}$",
     "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,} \d{4}$",
     "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
     "MMMM d yyyy": r"^[A-Za-z]{4,} \d{1,2} \d{4}$",
@@ -38,8 +40,13 @@ def register_date(c: Column) -> Column:
 
 
 def filing_date(c: Column) -> Column:
-    """Dates as people write them in filings: ordinals, commas and repeated blanks are ignored."""
+    """Dates as people write them in filings: ordinals, commas, repeated blanks and a time of day are ignored.
+
+    ``Sept`` is short for September.
+    """
     plain = F.regexp_replace(F.trim(c), r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
+    plain = F.regexp_replace(plain, r"(?i)\bsept\b\.?", "Sep")
+    plain = F.regexp_replace(plain, r"^(\d{4}-\d{1,2}-\d{1,2})[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$", "$1")
     return parse_any(F.regexp_replace(plain, r"[,\s]+", " "), FILING_LAYOUTS)
 
 

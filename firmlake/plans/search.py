@@ -76,6 +76,7 @@ class Filters:
     order_by: str = "company_name"
     descending: bool = False
     reference_year: int = 0
+    after: tuple | None = None  # (sort value, company number) of the last row of the page before
 
 
 def _band(c: Column, bounds: tuple | None) -> Column | None:
@@ -212,10 +213,28 @@ def _order(f: Filters) -> list[Column]:
     return [direction(column), F.asc("company_number")]
 
 
+def _beyond(f: Filters) -> Column:
+    """Rows that come after ``f.after`` in the wanted order; NULL sort values come last."""
+    by_likeness = f.order_by == "relevance" and f.search_term
+    column = F.col("similarity" if by_likeness else SORT_COLUMNS.get(f.order_by, "company_name"))
+    value, number = f.after
+    later = F.col("company_number") > F.lit(number)
+    if value is None:
+        return column.isNull() & later
+    further = column < F.lit(value) if f.descending or by_likeness else column > F.lit(value)
+    return further | ((column == F.lit(value)) & later) | column.isNull()
+
+
 def page_of(found: DataFrame, f: Filters) -> DataFrame:
-    """One page in the wanted order: a top-k over all partitions, not a full sort."""
+    """One page in the wanted order: a top-k over all partitions, not a full sort.
+
+    An offset makes the top-k as deep as the page lies. For deep pages give ``after`` instead: it becomes a predicate,
+    and the work for any page is that of the first.
+    """
     if f.order_by == "relevance" and f.search_term:
         found = with_similarity(found, f.search_term)
+    if f.after is not None:
+        found = found.where(_beyond(f))
     ordered = found.orderBy(*_order(f))
     if f.offset > 0:
         ordered = ordered.offset(f.offset)

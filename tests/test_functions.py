@@ -86,3 +86,10 @@ def test_name_facts_of_one_name_and_of_a_column_agree(spark):
     df = spark.createDataFrame([(n,) for n in names], "name string")
     got = df.select("name", company_number_from_name(F.col("name")).alias("c"), period_end_from_name(F.col("name")).alias("d")).collect()
     assert {r["name"]: (r["c"], r["d"]) for r in got} == {n: name_facts(n) for n in names}
+
+
+def test_more_filing_dates(spark):
+    texts = ["2018-03-31T00:00:00", "2018-03-31 10:15:00Z", "2018/3/31", "31-12-17", "30 Sept 2018", "Sept. 30, 2018", "2018-03-31T25:00"]
+    day = dt.date(2018, 3, 31)
+    want = [day, day, day, dt.date(2017, 12, 31), dt.date(2018, 9, 30), dt.date(2018, 9, 30), day]
+    assert column(spark, texts, dates.filing_date) == want

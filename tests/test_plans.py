@@ -66,6 +66,19 @@ def test_paging_and_response(spark):
     assert [r["company_name"] for r in s.search_page(profiles, Filters(order_by="c.company_name", limit=1)).collect()] == ["COMPANY 1"]
 
 
+def test_paging_by_key_gives_the_same_pages(spark):
+    c, f, o = tables(spark)
+    profiles = s.company_profiles(c, f, o)
+    for order, column in (("company_name", "company_name"), ("turnover", "turnover"), ("employees", "active_officers_count")):
+        for descending in (False, True):
+            whole = s.search_page(profiles, Filters(order_by=order, descending=descending)).collect()
+            got, after = [], None
+            while page := s.search_page(profiles, Filters(order_by=order, descending=descending, limit=3, after=after)).collect():
+                got += page
+                after = (page[-1][column], page[-1]["company_number"])
+            assert [r["company_number"] for r in got] == [r["company_number"] for r in whole]
+
+
 def test_review_and_scores(spark):
     c, _, o = tables(spark)
     report = validation.validate_batch(c, o, "b1")
