@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from firmlake.session import settle
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 QUERY_ROWS = 8192
 DEGREE = 16  # neighbours of a node above level 0; twice as many on it
 EF_BUILD = 64
