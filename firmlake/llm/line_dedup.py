@@ -132,7 +132,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = repeats(docs, min_words).toDF(id_, code, own)
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(code))
     others = [F.col(f"`{c}`") for c in names if c.lower() != "text"]
-    joined = docs.join(spans, same, "left").select(*others, F.col("text").cast("string").alias("text"), own)
+    # The same join at every size: without the hint a small list is broadcast, and texts move only beyond some size.
+    joined = docs.join(spans.hint("merge"), same, "left").select(*others, F.col("text").cast("string").alias("text"), own)
     before = joined.drop("text", own)
     kept = fresh(names, "_kept")
     out = joined.mapInArrow(_cut, ", ".join(x for x in (kinds(before), f"`{kept}` string, `{lines}` long, `{removed}` long") if x))
