@@ -84,27 +84,28 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\r\x0b\x0c')),
-    lambda x: x <> '') AS ls, text FROM documents),
-l AS (SELECT doc_id, k, ls[k] AS line, len(regexp_extract_all(ls[k], '[^\x20\x09-\x0D]+')) AS n
-  FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS k FROM d WHERE len(ls) > 0)),
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+part AS (SELECT doc_id, p, unnest(u) AS line, generate_subscripts(u, 1) AS q FROM (SELECT doc_id, p, list_filter(list_transform(string_split(
+    replace(replace(replace(x, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10)),
+    lambda y: trim(y, E' \t\r\x0b\x0c')), lambda y: y <> '') AS u FROM raw) WHERE len(u) > 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, q) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM part),
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM l),
-w AS (SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k
-    AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
-  UNION SELECT b.doc_id, max(a.k) AS i, b.k AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k
-    AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.k),
+w AS (SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 30
+    AND b.upto - a.upto + a.n >= 30 GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.k) AS i, b.k AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 30
+    AND b.upto - a.upto + a.n >= 30 GROUP BY b.doc_id, b.k),
+d AS (SELECT doc_id, list(line ORDER BY k) AS ls FROM l GROUP BY doc_id),
 t AS (SELECT w.doc_id, i, j, array_to_string(ls[i : j], chr(10)) AS content FROM w JOIN d USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS rn FROM t),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS k FROM r WHERE rn > 1),
-n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
-raw AS (SELECT doc_id, p, trim(x, E' \t\r\x0b\x0c') <> '' AS full_line, x
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d)),
-numbered AS (SELECT *, sum(CAST(full_line AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM raw),
-kept AS (SELECT a.doc_id, string_agg(x, chr(10) ORDER BY p) AS kept FROM numbered a
-  LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.k = a.k AND a.full_line WHERE g.k IS NULL GROUP BY a.doc_id)
-SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
-  sha256(CASE WHEN n.n = len(ls) THEN '' ELSE coalesce(kept, '') END) AS text_sha256
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+n AS (SELECT l.doc_id, count(*) AS n, count(g.k) AS m FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id),
+left_ AS (SELECT l.doc_id, p, string_agg(line, ' ' ORDER BY q) FILTER (WHERE g.k IS NULL) AS remains, count(g.k) AS m
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id, p),
+kept AS (SELECT raw.doc_id, string_agg(CASE WHEN coalesce(m, 0) = 0 THEN x ELSE remains END, chr(10) ORDER BY p) AS kept
+  FROM raw LEFT JOIN left_ USING (doc_id, p) GROUP BY raw.doc_id)
+SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n = m THEN '' ELSE coalesce(kept, '') END) AS text_sha256
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
 @query("op3_line_winnowing", OP3_SQL)

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from firmlake.llm.fm_index import cut_words, words_of
+from firmlake.llm.line_dedup import MIN_WORDS
 from firmlake.llm.queries import vocabulary
 from firmlake.session import settle
 from tests.llm import test_line_dedup, test_minhash
@@ -45,7 +46,7 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
 
 def test_repeated_runs_go(stages):
     rows = [(i, t) for i, t in texts(stages[1]).items()]
-    want = test_line_dedup.brute(rows, 50)
+    want = test_line_dedup.brute(rows, MIN_WORDS)
     expected = {i: want[i, t][0] if t else t for i, t in rows if not t or want[i, t][2] == 0 or want[i, t][2] < want[i, t][1]}
     assert texts(stages[2]) == expected
     assert all(r.n_chars == len(r.text) for r in stages[2].collect() if r.doc_id in expected and expected[r.doc_id] != dict(rows)[r.doc_id])
