@@ -1,6 +1,6 @@
 """BPE encoding by speculation and verification, and decoding.
 
-A text is normalized and cut into words; each distinct word is encoded once per worker. Speculate: a greedy longest
+A text is normalized and cut into words; a task keeps the words it has encoded, up to a bound. Speculate: a greedy longest
 match over the vocabulary proposes tokens for all new words of a batch. Verify: all distinct pairs of adjacent tokens
 are tested together in numpy. A sequence is what merging yields exactly when every token of it is what its own
 characters merge to, and no two neighbours would have merged across their border; whether they would depends on the two
@@ -17,11 +17,11 @@ Vocabularies of the ``tokenizers`` library with word ends are read from their JS
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import fresh, kinds
+from firmlake.llm.common import fresh, kinds, slices
 
 NEVER = np.int64(1 << 40)
-MOST_WORDS = 1 << 19  # encoded words that a worker keeps
+TOKEN_BITS = 24
+TOKEN_MASK, NO_MERGE = (1 << TOKEN_BITS) - 1, 1 << 60  # a merge is a rank above the token it makes
+LONG = 256  # symbols above which words are merged with a heap
+MOST_WORDS = 1 << 17  # encoded words of a generation; a task keeps two generations
 
 #: Fixed values of the vocabulary's kind: how it cuts a text into words, and its word end.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -62,8 +65,12 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = byte_letters()
+        self.letter_table = {b: letter for b, letter in enumerate(byte_letters()) if chr(b) != letter}
         self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}  # length of the longest token that begins with two letters
+        for token in self.ids:
+            if not token.endswith(WORD_END):
+                self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 1))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._tables(merges)
 
@@ -78,6 +85,7 @@ class Vocabulary:
                 self.merge_rank[pair] = (r, whole)
                 if rank[whole] == NEVER:
                     left[whole], right[whole], rank[whole] = *pair, r
+        self.merge_code = {pair: r << TOKEN_BITS | whole for pair, (r, whole) in self.merge_rank.items()}
         keys = np.array([a * size + b for a, b in self.merge_rank], np.int64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -132,48 +140,77 @@ class Vocabulary:
 
     def greedy(self, symbols: str) -> list[int]:
         """Longest match first; ``symbols`` is a word in byte letters. The word's last token carries the word end."""
-        out, at, n, ids = [], 0, len(symbols), self.ids
+        get, reach, out, at, n = self.ids.get, self.reach.get, [], 0, len(symbols)
         while at < n:
-            whole = ids.get(symbols[at:] + WORD_END) if n - at <= self.longest else None
-            if whole is not None:
-                out.append(whole)
+            if n - at <= self.longest and (token := get(symbols[at:] + WORD_END)) is not None:
+                out.append(token)
                 break
-            for end in range(min(n - 1, at + self.longest), at, -1):
-                token = ids.get(symbols[at:end])
-                if token is not None:
-                    break
+            end = min(n - 1, at + reach(symbols[at : at + 2], 1))
+            while (token := get(symbols[at:end])) is None:
+                end -= 1
             out.append(token)
             at = end
         return out
 
     def merge(self, symbols: str) -> list[int]:
         """Exact merging: the lowest rank first, of equal ones the leftmost."""
-        parts = [self.ids[c] for c in symbols[:-1]] + [self.ids[symbols[-1] + WORD_END]]
-        while len(parts) > 1:
-            found = [self.merge_rank.get(p, (NEVER, 0)) for p in zip(parts, parts[1:])]
-            rank, whole = min(found)
-            if rank == NEVER:
-                break
-            k = [f[0] for f in found].index(rank)
-            parts[k : k + 2] = [whole]
+        ids = self.ids
+        parts = [ids[c] for c in symbols[:-1]] + [ids[symbols[-1] + WORD_END]]
+        return self._merge_short(parts) if len(parts) <= LONG else self._merge_long(parts)
+
+    def _merge_short(self, parts: list[int]) -> list[int]:
+        get = self.merge_code.get
+        codes = [get(p, NO_MERGE) for p in zip(parts, parts[1:])]
+        while codes and (least := min(codes)) < NO_MERGE:
+            k = codes.index(least)
+            parts[k : k + 2] = [least & TOKEN_MASK]
+            del codes[k]
+            if k:
+                codes[k - 1] = get((parts[k - 1], parts[k]), NO_MERGE)
+            if k < len(codes):
+                codes[k] = get((parts[k], parts[k + 1]), NO_MERGE)
         return parts
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Token ids of distinct words."""
-        letters = self.letters
-        symbols = ["".join([letters[b] for b in w.encode("utf-8")]) for w in words]
-        proposed = [self.greedy(s) for s in symbols]
-        lengths = np.array([len(p) for p in proposed], np.int64)
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same with a heap, for words of any length."""
+        get, n = self.merge_code.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(c, k) for k, p in enumerate(zip(parts, parts[1:])) if (c := get(p, NO_MERGE)) < NO_MERGE]
+        heapq.heapify(heap)
+        while heap:
+            code, k = heapq.heappop(heap)
+            m = after[k]
+            if parts[k] < 0 or m >= n or get((parts[k], parts[m]), NO_MERGE) != code:
+                continue  # one of the two has been merged since
+            parts[k], parts[m], after[k] = code & TOKEN_MASK, -1, after[m]
+            if after[k] < n:
+                before[after[k]] = k
+                if (c := get((parts[k], parts[after[k]]), NO_MERGE)) < NO_MERGE:
+                    heapq.heappush(heap, (c, k))
+            if before[k] >= 0 and (c := get((parts[before[k]], parts[k]), NO_MERGE)) < NO_MERGE:
+                heapq.heappush(heap, (c, before[k]))
+        return [p for p in parts if p >= 0]
+
+    def symbols(self, word: str) -> str:
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter_table)
+
+    def propose(self, words: list[str]) -> list[list[int]]:
+        """Token ids of distinct words: greedy proposals, of which those that fail the test are merged exactly."""
+        symbols = [self.symbols(w) for w in words]
+        proposed = [self.greedy(x) for x in symbols]
         flat = np.array([t for p in proposed for t in p], np.int64)
-        owner = np.repeat(np.arange(len(words)), lengths)
-        inside = owner[1:] == owner[:-1]
-        pairs, back = np.unique(flat[:-1][inside] * self.width + flat[1:][inside], return_inverse=True)
+        owner = np.repeat(np.arange(len(words)), [len(p) for p in proposed])
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs, back = np.unique(flat[inside] * self.width + flat[inside + 1], return_inverse=True)
         bad = self.crossed(pairs // self.width, pairs % self.width)
-        failing = set(owner[:-1][inside][bad[back]].tolist()) | set(owner[~self.sound[flat]].tolist())
+        failing = np.union1d(owner[inside][bad[back]], owner[~self.sound[flat]]).tolist()
         for k in failing:
             proposed[k] = self.merge(symbols[k])
         self.verified, self.merged = getattr(self, "verified", 0) + len(words), getattr(self, "merged", 0) + len(failing)
-        return [tuple(p) for p in proposed]
+        return proposed
+
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(p) for p in self.propose(words)]
 
 
 def normalize(text: str) -> str:
@@ -189,14 +226,28 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def _learn(self, words: set[str]) -> None:
-        new = sorted(words.difference(self.known))
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        strings = self.vocabulary.strings
-        for word, ids in zip(new, self.vocabulary.encode_words(new) if new else []):
-            self.known[word] = (np.array(ids, "<u4").tobytes(), " ".join([strings[i] for i in ids]))
+        """Have all words in ``known``. When it is full it becomes the older generation, from which used words come back."""
+        if len(self.known) > MOST_WORDS:
+            self.known, self.older = {}, self.known
+        missing = words.difference(self.known)
+        new, older = [], self.older
+        for word in missing:
+            if (kept := older.get(word)) is None:
+                new.append(word)
+            else:
+                self.known[word] = kept
+        if not new:
+            return
+        found = self.vocabulary.propose(new)
+        packed = np.array([t for ids in found for t in ids], "<u4").tobytes()
+        at, string = 0, self.vocabulary.strings.__getitem__
+        for word, ids in zip(new, found):
+            end = at + 4 * len(ids)
+            self.known[word] = (packed[at:end], " ".join(map(string, ids)))
+            at = end
 
     def split(self, text: str | None) -> list[tuple[str, bool]]:
         """Words and special tokens (marked) of a text, in order."""
@@ -234,12 +285,9 @@ class Encoder:
         return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file; the file may have been sent with ``addFile`` or lie on every machine."""
-    if not os.path.exists(path):
-        path = SparkFiles.get(os.path.basename(path))
-    return Encoder(path)
+    """The file may have been sent with ``addFile`` or lie on every machine."""
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
 
 
 PART = 64  # texts that are encoded together
@@ -249,27 +297,25 @@ def _encoding(path: str, names: list[str] | None):
     """Per row ``n_tokens, ids, decoded``, after the columns named; without names, digests after ``doc_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, PART):
-                batch = whole.slice(start, PART)
-                found = own.encode(batch.column(batch.num_columns - 1).to_pylist())
-                if names is None:
-                    rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(),
-                             hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest()) for i, d in found]
-                    n, one, two = zip(*rows)
-                    yield pa.record_batch(
-                        [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
-                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                    )
-                else:
-                    ids, decoded = zip(*found)
-                    yield pa.record_batch(
-                        [*batch.columns[:-1], pa.array([len(i) // 4 for i in ids], pa.int64()),
-                         pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())),
-                         pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(decoded, pa.string())],
-                        names=names,
-                    )
+        own = encoder(path)  # of this task: a worker that goes on with other stages does not keep its words
+        for batch in slices(batches, PART):
+            found = own.encode(batch.column(batch.num_columns - 1).to_pylist())
+            if names is None:
+                rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(),
+                         hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest()) for i, d in found]
+                n, one, two = zip(*rows)
+                yield pa.record_batch(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+            else:
+                ids, decoded = zip(*found)
+                yield pa.record_batch(
+                    [*batch.columns[:-1], pa.array([len(i) // 4 for i in ids], pa.int64()),
+                     pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())),
+                     pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(decoded, pa.string())],
+                    names=names,
+                )
 
     return run
 

@@ -1,9 +1,10 @@
-"""Names for columns that are added to a caller's table."""
+"""Names for columns that are added to a caller's table, and batches of a bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -18,3 +19,10 @@ def fresh(columns: Iterable[str], name: str) -> str:
 def kinds(df: DataFrame) -> str:
     """The columns and their types, as a schema text."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

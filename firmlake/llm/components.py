@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.session import settle
+from firmlake.session import discard, settle
 
 ROWS_PER_FILE = 100_000
 
@@ -23,17 +23,20 @@ def settle_rows(df: DataFrame, purpose: str, rows: int) -> DataFrame:
     return settle(df.coalesce(max(1, min(most, rows // ROWS_PER_FILE))), purpose)
 
 
-def _star(links: DataFrame, small: bool, rows: int) -> DataFrame:
+def _star(links: DataFrame, small: bool, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The links of a star round, and the minima they are computed from."""
     both = links.select(F.col("u").alias("n"), F.col("v").alias("m"))
     if not small:
         both = both.union(links.select(F.col("v").alias("n"), F.col("u").alias("m")))
     least = settle_rows(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low")), "components", rows)
     pairs = both.join(least, "n")
     if small:  # neighbours below the node, and the node itself, hang on to the least of them
-        return pairs.select(F.col("m").alias("u"), F.col("low").alias("v")).union(
+        out = pairs.select(F.col("m").alias("u"), F.col("low").alias("v")).union(
             least.select(F.col("n").alias("u"), F.col("low").alias("v"))
         )
-    return pairs.where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
+    else:
+        out = pairs.where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
+    return out, least
 
 
 def _is_stars(links: DataFrame) -> bool:
@@ -52,8 +55,10 @@ def components(links: DataFrame, rows: int) -> DataFrame:
     links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = settle_rows(links, "components", rows)
     while not _is_stars(links):
-        large = _star(links, small=False, rows=rows)
-        links = settle_rows(_star(large, small=True, rows=rows).where("u <> v").distinct(), "components", rows)
+        large, one = _star(links, small=False, rows=rows)
+        small, two = _star(large, small=True, rows=rows)
+        old, links = links, settle_rows(small.where("u <> v").distinct(), "components", rows)
+        discard(old, one, two)
     roots = links.select("v").distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import fresh
+from firmlake.llm.common import fresh, slices
 
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 19  # an index is built once so many symbols are gathered,
@@ -236,7 +236,7 @@ def _searcher(phrases: Phrases):
                     k += 1
                 yield batch.set_column(last, batch.schema.names[last], pa.array(out, FOUND))
 
-        for batch in batches:
+        for batch in slices(batches):
             held.append(batch)
             for text in batch.column(batch.num_columns - 2).to_pylist():
                 shard.add(text)
@@ -267,16 +267,18 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     above BLOCK_BYTES are searched in several passes over the documents, each with a bounded list of phrases. If the
     documents have a column of that name, the new one gets another underscore in front.
     """
+    found, plain, passes = _passes(docs, items, window, text)
+    for search in passes:
+        found = found.mapInArrow(search, found.schema)
+    return found.drop(plain)
+
+
+def _passes(docs: DataFrame, items: DataFrame, window: int, text: str) -> tuple[DataFrame, str, list]:
+    """The documents with a column for the plain text and one for what is found, the former's name, and the searches."""
     found = fresh(docs.columns, "_found")
     plain = fresh([*docs.columns, found], "_text")
     out = docs.withColumn(plain, F.col(text).cast("string")).withColumn(found, F.lit(None).cast(FOUND_SQL))
-    passes = 0
-    for block in benchmark_blocks(items):
-        out = out.mapInArrow(_searcher(Phrases(block, window)), out.schema)
-        passes += 1
-    if not passes:
-        out = out.mapInArrow(_searcher(Phrases([], window)), out.schema)
-    return out.drop(plain)
+    return out, plain, [_searcher(Phrases(b, window)) for b in benchmark_blocks(items)] or [_searcher(Phrases([], window))]
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -301,7 +303,7 @@ def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     size = next((k for k, n in enumerate(names) if n.lower() == "n_chars"), None)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, keep = batch.column(at).to_pylist(), []
             sizes = batch.column(size).to_pylist() if size is not None else []
             for k, f in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
@@ -311,13 +313,18 @@ def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
                     if sizes:
                         sizes[k] = len(texts[k])
                 keep.append(f["n_words"] > sum(b - a for a, b in spans) or not spans)
-            columns = list(batch.columns[:-1])
+            columns = list(batch.columns[:-2])
             columns[at] = pa.array(texts, columns[at].type)
             if sizes:
                 columns[size] = pa.array(sizes, columns[size].type)
             yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return find_phrases(docs, items, window).mapInArrow(cut, docs.schema)
+    found, _, passes = _passes(docs, items, window, "text")
+    for search in passes[:-1]:
+        found = found.mapInArrow(search, found.schema)
+    last = passes[-1]
+    # The last search and the cut share a worker.
+    return found.mapInArrow(lambda batches: cut(last(batches)), docs.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.llm.common import slices
 from firmlake.session import settle
 
 MIN_PAGES = 8
@@ -120,7 +121,7 @@ def prefixes(path: str) -> list[str]:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page and token: how often, the fingerprint's summand, and the words under it (an element, but for marked ones) or in it (a text)."""
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for host, url, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
             own = blocks(parse(page))
@@ -209,7 +210,7 @@ def main_text(page: str | None, main: str | None, constants: frozenset) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets: dict[int, frozenset] = {}
         width = batch.num_columns
         out = []

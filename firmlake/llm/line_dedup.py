@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import fresh, kinds
-from firmlake.session import settle
+from firmlake.llm.common import fresh, kinds, slices
+from firmlake.session import discard, settle
 
 MIN_WORDS = 30
 SPACE = b" \t\r\x0b\x0c"
@@ -85,14 +85,9 @@ def _packed(codes: np.ndarray, first: np.ndarray, last: np.ndarray, base: np.nda
     return where, np.concatenate((begin, [len(rows)])).astype(np.int32) * 16, rows.tobytes()
 
 
-PART = 256  # documents that are cut into windows together
-
-
 def _marks(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, PART):
-                yield marks(whole.slice(start, PART))
+        yield from map(marks, slices(batches))
 
     def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes, words, counts = [], [], []
@@ -136,7 +131,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.col("text").cast("string"))
     marks = settle(rows.mapInArrow(_marks(min_words), "doc_id long, _h long, _print long, _windows binary"), "fingerprints")
     again = marks.groupBy("_print").agg(F.count("*").alias("_n")).where("_n > 1").select("_print")
-    matched = marks.join(settle(again, "again").hint("merge"), "_print").select("doc_id", "_h", "_windows")
+    again = settle(again, "again")
+    matched = marks.join(again.hint("merge"), "_print").select("doc_id", "_h", "_windows")
     found = settle(matched.mapInArrow(_unpack, "doc_id long, _h long, _start int, _end int, _content long"), "matches")
     place = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("_h").alias("h"), F.col("_start").alias("s"))
     first = found.groupBy("_content").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
@@ -145,7 +141,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = later.groupBy("doc_id", "_h").agg(
         F.sort_array(F.collect_set(F.struct(F.col("_start").alias("s"), F.col("_end").alias("e")))).alias("spans")
     )
-    return settle(spans, "spans")
+    spans = settle(spans, "spans")
+    discard(marks, again, found, first)
+    return spans
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -170,7 +168,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns are the text and the spans; they become the text left, and the lines that it had and lost."""
-    for batch in batches:
+    for batch in slices(batches):
         width = batch.num_columns
         texts, had, lost = [], [], []
         for text, spans in zip(batch.column(width - 2).to_pylist(), batch.column(width - 1).to_pylist()):

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import fresh
+from firmlake.llm.common import fresh, slices
 from firmlake.llm.components import components, settle_rows
-from firmlake.session import settle
+from firmlake.session import discard, settle
 
 SHINGLE = 5
 ROWS, BANDS = 4, 48
@@ -37,7 +37,7 @@ SHARE = (75, 100)
 ATTEMPTS = 1024
 AGREE = round(BINS * 0.75 - 4.5 * (BINS * 0.75 * 0.25) ** 0.5)  # equal bins that step 5 asks for
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # classes of a family, and their shingles, that are compared in one task
-MOST_WORDS = 1 << 20  # word hashes a worker keeps
+MOST_WORDS = 1 << 16  # word hashes a worker keeps
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,7 +115,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, one, two, signs = [], [], [], []
         for text in batch.column(1).to_pylist():
             own = shingles(text)
@@ -158,7 +158,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, hub = None, np.empty(0, np.uint64)
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for u, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
             if u != last:  # rows of one hub often follow each other
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles")
     )
     # The numbers of a written table's rows are the same whenever it is read again.
-    classes = settle(settle(classes, "classes").withColumn("node", F.monotonically_increasing_id()), "classes")
+    unnumbered = settle(classes, "classes")
+    classes = settle(unnumbered.withColumn("node", F.monotonically_increasing_id()), "classes")
     chosen = (
         described.alias("d").where("n_shingles > 2")  # smaller sets are linked only when they are equal
         .join(classes.select("_c1", "_c2", "first_doc", "node").alias("c"),
@@ -280,17 +281,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_edges = edges.count()
     ends = edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "node")
     needed = nodes.select("node", "first_doc").join(ends, "node").dropDuplicates(["node"])
-    texts = _texts(docs, settle_rows(needed, "needed", n_edges), classes.select("node", "_c1", "_c2"))
+    needed = settle_rows(needed, "needed", n_edges)
+    texts = _texts(docs, needed, classes.select("node", "_c1", "_c2"))
     links = settle_rows(confirm(edges, texts), "links", n_edges)
     members = settle_rows(components(links, n_edges), "members", n_edges)
-    found = _search_families(edges, members, nodes, texts, n_edges)
+    found = settle_rows(_search_families(edges, members, nodes, texts, n_edges), "found", n_edges)
 
     known = classes.select("node", "_c1", "_c2", "first_doc").join(found, "node", "left").select(
         "_c1", "_c2", "first_doc", F.coalesce("component", "node").alias("component")
     )
     known = settle(known, "known")
     least = known.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = settle(known.join(settle(least, "least"), "component").select("_c1", "_c2", "component_id"), "named")
+    least = settle(least, "least")
+    named = settle(known.join(least, "component").select("_c1", "_c2", "component_id"), "named")
+    discard(unnumbered, classes, nodes, hubs, edges, needed, texts, links, members, found, known, least)
     out = described.select("doc_id", "n_shingles", "_c1", "_c2").join(named, ["_c1", "_c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -330,7 +334,7 @@ def _texts(docs: DataFrame, needed: DataFrame, named: DataFrame) -> DataFrame:
     wanted = needed.join(named, "node").select("node", "first_doc", "_c1", "_c2")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text, one, two in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 digest = xxhash.xxh3_128_digest(shingles(text).tobytes())
@@ -351,5 +355,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     id_ = fresh(docs.columns, "_id")
     marks = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("_n"))
     marks = settle(marks, "kept")
-    kept = docs.join(marks.select(id_), F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    kept = docs.join(marks.select(id_).hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
     return kept if marks.where("_n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import fresh, kinds
+from firmlake.llm.common import fresh, kinds, slices
 from firmlake.session import settle
 
 SAMPLE = 4000  # documents of each class the model is fitted on, at most
@@ -49,7 +49,7 @@ def features(text: str | None) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[int(label == 1), features(text)] += 1
     at = np.flatnonzero(counts.any(axis=0))
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     number[columns] = np.arange(len(columns))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [number[features(t)] for t in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(1), pa.array([x[x >= 0] for x in own], pa.list_(pa.int32()))], names=["toxic", "f"])
 
@@ -147,7 +147,7 @@ def regression(flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, ratio:
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = [model.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "\x00score"])  # by place
 

@@ -48,6 +48,15 @@ def test_speculation_and_exact_merging_agree(own):
     assert 0 < v.merged - merged < len(words)  # some words fail and many pass
 
 
+def test_long_words_are_merged_alike(own):
+    v, rng = own.vocabulary, random.Random(7)
+    for alphabet in ("a", "ab", "theinr"):
+        word = "".join(rng.choice(alphabet) for _ in range(700))
+        parts = [v.ids[c] for c in word[:-1]] + [v.ids[word[-1] + bpe.WORD_END]]
+        assert v._merge_short(list(parts)) == v._merge_long(list(parts))
+    assert len(v.merge("a" * 300_000)) < 300_000
+
+
 def test_query_columns(spark):
     rows = [(None, None), (1, None), (1, ""), (2, "the cat"), (2, "the cat"), (3, "long " * 100_000)]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int")
