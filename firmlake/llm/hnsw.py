@@ -228,11 +228,13 @@ INDEX = "dim int, shard int, entry long, vectors binary, members binary, starts
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row per shard: the graph's flat arrays. Vectors of different lengths never share a shard."""
     rows = usable(vectors).withColumn("dim", F.size("vector"))
-    counts = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("_shards"))
+    counts = settle(rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("_shards")), "shards")
+    tasks = counts.agg(F.sum("_shards")).first()[0] or 1
     shard = F.pmod(F.xxhash64("vec_id"), F.col("_shards")).cast("int")
     # The hash deals the rows evenly; a row per vector length is joined.
     dealt = rows.join(F.broadcast(counts), "dim").select("dim", shard.alias("shard"), "vec_id", "vector")
-    return settle(dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX), "graphs")
+    # Building a graph is dear, its rows are few: a task per shard is asked for outright.
+    return settle(dealt.repartition(int(tasks), "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, INDEX), "graphs")
 
 
 def _searcher(k: int, ef: int):
