@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     needed = nodes.select("node", "first_doc").join(ends, "node").dropDuplicates(["node"])
     needed = settle_rows(needed, "needed", n_edges)
     texts = _texts(docs, needed, classes.select("node", "_c1", "_c2"))
-    links = settle_rows(confirm(edges, texts), "links", n_edges)
+    links = settle(confirm(edges, texts), "links")
     members = settle_rows(components(links, n_edges), "members", n_edges)
     found = settle_rows(_search_families(edges, members, nodes, texts, n_edges), "found", n_edges)
 
@@ -322,7 +322,7 @@ def _search_families(edges: DataFrame, members: DataFrame, nodes: DataFrame, tex
     own = members.union(family.join(members, family["component"] == members["node"], "left_anti").select(
         family["component"].alias("node"), family["component"].alias("component")))
     own = own.join(family, "component").join(nodes.select("node", "n_shingles", "_sign").dropDuplicates(["node"]), "node")
-    more = settle_rows(across(settle(own.join(texts, "node"), "open")), "links", rows)
+    more = settle(across(settle(own.join(texts, "node"), "open")), "links")
     root = settle_rows(components(more, n_rejected), "roots", n_rejected)
     root = root.select(F.col("node").alias("_c"), F.col("component").alias("_root"))
     both = members.union(more.select("u", "u").union(more.select("v", "v")).distinct()).distinct()
