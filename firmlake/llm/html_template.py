@@ -2,10 +2,11 @@
 
 A page is a sequence of tokens: opening and closing tags, each told apart by the path of elements that it stands in, and
 texts. Spark sums, per host and token, the pages it occurs in and a fingerprint of its occurrence vector (how often it
-occurs in each page); tokens with equal fingerprints form an equivalence class. Classes whose tokens occur once in a
-page make up the frame of the host's template; classes that occur several times, such as the items of a menu, nest in
-it where their paths lie. Texts that are tokens of a large class themselves belong to the template. What is left are the
-slots: texts under an element of a class that differ from page to page.
+occurs in each page); equal pages of a host count once, so that copies do not pass for a template. Tokens with equal
+fingerprints form an equivalence class. Classes whose tokens occur once in a page make up the frame of the host's
+template; classes that occur several times, such as the items of a menu, nest in it where their paths lie. Texts that
+are tokens of a large class themselves belong to the template, but only under their own path: a menu's text may be a
+headline elsewhere. What is left are the slots: texts under an element of a class that differ from page to page.
 
 The main slot's element is the deepest one of the frame that holds nearly all words of the slots, over all pages of
 the host; parts of it that serve other ends (menus, forms, comments and so on, by element or class name) and the
@@ -113,6 +114,10 @@ def _code(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _text_code(path: str, text: str) -> int:
+    return _code(f"{path}\x00{text}")
+
+
 def prefixes(path: str) -> list[str]:
     """The elements that a path runs through, from the page itself (the empty path) on."""
     parts = path.split(">")
@@ -123,7 +128,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page and token: how often, the fingerprint's summand, and the words under it (an element, but for marked ones) or in it (a text)."""
     for batch in slices(batches):
         rows: list[tuple] = []
-        for host, url, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for host, page in zip(*(batch.column(k).to_pylist() for k in range(2))):
             own = blocks(parse(page))
             elements, under, texts = Counter(), Counter(), Counter()
             seen: set[str] = set()
@@ -137,11 +142,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = path
                 texts[path, text] += 1
                 seen.add(path)
-            number = xxhash.xxh3_64_intdigest(f"{url}\x00{page}")
+            number = xxhash.xxh3_64_intdigest(page)
             for p, n in elements.items():
                 rows.append((host, p, None, 1, n, _code(f"{number} {n}"), under[p]))
             for (p, t), n in texts.items():
-                rows.append((host, p, _code(t), 1, n, _code(f"{number} {n}"), n * len(t.split())))
+                rows.append((host, p, _text_code(p, t), 1, n, _code(f"{number} {n}"), n * len(t.split())))
         columns = list(zip(*rows)) if rows else [[]] * 7
         kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "text_code", "pages", "times", "print", "words"])
@@ -154,7 +159,8 @@ def host_of(url):
 
 def deduce(pages: DataFrame) -> DataFrame:
     """``host, main, constants``: the path of each host's main element, and the codes of the template's texts."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("url", F.lit("")).alias("url"), F.col("html").cast("string").alias("html"))
+    source = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(host_of(F.col("url")).alias("host"), source.alias("html")).distinct()
     tokens = rows.mapInArrow(_tokens, "host string, path string, text_code long, pages long, times long, print long, words long")
     whole = F.col("print").cast("decimal(38,0)")  # a sum of fingerprints must not overflow
     summed = settle(
@@ -162,7 +168,8 @@ def deduce(pages: DataFrame) -> DataFrame:
             F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum(whole).alias("print"), F.sum("words").alias("words")
         ).where("text_code is null or pages > 1"), "tokens",
     )
-    counts = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    digests = pages.select(host_of(F.col("url")).alias("host"), F.sha2(source.cast("binary"), 256).alias("digest")).distinct()
+    counts = digests.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     # Equal occurrence vectors: one equivalence class. Its size tells chance from template.
     classes = summed.groupBy("host", "pages", "times", "print").agg(
         F.collect_list(F.when(F.col("text_code").isNull(), F.struct("path", "words"))).alias("elements"),
@@ -204,7 +211,7 @@ def main_text(page: str | None, main: str | None, constants: frozenset) -> str:
     kept = []
     for path, text in found:
         inside = path == main or path.startswith(main + ">")
-        if inside and "!" not in path[len(main) :] and "!" not in main and _code(text) not in constants:
+        if inside and "!" not in path[len(main) :] and "!" not in main and _text_code(path, text) not in constants:
             kept.append(text)
     return " ".join(kept)
 

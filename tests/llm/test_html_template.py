@@ -28,6 +28,19 @@ def test_main_element_is_deduced_without_its_name(spark):
     assert text.startswith("Head 4 word0") and "Share this page" not in text  # the same on every page: part of the template
 
 
+def test_copies_are_no_template(spark):
+    copy = page(0, "<p>One article under many addresses</p>")
+    rows = [(k, f"http://c.example/{k}", copy) for k in range(80)] + [(80 + k, f"http://c.example/{80 + k}", page(k + 1, f"<p>own {k}</p>")) for k in range(10)]
+    got = run(spark, rows + rows[:3])
+    assert all(got[k][0] == "Head 0 One article under many addresses" for k in range(80))
+    assert got[83][0] == "Head 4 own 3"
+
+
+def test_a_menu_text_stays_in_the_article(spark):
+    rows = [(k, f"http://m.example/{k}", page(k, f"<h2>More</h2><p>text {k}</p><p>&copy; host</p>" if k == 3 else f"<p>text {k}</p>")) for k in range(12)]
+    assert run(spark, rows)[3][0] == "Head 3 More text 3 © host"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://b.example/", "plain   words &lt;b"), (4, "http://b.example/", "<p>open <div><p>a<b>c"),
             (5, "x", "<script>never closed <p>text"), (6, "x", "text <!-- open comment"), (7, "x", "end <a href='x"), (None, "x", "nn"),
