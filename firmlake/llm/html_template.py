@@ -3,15 +3,16 @@
 A page is a sequence of tokens: opening and closing tags, each told apart by the path of elements that it stands in, and
 texts. Spark sums, per host and token, the pages it occurs in and a fingerprint of its occurrence vector (how often it
 occurs in each page); equal pages of a host count once, so that copies do not pass for a template. Tokens with equal
-fingerprints form an equivalence class. Classes whose tokens occur once in a page make up the frame of the host's
-template; classes that occur several times, such as the items of a menu, nest in it where their paths lie. Texts that
-are tokens of a large class themselves belong to the template, but only under their own path: a menu's text may be a
-headline elsewhere. What is left are the slots: texts under an element of a class that differ from page to page.
-
-The main slot's element is the deepest one of the frame that holds nearly all words of the slots, over all pages of
-the host; parts of it that serve other ends (menus, forms, comments and so on, by element or class name) and the
-template's own texts are left out. A host with fewer than MIN_PAGES pages has no template; its pages are laid out by
-their own words.
+fingerprints form an equivalence class. A text that 80% of the pages hold is part of the template if other tokens share
+its class, and only under its own path: a menu's text may be a headline elsewhere. The frame is made of the elements that
+occur once in 80% of the pages. Classes are not ordered or nested by position; nesting is that of the paths.
+
+What is left are the slots: texts that differ from page to page. The main element is the smallest one of the frame that
+holds all words of the slots, over all pages of the host, and all its slots are main text but for parts that serve other
+ends: menus, footers and so on by their element, and small parts by their class, id or role. A name marks nothing that
+holds more than half of a page's words, unless an article or main element stands beside it. A host with fewer than
+MIN_PAGES different pages has no template; its pages are laid out by their own words. Side texts that differ from page to
+page and bear no such name stay in the text.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from firmlake.session import settle
 MIN_PAGES = 8
 FRAME = 0.8  # of a host's pages hold the tokens of a class in the frame
 CONSTANT = 0.8  # of a host's pages hold a text of the template
-MOST_WORDS = 0.8  # of the slots' words lie in the main element
+MINOR = 0.5  # of a page's words at most lie in a part that its name sets aside
 
 #: Fixed names of HTML: elements without content, with raw text, that do not break a line, and that never hold main text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -42,11 +43,11 @@ INLINE = frozenset(
     "sub sup time tt u var wbr img".split()
 )
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split())  # elements whose end may be left out
-ASIDE = frozenset("head nav header footer aside form button select menu dialog figure canvas audio video object".split()) | RAW
+ASIDE = frozenset("head nav header footer aside button select menu dialog figure canvas audio video object".split()) | RAW
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|header|login|masthead|menu|"
+    r"(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)(?<!\bhide)(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|header|login|masthead|menu|"
     r"modal|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|social|sponsor\w*|"
-    r"subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"subscribe|toolbar|widget)(?=$|[\s_-])",
     re.IGNORECASE,
 )
 _TOKEN = re.compile(
@@ -55,10 +56,15 @@ _TOKEN = re.compile(
 _CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
+_SIGN = re.compile("[>!~]")  # signs of paths
+_ARTICLE = re.compile(r">(?:article|main)(?![^.>~!])")
+
+
 def parse(page: str | None) -> list[tuple[str, str, bool]]:
     """The page's texts in order: path of block elements, text as written, and whether a new block begins.
 
-    Paths name elements with their classes; an element that serves other ends is marked by an exclamation mark.
+    Paths name elements with their classes; an element that serves other ends is marked by an exclamation mark, one whose
+    names only say so (or a form, which may hold the whole page) by a tilde, or two if a whole name does. Headers within an article belong to it.
     """
     page = page or ""
     out: list[tuple[str, str, bool]] = []
@@ -92,8 +98,14 @@ def parse(page: str | None) -> list[tuple[str, str, bool]]:
                 stack.pop()
             if name != "p":
                 names = [a or b or c for _, a, b, c in _CLASS.findall(m[3])]
-                mark = "!" if name in ASIDE or any(ASIDE_WORDS.search(x) for x in names) else ""
-                kind = ".".join(x for _, a, b, c in _CLASS.findall(m[3]) if _ == "class" for x in (a or b or c).split())
+                within = any(x in ("article", "main") for x, _ in stack)
+                words = {w.lower() for x in names for w in ASIDE_WORDS.findall(x)} - ({"header"} if within else set())
+                if name in ASIDE and not (within and name == "header"):
+                    mark = "!"
+                else:
+                    mark = "~" if name == "form" or words and name not in ("html", "body", "main") else ""
+                    mark += mark if words & {x.lower() for x in " ".join(names).split()} else ""
+                kind = ".".join(x for k, a, b, c in _CLASS.findall(m[3]) if k.lower() == "class" for x in _SIGN.sub("_", a or b or c).split())
                 stack.append((name, f"{stack[-1][1] if stack else ''}>{name}{'.' + kind if kind else ''}{mark}"))
         path = stack[-1][1] if stack else ""
     return out
@@ -110,6 +122,29 @@ def blocks(texts: list[tuple[str, str, bool]]) -> list[tuple[str, str]]:
     return [x for x in clean if x[1]]
 
 
+def closed(found: list[tuple[str, str]]) -> set[str]:
+    """The elements of a page that their names set aside: those with a minor share of its words.
+
+    Where an article or main element stands beside it, a name that is a listed word as a whole needs no minor share.
+    """
+    under, total, beside, holding = Counter(), 0, False, set()
+    for path, text in found:
+        if "!" not in path:
+            words = len(text.split())
+            total += words
+            marked = [p for p in prefixes(path) if p.endswith("~")]
+            under.update(dict.fromkeys(marked, words))
+            if _ARTICLE.search(path):
+                beside |= not marked
+                holding.update(marked)
+    return {p for p, n in under.items() if n <= MINOR * total or beside and p.endswith("~~") and p not in holding}
+
+
+def is_open(path: str, shut: set[str], main: str = "") -> bool:
+    """Whether nothing below the main element sets the path aside."""
+    return "!" not in path[len(main) :] and not ("~" in path and any(p in shut and len(p) > len(main) for p in prefixes(path)))
+
+
 def _code(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
@@ -125,18 +160,18 @@ def prefixes(path: str) -> list[str]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and token: how often, the fingerprint's summand, and the words under it (an element, but for marked ones) or in it (a text)."""
+    """Per page and token: how often, the fingerprint's summand, and the words under it (an element) or in it (a text), but for those set aside."""
     for batch in slices(batches):
         rows: list[tuple] = []
         for host, page in zip(*(batch.column(k).to_pylist() for k in range(2))):
             own = blocks(parse(page))
             elements, under, texts = Counter(), Counter(), Counter()
             seen: set[str] = set()
-            last = None
+            last, shut = None, closed(own)
             for path, text in own:
-                words = len(text.split())
+                words = len(text.split()) if is_open(path, shut) else 0
                 for p in prefixes(path):
-                    under[p] += words if "!" not in path else 0
+                    under[p] += words
                     if last is None or not (last + ">").startswith(p + ">"):
                         elements[p] += 1
                 last = path
@@ -146,7 +181,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p, n in elements.items():
                 rows.append((host, p, None, 1, n, _code(f"{number} {n}"), under[p]))
             for (p, t), n in texts.items():
-                rows.append((host, p, _text_code(p, t), 1, n, _code(f"{number} {n}"), n * len(t.split())))
+                rows.append((host, p, _text_code(p, t), 1, n, _code(f"{number} {n}"), n * len(t.split()) if is_open(p, shut) else 0))
         columns = list(zip(*rows)) if rows else [[]] * 7
         kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "text_code", "pages", "times", "print", "words"])
@@ -181,37 +216,27 @@ def deduce(pages: DataFrame) -> DataFrame:
     constant = valid.where((F.col("pages") >= CONSTANT * F.col("n")) & (F.col("size") > 1)).select("host", F.explode("texts").alias("t"))
     constant = settle(constant.select("host", "t.path", "t.text_code", "t.words"), "constants")
     # Words of the slots under each element of the frame: all words less those of the template's texts there.
-    fixed = constant.alias("c").join(frame.alias("f"), F.expr("c.host = f.host and (c.path = f.path or startswith(c.path, f.path || '>')) and not contains(c.path, '!')"))
+    fixed = constant.alias("c").join(frame.alias("f"), F.expr("c.host = f.host and (c.path = f.path or startswith(c.path, f.path || '>'))"))
     fixed = fixed.groupBy("f.host", "f.path").agg(F.sum("c.words").alias("fixed"))
-    free = frame.join(fixed, ["host", "path"], "left").where(~F.col("path").contains("!"))
-    free = free.select("host", "path", (F.col("words") - F.coalesce("fixed", F.lit(0))).alias("words"))
+    free = frame.join(fixed, ["host", "path"], "left")
+    free = free.select("host", "path", (F.col("words") - F.coalesce("fixed", F.lit(0))).alias("words")).where("words > 0")
     most = free.groupBy("host").agg(F.max("words").alias("most"))
     depth = F.size(F.split("path", ">"))
-    deep = free.join(most, "host").where(F.col("words") >= MOST_WORDS * F.col("most")).groupBy("host").agg(
+    deep = free.join(most, "host").where(F.col("words") == F.col("most")).groupBy("host").agg(
         F.max(F.struct(depth.alias("d"), F.col("words"), F.col("path"))).alias("m")
     )
     texts = constant.groupBy("host").agg(F.collect_set("text_code").alias("constants"))
-    return settle(deep.join(texts, "host", "left").select("host", F.col("m.path").alias("main"), "constants"), "templates")
-
-
-def own_layout(found: list[tuple[str, str]]) -> str:
-    """The main element of a single page: the deepest that holds nearly all words outside of marked elements."""
-    under: Counter = Counter()
-    for path, text in found:
-        if "!" not in path:
-            under.update({p: len(text.split()) for p in prefixes(path)})
-    most = max(under.values(), default=0)
-    return max((p for p, n in under.items() if n >= MOST_WORDS * most), key=lambda p: (p.count(">"), under[p], p), default="")
+    return settle(deep.join(texts, "host", "full").select("host", F.col("m.path").alias("main"), "constants"), "templates")
 
 
 def main_text(page: str | None, main: str | None, constants: frozenset) -> str:
     found = blocks(parse(page))
     if main is None or not any(p == main or p.startswith(main + ">") for p, _ in found):
-        main = own_layout(found)  # no template, or a page that does not follow it
-    kept = []
+        main = ""  # no template, or a page that does not follow it: the whole page
+    kept, shut = [], closed(found)
     for path, text in found:
         inside = path == main or path.startswith(main + ">")
-        if inside and "!" not in path[len(main) :] and "!" not in main and _text_code(path, text) not in constants:
+        if inside and is_open(path, shut, main) and _text_code(path, text) not in constants:
             kept.append(text)
     return " ".join(kept)
 

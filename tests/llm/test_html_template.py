@@ -41,6 +41,22 @@ def test_a_menu_text_stays_in_the_article(spark):
     assert run(spark, rows)[3][0] == "Head 3 More text 3 © host"
 
 
+def test_headline_and_lead_outside_the_body_stay(spark):
+    rows = [(k, f"http://l.example/{k}", page(k, f"<div class=lead>Lead {k}</div><div class=body><p>{f'word{k} ' * 40}</p></div>")) for k in range(12)]
+    assert run(spark, rows)[3][0] == "Head 3 Lead 3 " + " ".join(["word3"] * 40)
+
+
+def test_names_mark_small_parts_only(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    inner = f"<form id=aspnet><div class='post no-comments'><h1>Head</h1><p>{words}</p><div class='comments'>I disagree</div></div></form>"
+    assert main_text(f"<body class='has-sidebar'>{inner}<div class='sidebar'>side</div></body>", None, frozenset()) == f"Head {words}"
+    assert main_text(f"<div class='page-widget !mt-0'><p>{words}</p></div>", None, frozenset()) == words
+    assert main_text(f"<article><header class=entry-header><h1>Head</h1></header><p>{words}</p></article>", None, frozenset()) == f"Head {words}"
+    assert main_text("<div class=ad>a long text to buy it</div><article>short</article>", None, frozenset()) == "short"
+    rows = [(k, f"http://n.example/{k}", f"<body class=has-sidebar><div class='post widget'><p>own{k} {words}</p></div><div class=ad>a{k}</div></body>") for k in range(12)]
+    assert run(spark, rows)[3][0] == f"own3 {words}"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://b.example/", "plain   words &lt;b"), (4, "http://b.example/", "<p>open <div><p>a<b>c"),
             (5, "x", "<script>never closed <p>text"), (6, "x", "text <!-- open comment"), (7, "x", "end <a href='x"), (None, "x", "nn"),
