@@ -136,9 +136,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archives(table(spark, folder, "pages"), f"{place}/archives")
     found = settle(warc.captures(spark, f"{place}/archives"), "captures")
     warc.write_index(found, f"{place}/index")
-    return warc.read_index(spark, f"{place}/index").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    hits = settle(warc.look_up(spark, f"{place}/index", found.select("url")), "hits")
+    return warc.payloads(spark, f"{place}/index", hits).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest"), "record_type", "refers_to",
+    )
 
 
 OP2_SQL = """

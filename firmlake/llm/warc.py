@@ -9,14 +9,16 @@ host and path, page, file, offset, length and so on) is range-partitioned by key
 LINES lines. The directory holds the first and last key of each block and no lines.
 
 Looking up: the partitions' key ranges (one row per partition) tell where a key can lie, a binary search in the
-partition's directory finds the blocks, and only those blocks are unpacked. ``fetch`` then cuts the byte ranges out of
-the archives that hold them.
+partition's directory finds the blocks, and only those blocks are unpacked. ``fetch`` then seeks the byte ranges in the
+archives that hold them, and ``payloads`` reads revisits where they refer to, whose place it looks up in the index.
+Archives are never held whole; they must lie where ``pyarrow.fs`` can open them (local folders, HDFS, S3).
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import io
 import json
 import re
 import zlib
@@ -28,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.session import settle
+from firmlake.sources.archives import open_file
 
 LEAST_REVISIT = 100
 RECORDS = 4096  # in an archive file
 LINES = 1000  # in an index block
+BATCH_BYTES = 4 << 20  # of payloads are handed on at once; a longer payload makes a larger batch
 CRLF = "\r\n"
 
 
@@ -42,7 +46,7 @@ def _uuid(page: Column, digest: Column) -> Column:
 
 
 def with_kinds(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every page."""
+    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_url`` of every page."""
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
@@ -53,14 +57,16 @@ def with_kinds(pages: DataFrame) -> DataFrame:
     })
     first = (
         base.where(F.col("payload_bytes") >= LEAST_REVISIT)
-        .groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1 and _first is not null").select(F.col("payload_digest").alias("_digest"), "_first")
+        .groupBy("payload_digest").agg(
+            F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_f"), F.count("*").alias("_n")
+        ).where("_n > 1 and _f is not null")
+        .select(F.col("payload_digest").alias("_digest"), F.col("_f.page_id").alias("_first"), F.col("_f.url").alias("_first_url"))
     )
     joined = base.join(settle(first, "payloads"), F.col("payload_digest") == F.col("_digest"), "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"), F.when(again, F.col("_first_url")).alias("refers_url"),
     )
 
 
@@ -82,12 +88,16 @@ def write_archives(pages: DataFrame, path: str, fetched: str = "1970-01-01T00:00
     def field(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
 
-    target = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.substring(own, 2, 45))
+    def target(url: str, record: Column) -> Column:
+        return F.coalesce(F.regexp_replace(url, r"[\x00-\x20\x7F]", "%20"), F.substring(record, 2, 45))
+
+    first = _uuid(F.col("refers_to"), F.col("payload_digest"))
     head = F.concat(
         F.lit(f"WARC/1.0{CRLF}"), field("WARC-Type", F.col("record_type")), field("WARC-Record-ID", own),
-        field("WARC-Target-URI", target), field("WARC-Date", F.lit(fetched)),
+        field("WARC-Target-URI", target("url", own)), field("WARC-Date", F.lit(fetched)),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        field("WARC-Refers-To", F.when(again, _uuid(F.col("refers_to"), F.col("payload_digest")))),
+        field("WARC-Refers-To", F.when(again, first)),
+        field("WARC-Refers-To-Target-URI", F.when(again, target("refers_url", first))),
         field("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))),
         field("X-Page-Id", F.col("page_id")), field("X-Refers-To-Page", F.col("refers_to")),
         field("X-Payload-Length", F.col("payload_bytes")),
@@ -109,19 +119,25 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2] or "/")
 
 
-def records_of(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, header fields and payload of each record of an archive."""
+def records_in(f) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, header fields and payload of each record of an open archive, one after the other."""
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at) + 4
-        head = dict(x.split(": ", 1) for x in data[at : end - 4].decode("utf-8", "replace").split(CRLF)[1:])
+    while line := f.readline():
+        lines = [line]
+        while lines[-1] != b"\r\n":
+            if not (line := f.readline()):
+                raise ValueError(f"the record at {at} is not whole")
+            lines.append(line)
+        head = dict(x.decode("utf-8", "replace").rstrip(CRLF).split(": ", 1) for x in lines[1:-1])
         size = int(head["Content-Length"])
-        body = data.index(b"\r\n\r\n", end, end + size) + 4
-        yield at, end + size - at, head, data[body : end + size]
-        at = end + size + 4
+        block = f.read(size)
+        f.read(4)
+        length = sum(map(len, lines)) + size
+        yield at, length, head, block[block.index(b"\r\n\r\n") + 4 :]
+        at += length + 4
 
 
-CAPTURE = "key string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, at long, length long"
+CAPTURE = "key string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, at long, length long, refers_url string"
 _NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
 _KINDS = {"string": pa.string(), "long": pa.int64()}
 _SCHEMA = pa.schema([(n, _KINDS[x.split()[1]]) for n, x in zip(_NAMES, CAPTURE.split(", "))])
@@ -138,26 +154,31 @@ def _number(x: str | None) -> int | None:
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for file in batch.column(0).to_pylist():
             rows = []
-            for at, length, head, payload in records_of(data.as_py()):
-                digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"{file}: the record at {at} does not match its digest")
-                size = len(payload) if head["WARC-Type"] == "response" else int(head["X-Payload-Length"])
-                url = head["WARC-Target-URI"]
-                rows.append((surt(url), _number(head.get("X-Page-Id")), url, head["WARC-Type"], size, digest,
-                             _number(head.get("X-Refers-To-Page")), file, at, length))
+            with open_file(file) as opened, io.BufferedReader(opened, 1 << 20) as f:
+                for at, length, head, payload in records_in(f):
+                    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+                    if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                        raise ValueError(f"{file}: the record at {at} does not match its digest")
+                    size = len(payload) if head["WARC-Type"] == "response" else int(head["X-Payload-Length"])
+                    url = head["WARC-Target-URI"]
+                    rows.append((surt(url), _number(head.get("X-Page-Id")), url, head["WARC-Type"], size, digest,
+                                 _number(head.get("X-Refers-To-Page")), file, at, length, head.get("WARC-Refers-To-Target-URI")))
+                    if len(rows) == RECORDS:
+                        yield _rows(rows)
+                        rows = []
             yield _rows(rows)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    """The archives' paths; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path")
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives below ``path``, read back and checked."""
-    return archives(spark, path).select(F.col("path"), "content").mapInArrow(_captures, CAPTURE)
+    return archives(spark, path).mapInArrow(_captures, CAPTURE)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +271,65 @@ def look_up(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
     return opened.groupBy("part", "block").cogroup(wanted.groupBy("part", "block")).applyInArrow(pick, CAPTURE)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last three columns, the place of a record, become its payload."""
+    name, opened = None, None
+    for batch in batches:
+        width = batch.num_columns
+        out, size, begin = [], 0, 0
+        last, payload = None, None
+        for n, place in enumerate(zip(*(batch.column(width - k).to_pylist() for k in (3, 2, 1))), 1):
+            if place != last:
+                file, at, length = last = place
+                if file != name:
+                    if opened is not None:
+                        opened.close()
+                    name, opened = file, open_file(file)
+                opened.seek(at)
+                _, _, _, found = next(records_in(io.BytesIO(opened.read(length))))
+                payload = found.decode("utf-8")
+            out.append(payload)
+            size += len(payload)
+            if size >= BATCH_BYTES or n == batch.num_rows:
+                columns = [c.slice(begin, n - begin) for c in batch.columns[: width - 3]]
+                yield pa.record_batch([*columns, pa.array(out, pa.string())], names=[*batch.schema.names[: width - 3], "payload"])
+                out, size, begin = [], 0, n
+    if opened is not None:
+        opened.close()
+
+
+def _read(found: DataFrame) -> DataFrame:
+    """Neighbours in an archive are read by one task; a record that very many captures refer to is read by several.
+
+    The count is given outright: rows of places are tiny, and adaptive execution would merge them into few tasks.
+    """
+    kept = [c for c in found.columns if c not in ("file", "at", "length")]
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartitionByRange(tasks, "file", "at", "page_id").sortWithinPartitions("file", "at")
+    return dealt.select(*kept, "file", "at", "length").mapInArrow(
+        _cut, ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in kept) + ", payload string"
+    )
+
+
 def fetch(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
-    """``page_id, payload`` of captures: the byte ranges cut out of the archives; revisits are read where they refer to."""
-
-    def cut(key, files: pa.Table, ranges: pa.Table) -> pa.Table:
-        data = files.column("content")[0].as_py() if files.num_rows else b""
-        rows = []
-        for page, at, length in zip(*(ranges.column(c).to_pylist() for c in ("page_id", "at", "length"))):
-            for _, _, _, payload in records_of(data[at : at + length]):
-                rows.append((page, payload.decode("utf-8")))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["page_id", "payload"])
-
-    files = archives(spark, path).select(F.col("path").alias("file"), "content")
-    needed = files.join(found.select("file").distinct(), "file", "left_semi")
-    return needed.groupBy("file").cogroup(found.groupBy("file")).applyInArrow(cut, "page_id long, payload string")
+    """``page_id, payload`` of captures as their own records hold it: that of a revisit is empty, see ``payloads``."""
+    return _read(found.select("page_id", "file", "at", "length"))
+
+
+def payloads(spark: SparkSession, index: str, found: DataFrame) -> DataFrame:
+    """``page_id, url, record_type, refers_to, payload`` of captures; revisits are read where they refer to.
+
+    The places of the records that revisits refer to are looked up in the index.
+    """
+    asked = found.where("record_type = 'revisit'").select(F.col("refers_url").alias("url")).distinct()
+    held = look_up(spark, index, asked).where("record_type = 'response' and page_id is not null")
+    held = held.groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")).agg(
+        F.min(F.struct("file", "at", "length")).alias("_held")
+    )
+    again = F.col("record_type") == "revisit"
+    joined = found.join(held, again & (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    places = [
+        F.when(again, F.coalesce(f"_held.{c}", F.raise_error(F.lit("a revisit refers to no record")).cast(k))).otherwise(F.col(c)).alias(c)
+        for c, k in (("file", "string"), ("at", "long"), ("length", "long"))
+    ]
+    return _read(joined.select("page_id", "url", "record_type", "refers_to", *places))

@@ -35,6 +35,25 @@ def test_round_trip(spark, folder, monkeypatch):
     assert all(got[k] == ("" if h == copy and k else h) for k, _, h in rows)
 
 
+def test_revisits_are_read_where_they_refer_to(spark, folder, monkeypatch):
+    monkeypatch.setattr(warc, "LINES", 4)
+    monkeypatch.setattr(warc, "BATCH_BYTES", 500)
+    copies = ["copy \r\n\r\nWARC/1.0\r\n\r\n é" * 10, "other ß " * 30]
+    rows = [(k, None if k == 0 else f"http://h{k % 4}.example.com/p {k // 2}", f"page {k}" if k % 3 == 2 else copies[k % 3]) for k in range(60)]
+    _, found = write(spark, folder, rows + [(0, "http://z.example/", "another page of this id " * 9)])
+    asked = spark.createDataFrame([("http://h3.example.com/p%201",), ("http://h0.example.com/p%203",)], "url string")
+    hits = warc.look_up(spark, f"{folder}/index", asked)
+    got = {r.page_id: r.payload for r in warc.payloads(spark, f"{folder}/index", hits).collect()}
+    assert got and all(got[k] == rows[k][2] for k in got)
+    every = warc.payloads(spark, f"{folder}/index", found).collect()
+    assert sorted((r.page_id, r.payload) for r in every) == sorted([(k, h) for k, _, h in rows] + [(0, "another page of this id " * 9)])
+
+
+def test_archives_are_not_held_whole(spark, folder):
+    write(spark, folder, [(1, "http://a.example/", "x")])
+    assert warc.archives(spark, f"{folder}/archives").columns == ["path"]
+
+
 def test_a_key_over_many_blocks(spark, folder, monkeypatch):
     monkeypatch.setattr(warc, "LINES", 3)
     write(spark, folder, [(k, "http://one.example/", str(k)) for k in range(50)] + [(99, "http://two.example/", "x")])
