@@ -39,7 +39,6 @@ LINES = "archive string, entry string, line_no long, line string, reject string"
 BLOCK_BYTES = 4 << 20  # lines are handed on in blocks of about this size; a longer line makes a larger block
 ROWS_PER_LISTING = 10_000
 ENTRIES_PER_TASK = 64  # neighbours in an archive that stay together
-MOST_QUOTED_LINES = 20  # lines a quoted value may run over
 
 
 def open_file(path: str):
@@ -298,23 +297,26 @@ class _Records:
     def _one(self, lines: list[bytes], out: list[tuple], last: bool) -> list[bytes]:
         """The first line is no record of its own: join it with the lines that follow, or set it aside.
 
-        Lines that follow belong to it if they close its quote, give it the right number of fields, and none of them is
-        a record by itself.
+        Lines that follow, however many, belong to it if they close its quote, give it the right number of fields, and
+        none of them is a record by itself.
         """
-        if len(lines) <= MOST_QUOTED_LINES and not last:
-            return lines
         try:
             lines[0].decode()
-            for k in range(2, min(len(lines), MOST_QUOTED_LINES) + 1):
+            quotes = lines[0].count(b'"')
+            for k in range(2, len(lines) + 1):
                 if self._is_record(lines[k - 1]):
                     break
-                text = b"\n".join(lines[:k]).decode()
-                if text.count('"') % 2 == 0:
+                quotes += lines[k - 1].count(b'"')
+                if b'"' in lines[k - 1] and quotes % 2 == 0:
+                    text = b"\n".join(lines[:k]).decode()
                     rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
                     if len(rows) == 1 and len(rows[0]) == len(self.header):
                         self._fields(self.first, rows[0], out)
                         self.first += 1
                         return self._read(lines[k:], out, last)
+            else:
+                if not last:
+                    return lines
             reason = "a quote stays open"
         except UnicodeDecodeError as error:
             reason = str(error)
@@ -337,8 +339,8 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
     ``mapping`` gives source column -> target column; header names are trimmed, unmapped columns dropped, missing ones
     NULL, and only the empty text is NULL. A record with too few fields is padded, one with too many goes out with a
-    ``reject`` reason and its text, and so does a line that is not UTF-8 or whose quote stays open for more than
-    MOST_QUOTED_LINES lines or up to a line that is a record of its own. ``row_no`` is the record's place in the entry.
+    ``reject`` reason and its text, and so does a line that is not UTF-8 or whose quote stays open up to a
+    line that is a record of its own or to the end of the entry. ``row_no`` is the record's place in the entry.
     """
     targets = list(mapping.values())
     ddl = "archive string, entry string, row_no long, reject string, " + ", ".join(f"`{t}` string" for t in targets)

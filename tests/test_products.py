@@ -100,6 +100,14 @@ def test_an_open_quote_in_a_large_entry(spark, folder, monkeypatch):
     assert len(got) == 60_000 and [r[0] for r in got if r[3]] == [1, 59_999] and got[2] == (2, "2", "name 2", None)
 
 
+def test_a_quoted_value_over_very_many_lines(spark, folder):
+    for n in (21, 400_000):  # the second runs over several blocks
+        value = "\n".join(f"line {k} of a note" for k in range(n))
+        got = csv_rows(spark, folder, f'A,B\n1,one\n2,"{value}"\n3,three\n4,"open\nnote\n')
+        assert got[:3] == [(0, "1", "one", None), (1, "2", value, None), (2, "3", "three", None)]
+        assert got[3] == (3, None, None, "line")
+
+
 def test_a_record_longer_than_any_block(spark, folder):
     long = "x" * (archives.BLOCK_BYTES * 3)
     got = csv_rows(spark, folder, f'A,B\n1,one\n2,"{long}, y"\n3,three\n')
