@@ -57,13 +57,13 @@ class Graph:
             graph._insert(nodes)
             start += len(nodes)
             size = min(BATCH, max(1, start // 2))
+        graph._mend()
         return graph
 
     def walk(self, queries: np.ndarray, entries: np.ndarray, level: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the ``ef`` nearest nodes found on a level, nearest first (-1 where fewer), and their nearness."""
         count, links, where = len(queries), self.links[level], self.row[level]
         seen = np.zeros((count, len(self.vectors)), bool)
-        each = np.arange(count)[:, None]
         ids = np.full((count, ef), -1, np.int64)
         near = np.full((count, ef), -np.inf, np.float32)
         opened = np.ones((count, ef), bool)
@@ -71,7 +71,7 @@ class Graph:
         ids[:, :width] = entries
         near[:, :width] = np.where(entries >= 0, np.einsum("qd,qed->qe", queries, self.vectors[entries]), -np.inf)
         opened[:, :width] = entries < 0
-        seen[each, entries] = True
+        seen[np.where(entries >= 0)[0], entries[entries >= 0]] = True
         live = np.arange(count)
         while len(live):
             closed = np.where(opened[live], -np.inf, near[live])
@@ -161,6 +161,26 @@ class Graph:
             part = np.flatnonzero(full)[start : start + 1024]
             links[where[whom[part]]] = self._choose(both[part], near[part], width)
 
+    def _mend(self) -> None:
+        """Give nodes that no walk can reach a link from a near node that can be reached, in place of a spare one."""
+        links = self.links[0]
+        for _ in range(len(links) if self.entry >= 0 else 0):
+            seen, edge = np.zeros(len(links), bool), np.array([self.entry])
+            while len(edge):
+                seen[edge] = True
+                edge = np.unique(links[edge])
+                edge = edge[(edge >= 0) & ~seen[np.maximum(edge, 0)]]
+            if seen.all():
+                return
+            node = int(np.argmin(seen))
+            times = np.bincount(links[links >= 0], minlength=len(links))
+            near = np.flatnonzero(seen)
+            for host in near[np.argsort(-(self.vectors[near] @ self.vectors[node]), kind="stable")]:
+                spare = np.flatnonzero((links[host] < 0) | (times[links[host]] > 1))
+                if len(spare):
+                    links[host, spare[-1]] = node
+                    break
+
     def search(self, queries: np.ndarray, ef: int = EF_SEARCH) -> np.ndarray:
         """Numbers of the nodes nearest to each query, nearest first."""
         out = []
@@ -208,14 +228,15 @@ def _build(key, rows):
     order = np.argsort(ids, kind="stable")
     ids, raw = ids[order], np.ascontiguousarray(raw[order] + 0.0)
     _, first, node = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * dim))).ravel(), return_index=True, return_inverse=True)
-    by_node = np.argsort(node, kind="stable")
+    # Repeated rows count once: a node's ids are distinct, so the k + 1 least of them are enough for k neighbours.
+    node, members = np.unique(np.stack([node.ravel(), ids]), axis=1)
     starts = np.concatenate(([0], np.cumsum(np.bincount(node, minlength=len(first)))))
     vectors = raw[first]
     seed = (ids[first].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     seed = (seed ^ (seed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     graph = Graph.build(_unit(vectors).astype(np.float32), seed ^ (seed >> np.uint64(32)))
     parts = {
-        "vectors": vectors.tobytes(), "members": ids[by_node].tobytes(), "starts": starts.astype(np.int64).tobytes(),
+        "vectors": vectors.tobytes(), "members": members.astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes(),
         "levels": graph.levels.astype(np.int64).tobytes(), "links": b"".join(x.tobytes() for x in graph.links),
     }
     return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "entry": pa.array([graph.entry], pa.int64()),
@@ -252,18 +273,26 @@ def _searcher(k: int, ef: int):
             graph.entry = row["entry"]
             own, raw = asked.column("vec_id").to_numpy(), _scaled(_matrix(asked.column("vector"), dim))
             units, scaled = _unit(raw).astype(np.float32), _scaled(vectors)
+
+            def nearest(nodes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+                """The k best ids of the nodes for a query, each once with its best score."""
+                nodes = nodes[nodes >= 0]
+                times = np.minimum(starts[nodes + 1] - starts[nodes], k + 1)  # its own row and k others at most
+                ids = np.concatenate([members[starts[n] : starts[n] + t] for n, t in zip(nodes, times)])
+                scores = np.repeat(cosines(scaled[nodes], raw[q]), times)
+                best = np.lexsort((ids, -scores))
+                best = best[ids[best] != own[q]]
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:k]
+                return ids[best], scores[best]
+
             for start in range(0, len(own), BATCH):
                 found = graph.search(units[start : start + BATCH], min(ef, max(8, len(vectors))))
                 for q, nodes in enumerate(found, start):
-                    nodes = nodes[nodes >= 0]
-                    scores = cosines(scaled[nodes], raw[q])
-                    times = np.minimum(starts[nodes + 1] - starts[nodes], k + 1)  # its own row and k others at most
-                    ids = np.concatenate([members[starts[n] : starts[n] + t] for n, t in zip(nodes, times)])
-                    scores = np.repeat(scores, times)
-                    keep = ids != own[q]
-                    ids, scores = ids[keep], scores[keep]
-                    best = np.lexsort((ids, -scores))[:k]
-                    rows.append(np.rec.fromarrays([np.full(len(best), own[q]), ids[best], scores[best]]))
+                    ids, scores, wide = *nearest(nodes, q), ef
+                    while len(ids) < k and wide < len(vectors):  # many near vectors of few ids: look further
+                        wide *= 4
+                        ids, scores = nearest(graph.search(units[q : q + 1], min(wide, len(vectors)))[0], q)
+                    rows.append(np.rec.fromarrays([np.full(len(ids), own[q]), ids, scores]))
         columns = [np.concatenate([r[f] for r in rows]) if rows else [] for f in ("f0", "f1", "f2")]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 

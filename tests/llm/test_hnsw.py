@@ -49,6 +49,27 @@ def test_ties_nulls_and_odd_vectors(spark):
     assert found == brute(rows, set(range(200)), 5)
 
 
+def test_repeated_rows(spark):
+    """Every row six times, and equal vectors under several ids: neighbours are other ids, each once."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), 0) for i in range(40)]
+    rows += [(40 + i, rows[i % 3][1], 1) for i in range(9)]
+    df = spark.createDataFrame(rows * 6, SCHEMA)
+    for size in (1000, 64):
+        found = search(build_index(df, size), df)
+        assert {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} == brute(rows, set(range(60)), 5)
+
+
+def test_many_vectors_of_one_id(spark):
+    """An id whose hundreds of vectors lie nearest does not hide the ids behind it."""
+    rng = np.random.default_rng(5)
+    near = [(1, [1.0, float(x), 0.0], 0) for x in rng.uniform(0, 0.01, 300)]
+    rows = [(0, [1.0, 0.0, 0.0], 0), *near, *[(i, [1.0, 1.0, float(i)], 0) for i in range(2, 9)]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {(r["rank"], r.vec_id) for r in search(build_index(df, 1000), df.where("vec_id = 0")).collect()}
+    assert found == {(n, i) for _, n, i in brute(rows, {0}, 5)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert search(build_index(df), df).collect() == []
