@@ -13,6 +13,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -56,7 +57,7 @@ def load_files(
     """
     started = now or _now()
     table = staging_table(tables, product)
-    files = settle(paths.select("path").distinct(), "files")
+    files = settle(_numbered(paths.select("path").distinct()), "files")
     state = {
         "batch_id": batch_id, "search_name": SEARCH_NAME, "status": RUNNING, "started_at": started,
         "files_total": files.count(), "files_completed": 0, "logged_at": started,
@@ -67,7 +68,7 @@ def load_files(
         steps = max(1, -(-state["files_total"] // files_per_step))
         parts, failed = [], 0
         for step in range(steps):
-            own = files.where(F.pmod(F.xxhash64("path"), F.lit(steps)) == step)
+            own = files.where(F.floor(F.col("number") / files_per_step) == step).select("path")
             part = settle(parse(product, own), f"parsed-{product.name}")
             parts.append(part)
             kept.append(part)
@@ -126,6 +127,14 @@ def load_files(
     return state
 
 
+def _numbered(paths: DataFrame) -> DataFrame:
+    """The paths with a gapless ``number`` by path, from 0: a step takes so many of them, neither more nor none.
+
+    A batch has as many files as the stream's trigger admits, a list of names; sorting it in one task is no burden.
+    """
+    return paths.withColumn("number", F.row_number().over(W.orderBy("path")) - 1)
+
+
 def _file_rows(files: DataFrame, parsed: DataFrame, product: Product, batch_id: str) -> DataFrame:
     """One row per file: its rows that can be used, and whether it could be read at all."""
     counts = parsed.groupBy("archive").agg(
