@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm import bpe, fm_index, hnsw, html_template, line_dedup, minhash, sharding, toxicity, url_filter, warc
+from firmlake.llm import bpe, fm_index, hnsw, html_template, line_dedup, minhash, periodic, sharding, toxicity, url_filter, warc
 from firmlake.llm.registry import query, table
 from firmlake.session import settle, work_path
 
@@ -231,3 +232,54 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c"""
 @query("op6_template_slots", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return html_template.extract(table(spark, folder, "pages"))
+
+
+# DuckDB has no crc32: a fold over the bytes of the decimal id, eight shifts for each.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda x, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(x, b)),
+  CAST(4294967295 AS BIGINT)))"""
+
+OP11_SQL = rf"""
+WITH o AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_CRC} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM o),
+d AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) AS w FROM a),
+p AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+part AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM part GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.q < s.q AND s.q % t.q = 0 AND t.start <= s.start
+  AND t.start + t.length >= s.start + s.length)),
+sums AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS runs,
+  arg_min(struct_pack(start := start, length := length, q := q), row(-length, start, q)) AS best FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length,
+  CAST(best.q AS BIGINT) AS period, CAST(1000 * best.length // best.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's planted loops: a tenth of the documents, by the hash of the id, go on in a loop from some word on."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    first = g % n
+    loop = words[first : first + 1 + (n - first) // (3 + g % 8)]
+    return words[:first] + (loop * -(-(n - first) // len(loop)))[: n - first]
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    runs = periodic.with_runs(table(spark, folder, "documents").select("doc_id", "text"), looped).select(
+        "doc_id", "_runs", "_collapsed",
+        F.expr("array_max(transform(_runs, r -> struct(r.length as length, -r.start as s, -r.period as p)))").alias("best"),
+        F.expr("array_join(transform(_runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')").alias("lines"),
+    )
+    return runs.select(
+        "doc_id", F.size("_runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
