@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm import bpe, fm_index, hnsw, html_template, line_dedup, minhash, periodic, sharding, toxicity, url_filter, warc
+from firmlake.llm import alignment, bpe, fm_index, hnsw, html_template, language, line_dedup, minhash, periodic, sharding, toxicity, url_filter, warc
 from firmlake.llm.registry import query, table
 from firmlake.session import settle, work_path
 
@@ -283,3 +283,20 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_byte_gru")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict(table(spark, folder, "documents"))
+
+
+@query("op13_token_links")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        a = f.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        b = f.read()
+    out = alignment.align(table(spark, folder, "documents"), a, b, lambda groups: F.sha2(groups.cast("binary"), 256))
+    return out.withColumnRenamed("groups", "groups_sha256")
