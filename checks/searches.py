@@ -9,6 +9,7 @@ from checks import star
 from checks.registry import PAGE, over, query
 from firmlake.operators.fuzzy import fuzzy_name_match
 from firmlake.operators.latest import latest_financials
+from firmlake.operators.linkage import count_links
 from firmlake.plans import search as s
 from firmlake.plans.search import Filters
 
@@ -248,3 +249,21 @@ ORDER BY CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list
 def search_relevance(spark, folder):
     f = Filters(company_status="all", search_term="customer", order_by="relevance", limit=30)
     return s.search_page(profiles(spark, folder), f)
+
+
+NAMES = """SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS key, p_name AS name FROM part
+UNION ALL SELECT 'supplier-' || CAST(s_suppkey AS VARCHAR), s_name FROM supplier"""
+
+
+@query(
+    "name_linkage",
+    f"""WITH n AS ({NAMES}), g AS (SELECT key, list_sort({GRAMS.format(c="name")}) AS g FROM n),
+c AS (SELECT g, min(key) AS class_id, count(*) AS members FROM g GROUP BY g),
+l AS (SELECT a.class_id, sum(b.members) AS linked FROM c a JOIN c b ON a.class_id <> b.class_id
+  AND CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.6 GROUP BY a.class_id)
+SELECT key, c.class_id, CAST(members - 1 + coalesce(linked, 0) AS BIGINT) AS n_links FROM g JOIN c USING (g) LEFT JOIN l ON l.class_id = c.class_id""",
+)
+def name_linkage(spark, folder):
+    parts = star.read(spark, folder, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").alias("name"))
+    suppliers = star.read(spark, folder, "supplier").select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")), "s_name")
+    return count_links(parts.union(suppliers), "key", "name", 0.6)
