@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from checks import star
 from checks.columns import CSV_SQL, PSC_COLUMNS, PSC_HASH, PSC_SQL, csv_shaped, psc_lines
 from checks.registry import over, query
+from checks.reports import QUALITY, WAITING
 from firmlake import schemas
 from firmlake.operators.upsert import action_counts, changes, dedupe_load, upsert
 from firmlake.plans import promotion, reports
+from firmlake.plans.maintained import Reports
 from firmlake.plans.products import ACCOUNTS, COMPANY, PSC, accepted, rejects
 from firmlake.schemas import FINANCIAL_HASH, FINANCIAL_KEY, OFFICER_HASH, OFFICER_KEY, conform
 from firmlake.plans.validation import mark_table
@@ -534,3 +536,57 @@ def own_tag_dictionary(spark, folder):
     own = load_tag_dictionary(spark, path)
     rows = parse_documents(documents(spark, folder), dictionary=own).where("reject is null")
     return rows.select("company_number", "period_end", "turnover", "creditors", "fixed_assets")
+
+
+MAINTAINED_SQL = over("companies", "financials", "officers", body=f""", raw_financials AS (SELECT * FROM financials) {QUALITY}""").replace(
+    "financials AS (\nSELECT financial_id", "every_period AS (SELECT financial_id", 1).replace(
+    ", raw_financials AS (SELECT * FROM financials)", """, financials AS (SELECT * EXCLUDE rn FROM (SELECT *,
+  row_number() OVER (PARTITION BY company_number, period_end ORDER BY financial_id DESC) AS rn FROM every_period) WHERE rn = 1),
+people AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_number, officer_name, appointed_on, officer_role
+  ORDER BY officer_id DESC) AS rn FROM officers) WHERE rn = 1)""") + WAITING + """
+SELECT 'data_quality' AS report, name AS item, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM quality) ON COLUMNS(*))
+UNION ALL SELECT 'pending_merge', table_name || ' ' || name, value FROM (UNPIVOT (SELECT table_name, CAST(pending_count AS VARCHAR) AS pending_count,
+  oldest_record, newest_record FROM waiting) ON pending_count, oldest_record, newest_record)
+UNION ALL SELECT 'table_status', 'companies', CAST(COUNT(*) AS VARCHAR) FROM companies
+UNION ALL SELECT 'table_status', 'financials', CAST(COUNT(*) AS VARCHAR) FROM financials
+UNION ALL SELECT 'table_status', 'officers', CAST(COUNT(*) AS VARCHAR) FROM people
+UNION ALL SELECT 'active_officers', company_number, CAST(COUNT(*) AS VARCHAR) FROM people WHERE resigned_on IS NULL GROUP BY company_number"""
+
+
+@query("maintained_reports", MAINTAINED_SQL)
+def maintained_reports(spark, folder):
+    """Four reports that follow change sets: a first load with other values, a second one that corrects every row and adds the rest,
+    and the second one again. The reports were last counted after the first load."""
+    base = work_path(spark, "maintained")
+    tables = promotion.Tables.below(spark, f"{base}/tables")
+    summary = Reports.of(tables, f"{base}/reports")
+    companies = settle(conform(star.companies(spark, folder), schemas.STAGING_COMPANIES), "companies")
+    financials = settle(conform(staged_financials(spark, folder), schemas.STAGING_FINANCIALS), "financials")
+    people = dedupe_load(star.hashed(star.officers(spark, folder), OFFICER_HASH), OFFICER_KEY, ["officer_id"])
+    officers = settle(conform(people, schemas.STAGING_OFFICERS), "officers")
+    late = F.lit(dt.datetime(2030, 1, 1)).cast("timestamp_ntz")
+    some = "coalesce(company_number, '') < '00000800'"
+    tables.companies.write_changes(companies.where(some).withColumns({"locality": F.lit(None).cast("string"), "last_updated": late, "merged_at": late}), "b1")
+    tables.financials.write_changes(financials.where(some).withColumns({"merged_at": F.lit(None).cast("timestamp_ntz"), "ingested_at": late}), "b1")
+    tables.officers.write_changes(officers.where(some).withColumn("resigned_on", F.lit(None).cast("date")), "b1")
+    summary.refresh()
+    for _ in range(2):
+        for table, rows in ((tables.companies, companies), (tables.financials, financials), (tables.officers, officers)):
+            table.write_changes(rows, "b2")
+        read = summary.refresh()
+        if read != ["changes"] * 4:
+            raise ValueError(f"the reports read more than change sets: {read}")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    quality = summary.data_quality().withColumn("latest_update", stamp("latest_update"))
+    quality = quality.select(*[F.col(c).cast("string") for c in quality.columns]).unpivot([], quality.columns, "item", "value")
+    waiting = summary.pending_merge().select(
+        "table_name", F.col("pending_count").cast("string").alias("pending_count"), stamp("oldest_record").alias("oldest_record"), stamp("newest_record").alias("newest_record")
+    )
+    waiting = waiting.unpivot(["table_name"], ["pending_count", "oldest_record", "newest_record"], "name", "value")
+    parts = [
+        quality.select(F.lit("data_quality").alias("report"), "item", "value"),
+        waiting.select(F.lit("pending_merge"), F.concat_ws(" ", "table_name", "name"), "value"),
+        summary.table_status().select(F.lit("table_status"), "table_name", F.col("rows").cast("string")),
+        summary.active_officers().select(F.lit("active_officers"), "company_number", F.col("active_officers").cast("string")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).where("value is not null")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from firmlake.operators.latest import latest_per_key
 
-FOLDER = re.compile(r"(full|changes)-(\d{9,})(?:-(.+))?")
+FOLDER = re.compile(r"(full|changes|before)-(\d{9,})(?:-(.+))?")
 
 
 def folders(spark: SparkSession, parent: str) -> dict[str, bool]:
@@ -36,8 +36,10 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+    """``tracked`` columns are kept, as they were before, of every row that a change set replaces: see ``operators/maintain``."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], tracked: list[str] | None = None):
+        self.spark, self.path, self.schema, self.keys, self.tracked = spark, path.rstrip("/"), schema, keys, tracked
 
     def _folders(self) -> list[tuple[str, int, str | None, str, bool]]:
         """(kind, version, label, name, committed) of everything in the table's folder."""
@@ -81,9 +83,23 @@ class KeyedTable:
     def write_changes(self, rows: DataFrame, label: str) -> int:
         """Store the changed rows of a load, one row per key; the same label again replaces them."""
         version = self.version_for(label)
+        before = f"{self.path}/before-{version:09d}-{label}"
+        remove(self.spark, before)  # it belongs to the rows that are replaced
         rows.select(*self.schema.names).write.mode("overwrite").parquet(self._changes(version, label))
+        if self.tracked is not None:
+            same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
+            changed = self._parquet(self._changes(version, label).rsplit("/", 1)[1]).select(*self.keys)
+            old = self.read(before=version).select(*self.tracked, *[k for k in self.keys if k not in self.tracked])
+            old.alias("o").join(changed.alias("n"), same, "left_semi").select(*self.tracked).write.mode("overwrite").parquet(before)
         return version
 
+    def change_sets(self) -> tuple[int, list[tuple[int, str, str, str | None]]]:
+        """The version of the newest full copy (0 for none), and (version, label, change set, folder of the rows before) of all that follow."""
+        done = [f for f in self._folders() if f[4]]
+        base = max((f[1] for f in done if f[0] == "full"), default=0)
+        before = {(f[1], f[2]): f"{self.path}/{f[3]}" for f in done if f[0] == "before"}
+        return base, sorted((f[1], f[2], f"{self.path}/{f[3]}", before.get((f[1], f[2]))) for f in done if f[0] == "changes")
+
     def read_changes(self, label: str) -> DataFrame:
         return self._parquet(self._changes(self.version_for(label), label).rsplit("/", 1)[1])
 
@@ -101,7 +117,7 @@ class KeyedTable:
         rows = self.read().repartitionByRange(*self.keys).sortWithinPartitions(*self.keys)
         rows.write.mode("overwrite").parquet(f"{self.path}/full-{version:09d}")
         for kind, number, _, name, _ in self._folders():
-            if number < before or (number == before and kind == "changes"):
+            if number < before or (number == before and kind != "full"):
                 remove(self.spark, f"{self.path}/{name}")
         return True
 
