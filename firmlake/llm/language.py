@@ -218,18 +218,22 @@ def training_pieces(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     """
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(~held_out() & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    count = known.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    ids = settle(known.select("doc_id", "lang").distinct(), "language-ids")
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("_size"))
+    count = sizes.count()
     if not count:
         return np.empty((0, 0), np.intp), np.empty(0, np.int64), []
-    # Ids are chosen without their texts; the group limit leaves a few rows of each language before the shuffle.
-    ids = known.select("doc_id", "lang").distinct()
+    each = max(1, sample // count)
+    # Of each language about four times as many ids as are wanted, by their hash: so few meet in the task that ranks them.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < F.lit(4.0 * each) / F.col("_size")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("_rank", rank).where(F.col("_rank") <= max(1, sample // count)).select(F.col("doc_id").alias("_id")).distinct()
-    chosen = settle(chosen, "language-ids")
+    near = ids.join(F.broadcast(sizes), "lang").where(part | (F.col("_size") <= 8 * each))  # a row per learned language is sent
+    chosen = near.withColumn("_rank", rank).where(F.col("_rank") <= each).select(F.col("doc_id").alias("_id")).distinct()
+    chosen = settle(chosen, "language-sample")
     rows = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least"))
     cut = settle(rows.select("least.lang", "least.text").mapInArrow(_pieces, "lang string, piece binary"), "language-pieces")
     found = sorted((r["lang"], bytes(r["piece"])) for r in cut.collect())
-    discard(chosen, cut)
+    discard(ids, chosen, cut)
     labels = sorted({lang for lang, _ in found})
     sizes = np.array([len(p) for _, p in found])
     x = laid_out(np.frombuffer(b"".join(p for _, p in found), np.uint8), np.cumsum(sizes) - sizes, sizes)
