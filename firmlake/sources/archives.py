@@ -39,6 +39,7 @@ LINES = "archive string, entry string, line_no long, line string, reject string"
 BLOCK_BYTES = 4 << 20  # lines are handed on in blocks of about this size; a longer line makes a larger block
 ROWS_PER_LISTING = 10_000
 ENTRIES_PER_TASK = 64  # neighbours in an archive that stay together
+LINES_BY_ONE = 64  # so many lines with a damaged one among them are read one by one
 
 
 def open_file(path: str):
@@ -230,6 +231,8 @@ class _Records:
         self.header, self.mapping = header, mapping
         self.wanted = [h for h in dict.fromkeys(header) if h in mapping]
         self.first = 0  # number of the next record
+        self.open = False  # was a line set aside whose quote stays open, with no whole record since?
+        self.scanned, self.quotes = 0, 0  # lines at the start of the next block that leave the first one's quote open, their quotes
         csv.field_size_limit(sys.maxsize)
 
     def blocks(self, lines: list[bytes], last: bool) -> tuple[list[tuple], list[bytes]]:
@@ -240,15 +243,14 @@ class _Records:
         return out, rest
 
     def _read(self, lines: list[bytes], out: list[tuple], last: bool) -> list[bytes]:
-        if not lines:
+        if not lines or (not self.open and not self.scanned and self._plain(lines, out)):
             return []
-        if self._plain(lines, out):
-            return []
-        if len(lines) > 1:
-            half = len(lines) // 2
+        half = len(lines) // 2
+        if len(lines) > LINES_BY_ONE and not self.scanned:
             rest = self._read(lines[:half], out, False)
-            return self._read(rest + lines[half:], out, last) if len(rest) < half else self._one(lines, out, last)
-        return self._one(lines, out, last)
+            if len(rest) < half:
+                return self._read(rest + lines[half:], out, last)
+        return self._each(lines, out, last)
 
     def _plain(self, lines: list[bytes], out: list[tuple]) -> bool:
         """Read lines that are a record each; false, and nothing read, if they are not."""
@@ -285,46 +287,100 @@ class _Records:
     def _aside(self, number: int, text: str, expected: int, actual: int, out: list[tuple]) -> None:
         """A record with another number of fields: padded if it has too few, else a reject."""
         if actual < expected:
-            self._fields(number, next(csv.reader([text])), out)
+            self._add(out, [(number, next(csv.reader([text])))], [])
         else:
-            out.append(([number], [f"{actual} fields instead of {expected}: {text}"], {}))
+            self._add(out, [], [(number, f"{actual} fields instead of {expected}: {text}")])
 
-    def _fields(self, number: int, fields: list[str], out: list[tuple]) -> None:
-        named = dict(zip(self.header, fields))
-        columns = {self.mapping[h]: pa.array([named.get(h) or None], pa.string()) for h in self.wanted}
-        out.append(([number], None, columns))
+    def _add(self, out: list[tuple], good: list[tuple[int, list[str]]], bad: list[tuple[int, str]]) -> None:
+        if good:
+            named = [dict(zip(self.header, fields)) for _, fields in good]
+            out.append(([n for n, _ in good], None, {self.mapping[h]: pa.array([x.get(h) or None for x in named], pa.string()) for h in self.wanted}))
+        if bad:
+            out.append(([n for n, _ in bad], [reason for _, reason in bad], {}))
 
-    def _one(self, lines: list[bytes], out: list[tuple], last: bool) -> list[bytes]:
-        """The first line is no record of its own: join it with the lines that follow, or set it aside.
+    def _each(self, lines: list[bytes], out: list[tuple], last: bool) -> list[bytes]:
+        """One line after the other, for lines that are not all plain records.
 
-        Lines that follow, however many, belong to it if they close its quote, give it the right number of fields, and
-        none of them is a record by itself.
+        A line whose quote stays open is joined with those that follow, however many, if they close the quote, give the
+        right number of fields, and none of them is a record by itself. If not, it is set aside, and so is everything
+        after it that is no whole record, up to the next one: nobody knows where such lines belong.
         """
-        try:
-            lines[0].decode()
-            quotes = lines[0].count(b'"')
-            for k in range(2, len(lines) + 1):
-                if self._is_record(lines[k - 1]):
-                    break
-                quotes += lines[k - 1].count(b'"')
-                if b'"' in lines[k - 1] and quotes % 2 == 0:
-                    text = b"\n".join(lines[:k]).decode()
-                    rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
-                    if len(rows) == 1 and len(rows[0]) == len(self.header):
-                        self._fields(self.first, rows[0], out)
-                        self.first += 1
-                        return self._read(lines[k:], out, last)
+        good, bad, k, width = [], [], 0, len(self.header)
+
+        def set_aside(reason: str) -> None:
+            bad.append((self.first, f"line: {reason}: {lines[k].decode('utf-8', 'replace')}"))
+            self.first += 1
+
+        def keep(fields: list[str]) -> None:
+            good.append((self.first, fields))
+            self.first += 1
+
+        while k < len(lines):
+            try:
+                text = lines[k].decode()
+            except UnicodeDecodeError as error:
+                set_aside(str(error))
+                k += 1
+                continue
+            even = lines[k].count(b'"') % 2 == 0
+            fields = self._fields(text) if even else None
+            if fields is not None and (len(fields) == width or not self.open):
+                if len(fields) > width:
+                    bad.append((self.first, f"{len(fields)} fields instead of {width}: {text}"))
+                    self.first += 1
+                else:
+                    keep(fields)
+                self.open = self.open and len(fields) != width
+                k += 1
+            elif fields is not None:
+                set_aside("it follows an open quote")
+                k += 1
+            elif even and not self.open and self._plain([lines[k]], out):
+                k += 1
             else:
-                if not last:
-                    return lines
-            reason = "a quote stays open"
-        except UnicodeDecodeError as error:
-            reason = str(error)
+                end = self._closing(lines, k, last)
+                if end is None:
+                    break
+                whole = self._fields(b"\n".join(lines[k : end + 1]).decode("utf-8", "replace")) if end > k else None
+                if whole is not None and len(whole) == width:
+                    keep(whole)
+                    self.open, k = False, end + 1
+                else:
+                    set_aside("a quote stays open")
+                    self.open, k = True, k + 1
+        self._add(out, good, bad)
+        return lines[k:]
+
+    def _closing(self, lines: list[bytes], k: int, last: bool) -> int | None:
+        """Place of the line that closes the quote open in line ``k``; ``k`` if there is none, nothing if that is not known yet.
+
+        Lines that were looked at with an earlier block are not looked at again.
+        """
+        at, quotes = (k + self.scanned, self.quotes) if self.scanned else (k + 1, lines[k].count(b'"'))
+        self.scanned = 0
+        for j in range(at, len(lines)):
+            if self._is_record(lines[j]):
+                return k
+            own = lines[j].count(b'"')
+            quotes += own
+            if own and quotes % 2 == 0:
+                try:
+                    lines[j].decode()
+                except UnicodeDecodeError:
+                    return k
+                return j
+        if last:
+            return k
+        self.scanned, self.quotes = len(lines) - k, quotes
+        return None
+
+    def _fields(self, text: str) -> list[str] | None:
+        """The fields of one record, nothing if the text is not one."""
+        try:
+            rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
         except csv.Error:
-            reason = "a quote stays open"
-        out.append(([self.first], [f"line: {reason}: {lines[0].decode('utf-8', 'replace')}"], {}))
-        self.first += 1
-        return self._read(lines[1:], out, last)
+            return None
+        return rows[0] if len(rows) == 1 else None
 
     def _is_record(self, line: bytes) -> bool:
         try:
@@ -340,7 +396,8 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
     ``mapping`` gives source column -> target column; header names are trimmed, unmapped columns dropped, missing ones
     NULL, and only the empty text is NULL. A record with too few fields is padded, one with too many goes out with a
     ``reject`` reason and its text, and so does a line that is not UTF-8 or whose quote stays open up to a
-    line that is a record of its own or to the end of the entry. ``row_no`` is the record's place in the entry.
+    line that is a record of its own or to the end of the entry. After such a line everything is set aside up to the next
+    whole record, so that pieces of a broken record never become rows. ``row_no`` is the record's place in the entry.
     """
     targets = list(mapping.values())
     ddl = "archive string, entry string, row_no long, reject string, " + ", ".join(f"`{t}` string" for t in targets)
