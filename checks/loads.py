@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -18,11 +20,13 @@ from firmlake.plans.products import ACCOUNTS, COMPANY, PSC, accepted, rejects
 from firmlake.schemas import FINANCIAL_HASH, FINANCIAL_KEY, OFFICER_HASH, OFFICER_KEY, conform
 from firmlake.plans.validation import mark_table
 from firmlake.session import settle, work_path
-from firmlake.sources.accounts import parse_documents
-from firmlake.sources.archives import write_filings, write_lines
+from firmlake.sources.accounts import parse_documents, records
+from firmlake.sources.archives import open_file, write_filings, write_lines
+from firmlake.sources.company_csv import transform
 from firmlake.sources.logs import current_batches, file_log, ingestion_log
 from firmlake.sources.tables import KeyedTable
 from firmlake.sources.tags import load_tag_dictionary
+from firmlake.sources.zip_source import register
 from firmlake.streaming.ingest import ingest_available, load_manifest
 
 BATCH = "batch_building"
@@ -369,6 +373,76 @@ def accounts_archives(spark, folder):
     return ACCOUNTS.read(paths).where("reject is null").select(*FILING_COLUMNS)
 
 
+def nested_archives(paths, folder: str):
+    """Outer archives that hold the given ones, every other one uncompressed, with an entry that is damaged and one that is no archive."""
+
+    def run(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            names = [p for b in batches for p in b["path"]]
+            for k, name in enumerate(names):
+                with open_file(name) as f:
+                    z.writestr(f"inner-{k}.zip", f.read(), zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+            z.writestr("Prod223_1_00000001_20200101.html", "<html>WHOLE</html>")
+            z.writestr("none.zip", "no archive")
+        data = out.getvalue().replace(b"<html>WHOLE", b"<html>SPLIT")
+        path = f"{folder}/outer-{TaskContext.get().partitionId():05d}.zip"
+        place = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+        import pyarrow.fs as pafs
+
+        fs, inner = (pafs.LocalFileSystem(), place) if "://" not in place else pafs.FileSystem.from_uri(place)
+        fs.create_dir(inner.rsplit("/", 1)[0])
+        with fs.open_output_stream(inner) as f:
+            f.write(data)
+        yield pd.DataFrame({"path": [path]})
+
+    return as_paths(paths.repartition(2, "path").mapInPandas(run, "path string"))
+
+
+@query("accounts_source", FILING_SQL + " UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'rejects', '4'")
+def accounts_source(spark, folder):
+    """Nested archives, some stored and some compressed, through the data source in small ranges; two damaged entries each."""
+    register(spark)
+    base = work_path(spark, "nested")
+    inner = as_paths(write_filings(star.spread(filing_documents(spark, folder), "entry"), f"{base}/inner"))
+    nested_archives(inner, f"{base}/outer")
+    periods = settle(spark.read.format("accounts_filings").option("splitBytes", 1 << 18).load(f"{base}/outer"), "periods")
+    rows = records(periods).where("reject is null").select(*FILING_COLUMNS)
+    bad = rejects(records(periods)).agg(F.lit("rejects").alias("report_title"), F.count("*").cast("string").alias("source"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
+@query(
+    "company_source",
+    f"""SELECT company_number, company_name, company_status, locality, region, array_to_string(sic_codes, '|') AS sic_codes,
+CAST(incorporation_date AS VARCHAR) AS incorporation_date, accounts_ref_date, num_mort_charges, previous_names FROM ({CSV_SQL})""",
+)
+def company_source(spark, folder):
+    register(spark)
+    base = work_path(spark, "company-source")
+    csv_archives(csv_shaped(spark, folder), base).collect()
+    return accepted(COMPANY, transform(spark.read.format("company_csv").load(base)), None).select(
+        "company_number", "company_name", "company_status", "locality", "region", "sic_codes", "incorporation_date",
+        "accounts_ref_date", "num_mort_charges", "previous_names",
+    )
+
+
+@query(
+    "zip_entries",
+    "SELECT 'xml' AS extension, COUNT(*) AS n FROM orders WHERE o_orderpriority = '5-LOW'",
+)
+def zip_entries(spark, folder):
+    """Entries of one extension, without their bodies."""
+    register(spark)
+    base = work_path(spark, "zip-entries")
+    write_filings(star.spread(filing_documents(spark, folder), "entry"), base).collect()
+    listed = spark.read.format("zip_entries").schema("archive string, entry string, extension string, unpacked long").load(base)
+    return listed.where("extension = 'xml'").groupBy("extension").agg(F.count("*").alias("n"))
+
+
 def renamed(spark, folder):
     """The second delivery: every company, those with a negative balance under a new name."""
     raw = csv_shaped(spark, folder)

@@ -13,7 +13,7 @@ from firmlake import schemas
 from firmlake.functions.hashing import row_hash
 from firmlake.operators.joins import guard_orphans
 from firmlake.operators.upsert import changes, dedupe_load
-from firmlake.sources.accounts import PLACE, read_financials
+from firmlake.sources.accounts import PLACE, list_filings, read_financials, read_listed
 from firmlake.sources.company_csv import read_companies
 from firmlake.sources.manifest import file_order
 from firmlake.sources.psc_json import read_officers
@@ -21,7 +21,10 @@ from firmlake.sources.psc_json import read_officers
 
 @dataclass(frozen=True)
 class Product:
-    """What is specific to a product; make another with ``dataclasses.replace`` to change a reader or the hash fields."""
+    """What is specific to a product; make another with ``dataclasses.replace`` to change a reader or the hash fields.
+
+    Where an archive has many entries, ``listed`` gives them unread and ``read_listed`` reads some of them.
+    """
 
     name: str
     read: Callable[[DataFrame], DataFrame]
@@ -32,6 +35,8 @@ class Product:
     needs_company: bool
     kept: tuple[str, ...] = ("ingested_at", "needs_review", "review_notes")
     transform: Callable[[DataFrame], DataFrame] | None = None
+    listed: Callable[[DataFrame], DataFrame] | None = None
+    read_listed: Callable[[DataFrame], DataFrame] | None = None
 
 
 COMPANY = Product(
@@ -44,7 +49,7 @@ PSC = Product(
 )
 ACCOUNTS = Product(
     "accounts", read_financials, schemas.STAGING_FINANCIALS, schemas.FINANCIAL_KEY, schemas.FINANCIAL_HASH,
-    PLACE, True,
+    PLACE, True, listed=list_filings, read_listed=read_listed,
 )
 PRODUCTS = {p.name: p for p in (COMPANY, PSC, ACCOUNTS)}
 
@@ -54,7 +59,10 @@ def parse(product: Product, paths: DataFrame) -> DataFrame:
 
     A custom ``transform`` runs before the hash is taken again.
     """
-    rows = product.read(paths)
+    return shaped(product, product.read(paths))
+
+
+def shaped(product: Product, rows: DataFrame) -> DataFrame:
     if product.transform:
         rows = product.transform(rows)
         rows = rows.withColumn("data_hash", row_hash(rows, product.hash_fields))

@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from firmlake.functions.dates import filing_date
 from firmlake.functions.filing import name_facts, number
@@ -32,6 +31,11 @@ PERIODS = (
     "archive string, entry string, pos long, inner_pos long, company_number string, reject string, period string, "
     "start string, n_facts int, found map<string, struct<raw string, factor double>>"
 )
+PERIOD_FIELDS = pa.schema(
+    [("archive", pa.string()), ("entry", pa.string()), ("pos", pa.int64()), ("inner_pos", pa.int64()), ("company_number", pa.string()),
+     ("reject", pa.string()), ("period", pa.string()), ("start", pa.string()), ("n_facts", pa.int32()),
+     ("found", pa.map_(pa.string(), pa.struct([("raw", pa.string()), ("factor", pa.float64())])))]
+)
 ROWS_PER_BATCH = 5_000
 PLAIN_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", re.ASCII)
 
@@ -188,12 +192,11 @@ def _rows(e: dict, body: bytes | None, accepted: dict, apply_sign_scale: bool):
 def period_converter(apply_sign_scale: bool = False, dictionary: dict[str, list[str]] | None = None):
     """Turns entries into Arrow batches of PERIODS."""
     accepted = candidates(dictionary)
-    schema = to_arrow_schema(T.StructType.fromDDL(PERIODS))
 
     def batch(rows):
-        columns = zip(*rows) if rows else ([] for _ in schema)
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        columns = zip(*rows) if rows else ([] for _ in PERIOD_FIELDS)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, PERIOD_FIELDS)]
+        return pa.RecordBatch.from_arrays(arrays, schema=PERIOD_FIELDS)
 
     def convert(documents):
         rows = []
@@ -275,11 +278,20 @@ def parse_documents(documents: DataFrame, apply_sign_scale: bool = False, dictio
     return records(document_periods(documents, apply_sign_scale, dictionary))
 
 
+def list_filings(paths: DataFrame) -> DataFrame:
+    """The filings of the accounts archives in column ``path``, unread."""
+    return list_entries(paths, XBRL_EXTENSIONS + IXBRL_EXTENSIONS)
+
+
+def read_listed(listing: DataFrame, apply_sign_scale: bool = False, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
+    """Records and rejects of listed filings."""
+    convert = period_converter(apply_sign_scale, dictionary)
+    return records(read_entries(listing, convert, PERIODS, XBRL_EXTENSIONS + IXBRL_EXTENSIONS))
+
+
 def read_financials(paths: DataFrame, apply_sign_scale: bool = False, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
     """Records and rejects of the accounts archives in column ``path``.
 
     ``dictionary`` replaces the built-in one: column -> candidate tags, the better ones first.
     """
-    listing = list_entries(paths, XBRL_EXTENSIONS + IXBRL_EXTENSIONS)
-    convert = period_converter(apply_sign_scale, dictionary)
-    return records(read_entries(listing, convert, PERIODS, XBRL_EXTENSIONS + IXBRL_EXTENSIONS))
+    return read_listed(list_filings(paths), apply_sign_scale, dictionary)

@@ -97,7 +97,7 @@ def list_entries(paths: DataFrame, extensions: list[str]) -> DataFrame:
     return spread(paths.select("path"), "path").mapInArrow(run, ENTRIES)
 
 
-def _inflate(f, e: dict) -> bytes:
+def inflate(f, e: dict) -> bytes:
     """One entry by its place in the archive, without reading the archive's directory again."""
     f.seek(e["offset"])
     name_length, extra_length = struct.unpack("<HH", f.read(30)[26:30])
@@ -142,7 +142,7 @@ def read_entries(listing: DataFrame, convert: Callable, ddl: str, extensions: li
                 try:
                     if opened != e["archive"]:
                         handle, opened = open_file(e["archive"]), e["archive"]
-                    body = _inflate(handle, e)
+                    body = inflate(handle, e)
                     if e["nested"]:
                         yield from nested(e, body)
                         continue
@@ -399,8 +399,20 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
     line that is a record of its own or to the end of the entry. After such a line everything is set aside up to the next
     whole record, so that pieces of a broken record never become rows. ``row_no`` is the record's place in the entry.
     """
+    ddl = csv_schema(mapping)
+    read = paths.select("path").transform(spread, "path").mapInArrow(
+        lambda batches: (out for b in batches for path in b.column("path").to_pylist() for out in csv_batches(path, mapping)), ddl
+    )
+    return spread(read, "archive", "row_no")
+
+
+def csv_schema(mapping: dict[str, str]) -> str:
+    return "archive string, entry string, row_no long, reject string, " + ", ".join(f"`{t}` string" for t in mapping.values())
+
+
+def csv_batches(path: str, mapping: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """The records of one archive's first ``.csv`` entry, as ``read_csv`` describes them."""
     targets = list(mapping.values())
-    ddl = "archive string, entry string, row_no long, reject string, " + ", ".join(f"`{t}` string" for t in targets)
     names = ["archive", "entry", "row_no", "reject", *targets]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.string()] * len(targets)
     schema = pa.schema(list(zip(names, kinds)))
@@ -412,20 +424,6 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
         data += [columns.get(t, pa.nulls(n, pa.string())) for t in targets]
         return pa.RecordBatch.from_arrays(data, schema=schema)
 
-    def run(batches):
-        for incoming in batches:
-            for path in incoming.column("path").to_pylist():
-                try:
-                    with open_file(path) as f, zipfile.ZipFile(f) as z:
-                        name = _first_entry(z, (".csv",), any_entry=False)
-                        if name is None:
-                            raise ValueError("no .csv entry")
-                        with z.open(name) as stream:
-                            for part in records(stream):
-                                yield batch(path, name, *part)
-                except Exception as error:
-                    yield batch(path, None, [0], [f"archive: {error}"], {})
-
     def records(stream):
         reader, rest = None, []
         for lines in _line_blocks(stream):
@@ -437,7 +435,16 @@ def read_csv(paths: DataFrame, mapping: dict[str, str]) -> DataFrame:
         if reader is not None:
             yield from reader.blocks(rest, last=True)[0]
 
-    return spread(spread(paths.select("path"), "path").mapInArrow(run, ddl), "archive", "row_no")
+    try:
+        with open_file(path) as f, zipfile.ZipFile(f) as z:
+            name = _first_entry(z, (".csv",), any_entry=False)
+            if name is None:
+                raise ValueError("no .csv entry")
+            with z.open(name) as stream:
+                for part in records(stream):
+                    yield batch(path, name, *part)
+    except Exception as error:
+        yield batch(path, None, [0], [f"archive: {error}"], {})
 
 
 def _write(path: str, entries) -> pd.DataFrame:

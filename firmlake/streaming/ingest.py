@@ -12,15 +12,16 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from firmlake.operators.expectations import manifest_rules, split
-from firmlake.plans.products import PRODUCTS, Product, accepted, load_changes, parse, rejects
+from firmlake.plans.products import PRODUCTS, Product, accepted, load_changes, parse, rejects, shaped
 from firmlake.plans.promotion import Tables
 from firmlake.session import discard, settle
+from firmlake.sources.archives import ENTRIES
 from firmlake.sources.logs import current_batches, ingestion_log, log_batch, log_files
 from firmlake.sources.tables import KeyedTable
 
@@ -56,7 +57,6 @@ def load_files(
     alone is deleted when it ends.
     """
     started = now or _now()
-    table = staging_table(tables, product)
     files = settle(_numbered(paths.select("path").distinct()), "files")
     state = {
         "batch_id": batch_id, "search_name": SEARCH_NAME, "status": RUNNING, "started_at": started,
@@ -72,10 +72,15 @@ def load_files(
             part = settle(parse(product, own), f"parsed-{product.name}")
             parts.append(part)
             kept.append(part)
-            done = settle(_file_rows(own, part, product, batch_id), "file-log")
+            if not state["files_total"]:
+                continue
+            # What the log says of a step is observed while its file log is written: both come from the same rows.
+            seen = Observation()
+            done = _file_rows(own, part, product, batch_id).observe(
+                seen, F.count("*").alias("n"), F.count_if(F.col("status") == FAILED).alias("bad"), F.max("file").alias("last")
+            )
             log_files(done, tables.file_log)
-            counts = done.agg(F.count("*").alias("n"), F.count_if(F.col("status") == FAILED).alias("bad"), F.max("file").alias("last")).first()
-            discard(done)
+            counts = seen.get
             failed += counts["bad"]
             state |= {
                 "files_completed": state["files_completed"] + counts["n"] - counts["bad"], "current_file": counts["last"],
@@ -84,46 +89,77 @@ def load_files(
             if step + 1 < steps:
                 log_batch(spark, tables.ingestion_log, state)
         parsed = reduce(DataFrame.unionByName, parts)
-        bad = rejects(parsed)
-        bad.withColumn("product", F.lit(product.name)).write.mode("overwrite").parquet(
-            f"{tables.rejects}/load-{batch_id}"
-        )
-        companies = tables.companies.read() if product.needs_company else None
-        rows = settle(accepted(product, parsed, companies), f"accepted-{product.name}")
-        kept.append(rows)
-        stored = table.read(before=table.version_for(batch_id))
-        stamp = F.lit(started).cast("timestamp_ntz")
-        changed = load_changes(product, stored, rows, batch_id, stamp)
-        table.write_changes(changed.where("action in ('insert', 'update')"), batch_id)
-        read = parsed.agg(F.count("*").alias("rows"), F.count_if(F.col("reject").isNotNull()).alias("rejects")).first().asDict()
-        written = table.read_changes(batch_id).agg(
-            F.count("*").alias("affected"), F.count_if("change_detected").alias("updated")
-        ).first()
-        counts = {
-            **read,
-            "inserted": written["affected"] - written["updated"],
-            "updated": written["updated"],
-            # Unchanged rows, duplicates within the load and orphans.
-            "skipped": read["rows"] - read["rejects"] - written["affected"],
-        }
-        state |= {
-            "status": WITH_ERRORS if failed else COMPLETED,
-            "companies_count": written["affected"],
-            "metadata": json.dumps(counts),
-            "current_file": None,
-            "current_file_progress": None,
-            "completed_at": _now(),
-            "error_message": f"{failed} files could not be read" if failed else None,
-        }
+        state |= _store(spark, tables, product, parsed, batch_id, started, kept)
+        if failed:
+            state |= {"status": WITH_ERRORS, "error_message": f"{failed} files could not be read"}
+    except Exception as error:
+        log_batch(
+            spark, tables.ingestion_log,
+            state | {"status": FAILED, "error_message": str(error), "completed_at": _now(), "logged_at": _now()},
+        )
+        raise
+    finally:
+        discard(*kept)
+    state["logged_at"] = _now()
+    log_batch(spark, tables.ingestion_log, state)
+    return state
+
+
+def _store(spark: SparkSession, tables: Tables, product: Product, parsed: DataFrame, batch_id: str, started: dt.datetime, kept: list) -> dict:
+    """Write the rejects and the changes that parsed rows make; what the batch's log row says of a completed load.
+
+    ``kept`` gets the frames that are to be discarded when the load ends.
+    """
+    table = staging_table(tables, product)
+    bad = rejects(parsed)
+    bad.withColumn("product", F.lit(product.name)).write.mode("overwrite").parquet(f"{tables.rejects}/load-{batch_id}")
+    companies = tables.companies.read() if product.needs_company else None
+    read = Observation()
+    observed = parsed.observe(read, F.count("*").alias("rows"), F.count_if(F.col("reject").isNotNull()).alias("rejects"))
+    rows = settle(accepted(product, observed, companies), f"accepted-{product.name}")
+    kept.append(rows)
+    stored = table.read(before=table.version_for(batch_id))
+    changed = load_changes(product, stored, rows, batch_id, F.lit(started).cast("timestamp_ntz"))
+    table.write_changes(changed.where("action in ('insert', 'update')"), batch_id)
+    written = table.read_changes(batch_id).agg(F.count("*").alias("affected"), F.count_if("change_detected").alias("updated")).first()
+    counts = {
+        **read.get,
+        "inserted": written["affected"] - written["updated"],
+        "updated": written["updated"],
+        # Unchanged rows, duplicates within the load and orphans.
+        "skipped": read.get["rows"] - read.get["rejects"] - written["affected"],
+    }
+    return {
+        "status": COMPLETED, "companies_count": written["affected"], "metadata": json.dumps(counts), "current_file": None,
+        "current_file_progress": None, "completed_at": _now(), "error_message": None,
+    }
+
+
+def load_listed(spark: SparkSession, tables: Tables, product: Product, listing: DataFrame, batch_id: str) -> dict:
+    """Load listed entries of archives as one batch; returns its log row, which counts archives begun as files."""
+    state = {"batch_id": batch_id, "search_name": SEARCH_NAME, "status": RUNNING, "started_at": _now(), "files_completed": 0, "logged_at": _now()}
+    listed = settle(listing, "listing")
+    kept = [listed]
+    try:
+        state["files_total"] = listed.agg(F.count_distinct("archive").alias("n")).first()["n"]
+        log_batch(spark, tables.ingestion_log, state)
+        parsed = settle(shaped(product, product.read_listed(listed)), f"parsed-{product.name}")
+        kept.append(parsed)
+        state |= _store(spark, tables, product, parsed, batch_id, state["started_at"], kept)
+        unread = listed.where("entry is null and reject is not null").count()
+        state["files_completed"] = state["files_total"] - unread
+        if unread:
+            state |= {"status": WITH_ERRORS, "error_message": f"{unread} files could not be read"}
     except Exception as error:
         log_batch(
             spark, tables.ingestion_log,
             state | {"status": FAILED, "error_message": str(error), "completed_at": _now(), "logged_at": _now()},
         )
         raise
+    finally:
+        discard(*kept)
     state["logged_at"] = _now()
     log_batch(spark, tables.ingestion_log, state)
-    discard(*kept)
     return state
 
 
@@ -154,6 +190,23 @@ def batch_prefix(product: Product, query_id: str) -> str:
     return f"{product.name}_{query_id.replace('-', '')}"
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The checkpoint keeps the query's id; it is there before the first micro-batch runs."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"])["id"]
+
+
+def _landed(spark: SparkSession, landing: str, pattern: str, files_per_batch: int) -> DataFrame:
+    """Paths of landed files. Only they are selected, so the stream lists files without reading them."""
+    return (
+        spark.readStream.format("binaryFile")
+        .schema(LISTING)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(landing)
+        .select("path")
+    )
+
+
 def watch(
     spark: SparkSession,
     tables: Tables,
@@ -165,20 +218,10 @@ def watch(
     files_per_step: int = 100,
 ) -> StreamingQuery:
     """Start loading every file of the landing folder that is not loaded yet; the query ends when all are."""
-    # Only paths are selected, so the stream lists files without reading them.
-    found = (
-        spark.readStream.format("binaryFile")
-        .schema(LISTING)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(landing)
-        .select("path")
-    )
+    found = _landed(spark, landing, pattern, files_per_batch)
 
     def run(paths: DataFrame, epoch: int) -> None:
-        # The checkpoint keeps the query's id; it is there before the first micro-batch runs.
-        kept = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"]
-        batch_id = f"{batch_prefix(product, json.loads(kept)['id'])}_{epoch:09d}"
+        batch_id = f"{batch_prefix(product, _query_id(spark, checkpoint))}_{epoch:09d}"
         load_files(spark, tables, product, paths, batch_id, files_per_step=files_per_step)
 
     return (
@@ -200,6 +243,51 @@ def ingest_available(
     staging_table(tables, product).compact(compact_after)
 
 
+def watch_entries(
+    spark: SparkSession, tables: Tables, product: Product, landing: str, checkpoint: str, pattern: str = "*.zip",
+    entries_per_block: int = 10_000, blocks_per_batch: int = 10,
+) -> None:
+    """Load every entry of the landed archives that is not loaded yet, then return; a stopped load goes on inside an archive.
+
+    Two streams follow each other. The first one lists the entries of new archives, unread, into files of
+    ``entries_per_block`` entries; the second one loads ``blocks_per_batch`` of these files at a time. What its checkpoint
+    has is an offset in the entries of all archives: a load that is broken off repeats the blocks of one batch at most.
+    Blocks come in the order of archives and places, where the file system lets times be set.
+    """
+    if product.listed is None or product.read_listed is None:
+        raise ValueError(f"entries of {product.name} archives cannot be listed: they have one each")
+    place = checkpoint.rstrip("/")
+
+    def list_blocks(paths: DataFrame, epoch: int) -> None:
+        listing = product.listed(paths.distinct())
+        # A repeated epoch writes other file names: those of the first attempt are gone before the second stream starts.
+        ordered = listing.repartitionByRange("archive", "pos").sortWithinPartitions("archive", "pos")
+        ordered.write.mode("overwrite").option("maxRecordsPerFile", entries_per_block).parquet(f"{place}/blocks/epoch-{epoch:09d}")
+        _in_order(spark, f"{place}/blocks/epoch-{epoch:09d}")
+
+    found = _landed(spark, landing, pattern, 1000)
+    found.writeStream.foreachBatch(list_blocks).option("checkpointLocation", f"{place}/listing").trigger(availableNow=True).start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/blocks")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return
+
+    def load(listing: DataFrame, epoch: int) -> None:
+        load_listed(spark, tables, product, listing, f"{batch_prefix(product, _query_id(spark, f'{place}/loading'))}_{epoch:09d}")
+
+    blocks = spark.readStream.schema(ENTRIES).option("maxFilesPerTrigger", blocks_per_batch).parquet(f"{place}/blocks/*")
+    blocks.writeStream.foreachBatch(load).option("checkpointLocation", f"{place}/loading").trigger(availableNow=True).start().awaitTermination()
+
+
+def _in_order(spark: SparkSession, folder: str) -> None:
+    """Give a folder's files times in the order of their names: a stream takes the older ones first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    latest = max((s.getModificationTime() for s in files), default=0)
+    for k, s in enumerate(files):
+        fs.setTimes(s.getPath(), latest - 1000 * (len(files) - 1 - k), -1)
+
+
 def pause(spark: SparkSession, tables: Tables, query: StreamingQuery) -> str | None:
     """Stop a running load after the micro-batch in hand is dropped, and log that batch as paused; returns its id.
 

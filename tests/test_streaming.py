@@ -5,6 +5,7 @@ import os
 import shutil
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from firmlake.plans.products import ACCOUNTS, COMPANY, PSC
@@ -13,7 +14,7 @@ from firmlake.plans.reports import processed_per_product
 from firmlake.session import shared_folder
 from firmlake.sources.logs import current_batches, file_log, ingestion_log, last_batch
 from firmlake.streaming import ingest
-from firmlake.streaming.ingest import ingest_available, load_files, load_manifest, pause, watch
+from firmlake.streaming.ingest import ingest_available, load_files, load_manifest, pause, watch, watch_entries
 from tests.test_products import INLINE, PSC_LINES, make_zip
 
 
@@ -155,3 +156,61 @@ def test_manifest_load(spark, folder):
     assert [r["officer_name"] for r in t.officers.read().collect()] == ["Ms Ann Example"]
     assert t.financials.read().first()["company_number"] == "09652609"
     assert ACCOUNTS.name == "accounts"
+
+
+def filings_zip(path, names):
+    return make_zip(path, **{f"Prod223_2125_{n:08d}_20180331.html": INLINE for n in names})
+
+
+def test_a_load_goes_on_inside_an_archive(spark, folder, monkeypatch):
+    """A load that breaks off between entries repeats one batch of them, and ends as one load would."""
+    landing = os.path.join(folder, "landing")
+    os.makedirs(landing)
+    filings_zip(os.path.join(landing, "a.zip"), range(1, 31))
+    filings_zip(os.path.join(landing, "b.zip"), range(25, 41))
+    with open(os.path.join(landing, "c.zip"), "wb") as f:
+        f.write(b"junk")
+    tables = [Tables.below(spark, os.path.join(folder, n)) for n in ("whole", "broken")]
+    for t in tables:
+        c = companies_zip(os.path.join(folder, "companies.zip"), *[(f"{n:08d}", "N", "Active") for n in range(1, 41)])
+        load_files(spark, t, COMPANY, spark.createDataFrame([(c,)], "path string"), "c")
+    ingest_available(spark, tables[0], ACCOUNTS, landing, os.path.join(folder, "cp0"))
+    options = {"entries_per_block": 7, "blocks_per_batch": 1}
+    listed, old = [], ingest.load_listed
+
+    def broken(s, t, p, listing, batch_id):
+        rows = [(r["archive"], r["entry"]) for r in listing.collect()]
+        listed.append(rows)
+        if len(listed) == 3:
+            raise RuntimeError("the power is gone")
+        return old(s, t, p, listing, batch_id)
+
+    monkeypatch.setattr(ingest, "load_listed", broken)
+    with pytest.raises(Exception, match="the power is gone"):
+        watch_entries(spark, tables[1], ACCOUNTS, landing, os.path.join(folder, "cp1"), **options)
+    done = tables[1].financials.read().count()
+    assert 0 < done <= 14
+    watch_entries(spark, tables[1], ACCOUNTS, landing, os.path.join(folder, "cp1"), **options)
+    assert listed[2] == listed[3] and max(len(x) for x in listed) <= 7  # the broken batch again, the finished ones not
+    flat = [x for k, rows in enumerate(listed) if k != 2 for x in rows]
+    assert len(flat) == len(set(flat)) == 30 + 16 + 1
+    want, got = ({(r["company_number"], str(r["period_end"]), r["data_hash"]) for r in t.financials.read().collect()} for t in tables)
+    assert got == want and len(got) >= 40
+    before = len(listed)
+    watch_entries(spark, tables[1], ACCOUNTS, landing, os.path.join(folder, "cp1"), **options)
+    assert len(listed) == before  # nothing is left to do
+    with pytest.raises(ValueError):
+        watch_entries(spark, tables[1], COMPANY, landing, os.path.join(folder, "cp2"))
+
+
+def test_every_step_has_its_share(spark, folder):
+    """Whatever the files are called, a step takes as many as it may, and the log moves with each step."""
+    for name in ("a", "zz", "Q7"):
+        t = Tables.below(spark, os.path.join(folder, name, "tables"))
+        os.makedirs(os.path.join(folder, name, name))
+        files = [companies_zip(os.path.join(folder, name, name, f"{name}{i}.zip"), (f"{i:08d}", "N", "Active")) for i in range(7)]
+        load_files(spark, t, COMPANY, spark.createDataFrame([(p,) for p in files], "path string"), "b", files_per_step=3)
+        logged = spark.read.parquet(t.ingestion_log).orderBy("logged_at").collect()
+        assert [r["files_completed"] for r in logged] == [0, 3, 6, 7]
+        times = [r["logged_at"] for r in file_log(spark, t.file_log).orderBy("logged_at").collect()]
+        assert [sum(x <= r["logged_at"] for x in times) for r in logged[1:]] == [3, 6, 7]  # as the file log has it at each step
