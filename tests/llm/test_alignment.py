@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -7,7 +8,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from firmlake.llm.alignment import align, align_texts, byte_letters
+from firmlake.llm.alignment import _library, _ranked, align, align_texts, byte_letters
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -70,6 +71,36 @@ def test_against_both_libraries(spark, broadcast_pairs):
     assert sum(w[0] > 0 for w in want) > 8
 
 
+def test_ranks_encode_as_the_library_does():
+    """Over odd and random texts: letters, marks, digits, spaces of all kinds, strings of special tokens, bytes of no letter."""
+    own = Tokenizer.from_file(A_PATH)
+    own.encode_special_tokens = True
+    names, encode = _ranked(contents()[0])
+    plain, library = _library(contents()[0])
+    assert names == plain[: len(names)]
+    rng = random.Random(2)
+    alphabet = "abcdeé ñ\u0301\u200d\u00a0\u3000\t\n\r 0123٣½'sREve<|endoftext|>.,!你好\U0001f600\x00\x7f\u2028"
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 80))) for _ in range(2000)]
+    texts += ["".join(chr(c) for c in (rng.randrange(0x110000) for _ in range(30)) if not 0xD800 <= c < 0xE000) for _ in range(300)]
+    want = [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+    assert encode(texts) == want == library(texts)
+
+
+def test_other_vocabularies_go_through_the_library(spark):
+    """A vocabulary whose ids do not follow its merges gives the same groups."""
+    import json
+
+    a, b = contents()
+    other = json.loads(a)
+    vocab = other["model"]["vocab"]
+    x, y = (next(n for n, i in vocab.items() if i == k) for k in (300, 400))
+    vocab[x], vocab[y] = 400, 300
+    assert _ranked(json.dumps(other)) is None
+    df = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[2])], "doc_id long, text string")
+    sizes = ("doc_id", "n_a", "n_b", "n_groups", "n_links")
+    assert sorted(align(df, json.dumps(other), b).select(*sizes).collect()) == sorted(align(df, a, b).select(*sizes).collect())
+
+
 def test_digest_repeats_and_null_ids(spark):
     df = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "same text"), (None, None), (2, "")], "doc_id long, text string")
     got = align(df, *contents(), keep=lambda g: F.sha2(g.cast("binary"), 256)).collect()
