@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake import schemas
@@ -139,6 +139,23 @@ def mark_merged(staged: DataFrame, now: Column) -> DataFrame:
     return staged.withColumn("merged_at", now.cast("timestamp_ntz"))
 
 
+def _same(left: str, right: str, columns: list[str]) -> list[Column]:
+    """Equality of both sides in every column; NULLs are equal to each other."""
+    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
+
+
+def unchanged(table: KeyedTable, chosen: DataFrame) -> DataFrame:
+    """The table's rows, as they are now, that are still what was chosen: same key, batch and time of change.
+
+    A row that a load has changed since then is left out: it was not the one promoted, and waits for its own turn. The
+    table must have no other writer while the result is written back, so a change set in hand is an error.
+    """
+    if busy := table.in_hand():
+        raise RuntimeError(f"{table.path} is being written ({', '.join(busy)}): what was promoted is stored but not marked; promote the batch again")
+    columns = [*table.keys, *[c for c in ("batch_id", "last_updated") if c not in table.keys]]
+    return table.read().alias("r").join(chosen.select(*columns).alias("c"), _same("r", "c", columns), "left_semi")
+
+
 @dataclass
 class Tables:
     """The staging and production tables below one folder."""
@@ -170,12 +187,6 @@ class Tables:
                    file_log=f"{folder}/file_log", rejects=f"{folder}/rejects")
 
 
-def _stored(rows: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key was written; NULL key parts are equal to each other."""
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
-    return rows.alias("r").join(written.select(*keys).alias("w"), same, "left_semi")
-
-
 def merge_batch(spark: SparkSession, t: Tables, batch_id: str, now: Column | None = None, dry_run: bool = False,
                 parity: bool = False, compact_after: int = 20) -> dict:
     """Validate, then promote companies, officers and financials in that order, mark them merged and log the merge.
@@ -183,7 +194,8 @@ def merge_batch(spark: SparkSession, t: Tables, batch_id: str, now: Column | Non
     A batch that scores below LEAST_SCORE is refused. A dry run counts the same selection and writes nothing. Every run
     promotes the staging rows as they are now, under change sets of its own: a batch promoted again, be it after a
     failure or after a review, updates what is there and adds what was cleared since. Only rows that reached production
-    are marked; those that broke a rule or whose company is not in production go to the rejects and wait.
+    are marked; those that broke a rule or whose company is not in production go to the rejects and wait. A load that
+    changes staged rows meanwhile keeps its rows: they are not marked, and nothing is written over them.
     """
     now = now if now is not None else F.current_timestamp()
     now = now.cast("timestamp_ntz")
@@ -220,26 +232,29 @@ def merge_batch(spark: SparkSession, t: Tables, batch_id: str, now: Column | Non
             known = t.production_companies.read()
             lost = orphans(rows, known).select("company_number", F.lit("company_not_in_production").alias("reason"))
             bad = bad.unionByName(lost)
-        table.write_changes(guard_orphans(rows, known) if guarded else rows, f"promotion-{label}")
+        kept, seen = guard_orphans(rows, known) if guarded else rows, Observation()
+        new = F.col("first_seen") == F.col("last_updated")
+        counted = kept.observe(seen, F.count_if(new).alias("inserted"), F.count_if(~new).alias("updated"))
+        table.write_changes(counted, f"promotion-{label}")
         bad.write.mode("overwrite").parquet(f"{t.rejects}/promotion-{batch_id}-{name}")
-        written = table.read_changes(f"promotion-{label}")
-        # The production key may differ from the staged one, so the staged row goes along.
-        shaped = shape(staged[name].withColumn("_staged", F.struct("*")))
-        marked = _stored(shaped, written, keys).select("_staged.*")
-        getattr(t, name).write_changes(mark_merged(marked, stamp), f"merged-{label}")
-        counts = written.agg(
-            F.count_if(F.col("first_seen") == F.col("last_updated")).alias("inserted"),
-            F.count_if(F.col("first_seen") != F.col("last_updated")).alias("updated"),
-        ).first().asDict()
+        written = table.read_changes(f"promotion-{label}").select(*keys)
+        # The production key may differ from the staged one, so the staged key goes along.
+        staging: KeyedTable = getattr(t, name)
+        known_by = F.struct(*dict.fromkeys([*staging.keys, "batch_id", "last_updated"]))
+        shaped = shape(staged[name].withColumn("_staged", known_by)).select(*keys, "_staged")
+        chosen = shaped.alias("r").join(written.alias("w"), _same("r", "w", keys), "left_semi").select("_staged.*")
+        staging.write_changes(mark_merged(unchanged(staging, chosen), stamp), f"merged-{label}")
         if guarded:
             discard(rows)
         table.compact(compact_after)
-        return counts
-
-    done = store("companies", schemas.COMPANY_KEY, lambda df: df, _companies, False)
-    people_done = store("officers", schemas.OFFICER_KEY, officer_rows, _officers, True)
-    money_done = store("financials", schemas.FINANCIAL_KEY, lambda df: df, _financials, True)
-    discard(*staged.values())
+        return seen.get
+
+    try:
+        done = store("companies", schemas.COMPANY_KEY, lambda df: df, _companies, False)
+        people_done = store("officers", schemas.OFFICER_KEY, officer_rows, _officers, True)
+        money_done = store("financials", schemas.FINANCIAL_KEY, lambda df: df, _financials, True)
+    finally:
+        discard(*staged.values())
 
     stats = {
         "companies_merged": done["inserted"],

@@ -64,6 +64,10 @@ class KeyedTable:
         used = [f[1] for f in found if f[0] == "changes" and f[2] == label and f[1] > covered]
         return used[0] if used else max((f[1] for f in found), default=0) + 1
 
+    def in_hand(self) -> list[str]:
+        """Change sets that someone has begun to write and not committed."""
+        return [name for kind, _, _, name, done in self._folders() if kind == "changes" and not done]
+
     def read(self, before: int | None = None) -> DataFrame:
         """Current rows, or the rows as they were before a version."""
         base, newer = self._current(before)

@@ -1,6 +1,8 @@
 import datetime as dt
+import os
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from firmlake import schemas
@@ -161,6 +163,33 @@ def test_promotion_marks_only_what_it_stored(spark, folder):
     assert {r["company_number"] for r in t.companies.read().where("merged_at is null").collect()} == {"00000004"}
 
 
+def test_a_load_during_a_promotion_keeps_its_rows(spark, folder, monkeypatch):
+    """What a load commits between selection and marks is neither overwritten nor marked; a load in hand stops the marks."""
+    t = promotion.Tables.below(spark, folder)
+    c, f, o = tables(spark)
+    c = c.withColumns({"needs_review": F.lit(False), "locality": F.lit("L"), "company_status": F.lit("active")})
+    for table, rows in ((t.companies, c), (t.financials, f), (t.officers, o)):
+        table.write_changes(rows, "start")
+    late = c.where("company_number = '00000002'").withColumns({"company_name": F.lit("RENAMED"), "last_updated": F.lit(dt.datetime(2026, 3, 1)).cast("timestamp_ntz")})
+    old = t.production_companies.write_changes
+
+    def meanwhile(rows, label):
+        version = old(rows, label)
+        t.companies.write_changes(late, "late")
+        return version
+
+    monkeypatch.setattr(t.production_companies, "write_changes", meanwhile)
+    promotion.merge_batch(spark, t, "b1", F.lit(NOW))
+    staged = {r["company_number"]: (r["company_name"], r["merged_at"]) for r in t.companies.read().collect()}
+    assert staged["00000002"] == ("RENAMED", None)
+    assert [n for n, (_, at) in staged.items() if at is None] == ["00000002"]
+    monkeypatch.setattr(t.production_companies, "write_changes", old)
+    os.makedirs(os.path.join(t.companies.path, "changes-000000099-other"))
+    with pytest.raises(RuntimeError, match="being written"):
+        promotion.merge_batch(spark, t, "b1", F.lit(NOW))
+    assert t.companies.read().where("company_number = '00000002'").first()["merged_at"] is None
+
+
 def test_review_marks_are_stored(spark, folder):
     t = promotion.Tables.below(spark, folder)
     c, _, _ = tables(spark)
