@@ -359,3 +359,35 @@ WHERE company_number NOT IN (SELECT company_number FROM companies)"""),
 def orphan_rows(spark, folder):
     rows = star.officers(spark, folder).select("officer_id", "company_number")
     return orphans(rows, star.companies(spark, folder))
+
+
+@query(
+    "psc_raw_data",
+    """SELECT o_orderkey AS row_no, '{"company_number":"' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') || '","data":{' ||
+CASE WHEN o_orderstatus = 'O' THEN '"name":"Holding ' || CAST(o_orderkey AS VARCHAR) || '",' ELSE '' END ||
+'"name_elements":{"title":"Ms","forename":"Ann","middle_name":"","surname":"No' || CAST(o_orderkey AS VARCHAR) || '"},' ||
+'"address":{"address_line_1":"1 High Street","locality":"' || o_orderpriority || '"},"date_of_birth":{"year":' || CAST(year(o_orderdate) AS VARCHAR) ||
+CASE WHEN o_orderstatus <> 'F' THEN ',"month":' || CAST(month(o_orderdate) AS VARCHAR) ELSE '' END || '},' ||
+CASE WHEN o_orderstatus = 'P' THEN '"kind":"corporate-entity",' ELSE '' END || '"notified_on":"' || strftime(o_orderdate, '%Y-%m-%d') || '",' ||
+CASE WHEN o_orderstatus = 'F' THEN '"ceased_on":"' || strftime(o_orderdate, '%Y-%m-%d') || '",' ELSE '' END ||
+'"natures_of_control":["shares",null,"votes ' || o_orderstatus || '"]}}' AS raw_data FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '1-URGENT')""",
+)
+def psc_raw_data(spark, folder):
+    """The record as it was delivered, beside what was made of it."""
+    return psc_json.parse_lines(psc_lines(spark, folder)).where("reject is null").select("row_no", "raw_data")
+
+
+LAYOUTS = [*dates.FILING_LAYOUTS, "d MMMM, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d'th' MMM yyyy"]
+
+
+@query(
+    "filing_date_layouts",
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % {len(LAYOUTS)} IN ({", ".join(str(k) for k, x in enumerate(LAYOUTS) if x.endswith("-yy") or x.endswith(".yy") or x.endswith("/yy"))})
+THEN '20' || strftime(o_orderdate, '%y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS found FROM orders""",
+)
+def filing_date_layouts(spark, folder):
+    """Every layout a filing may use, by turns; years of two digits belong to this century."""
+    written = F.lit(None).cast("string")
+    for k, layout in enumerate(LAYOUTS):
+        written = F.when(F.col("o_orderkey") % len(LAYOUTS) == k, F.date_format("o_orderdate", layout)).otherwise(written)
+    return star.read(spark, folder, "orders").select("o_orderkey", dates.filing_date(written).alias("found"))

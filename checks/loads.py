@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import zipfile
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -23,11 +24,11 @@ from firmlake.session import settle, work_path
 from firmlake.sources.accounts import parse_documents, records
 from firmlake.sources.archives import open_file, write_filings, write_lines
 from firmlake.sources.company_csv import transform
-from firmlake.sources.logs import current_batches, file_log, ingestion_log
+from firmlake.sources.logs import current_batches, file_log, ingestion_log, merge_log
 from firmlake.sources.tables import KeyedTable
 from firmlake.sources.tags import load_tag_dictionary
 from firmlake.sources.zip_source import register
-from firmlake.streaming.ingest import ingest_available, load_manifest
+from firmlake.streaming.ingest import ingest_available, load_files, load_manifest
 
 BATCH = "batch_building"
 CUT = "1999-01-01"
@@ -682,3 +683,68 @@ def maintained_reports(spark, folder):
         summary.active_officers().select(F.lit("active_officers"), "company_number", F.col("active_officers").cast("string")),
     ]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).where("value is not null")
+
+
+@query(
+    "accounts_load",
+    """SELECT company_number, period_end, turnover, batch_id, change_detected FROM (
+  SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS company_number, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS period_end,
+    CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) AS turnover, 'a1' AS batch_id, FALSE AS change_detected,
+    row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) AS rn FROM orders
+  WHERE o_custkey IN (SELECT c_custkey FROM customer)) WHERE rn = 1""",
+)
+def accounts_load(spark, folder):
+    """Filings loaded from archives in which every period stands twice, the second time with its right turnover; then once more.
+
+    The last record of a period counts, and the same files change nothing.
+    """
+    base = work_path(spark, "accounts-load")
+    tables = promotion.Tables.below(spark, f"{base}/tables")
+    numbers = star.read(spark, folder, "customer").select(star.number("c_custkey").alias("company_number"))
+    tables.companies.write_changes(conform(numbers, schemas.STAGING_COMPANIES), "start")
+    # All filings of a company stand in one archive, by order.
+    filed = filing_documents(spark, folder).join(star.read(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    first = F.struct(F.regexp_replace("entry", "^([a-zA-Z]+)", "$1").alias("entry"), F.regexp_replace("body", r"(TurnoverRevenue[^>]*>)[\d,.]+", "$11").alias("body"))
+    second = F.struct(F.regexp_replace("entry", "[.]", "-again.").alias("entry"), "body")
+    named = F.when(F.col("entry").startswith("Prod"), F.struct(F.concat(F.lit("Prod224"), F.substring("entry", 8, 200)).alias("entry"), "body")).otherwise(second)
+    pairs = star.spread(filed, "o_custkey").sortWithinPartitions("o_orderkey").select(F.explode(F.array(first, named)).alias("x")).select("x.*")
+    paths = as_paths(write_filings(pairs, f"{base}/zips"))
+    for batch in ("a1", "a2"):
+        load_files(spark, tables, ACCOUNTS, paths, batch)
+    return tables.financials.read().select("company_number", "period_end", "turnover", "batch_id", "change_detected")
+
+
+MERGES_SQL = " UNION ALL ".join(
+    f"""SELECT * FROM ({MERGE_SQL[: MERGE_SQL.index("SELECT 'companies' AS kind")].replace(BATCH, batch)}
+SELECT '{batch}' AS batch_id, (SELECT COUNT(*) FROM firms WHERE NOT needs_review AND NOT without_status) AS companies_merged,
+  (SELECT COUNT(*) FROM people JOIN firms USING (company_number) WHERE NOT needs_review AND NOT firms.without_status) AS officers_merged,
+  (SELECT COUNT(*) FROM periods JOIN firms USING (company_number) WHERE sound AND NOT needs_review AND NOT firms.without_status) AS financials_merged,
+  'promotion' AS merged_by)""" for batch in (BATCH, "batch_machinery"))
+
+
+@query("merge_log", MERGES_SQL)
+def merges_logged(spark, folder):
+    """What the log of merges says of two batches."""
+    tables = promotion.Tables.below(spark, work_path(spark, "merge"))
+    store_batch(spark, folder, tables)
+    for batch in (BATCH, "batch_machinery"):
+        result = promotion.merge_batch(spark, tables, batch, now())
+        if result["status"] != "success":
+            raise ValueError(str(result))
+    return merge_log(spark, tables.merge_log).select("batch_id", "companies_merged", "officers_merged", "financials_merged", "merged_by")
+
+
+@query(
+    "custom_product",
+    """SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS company_number, upper(c_name) AS company_name, md5(upper(c_name)) AS data_hash, 'c1' AS batch_id FROM customer""",
+)
+def custom_product(spark, folder):
+    """A product with a transform and hash fields of its own; a second delivery that changes none of those fields changes nothing."""
+    base = work_path(spark, "custom")
+    tables = promotion.Tables.below(spark, f"{base}/tables")
+    upper = replace(COMPANY, transform=lambda df: df.withColumn("company_name", F.upper("company_name")), hash_fields=["company_name"])
+    raw = csv_shaped(spark, folder)
+    moved = raw.withColumn(" RegAddress.PostTown", F.lit("ELSEWHERE"))
+    for batch, rows in (("c1", raw), ("c2", moved)):
+        load_files(spark, tables, upper, as_paths(csv_archives(rows, f"{base}/{batch}")), batch)
+    return tables.companies.read().select("company_number", "company_name", "data_hash", "batch_id")

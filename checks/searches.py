@@ -267,3 +267,25 @@ def name_linkage(spark, folder):
     parts = star.read(spark, folder, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").alias("name"))
     suppliers = star.read(spark, folder, "supplier").select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")), "s_name")
     return count_links(parts.union(suppliers), "key", "name", 0.6)
+
+
+@query(
+    "search_response_page",
+    over("profiles", body=f"""SELECT row_number() OVER (ORDER BY profiles.turnover DESC NULLS LAST, company_number) AS place, company_number, company_name,
+CAST(turnover AS DOUBLE) AS turnover, CAST(latest_accounts_date AS VARCHAR) AS latest_accounts_date, CAST(active_officers_count AS VARCHAR) AS officers,
+profit_margin IS NULL AS without_margin FROM profiles WHERE {WIDE_SQL}
+ORDER BY profiles.turnover DESC NULLS LAST, company_number LIMIT 25 OFFSET 5"""),
+)
+def search_response_page(spark, folder):
+    """The page as the caller gets it, text by text; missing values are written out as null."""
+    answer = s.search_response(profiles(spark, folder), WIDE)
+    rows = spark.createDataFrame([(answer["offset"] + n, text) for n, text in enumerate(answer["companies"], 1)], "place long, text string")
+
+    def value(name: str):
+        return F.get_json_object("text", f"$.{name}")
+
+    return rows.select(
+        "place", value("company_number").alias("company_number"), value("company_name").alias("company_name"),
+        value("turnover").cast("double").alias("turnover"), value("latest_accounts_date").alias("latest_accounts_date"),
+        value("active_officers_count").alias("officers"), F.col("text").contains('"profit_margin":null').alias("without_margin"),
+    )

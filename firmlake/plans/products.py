@@ -13,7 +13,7 @@ from firmlake import schemas
 from firmlake.functions.hashing import row_hash
 from firmlake.operators.joins import guard_orphans
 from firmlake.operators.upsert import changes, dedupe_load
-from firmlake.sources.accounts import PLACE, list_filings, read_financials, read_listed
+from firmlake.sources.accounts import list_filings, read_financials, read_listed
 from firmlake.sources.company_csv import read_companies
 from firmlake.sources.manifest import file_order
 from firmlake.sources.psc_json import read_officers
@@ -49,7 +49,7 @@ PSC = Product(
 )
 ACCOUNTS = Product(
     "accounts", read_financials, schemas.STAGING_FINANCIALS, schemas.FINANCIAL_KEY, schemas.FINANCIAL_HASH,
-    PLACE, True, listed=list_filings, read_listed=read_listed,
+    ["archive", "pos", "inner_pos"], True, listed=list_filings, read_listed=read_listed,
 )
 PRODUCTS = {p.name: p for p in (COMPANY, PSC, ACCOUNTS)}
 

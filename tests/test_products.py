@@ -1,6 +1,7 @@
 import datetime as dt
 import io
 import os
+import time
 import zipfile
 from decimal import Decimal
 
@@ -100,6 +101,40 @@ def test_an_open_quote_in_a_large_entry(spark, folder, monkeypatch):
     assert len(got) == 60_000 and [r[0] for r in got if r[3]] == [1, 59_999] and got[2] == (2, "2", "name 2", None)
 
 
+def parsed_lines(lines, block=10**9):
+    """Good records and rejects of CSV lines with three columns, read in blocks of so many lines."""
+    reader, out, rest = archives._Records(["a", "b", "c"], {"a": "A", "b": "B", "c": "C"}), [], []
+    for k in range(0, len(lines), block):
+        found, rest = reader.blocks(rest + lines[k : k + block], False)
+        out += found
+    out += reader.blocks(rest, True)[0]
+    good = [(n, tuple(c[x][i].as_py() for x in "ABC")) for numbers, bad, c in out if not bad for i, n in enumerate(numbers)]
+    return sorted(good), sorted((n, x.split(":")[1].strip()) for numbers, bad, _ in out if bad for n, x in zip(numbers, bad))
+
+
+def test_no_rows_out_of_an_open_quote():
+    good, bad = parsed_lines([b"0,0,0", b'x,"y', *[b"free text"] * 2000, b"1,2,3", b"4"])
+    assert [g[1] for g in good] == [("0", "0", "0"), ("1", "2", "3"), ("4", None, None)]
+    assert len(bad) == 2001 and bad[0] == (1, "a quote stays open") and {b[1] for b in bad[1:]} == {"it follows an open quote"}
+
+
+def test_blocks_do_not_change_what_is_read():
+    lines = [b'1,"a', b'b","c', b'd"', b"2,,", b"4", b'x,"open', b"5", b'6,"m', b'n",7', b"8", b"9,8,7,6", b'9,"q""r",s', b"\xff,1,2", b'"x" y,z,w']
+    whole = parsed_lines(lines)
+    assert whole[0][:4] == [(0, ("1", "a\nb", "c\nd")), (1, ("2", None, None)), (2, ("4", None, None)), (5, ("6", "m\nn", "7"))]
+    for block in (1, 2, 3, 5):
+        assert parsed_lines(lines, block) == whole
+
+
+@pytest.mark.parametrize("lines", [[b'x,"y'], [b'x,"y', b"1,2,3"], [b'x,"y', b"loose", b'"'], [b"1,2,3", b'a "b" c,"d']])
+def test_many_damaged_lines_cost_little(lines):
+    began = time.process_time()
+    good, bad = parsed_lines(lines * (100_000 // len(lines)), 20_000)
+    assert len(good) + len(bad) >= 50_000 and time.process_time() - began < 20
+    good, bad = parsed_lines([b'x,"y', *[b"no quote here"] * 100_000], 1000)
+    assert (len(good), len(bad)) == (0, 100_001)
+
+
 def test_a_quoted_value_over_very_many_lines(spark, folder):
     for n in (21, 400_000):  # the second runs over several blocks
         value = "\n".join(f"line {k} of a note" for k in range(n))
