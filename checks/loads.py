@@ -28,7 +28,8 @@ from firmlake.sources.logs import current_batches, file_log, ingestion_log, merg
 from firmlake.sources.tables import KeyedTable
 from firmlake.sources.tags import load_tag_dictionary
 from firmlake.sources.zip_source import register
-from firmlake.streaming.ingest import ingest_available, load_files, load_manifest
+from firmlake.streaming.ingest import in_order, ingest_available, load_files, load_manifest
+from firmlake.streaming.states import batch_states, follow, rejected_rows
 
 BATCH = "batch_building"
 CUT = "1999-01-01"
@@ -748,3 +749,26 @@ def custom_product(spark, folder):
     for batch, rows in (("c1", raw), ("c2", moved)):
         load_files(spark, tables, upper, as_paths(csv_archives(rows, f"{base}/{batch}")), batch)
     return tables.companies.read().select("company_number", "company_name", "data_hash", "batch_id")
+
+
+STATES_SQL = over("log", body="").replace("WITH log", "WITH RECURSIVE log", 1) + """, l AS (
+  SELECT batch_id, status, logged_at, row_number() OVER (PARTITION BY batch_id ORDER BY logged_at, status) AS n FROM log),
+s AS (SELECT DISTINCT batch_id, CAST(0 AS BIGINT) AS n, '' AS state, CAST(NULL AS TIMESTAMP) AS since, FALSE AS bad FROM l
+  UNION ALL SELECT batch_id, n, CASE WHEN ok THEN status ELSE state END, CASE WHEN ok THEN logged_at ELSE since END, NOT ok FROM (
+    SELECT l.batch_id, l.n, l.status, l.logged_at, s.state, s.since, COALESCE(l.status = 'running' OR (s.state IN ('', 'paused') AND l.status = 'paused')
+      OR (s.state = 'running' AND l.status IN ('paused', 'completed', 'completed_with_errors', 'failed')), FALSE) AS ok
+    FROM s JOIN l ON l.batch_id = s.batch_id AND l.n = s.n + 1))
+SELECT batch_id, NULLIF(arg_max(state, n), '') AS status, strftime(arg_max(since, n), '%Y-%m-%d %H:%M:%S') AS logged_at,
+  COUNT(*) FILTER (WHERE bad) AS n_rejects FROM s GROUP BY batch_id"""
+
+
+@query("batch_state_stream", STATES_SQL)
+def batch_state_stream(spark, folder):
+    """Where each batch stands by its transitions, from a log that is read in four micro-batches; rows that are no transition are counted."""
+    base = work_path(spark, "states")
+    star.ingestion_log(spark, folder).repartitionByRange(4, "logged_at").write.parquet(f"{base}/log")
+    in_order(spark, f"{base}/log")
+    follow(spark, f"{base}/log", f"{base}/states", f"{base}/checkpoint", files_per_batch=1)
+    bad = rejected_rows(spark, f"{base}/states").groupBy("batch_id").agg(F.count("*").alias("n_rejects"))
+    both = batch_states(spark, f"{base}/states").join(bad, "batch_id", "full")
+    return both.select("batch_id", "status", "logged_at", F.coalesce("n_rejects", F.lit(0)).alias("n_rejects"))

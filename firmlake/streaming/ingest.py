@@ -263,7 +263,7 @@ def watch_entries(
         # A repeated epoch writes other file names: those of the first attempt are gone before the second stream starts.
         ordered = listing.repartitionByRange("archive", "pos").sortWithinPartitions("archive", "pos")
         ordered.write.mode("overwrite").option("maxRecordsPerFile", entries_per_block).parquet(f"{place}/blocks/epoch-{epoch:09d}")
-        _in_order(spark, f"{place}/blocks/epoch-{epoch:09d}")
+        in_order(spark, f"{place}/blocks/epoch-{epoch:09d}")
 
     found = _landed(spark, landing, pattern, 1000)
     found.writeStream.foreachBatch(list_blocks).option("checkpointLocation", f"{place}/listing").trigger(availableNow=True).start().awaitTermination()
@@ -278,7 +278,7 @@ def watch_entries(
     blocks.writeStream.foreachBatch(load).option("checkpointLocation", f"{place}/loading").trigger(availableNow=True).start().awaitTermination()
 
 
-def _in_order(spark: SparkSession, folder: str) -> None:
+def in_order(spark: SparkSession, folder: str) -> None:
     """Give a folder's files times in the order of their names: a stream takes the older ones first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
