@@ -9,8 +9,8 @@ occur once in 80% of the pages. Classes are not ordered or nested by position; n
 
 What is left are the slots: texts that differ from page to page. The main element is the smallest one of the frame that
 holds all words of the slots, over all pages of the host, and all its slots are main text but for parts that serve other
-ends: menus, footers and so on by their element, and small parts by their class, id or role. A name marks nothing that
-holds more than half of a page's words, unless an article or main element stands beside it. A host with fewer than
+ends: menus, footers and so on by their element, lists of links by their text, and small parts by their class, id or role. A
+name marks nothing that holds more than half of a page's words, unless an article or main element stands beside it. A host with fewer than
 MIN_PAGES different pages has no template; its pages are laid out by their own words. Side texts that differ from page to
 page and bear no such name stay in the text.
 """
@@ -43,13 +43,17 @@ INLINE = frozenset(
     "sub sup time tt u var wbr img".split()
 )
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split())  # elements whose end may be left out
-ASIDE = frozenset("head nav header footer aside button select menu dialog figure canvas audio video object".split()) | RAW
-ASIDE_WORDS = re.compile(
-    r"(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)(?<!\bhide)(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|header|login|masthead|menu|"
-    r"modal|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|social|sponsor\w*|"
-    r"subscribe|toolbar|widget)(?=$|[\s_-])",
-    re.IGNORECASE,
+ASIDE = frozenset("head nav header footer aside button select menu dialog canvas audio video object".split()) | RAW
+#: Fixed words that name parts of a page which are not its text, and words that may follow them for the part as a whole.
+SIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer "
+    "header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promos promotion related replies reply share "
+    "sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
+PART_NAMES = frozenset("area bar block box container content form group holder inner item items link links list panel section slot thread unit wrap wrapper".split())
+DENIED = frozenset("no not has with without hide hidden".split())  # "no-comments" says that there are none
+_WORD = re.compile(r"[A-Za-z]+")
+LINKS = 3  # so many parts in a row that are links only are a menu
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL
 )
@@ -60,21 +64,37 @@ _SIGN = re.compile("[>!~]")  # signs of paths
 _ARTICLE = re.compile(r">(?:article|main)(?![^.>~!])")
 
 
-def parse(page: str | None) -> list[tuple[str, str, bool]]:
-    """The page's texts in order: path of block elements, text as written, and whether a new block begins.
+def side_names(names: list[str]) -> tuple[bool, bool]:
+    """Do names (of classes, ids and roles) say that an element is no part of the text, and does one of them as a whole?
+
+    A name says so if its last word is a listed one, or all words after the listed one stand for a part of the page:
+    ``reader-comments`` and ``comments-list`` do, ``comments-on-policy`` and ``share-of-market`` do not.
+    """
+    some = whole = False
+    for name in " ".join(names).split():
+        words = [w.lower() for w in _WORD.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name))]
+        at = next((k for k, w in enumerate(words) if w in SIDE_NAMES), None)
+        if at is not None and not DENIED & set(words[:at]) and (words[-1] in SIDE_NAMES or set(words[at + 1 :]) <= PART_NAMES):
+            some = True
+            whole |= len(words) == 1
+    return some, whole
+
+
+def parse(page: str | None) -> list[tuple[str, str, bool, bool]]:
+    """The page's texts in order: path of block elements, text as written, whether a new block begins, whether it is a link's.
 
     Paths name elements with their classes; an element that serves other ends is marked by an exclamation mark, one whose
     names only say so (or a form, which may hold the whole page) by a tilde, or two if a whole name does. Headers within an article belong to it.
     """
     page = page or ""
-    out: list[tuple[str, str, bool]] = []
+    out: list[tuple[str, str, bool, bool]] = []
     stack: list[tuple[str, str]] = []  # element and path
-    at, broken, path = 0, True, ""
+    at, broken, path, linked = 0, True, "", False
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            out.append((path, page[at:end], broken))
+            out.append((path, page[at:end], broken, linked))
             broken = False
         if not m:
             break
@@ -83,6 +103,7 @@ def parse(page: str | None) -> list[tuple[str, str, bool]]:
         if not name:
             continue
         if name in INLINE:
+            linked = linked if name != "a" else not m[1]
             continue
         broken = True
         if m[1]:
@@ -99,29 +120,59 @@ def parse(page: str | None) -> list[tuple[str, str, bool]]:
             if name != "p":
                 names = [a or b or c for _, a, b, c in _CLASS.findall(m[3])]
                 within = any(x in ("article", "main") for x, _ in stack)
-                words = {w.lower() for x in names for w in ASIDE_WORDS.findall(x)} - ({"header"} if within else set())
+                if within:
+                    names = [x for x in names if "header" not in x.lower()]
+                some, whole = side_names(names)
                 if name in ASIDE and not (within and name == "header"):
                     mark = "!"
                 else:
-                    mark = "~" if name == "form" or words and name not in ("html", "body", "main") else ""
-                    mark += mark if words & {x.lower() for x in " ".join(names).split()} else ""
+                    mark = "~" if name == "form" or some and name not in ("html", "body", "main") else ""
+                    mark += mark if whole else ""
                 kind = ".".join(x for k, a, b, c in _CLASS.findall(m[3]) if k.lower() == "class" for x in _SIGN.sub("_", a or b or c).split())
                 stack.append((name, f"{stack[-1][1] if stack else ''}>{name}{'.' + kind if kind else ''}{mark}"))
         path = stack[-1][1] if stack else ""
     return out
 
 
-def blocks(texts: list[tuple[str, str, bool]]) -> list[tuple[str, str]]:
-    """(path, text) of each block: references decoded, white space made one blank, blocks without text left out."""
+def _clean(texts: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str, int]]:
+    """(path, text, links) of each block; links is 0 if words of the block stand outside of links."""
     out: list[list] = []
-    for path, text, new in texts:
+    for path, text, new, linked in texts:
         if new or not out:
-            out.append([path, []])
+            out.append([path, [], 0, False])
         out[-1][1].append(text)
-    clean = [(path, " ".join(html.unescape("".join(parts)).split())) for path, parts in out]
+        if any(map(str.isalnum, text)):
+            out[-1][2] += linked
+            out[-1][3] |= not linked
+    clean = [(path, " ".join(html.unescape("".join(parts)).split()), 0 if other else links) for path, parts, links, other in out]
     return [x for x in clean if x[1]]
 
 
+def blocks(texts: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str]]:
+    """(path, text) of each block: references decoded, white space made one blank, blocks without text left out."""
+    return [(path, text) for path, text, _ in _clean(texts)]
+
+
+def page_blocks(page: str | None) -> list[tuple[str, str]]:
+    """The blocks of a page without its menus: neighbouring blocks outside of articles whose words are links only, LINKS of them or more.
+
+    A page that has nothing but links keeps them.
+    """
+    clean = _clean(parse(page))
+    kept: list[tuple[str, str]] = []
+    run: list[tuple[str, str]] = []
+    links = 0
+    for path, text, n in [*clean, ("", "", 0)]:
+        if n and not _ARTICLE.search(path):
+            run.append((path, text))
+            links += n
+            continue
+        kept += run if links < LINKS else []
+        run, links = [], 0
+        kept += [(path, text)] if text else []
+    return kept or [(path, text) for path, text, _ in clean]
+
+
 def closed(found: list[tuple[str, str]]) -> set[str]:
     """The elements of a page that their names set aside: those with a minor share of its words.
 
@@ -142,7 +193,7 @@ def closed(found: list[tuple[str, str]]) -> set[str]:
 
 def is_open(path: str, shut: set[str], main: str = "") -> bool:
     """Whether nothing below the main element sets the path aside."""
-    return "!" not in path[len(main) :] and not ("~" in path and any(p in shut and len(p) > len(main) for p in prefixes(path)))
+    return "!" not in path[len(main) :] and not (shut and any(p in shut and len(p) > len(main) for p in prefixes(path)))
 
 
 def _code(text: str) -> int:
@@ -164,7 +215,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows: list[tuple] = []
         for host, page in zip(*(batch.column(k).to_pylist() for k in range(2))):
-            own = blocks(parse(page))
+            own = page_blocks(page)
             elements, under, texts = Counter(), Counter(), Counter()
             seen: set[str] = set()
             last, shut = None, closed(own)
@@ -230,7 +281,7 @@ def deduce(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, main: str | None, constants: frozenset) -> str:
-    found = blocks(parse(page))
+    found = page_blocks(page)
     if main is None or not any(p == main or p.startswith(main + ">") for p, _ in found):
         main = ""  # no template, or a page that does not follow it: the whole page
     kept, shut = [], closed(found)
@@ -243,15 +294,19 @@ def main_text(page: str | None, main: str | None, constants: frozenset) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        sets: dict[int, frozenset] = {}
+        sets: dict[str, frozenset] = {}  # of the hosts at hand: their rows repeat the same list
         width = batch.num_columns
         out = []
-        for page, main, constants in zip(*(batch.column(width - k).to_pylist() for k in (3, 2, 1))):
-            own = sets.setdefault(id(constants), frozenset(constants)) if constants else frozenset()
+        hosts, pages, mains = (batch.column(width - k).to_pylist() for k in (4, 3, 2))
+        lists = batch.column(width - 1)
+        for k, (host, page, main) in enumerate(zip(hosts, pages, mains)):
+            if host not in sets:
+                sets[host] = frozenset(lists[k].as_py() or ())
+            own = sets[host]
             out.append(main_text(page, main, own))
         yield pa.record_batch(
-            [*batch.columns[: width - 3], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
-            names=[*batch.schema.names[: width - 3], "text", "n_chars"],
+            [*batch.columns[: width - 4], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
+            names=[*batch.schema.names[: width - 4], "text", "n_chars"],
         )
 
 
@@ -265,4 +320,4 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("_host"), F.col("html").cast("string").alias("_html"))
     joined = rows.join(deduce(pages).withColumnRenamed("host", "_of"), F.col("_host") == F.col("_of"), "left")
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return joined.select("page_id", "url", "_html", "main", "constants").mapInArrow(_extract, f"{kinds}, text string, n_chars long")
+    return joined.select("page_id", "url", "_host", "_html", "main", "constants").mapInArrow(_extract, f"{kinds}, text string, n_chars long")

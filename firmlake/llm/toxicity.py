@@ -81,8 +81,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     both = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "toxic")  # 2 * SAMPLE rows at most
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(both), F.col("doc_id") == F.col("_id"))
-    # Several documents with one id would go past the bound: one of them is enough.
-    rows = rows.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).select("text", "toxic")
+    # Several documents with one id would go past the bound: the one with the least text is taken, in every run.
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     return settle(rows, "training"), (0.5 if share is None else float(share))
 
 

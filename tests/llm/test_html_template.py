@@ -57,6 +57,25 @@ def test_names_mark_small_parts_only(spark):
     assert run(spark, rows)[3][0] == f"own3 {words}"
 
 
+def test_a_name_counts_as_a_whole():
+    words = " ".join(f"w{i}" for i in range(30))
+    for name in ("share-of-market", "comments-on-policy", "adhesive", "related-rates-theorem", "no-comments"):
+        assert main_text(f"<article><p>{words}</p><section id='{name}'><p>a part of it</p></section></article>", None, frozenset()) == f"{words} a part of it"
+    for name in ("comments", "comments-list", "reader-comments", "ad", "adContainer", "social share", "cookie-banner", "notice"):
+        assert main_text(f"<article><p>{words}</p><div class='{name}'><p>beside it</p></div></article>", None, frozenset()) == words
+    assert main_text(f"<article><p>{words}</p><figure><img src=x><figcaption>What it shows</figcaption></figure></article>", None, frozenset()) == f"{words} What it shows"
+
+
+def test_a_list_of_links_is_a_menu_where_there_is_no_template():
+    menu = "<div><a href=/a>Home</a> <p><a href=/b>News</a><p><a href=/c>About us</a></div>"
+    assert main_text(f"<body>{menu}<div><p>The text with <a href=x>a link</a></p></div></body>", None, frozenset()) == "The text with a link"
+    flat = "<div><a href=/a>Home</a> | <a href=/b>News</a> | <a href=/c>About us</a></div>"
+    assert main_text(f"<body>{flat}<p>The text</p></body>", None, frozenset()) == "The text"
+    assert main_text(f"<body>{menu}</body>", None, frozenset()) == "Home News About us"  # nothing else is there
+    roundup = "<article><p><a href=1>one</a><p><a href=2>two</a><p><a href=3>three</a></article><p>x</p>"
+    assert main_text(roundup, None, frozenset()) == "one two three x"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://b.example/", "plain   words &lt;b"), (4, "http://b.example/", "<p>open <div><p>a<b>c"),
             (5, "x", "<script>never closed <p>text"), (6, "x", "text <!-- open comment"), (7, "x", "end <a href='x"), (None, "x", "nn"),
