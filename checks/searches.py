@@ -11,7 +11,9 @@ from firmlake.operators.fuzzy import fuzzy_name_match
 from firmlake.operators.latest import latest_financials
 from firmlake.operators.linkage import count_links
 from firmlake.plans import search as s
+from firmlake.plans.paged import Listing, lay_out
 from firmlake.plans.search import Filters
+from firmlake.session import work_path
 
 TIE = ["financial_id"]
 
@@ -289,3 +291,14 @@ def search_response_page(spark, folder):
         value("turnover").cast("double").alias("turnover"), value("latest_accounts_date").alias("latest_accounts_date"),
         value("active_officers_count").alias("officers"), F.col("text").contains('"profit_margin":null').alias("without_margin"),
     )
+
+
+@query(
+    "deep_page",
+    over("profiles", body=f"""SELECT {PAGE} FROM profiles ORDER BY company_name DESC NULLS LAST, company_number LIMIT 40 OFFSET 1000"""),
+)
+def deep_page(spark, folder):
+    """A page a thousand rows down, from a search laid out in ranges: it opens one or two of them."""
+    place = work_path(spark, "listing")
+    lay_out(profiles(spark, folder), Filters(company_status="all", descending=True), place, 40)
+    return Listing.at(spark, place).page(1000, 40)

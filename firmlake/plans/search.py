@@ -205,7 +205,7 @@ def search_count(profiles: DataFrame, f: Filters) -> DataFrame:
     return search(profiles, f).agg(F.count("*").alias("total"))
 
 
-def _order(f: Filters) -> list[Column]:
+def search_order(f: Filters) -> list[Column]:
     column = SORT_COLUMNS.get(f.order_by, "company_name")
     if f.order_by == "relevance" and f.search_term:
         return [F.desc("similarity"), F.asc("company_number")]
@@ -235,7 +235,7 @@ def page_of(found: DataFrame, f: Filters) -> DataFrame:
         found = with_similarity(found, f.search_term)
     if f.after is not None:
         found = found.where(_beyond(f))
-    ordered = found.orderBy(*_order(f))
+    ordered = found.orderBy(*search_order(f))
     if f.offset > 0:
         ordered = ordered.offset(f.offset)
     return ordered.limit(f.limit if f.limit > 0 else DEFAULT_LIMIT).select(*PAGE_COLUMNS)
