@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import star
 from checks.registry import PAGE, over, query
 from firmlake.operators.fuzzy import fuzzy_name_match
+from firmlake.operators.identity import Weights, groups, officer_block
 from firmlake.operators.latest import latest_financials
 from firmlake.operators.linkage import count_links
 from firmlake.plans import search as s
@@ -302,3 +303,29 @@ def deep_page(spark, folder):
     place = work_path(spark, "listing")
     lay_out(profiles(spark, folder), Filters(company_status="all", descending=True), place, 40)
     return Listing.at(spark, place).page(1000, 40)
+
+
+WEIGHTS = Weights({"nationality": 2.0, "postal_code": 4.0, "locality": 1.0, "address": 3.0}, {"nationality": -1.0, "postal_code": -2.0, "locality": -1.0, "address": -1.0})
+
+
+@query(
+    "officer_identity",
+    """WITH RECURSIVE p AS (SELECT o_orderkey AS key, 'officer ' || CAST(o_custkey % 40 AS VARCHAR) AS name, strftime(o_orderdate, '%Y-%m') AS born,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS nationality, 'PC' || CAST(o_custkey % 7 AS VARCHAR) AS postal_code,
+  o_orderstatus AS locality, CASE WHEN day(o_orderdate) < 28 THEN CAST(day(o_orderdate) AS VARCHAR) END AS address FROM orders),
+l AS (SELECT a.key AS a, b.key AS b FROM p a JOIN p b ON a.name = b.name AND a.born = b.born AND a.key <> b.key WHERE
+  CASE WHEN a.nationality = b.nationality THEN 2 ELSE -1 END + CASE WHEN a.postal_code = b.postal_code THEN 4 ELSE -2 END
+  + CASE WHEN a.locality = b.locality THEN 1 ELSE -1 END + CASE WHEN a.address = b.address THEN 3 ELSE -1 END >= 4),
+r AS (SELECT key AS a, key AS b FROM p UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS key, min(b) AS group_id FROM r GROUP BY a""",
+)
+def officer_identity(spark, folder):
+    """Groups of officer records with fixed weights, by name, birth and what else they agree in."""
+    day = F.dayofmonth("o_orderdate")
+    people = star.read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("key"), F.concat(F.lit("OFFICER, "), (F.col("o_custkey") % 40).cast("string")).alias("officer_name"),
+        F.trunc("o_orderdate", "month").alias("date_of_birth"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("nationality"),
+        F.concat(F.lit("PC"), (F.col("o_custkey") % 7).cast("string")).alias("postal_code"), F.col("o_orderstatus").alias("locality"),
+        F.when(day < 28, day.cast("string")).alias("address"),
+    )
+    return groups(people, "key", officer_block(), list(WEIGHTS.agree), WEIGHTS, 4.0)
