@@ -12,20 +12,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlake.llm.common import fresh, slices
+from firmlake.session import discard, settle, work_path
+from firmlake.sources.archives import files_of, open_file
+from firmlake.sources.tables import folders
 
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 19  # an index is built once so many symbols are gathered,
 SHARD_BYTES = 32 << 20  # or texts of so many bytes
 SAMPLE = 16  # every so many positions are kept with the index
-BLOCK_BYTES = 16 << 20  # of benchmark texts that are searched in one pass
+BLOCK_BYTES = 2 << 20  # of benchmark text are searched for in one pass; a worker holds the windows of so much, about a hundred times its size
 
 #: Words are runs of ASCII digits, ASCII letters (in lower case) and bytes of non-ASCII characters.
 WORD_BYTES = bytes(
@@ -216,8 +221,20 @@ FOUND = pa.struct([
 FOUND_SQL = "struct<n_words:bigint,spans:array<struct<begin:bigint,end:bigint>>,items:array<bigint>>"
 
 
-def _searcher(phrases: Phrases):
+@lru_cache(maxsize=1)
+def _phrases(folder: str | None, window: int) -> Phrases:
+    """The phrases of a block of the benchmark, which a worker reads once."""
+    rows: list[tuple] = []
+    for path in files_of(folder) if folder else ():
+        with open_file(path) as f:
+            part = pq.read_table(f)
+            rows += zip(part.column("i").to_pylist(), part.column("t").to_pylist())
+    return Phrases(sorted(rows), window)
+
+
+def _searcher(folder: str | None, window: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = _phrases(folder, window)
         shard, held = Shard(phrases), []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -249,14 +266,21 @@ def _searcher(phrases: Phrases):
     return search
 
 
-def benchmark_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The benchmark's items in lists of about ``block_bytes``; the driver holds one of them at a time."""
-    items = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+def benchmark_blocks(items: DataFrame) -> list[str | None]:
+    """Folders with about BLOCK_BYTES of the benchmark's items each, written by Spark to the shared folder.
+
+    The driver gets their number only. Without items there is one block, of nothing.
+    """
+    items = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
+    items = items.where("i is not null and t is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes)
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        yield [(r["i"], r["t"]) for r in part.collect()]
+    blocks = -(-size // BLOCK_BYTES)
+    if not blocks:
+        return [None]
+    place = work_path(items.sparkSession, "benchmark")
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).alias("block")
+    items.select("i", "t", block).repartition(blocks, "block").write.partitionBy("block").parquet(place)
+    return [f"{place}/{name}" for name in sorted(folders(items.sparkSession, place)) if name.startswith("block=")]
 
 
 def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
@@ -264,21 +288,28 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
 
     A phrase is each run of ``window`` words of an item, or the whole item if it has fewer; items without words, with a
     null id or a null text have none. A null or empty text has no words. Repeated rows are searched each. Benchmarks
-    above BLOCK_BYTES are searched in several passes over the documents, each with a bounded list of phrases. If the
+    above BLOCK_BYTES are searched in several passes over the documents, each with the phrases of one block, which tasks read
+    from the shared folder; the driver holds none of them. If the
     documents have a column of that name, the new one gets another underscore in front.
     """
     found, plain, passes = _passes(docs, items, window, text)
-    for search in passes:
-        found = found.mapInArrow(search, found.schema)
-    return found.drop(plain)
+    return found.mapInArrow(passes[-1], found.schema).drop(plain)
 
 
 def _passes(docs: DataFrame, items: DataFrame, window: int, text: str) -> tuple[DataFrame, str, list]:
-    """The documents with a column for the plain text and one for what is found, the former's name, and the searches."""
+    """The documents with a column for the plain text and one for what all blocks but the last found, the former's name, the searches.
+
+    What a pass found is written out before the next one, so that a worker holds the phrases of one block.
+    """
     found = fresh(docs.columns, "_found")
     plain = fresh([*docs.columns, found], "_text")
     out = docs.withColumn(plain, F.col(text).cast("string")).withColumn(found, F.lit(None).cast(FOUND_SQL))
-    return out, plain, [_searcher(Phrases(b, window)) for b in benchmark_blocks(items)] or [_searcher(Phrases([], window))]
+    passes = [_searcher(folder, window) for folder in benchmark_blocks(items)]
+    for k, search in enumerate(passes[:-1]):
+        before, out = out, settle(out.mapInArrow(search, out.schema), "found")
+        if k:
+            discard(before)
+    return out, plain, passes
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -320,8 +351,6 @@ def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
             yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     found, _, passes = _passes(docs, items, window, "text")
-    for search in passes[:-1]:
-        found = found.mapInArrow(search, found.schema)
     last = passes[-1]
     # The last search and the cut share a worker.
     return found.mapInArrow(lambda batches: cut(last(batches)), docs.schema)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from firmlake.llm import fm_index
 from firmlake.llm.fm_index import FMIndex, contamination, cut_words, items_digest, remove_phrases, words_of
@@ -61,7 +62,24 @@ def test_several_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdef") for _ in range(3000))) for i in range(20)], DOCS)
     whole = sorted(contamination(docs, spark.createDataFrame(items, ITEMS)).collect())
     monkeypatch.setattr(fm_index, "BLOCK_BYTES", 800)
-    assert sorted(contamination(docs, spark.createDataFrame(items, ITEMS)).collect()) == whole
+    benchmark = spark.createDataFrame(items, ITEMS)
+    assert len(fm_index.benchmark_blocks(benchmark)) > 1
+    assert sorted(contamination(docs, benchmark).collect()) == whole
+    kept = sorted(remove_phrases(docs, benchmark).collect())
+    monkeypatch.setattr(fm_index, "BLOCK_BYTES", 1 << 20)
+    assert sorted(remove_phrases(docs, benchmark).collect()) == kept
+
+
+def test_no_phrase_comes_to_the_driver(spark, monkeypatch):
+    """The driver neither collects items nor builds phrases, and a plan does not carry them."""
+    items = spark.range(400).select("id", F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * 7 + k).cast("string")) for k in range(40)])).toDF("item_id", "text")
+    monkeypatch.setattr(fm_index, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(fm_index, "Phrases", None)  # workers import the module afresh
+    blocks = fm_index.benchmark_blocks(items)
+    assert len(blocks) > 2
+    from pyspark import cloudpickle
+
+    assert len(cloudpickle.dumps(fm_index._searcher(blocks[0], 10))) < 5_000
 
 
 def test_removal_and_odd_columns(spark):
