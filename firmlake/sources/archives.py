@@ -52,6 +52,14 @@ def open_file(path: str):
     return fs.open_input_file(inner)
 
 
+def files_of(folder: str, suffix: str = ".parquet") -> list[str]:
+    """Paths of the files in a folder, as ``open_file`` takes them."""
+    plain = "/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder
+    fs, inner = (pafs.LocalFileSystem(), plain) if "://" not in plain else pafs.FileSystem.from_uri(plain.replace("s3a://", "s3://", 1))
+    before = plain[: len(plain) - len(inner)] if plain.endswith(inner) else ""
+    return sorted(before + f.path for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and f.path.endswith(suffix))
+
+
 def extension(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
