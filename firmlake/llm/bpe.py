@@ -225,8 +225,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.names = [self.vocabulary.strings.get(i, "") for i in range(max(self.vocabulary.strings) + 1)]
+        self.known: dict[str, bytes] = {}  # ids of words
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         """Have all words in ``known``. When it is full it becomes the older generation, from which used words come back."""
@@ -243,10 +244,10 @@ class Encoder:
             return
         found = self.vocabulary.propose(new)
         packed = np.array([t for ids in found for t in ids], "<u4").tobytes()
-        at, string = 0, self.vocabulary.strings.__getitem__
+        at = 0
         for word, ids in zip(new, found):
             end = at + 4 * len(ids)
-            self.known[word] = (packed[at:end], " ".join(map(string, ids)))
+            self.known[word] = packed[at:end]
             at = end
 
     def split(self, text: str | None) -> list[tuple[str, bool]]:
@@ -262,10 +263,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text.
-
-        Decoding joins the tokens' strings by spaces, as a vocabulary without a decoder does.
-        """
+        """Ids as little-endian unsigned 32-bit integers of each text, and the text that these ids decode to."""
         special = self.vocabulary.special
         plain = [None if t and special and any(s in t for s in special) else _WORD.findall(normalize(t)) if t else [] for t in texts]
         split = {k: self.split(texts[k]) for k, p in enumerate(plain) if p is None}
@@ -275,14 +273,14 @@ class Encoder:
         known = self.known
         for k, p in enumerate(plain):
             if p is None:
-                pieces = [(np.array([special[w]], "<u4").tobytes(), w) if marked else known[w] for w, marked in split[k]]
+                ids = b"".join([np.array([special[w]], "<u4").tobytes() if marked else known[w] for w, marked in split[k]])
             else:
-                pieces = [known[w] for w in p]
-            yield b"".join([x[0] for x in pieces]), " ".join([x[1] for x in pieces])
+                ids = b"".join([known[w] for w in p])
+            yield ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
-        strings = self.vocabulary.strings
-        return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        """The tokens' strings joined by spaces, as a vocabulary without a decoder does; nothing but the ids is looked at."""
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encoder(path: str) -> Encoder:
@@ -339,6 +337,23 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+def decode(rows: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
+    """``rows`` with a last column ``decoded``, from the ids alone; null and empty lists decode to the empty text.
+
+    If the rows have a column of that name, the new one gets an underscore in front. An id outside the vocabulary is an error.
+    """
+    new, plain = fresh(rows.columns, "decoded"), fresh(rows.columns, "_ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in slices(batches):
+            lists = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [own.decode(np.array(x, "<u4").tobytes()) if x else "" for x in lists]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "\x00decoded"])  # by place
+
+    return rows.withColumn(plain, F.col(ids).cast("array<long>")).mapInArrow(run, f"{kinds(rows)}, `{new}` string")
+
+
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256`` of every row's whole text."""
     out = encode(docs.select("doc_id", "text"), path)

@@ -57,6 +57,17 @@ def test_long_words_are_merged_alike(own):
     assert len(v.merge("a" * 300_000)) < 300_000
 
 
+def test_ids_decode_by_themselves(spark, library):
+    """The decoder gets ids and nothing else, and gives the text that the library gives."""
+    rows = [(k, library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts()[:60])] + [(100, None), (101, [])]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, token_ids array<int>").selectExpr("*", "1 as DECODED"), PATH)
+    assert got.columns == ["doc_id", "token_ids", "DECODED", "_decoded"]
+    assert {r["doc_id"]: r["_decoded"] for r in got.collect()} == {k: library.decode(x, skip_special_tokens=False) if x else "" for k, x in rows}
+    own = bpe.Encoder(PATH)
+    own.known["cat"] = np.array([1, 2], "<u4").tobytes()  # a wrong encoding shows in what is decoded
+    assert next(own.encode(["cat"]))[1] == library.decode([1, 2], skip_special_tokens=False)
+
+
 def test_query_columns(spark):
     rows = [(None, None), (1, None), (1, ""), (2, "the cat"), (2, "the cat"), (3, "long " * 100_000)]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int")
