@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake import schemas
@@ -232,22 +232,21 @@ def merge_batch(spark: SparkSession, t: Tables, batch_id: str, now: Column | Non
             known = t.production_companies.read()
             lost = orphans(rows, known).select("company_number", F.lit("company_not_in_production").alias("reason"))
             bad = bad.unionByName(lost)
-        kept, seen = guard_orphans(rows, known) if guarded else rows, Observation()
-        new = F.col("first_seen") == F.col("last_updated")
-        counted = kept.observe(seen, F.count_if(new).alias("inserted"), F.count_if(~new).alias("updated"))
-        table.write_changes(counted, f"promotion-{label}")
+        table.write_changes(guard_orphans(rows, known) if guarded else rows, f"promotion-{label}")
         bad.write.mode("overwrite").parquet(f"{t.rejects}/promotion-{batch_id}-{name}")
-        written = table.read_changes(f"promotion-{label}").select(*keys)
+        written = table.read_changes(f"promotion-{label}")
+        new = F.col("first_seen") == F.col("last_updated")
+        counts = written.agg(F.count_if(new).alias("inserted"), F.count_if(~new).alias("updated")).first().asDict()
         # The production key may differ from the staged one, so the staged key goes along.
         staging: KeyedTable = getattr(t, name)
         known_by = F.struct(*dict.fromkeys([*staging.keys, "batch_id", "last_updated"]))
         shaped = shape(staged[name].withColumn("_staged", known_by)).select(*keys, "_staged")
-        chosen = shaped.alias("r").join(written.alias("w"), _same("r", "w", keys), "left_semi").select("_staged.*")
+        chosen = shaped.alias("r").join(written.select(*keys).alias("w"), _same("r", "w", keys), "left_semi").select("_staged.*")
         staging.write_changes(mark_merged(unchanged(staging, chosen), stamp), f"merged-{label}")
         if guarded:
             discard(rows)
         table.compact(compact_after)
-        return seen.get
+        return counts
 
     try:
         done = store("companies", schemas.COMPANY_KEY, lambda df: df, _companies, False)

@@ -214,3 +214,17 @@ def test_every_step_has_its_share(spark, folder):
         assert [r["files_completed"] for r in logged] == [0, 3, 6, 7]
         times = [r["logged_at"] for r in file_log(spark, t.file_log).orderBy("logged_at").collect()]
         assert [sum(x <= r["logged_at"] for x in times) for r in logged[1:]] == [3, 6, 7]  # as the file log has it at each step
+
+
+def test_loads_of_nothing(spark, folder):
+    """Only junk, no files at all, no companies for the children: a load ends and says so."""
+    t = Tables.below(spark, os.path.join(folder, "tables"))
+    with open(os.path.join(folder, "bad.zip"), "wb") as f:
+        f.write(b"junk")
+    filed = filings_zip(os.path.join(folder, "good.zip"), [1])
+    bad = spark.createDataFrame([(os.path.join(folder, "bad.zip"),)], "path string")
+    assert load_files(spark, t, COMPANY, bad, "b1")["status"] == "completed_with_errors"
+    assert load_files(spark, t, ACCOUNTS, bad, "b2")["status"] == "completed_with_errors"
+    assert load_files(spark, t, ACCOUNTS, bad.limit(0), "b3")["status"] == "completed"
+    orphaned = load_files(spark, t, ACCOUNTS, spark.createDataFrame([(filed,)], "path string"), "b4")
+    assert json.loads(orphaned["metadata"]) == {"rows": 1, "rejects": 0, "inserted": 0, "updated": 0, "skipped": 1}
