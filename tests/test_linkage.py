@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from firmlake.operators import linkage
 from firmlake.operators.linkage import count_links, link_names, ordered
 
 
@@ -70,6 +71,28 @@ def test_a_gram_of_every_name_is_in_no_prefix(spark):
         assert set(r["grams"][-9:]) >= {"com", "omp", "mpa", "pan", "any"}
 
 
+def test_hot_grams_are_dealt_in_cells(spark, monkeypatch):
+    """Rows of one gram meet in many cells, each pair in one of them."""
+    monkeypatch.setattr(linkage, "BLOCK", 4)
+    rows = names(160, 9) + [(2000 + k, f"company {k:03d}") for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, title string")
+    got = sorted((tuple(r) for r in count_links(df, "id", "title", 0.6).collect()), key=str)
+    assert got == brute(rows, 0.6)
+    left = spark.range(50).selectExpr("1 AS k", "id AS a", "0 AS x")
+    right = spark.range(30).selectExpr("1 AS k", "id AS b", "0 AS y")
+    left, right = linkage.cells(left, right, ["k"], "a", "b")
+    assert left.select("row", "column").distinct().count() > 50
+    met = left.join(right, ["k", "row", "column"])
+    assert met.count() == met.select("a", "b").distinct().count() == 1500
+    assert max(r["count"] for r in met.groupBy("row", "column").count().collect()) < 300
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    rows = [(1, "\U00010400\U00010401\U00010402 uno"), (2, "\U00010400\U00010401\U00010402 unos"), (3, "\U00010400\U00010401 duo"), (4, "uno")]
+    df = spark.createDataFrame(rows, "id long, title string")
+    assert sorted((tuple(r) for r in count_links(df, "id", "title", 0.5).collect()), key=str) == brute(rows, 0.5)
+
+
 def test_empty(spark):
     assert count_links(spark.createDataFrame([], "id long, title string"), "id", "title", 0.5).collect() == []
     with pytest.raises(ValueError):
