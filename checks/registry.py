@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from checks.star import plain
+from firmlake.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,11 @@ def query(name: str, sql: str | None = None):
     """Register a query; its result is brought to plain types, and ``sql`` answers the same question."""
 
     def add(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, folder: plain(build(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            tune(spark)
+            return plain(build(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return build

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 NUMBER_BETWEEN_MARKS = r"(?:^|_)(\d{8})(?:_|\.)"
 LETTERED_NUMBER = r"\b([A-Z]{2}\d{6})\b"
 DATE_BEFORE_EXTENSION = r"_(\d{8})\."
+_NUMBERS = re.compile(NUMBER_BETWEEN_MARKS, re.ASCII), re.compile(LETTERED_NUMBER, re.ASCII)
+_DATE = re.compile(DATE_BEFORE_EXTENSION, re.ASCII)
 
 
 def _group(c: Column, pattern: str) -> Column:
@@ -46,8 +48,8 @@ def name_facts(name: str) -> tuple[str | None, dt.date | None]:
     """Company number and period end of one file name: the two column functions above, where an entry is read."""
     parts = name.split("_")
     third = parts[2] if len(parts) > 2 and len(parts[2]) == 8 else None
-    found = re.search(NUMBER_BETWEEN_MARKS, name, re.ASCII) or re.search(LETTERED_NUMBER, name, re.ASCII)
-    digits = re.search(DATE_BEFORE_EXTENSION, name, re.ASCII)
+    found = None if third else _NUMBERS[0].search(name) or _NUMBERS[1].search(name)
+    digits = _DATE.search(name)
     try:
         end = dt.date(int(digits[1][:4]), int(digits[1][4:6]), int(digits[1][6:])) if digits else None
     except ValueError:

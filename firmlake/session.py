@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Recording the call site of every column expression doubles the time it takes to build a wide plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Rows of this library are wide. HotSpot leaves methods of more than 8000 bytes interpreted; such plans run in smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -30,6 +32,13 @@ def build_session(name: str, master: str | None = None, **extra: str) -> SparkSe
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """The setting for wide rows, in a session that others have built; one that is set already stays."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, SETTINGS[key])
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application; where it is installed on all of them, that is not needed."""
     context = spark.sparkContext

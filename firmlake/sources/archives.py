@@ -463,7 +463,7 @@ def _write(path: str, entries) -> pd.DataFrame:
         path.replace("s3a://", "s3://", 1)
     )
     fs.create_dir(inner.rsplit("/", 1)[0])
-    with fs.open_output_stream(inner) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with fs.open_output_stream(inner, buffer_size=BLOCK_BYTES) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, chunks in entries:
             with z.open(name, "w", force_zip64=True) as entry:
                 for chunk in chunks:

@@ -57,8 +57,9 @@ def classify(urls: DataFrame) -> DataFrame:
 
 def file_order(path: Column) -> dict[str, Column]:
     """Date and part number in a product file's name, to tell which of two files is later; NULL for other names."""
-    day = F.try_to_date(F.regexp_extract(path, r"-(\d{4}-\d{2}-\d{2})[^/]*$", 1), "yyyy-MM-dd")
-    month = F.try_to_date(F.regexp_extract(path, r"-([a-zA-Z]+\d{4})\.zip$", 1), "MMMMyyyy")
+    # No text, no date: a text that is none costs an exception, and this runs for every row of a load.
+    day = F.try_to_date(F.nullif(F.regexp_extract(path, r"-(\d{4}-\d{2}-\d{2})[^/]*$", 1), F.lit("")), "yyyy-MM-dd")
+    month = F.try_to_date(F.nullif(F.regexp_extract(path, r"-([a-zA-Z]+\d{4})\.zip$", 1), F.lit("")), "MMMMyyyy")
     part = F.regexp_extract(path, r"(?i)(?:part|_)(\d+)(?:_|of)\d+\.zip$", 1).try_cast("int")
     return {"_file_date": F.coalesce(day, month), "_file_part": part}
 

@@ -342,3 +342,32 @@ def test_blank_lines_are_no_rejects(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_wide_rows_run_compiled(spark):
+    """A session built by others gets the limit that HotSpot has, unless it has one of its own."""
+    from firmlake.session import tune
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    own = spark.newSession()
+    own.conf.unset(key)
+    tune(own)
+    assert own.conf.get(key) == "8000"
+    own.conf.set(key, "7000")
+    tune(own)
+    assert own.conf.get(key) == "7000"
+
+
+def test_openings_are_read_once():
+    """Openings that filings repeat come from the cache, with the order of their attributes and their factor."""
+    from firmlake.sources import accounts
+
+    accounts._heading.cache_clear()
+    body = b"<xbrli:context id='n'><endDate>2020-12-31</endDate></xbrli:context><ix:nonFraction contextRef='n' name='uk:Creditors' sign='-'>1,0</ix:nonFraction><ix:nonFraction name='uk:Creditors' contextRef='n'>7</ix:nonFraction>"
+    for signs, raw, factor in ((False, "1,0", 1.0), (True, "1,0", -1.0)):
+        e = {"archive": "a", "entry": "Prod1_1_00000001_20201231.html", "pos": 0, "inner_pos": 0, "extension": "html", "reject": None}
+        rows = [r for b in accounts.period_converter(signs)((e, body) for _ in range(50)) for r in b.to_pylist()]
+        assert len(rows) == 50 and all(dict(r["found"])["creditors"] == {"raw": raw, "factor": factor} for r in rows)
+    assert accounts._heading.cache_info().misses == 2
+    rejected = [r for b in accounts.period_converter()([({**e, "reject": "bad"}, None)]) for r in b.to_pylist()]
+    assert rejected[0]["found"] is None and rejected[0]["reject"] == "bad"
