@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import shutil
 import zipfile
 from dataclasses import replace
 
@@ -375,33 +376,48 @@ def accounts_archives(spark, folder):
     return ACCOUNTS.read(paths).where("reject is null").select(*FILING_COLUMNS)
 
 
+INNER = 16
+
+
 def nested_archives(paths, folder: str):
-    """Outer archives that hold the given ones, every other one uncompressed, with an entry that is damaged and one that is no archive."""
+    """Outer archives that hold about INNER of the given ones each, every other one uncompressed; two of them also hold an entry
+    that is damaged and one that is no archive."""
+
+    class Damaging(io.RawIOBase):
+        def __init__(self, file):
+            self.file = file
+
+        def writable(self):
+            return True
+
+        def write(self, data):
+            return self.file.write(bytes(data).replace(b"<html>WHOLE", b"<html>SPLIT"))
 
     def run(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            names = [p for b in batches for p in b["path"]]
-            for k, name in enumerate(names):
-                with open_file(name) as f:
-                    z.writestr(f"inner-{k}.zip", f.read(), zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
-            z.writestr("Prod223_1_00000001_20200101.html", "<html>WHOLE</html>")
-            z.writestr("none.zip", "no archive")
-        data = out.getvalue().replace(b"<html>WHOLE", b"<html>SPLIT")
-        path = f"{folder}/outer-{TaskContext.get().partitionId():05d}.zip"
+        part = TaskContext.get().partitionId()
+        path = f"{folder}/outer-{part:05d}.zip"
         place = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
         import pyarrow.fs as pafs
 
         fs, inner = (pafs.LocalFileSystem(), place) if "://" not in place else pafs.FileSystem.from_uri(place)
         fs.create_dir(inner.rsplit("/", 1)[0])
-        with fs.open_output_stream(inner) as f:
-            f.write(data)
+        names = (p for b in batches for p in b["path"])
+        with fs.open_output_stream(inner, buffer_size=1 << 20) as out, zipfile.ZipFile(Damaging(out), "w") as z:
+            for k, name in enumerate(names):
+                info = zipfile.ZipInfo(f"inner-{k}.zip")
+                info.compress_type = zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED
+                with open_file(name) as f, z.open(info, "w", force_zip64=True) as entry:
+                    shutil.copyfileobj(f, entry, 1 << 20)
+            if part < 2:
+                z.writestr("Prod223_1_00000001_20200101.html", "<html>WHOLE</html>")
+                z.writestr("none.zip", "no archive")
         yield pd.DataFrame({"path": [path]})
 
-    return as_paths(paths.repartition(2, "path").mapInPandas(run, "path string"))
+    outer = max(2, -(-paths.count() // INNER))
+    return as_paths(paths.repartition(outer, "path").mapInPandas(run, "path string"))
 
 
 @query("accounts_source", FILING_SQL + " UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'rejects', '4'")

@@ -4,9 +4,11 @@
 * ``company_csv``: a row per record of the first CSV entry of each archive, text columns under their table names.
 * ``accounts_filings``: a row per report period of each filing, for ``sources.accounts.records``.
 
-Planning looks at file names and sizes only. Archives of entries are cut into ranges of ``splitBytes``; a task reads the
-archive's directory and takes the entries that begin in its range, so a large archive is shared by many tasks and the
-driver holds nothing of it. A nested archive that is stored uncompressed is opened where it lies, as a part of the outer
+Planning looks at file names and sizes only. Archives of entries are cut into ranges of ``splitBytes``, or of more where an
+archive would have more than RANGES; a task reads the archive's directory and takes the entries that begin in its range, so
+a large archive is shared by many tasks and the driver holds nothing of it. The
+directory is read once for each range of its archive: their number is bounded, so that this reading grows with the archive
+and not with its square. A nested archive that is stored uncompressed is opened where it lies, as a part of the outer
 file, and its entries fall to ranges like any others: its size bounds neither memory nor tasks. A nested archive that is
 compressed cannot be sought in; it is unpacked by the task in whose range it begins.
 
@@ -34,6 +36,7 @@ from firmlake.sources.company_csv import CSV_COLUMNS
 ENTRIES = "archive string, entry string, pos long, inner_pos long, extension string, unpacked long, body binary, reject string"
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
+RANGES = 16  # of one archive
 
 
 class Window(io.RawIOBase):
@@ -176,7 +179,7 @@ class EntryReader(DataSourceReader):
         # The directory stands at the end, so the last range has no entries of its own; one that is smaller is no task.
         out = []
         for path, size in files(self.path):
-            count = max(1, round(size / self.split))
+            count = min(RANGES, max(1, round(size / self.split)))
             cuts = [k * size // count for k in range(count)] + [1 << 62]
             out += [Range(path, a, b) for a, b in zip(cuts, cuts[1:])]
         return out

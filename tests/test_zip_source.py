@@ -112,3 +112,15 @@ def test_company_records(spark, folder):
     assert sorted((r["company_number"] or "", r["company_name"] or "", r["reject"] is None) for r in df.collect()) == [("", "", False), ("1", "ONE", True), ("2", "TWO", True)]
     slim = spark.read.format("company_csv").schema("company_name string").load(place)
     assert sorted(r["company_name"] or "" for r in slim.collect()) == ["", "ONE", "TWO"]
+
+
+def test_directories_are_read_a_bounded_number_of_times(outer):
+    """Small ranges do not multiply with the archive: each of them would read its directory."""
+    from firmlake.sources.zip_source import RANGES
+
+    reader = EntryReader({"path": outer, "splitbytes": "100"}, StructType([]))
+    parts = [p for p in reader.partitions() if p.path.endswith("a.zip")]
+    assert len(parts) == RANGES and parts[0].start == 0 and parts[-1].stop == 1 << 62
+    assert all(a.stop == b.start for a, b in zip(parts, parts[1:]))
+    found = [e["entry"] for p in parts for e, _ in entries(p.path, p.start, p.stop, None, True)]
+    assert sorted(found) == want()
