@@ -248,7 +248,8 @@ def as_paths(written):
 
 
 def csv_archives(raw, folder: str, extra=None):
-    """``extra`` gives lines that follow a row's own."""
+    """As many archives as a shuffle has tasks: the entry of one is read by one task. ``extra`` gives lines that follow a row's own."""
+    raw = star.spread(raw, next(F.col(f"`{c}`") for c in raw.columns if c.strip() == "CompanyNumber"))
     header = ",".join(f'"{c}"' for c in raw.columns)
     line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in raw.columns]), {"quoteAll": "true"})
     lines = raw.select(line.alias("line") if extra is None else F.explode(F.concat(F.array(line), extra)).alias("line"))

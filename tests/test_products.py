@@ -371,3 +371,16 @@ def test_openings_are_read_once():
     assert accounts._heading.cache_info().misses == 2
     rejected = [r for b in accounts.period_converter()([({**e, "reject": "bad"}, None)]) for r in b.to_pylist()]
     assert rejected[0]["found"] is None and rejected[0]["reject"] == "bad"
+
+
+def test_a_small_table_gives_many_archives(spark, folder):
+    """Rows that come in one partition are dealt first: an archive's entry is written and read by one task."""
+    from checks.loads import csv_archives
+
+    raw = spark.createDataFrame([(f"{k:08d}", f"NAME {k}") for k in range(400)], "` CompanyNumber` string, ` CompanyName` string").coalesce(1)
+    paths = csv_archives(raw, f"{folder}/many", F.array(F.lit('1,"open'))).collect()
+    sizes = []
+    for p in paths:
+        rows = read_csv(spark.createDataFrame([tuple(p)], "path string"), {"CompanyNumber": "company_number"})
+        sizes.append(rows.where("reject is null").count())
+    assert len(paths) == 8 and sum(sizes) == 400 and max(sizes) < 100
