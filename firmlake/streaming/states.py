@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,29 +27,32 @@ FOLLOWS = {
 TRANSITIONS = "batch_id string, status string, previous string, logged_micros long, reject string"
 
 
+def _order(row: tuple) -> tuple:
+    """By time, then state; missing ones first."""
+    micros, status = row
+    return micros is not None, micros or 0, status is not None, status or ""
+
+
 class Transitions(StatefulProcessor):
     """Keeps a batch's state and its time; gives a row per log row, with a reason if it is no transition."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "status string, logged_micros long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         status, at = self.state.get() if self.state.exists() else ("", None)
-        for part in rows:
-            out = []
-            for row in part.sort_values(["logged_micros", "status"], na_position="first", kind="stable").itertuples():
-                new = None if pd.isna(row.status) else row.status
-                reason = None
-                if pd.isna(row.logged_micros) or new is None:
-                    reason = "no state or time"
-                elif at is not None and row.logged_micros < at:
-                    reason = "late"
-                elif new not in FOLLOWS[status]:
-                    reason = f"{new} after {status or 'nothing'}"
-                out.append((key[0], new, status, None if pd.isna(row.logged_micros) else int(row.logged_micros), reason))
-                if reason is None:
-                    status, at = new, int(row.logged_micros)
-            yield pd.DataFrame(out, columns=["batch_id", "status", "previous", "logged_micros", "reject"]).astype({"logged_micros": "Int64"})
+        # A batch has few rows in a micro-batch: building a frame for each batch would cost more than all else.
+        for micros, new in sorted(((r["logged_micros"], r["status"]) for r in rows), key=_order):
+            reason = None
+            if micros is None or new is None:
+                reason = "no state or time"
+            elif at is not None and micros < at:
+                reason = "late"
+            elif new not in FOLLOWS[status]:
+                reason = f"{new} after {status or 'nothing'}"
+            yield Row(batch_id=key[0], status=new, previous=status, logged_micros=micros, reject=reason)
+            if reason is None:
+                status, at = new, micros
         if at is not None:
             self.state.update((status, at))
 
@@ -66,7 +68,7 @@ def follow(spark: SparkSession, log: str, states: str, checkpoint: str, files_pe
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = spark.readStream.schema(INGESTION_LOG).option("maxFilesPerTrigger", files_per_batch).parquet(log)
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', logged_at)")
-    moves = rows.select("batch_id", "status", micros.alias("logged_micros")).groupBy("batch_id").transformWithStateInPandas(
+    moves = rows.select("batch_id", "status", micros.alias("logged_micros")).groupBy("batch_id").transformWithState(
         statefulProcessor=Transitions(), outputStructType=TRANSITIONS, outputMode="Append", timeMode="None"
     )
 

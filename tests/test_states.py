@@ -45,3 +45,20 @@ def test_states_follow_the_log(spark, folder):
     write("a", "running", 16)  # a repeated load
     follow(spark, log, states, checkpoint)
     assert now()["a"] == ("running", at(16))
+
+
+def test_rows_of_one_micro_batch_are_ordered_whole(spark, folder):
+    """Whatever pieces they reach the task in, and whatever their order in the file."""
+    rows = spark.range(60, numPartitions=1).selectExpr(
+        "'a' AS batch_id", "CASE WHEN id % 2 = 0 THEN 'paused' ELSE 'running' END AS status", "TIMESTAMP_NTZ'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, 100 - id) AS logged_at"
+    )
+    rows.write.parquet(f"{folder}/log")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        follow(spark, f"{folder}/log", f"{folder}/states", f"{folder}/checkpoint")
+    finally:
+        spark.conf.set(key, before)
+    assert rejected_rows(spark, f"{folder}/states").count() == 0
+    assert batch_states(spark, f"{folder}/states").first()["logged_at"] == dt.datetime(2026, 1, 1, 0, 1, 40)
