@@ -32,9 +32,12 @@ def candidates(dictionary: dict[str, list[str]] | None = None) -> dict[str, list
 
 
 def tag_dictionary(spark: SparkSession, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per column and candidate tag. The size is that of the dictionary, which is a constant."""
+    """One row per column and candidate tag, to be broadcast: the driver has the dictionary, a constant or a file of settings.
+
+    Without the hint Spark does not know how small it is, and deals all facts by their tags, of which there are few.
+    """
     rows = [(c, tag, priority, numeric) for tag, found in candidates(dictionary).items() for c, priority, numeric in found]
-    return spark.createDataFrame(rows, DICTIONARY)
+    return F.broadcast(spark.createDataFrame(rows, DICTIONARY))
 
 
 def load_tag_dictionary(spark: SparkSession, path: str) -> dict[str, list[str]]:

@@ -193,6 +193,13 @@ def test_a_dictionary_of_one_s_own(spark, folder):
     assert {(x["column"], x["raw"]) for x in got} == {("turnover", "5"), ("debtors", "7")}
 
 
+def test_facts_are_not_dealt_by_their_tags(spark, capsys):
+    facts = spark.range(10).selectExpr("id", "id as n", "concat('uk:Creditors', id) as tag", "concat('creditors', id) as local", "'5' as raw", "cast(5 as decimal(38,6)) as value")
+    resolve_tags(facts, ["id"], tag_dictionary(spark)).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(local" not in plan
+
+
 def test_no_shuffle_before_the_rows_are_made_unique(spark, capsys):
     parse_documents(documents(spark, ("Prod223_2125_09652609_20180331.html", INLINE))).explain()
     assert "Exchange" not in capsys.readouterr().out
