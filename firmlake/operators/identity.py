@@ -48,12 +48,15 @@ def officer_block(name: str = "officer_name", birth: str = "date_of_birth") -> l
     return [normalize_name(F.col(name)).alias("_name"), F.date_format(birth, "yyyy-MM").alias("_birth")]
 
 
-def _blocked(rows: DataFrame, block: list[Column], columns: list[str]) -> tuple[DataFrame, list[str]]:
-    """The rows whose block is known; a row with a part of it missing meets nobody."""
+def _blocked(rows: DataFrame, block: list[Column], columns: list[str]) -> tuple[DataFrame, list[str], str]:
+    """The rows with their block, its columns, and the condition that it is known: a row with a part of it missing meets nobody.
+
+    The condition is for rows that are settled; before that, Spark would make the block's costly texts twice, for the filter
+    and for the rows.
+    """
     named = [c.alias(f"_b{k}") for k, c in enumerate(block)]
     keys = [f"_b{k}" for k in range(len(block))]
-    whole = " and ".join(f"{k} is not null" for k in keys)
-    return rows.select(*columns, *named).where(whole), keys
+    return rows.select(*columns, *named), keys, " and ".join(f"{k} is not null" for k in keys)
 
 
 def pattern_counts(rows: DataFrame, block: list[Column], fields: list[str]) -> dict[frozenset[str], int]:
@@ -62,9 +65,10 @@ def pattern_counts(rows: DataFrame, block: list[Column], fields: list[str]) -> d
     Pairs that agree in a set at least are counted from the sizes of groups with equal values there; what agrees in more is
     then taken off. The result has ``2 ** len(fields)`` numbers.
     """
-    known, keys = _blocked(rows, block, fields)
+    found, keys, whole = _blocked(rows, block, fields)
     # Equal rows are counted first, so that a hot block or value is small before it meets anything.
-    known = settle(known.groupBy(*keys, *fields).agg(F.count("*").alias("_n")), "identity")
+    settled = settle(found.groupBy(*keys, *fields).agg(F.count("*").alias("_n")), "identity")
+    known = settled.where(whole)
     at_least: dict[frozenset[str], int] = {}
     for size in range(len(fields) + 1):
         for own in combinations(fields, size):
@@ -72,7 +76,7 @@ def pattern_counts(rows: DataFrame, block: list[Column], fields: list[str]) -> d
             groups = there.groupBy(*keys, *own).agg(F.sum("_n").alias("n"))
             pairs = groups.agg(F.sum(F.expr("cast(n as decimal(38,0)) * (n - 1) / 2")).alias("pairs")).first()["pairs"]
             at_least[frozenset(own)] = int(pairs or 0)
-    discard(known)
+    discard(settled)
     return {own: sum((-1) ** (len(more) - len(own)) * n for more, n in at_least.items() if own <= more) for own in at_least}
 
 
@@ -118,8 +122,8 @@ def groups(rows: DataFrame, key: str, block: list[Column], fields: list[str], we
     own; rows that repeat a key are one record with the values of each. Rows without a key are left out.
     """
     everyone = rows.where(F.col(key).isNotNull())
-    known, keys = _blocked(everyone, block, [key, *fields])
-    known = settle(known, "identity")
+    found, keys, whole = _blocked(everyone, block, [key, *fields])
+    known = settle(found, "identity").where(whole)
     ties = None
     for own in weights.enough(threshold):
         there = known.where(" and ".join([f"`{f}` is not null" for f in own]) or "true")
@@ -138,22 +142,37 @@ def groups(rows: DataFrame, key: str, block: list[Column], fields: list[str], we
 def connected(ties: DataFrame) -> DataFrame:
     """``node, root`` for every node of the ties ``u, v``: the least node it is connected with.
 
-    A round ties every node's larger neighbours, then the node and its smaller ones, to the least of them, so the number of
-    rounds grows with the logarithm of the longest chain. A node with very many ties is a plain join key: adaptive execution
-    splits it.
+    A round gives every node the first of itself and its neighbours as its label and goes on with the ties between different
+    labels, so that what is joined already is not read again. In the first round the least node is first, the hub of its
+    group; later rounds go by a hash that differs from round to round, by which on average a quarter of the nodes or more
+    goes whatever the shape, long chains too. A node with very many ties is a plain join key: adaptive execution splits it.
     """
-    ties = settle(ties.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "ties")
-    while True:
+
+    def between(pairs: DataFrame) -> DataFrame:
+        return settle(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "ties")
+
+    ties, levels = between(ties), []
+    while not levels or not ties.isEmpty():
         both = ties.union(ties.select("v", "u")).toDF("n", "m")
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
-        large = settle(both.join(least, "n").where("m > n and m <> low").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct(), "ties")
-        lower = large.groupBy("u").agg(F.min("v").alias("low"))
-        joined = large.join(lower, "u")
-        small = joined.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(joined.select("u", F.col("low").alias("v")))
-        new = settle(small.where("u <> v").distinct(), "ties")
-        # Done when every node hangs on one root and no root on another node.
-        done = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
-        discard(ties, large)
+        if levels:
+            place = lambda c: F.struct(F.xxhash64(F.lit(len(levels)), c).alias("place"), F.col(c).alias("label"))
+            least = both.groupBy("n").agg(F.least(F.min(place("m")), F.first(place("n")))["label"].alias("label"))
+        else:
+            least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("label"))
+        labels = settle(least, "labels")
+        by_u, by_v = labels.toDF("u", "_u"), labels.toDF("v", "_v")
+        new = between(ties.join(by_u, "u").join(by_v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+        discard(ties)
         ties = new
-        if done:
-            return ties.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        levels.append(labels)
+    # Labels of labels, from the last round back to the second; the least node of a group is a label of the first round.
+    first, *later = levels
+    if not later:
+        return first.toDF("node", "root")
+    last = later.pop()
+    while later:
+        labels = later.pop()
+        last = labels.join(last.toDF("label", "_last"), "label", "left").select("n", F.coalesce("_last", "label").alias("label"))
+    roots = settle(last, "labels")
+    roots = roots.join(roots.groupBy("label").agg(F.min("n").alias("_root")), "label").select(F.col("n").alias("label"), "_root")
+    return first.join(roots, "label", "left").select(F.col("n").alias("node"), F.coalesce("_root", "label").alias("root"))

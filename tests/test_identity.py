@@ -98,3 +98,42 @@ def test_chains_and_odd_rows(spark):
 def test_officer_block(spark):
     df = spark.createDataFrame([("Ann  O'Hara", "1970-05-01"), ("ANN OHARA", "1970-05-20")], "officer_name string, date_of_birth string")
     assert df.withColumn("date_of_birth", F.col("date_of_birth").cast("date")).select(*officer_block()).distinct().count() == 1
+
+
+def test_groups_that_are_done_are_not_read_again(spark, monkeypatch):
+    """What a round settles shrinks with what is left to join: many finished pairs beside a long chain cost their first round."""
+    from firmlake.operators import identity
+
+    settled = []
+
+    def counted(df, purpose="settled"):
+        out = plain(df, purpose)
+        settled.append(out.count())
+        return out
+
+    plain = identity.settle
+    monkeypatch.setattr(identity, "settle", counted)
+    pairs, chain = [(10_000 + 2 * k, 10_001 + 2 * k) for k in range(3000)], [(k, k + 1) for k in range(200)]
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(pairs + chain, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in range(201)}, **{v: u for u, v in pairs}, **{u: u for u, _ in pairs}}
+    assert sum(settled) < 4 * (len(pairs) + len(chain))
+
+
+def test_the_block_is_made_once(spark, monkeypatch):
+    """A row's block is costly text: a filter on it would have Spark make it a second time."""
+    from firmlake.operators import identity
+
+    plans = []
+
+    def seen(df, purpose="settled"):
+        if purpose == "identity":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, purpose)
+
+    plain = identity.settle
+    monkeypatch.setattr(identity, "settle", seen)
+    df = spark.createDataFrame([(1, "Ann", "1970-05-01", "x"), (2, "ANN", "1970-05-09", "x")], "id long, officer_name string, date_of_birth string, town string")
+    weights = Weights({"town": 1.0}, {"town": 0.0})
+    got = groups(df, "id", officer_block(), ["town"], weights, 1.0).collect()
+    assert {r["key"]: r["group_id"] for r in got} == {1: 1, 2: 1}
+    assert len(plans) == 1 and plans[0].count("regexp_replace") == 2
