@@ -124,3 +124,40 @@ def test_directories_are_read_a_bounded_number_of_times(outer):
     assert all(a.stop == b.start for a, b in zip(parts, parts[1:]))
     found = [e["entry"] for p in parts for e, _ in entries(p.path, p.start, p.stop, None, True)]
     assert sorted(found) == want()
+
+
+def test_a_small_entry_is_one_read(folder):
+    """Header and data come together; a long extra field or a large entry takes a second read."""
+    from firmlake.sources.archives import EXTRA_BYTES, SMALL_BYTES, inflate
+
+    class Counting(io.BytesIO):
+        reads = 0
+
+        def read(self, size=-1):
+            self.reads += 1
+            return super().read(size)
+
+    big = os.urandom(SMALL_BYTES + 1)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, extra, data in (("small.html", b"", b"abc" * 99), ("extra.html", b"\x99\x99" + bytes([200, 0]) + b"x" * 200, b"abc" * 99), ("big.html", b"", big), ("last.html", b"", b"")):
+            info = zipfile.ZipInfo(name)
+            info.extra, info.compress_type = extra, zipfile.ZIP_STORED if name == "last.html" else zipfile.ZIP_DEFLATED
+            z.writestr(info, data)
+    assert EXTRA_BYTES < 200
+    for info, reads, data in zip(zipfile.ZipFile(out).infolist(), (1, 2, 2, 1), (b"abc" * 99, b"abc" * 99, big, b"")):
+        f = Counting(out.getvalue())
+        e = {"entry": info.filename, "offset": info.header_offset, "packed": info.compress_size, "unpacked": info.file_size, "crc": info.CRC, "method": info.compress_type}
+        assert inflate(f, e) == data and f.reads == reads
+
+
+def test_rows_of_a_batch_keep_their_values():
+    import pyarrow as pa
+
+    from firmlake.sources.archives import dicts
+
+    rows = [{"a": "x", "n": 1 << 60, "m": None, "b": b"\x00\x01", "f": True, "z": None}, {"a": None, "n": -1, "m": (1 << 60) + 1, "b": None, "f": False, "z": None}]
+    schema = pa.schema([("a", pa.string()), ("n", pa.int64()), ("m", pa.int64()), ("b", pa.binary()), ("f", pa.bool_()), ("z", pa.string())])
+    for own in (rows, []):
+        batch = pa.RecordBatch.from_pylist(own, schema=schema)
+        assert list(dicts(batch)) == own and [type(v) for r in dicts(batch) for v in r.values()] == [type(v) for r in own for v in r.values()]
