@@ -380,6 +380,21 @@ def test_openings_are_read_once():
     assert rejected[0]["found"] is None and rejected[0]["reject"] == "bad"
 
 
+def test_elements_without_a_closing_cost_one_look():
+    """Each of them was looked for to the end of the document: their cost grew with the square of the document."""
+    import time
+
+    from firmlake.sources import accounts
+
+    head = b"<xbrli:context id='n'><endDate>2020-12-31</endDate></xbrli:context><ix:nonNumeric name='uk:ReportTitle' contextRef='n'>a <IX:nonFraction name='uk:Creditors' contextRef='n'>1 0,0</ix:nonFraction> b</ix:nonNumeric>"
+    body = head + b"<ix:nonFraction name='uk:Debtors' contextRef='n'>" * 10_000 + "İ".encode()
+    e = {"archive": "a", "entry": "Prod1_1_00000001_20201231.html", "pos": 0, "inner_pos": 0, "extension": "html", "reject": None}
+    began = time.perf_counter()
+    rows = [r for b in accounts.period_converter()([(e, body)]) for r in b.to_pylist()]
+    assert time.perf_counter() - began < 5
+    assert len(rows) == 1 and {c: f["raw"] for c, f in rows[0]["found"]} == {"creditors": "1 0,0", "report_title": "a 1 0,0 b"}
+
+
 def test_a_small_table_gives_many_archives(spark, folder):
     """Rows that come in one partition are dealt first: an archive's entry is written and read by one task."""
     from checks.loads import csv_archives
