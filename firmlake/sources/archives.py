@@ -41,6 +41,7 @@ ROWS_PER_LISTING = 10_000
 ENTRIES_PER_TASK = 64  # neighbours in an archive that stay together
 SMALL_BYTES = 1 << 16  # packed entries up to this size are read together with their header
 EXTRA_BYTES = 64  # what a header usually holds besides its fixed part and the name
+LOCAL, CENTRAL = struct.Struct("<4s5H3L2H"), struct.Struct("<4sBB5H3L5H2L")  # the frames of an entry
 LINES_BY_ONE = 64  # so many lines with a damaged one among them are read one by one
 
 
@@ -474,15 +475,20 @@ def csv_batches(path: str, mapping: dict[str, str]) -> Iterator[pa.RecordBatch]:
         yield batch(path, None, [0], [f"archive: {error}"], {})
 
 
-def _write(path: str, entries) -> pd.DataFrame:
-    """Pack (name, chunks of bytes) pairs into one archive; a repeated task attempt replaces the file."""
+def _new_file(path: str):
+    """Stream that writes a file of any file system the path names; a repeated task attempt replaces the file."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     fs, inner = (pafs.LocalFileSystem(), path) if "://" not in path else pafs.FileSystem.from_uri(
         path.replace("s3a://", "s3://", 1)
     )
     fs.create_dir(inner.rsplit("/", 1)[0])
-    with fs.open_output_stream(inner, buffer_size=BLOCK_BYTES) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    return fs.open_output_stream(inner, buffer_size=BLOCK_BYTES)
+
+
+def _write(path: str, entries) -> pd.DataFrame:
+    """Pack (name, chunks of bytes) pairs into one archive."""
+    with _new_file(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, chunks in entries:
             with z.open(name, "w", force_zip64=True) as entry:
                 for chunk in chunks:
@@ -490,6 +496,32 @@ def _write(path: str, entries) -> pd.DataFrame:
     return pd.DataFrame({"path": [path]})
 
 
+def pack(out, entries) -> None:
+    """Write (name, body) pairs to a stream as an archive.
+
+    ``zipfile`` takes as long for the frame of a small entry as for its deflation; here an entry is framed by two packed
+    structures. Bodies are less than 4 GB each, the archive may be larger and have any number of entries.
+    """
+    directory, at = [], 0
+    for name, body in entries:
+        plain, packer = name.encode("utf-8"), zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -zlib.MAX_WBITS)
+        data = packer.compress(body) + packer.flush()
+        facts = (0 if name.isascii() else 0x800, zipfile.ZIP_DEFLATED, 0, 0x21, zlib.crc32(body), len(data), len(body), len(plain))
+        out.write(b"".join((LOCAL.pack(b"PK\3\4", 20, *facts, 0), plain, data)))
+        far = struct.pack("<HHQ", 1, 8, at) if at >= zipfile.ZIP64_LIMIT else b""
+        version = 45 if far else 20
+        directory.append(CENTRAL.pack(b"PK\1\2", version, 3, version, *facts, len(far), 0, 0, 0, 0o600 << 16, 0xFFFFFFFF if far else at) + plain + far)
+        at += LOCAL.size + len(plain) + len(data)
+    size, count = sum(map(len, directory)), len(directory)
+    for k in range(0, count, ROWS_PER_LISTING):
+        out.write(b"".join(directory[k : k + ROWS_PER_LISTING]))
+    if count > 0xFFFE or at >= zipfile.ZIP64_LIMIT or size >= zipfile.ZIP64_LIMIT:
+        out.write(struct.pack("<4sQ2H2L4Q", b"PK\6\6", 44, 45, 45, 0, 0, count, count, size, at))
+        out.write(struct.pack("<4sLQL", b"PK\6\7", 0, at + size, 1))
+    count, size, at = min(count, 0xFFFF), min(size, 0xFFFFFFFF), min(at, 0xFFFFFFFF)
+    out.write(struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, count, count, size, at, 0))
+
+
 def write_lines(df: DataFrame, folder: str, entry: str, header: str | None = None) -> DataFrame:
     """One archive per partition whose single entry holds the partition's ``line`` texts; returns the paths."""
 
@@ -509,7 +541,9 @@ def write_filings(df: DataFrame, folder: str) -> DataFrame:
     """One archive per partition with an entry per row (``entry``, ``body`` text); returns the paths."""
 
     def run(batches):
-        rows = ((e, [b.encode("utf-8")]) for batch in batches for e, b in zip(batch["entry"], batch["body"]))
-        yield _write(f"{folder}/part-{TaskContext.get().partitionId():05d}.zip", rows)
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.zip"
+        with _new_file(path) as out:
+            pack(out, ((e, b.encode("utf-8")) for batch in batches for e, b in zip(batch["entry"], batch["body"])))
+        yield pd.DataFrame({"path": [path]})
 
     return df.select("entry", "body").mapInPandas(run, "path string")

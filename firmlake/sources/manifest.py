@@ -57,10 +57,16 @@ def classify(urls: DataFrame) -> DataFrame:
 
 def file_order(path: Column) -> dict[str, Column]:
     """Date and part number in a product file's name, to tell which of two files is later; NULL for other names."""
-    # No text, no date: a text that is none costs an exception, and this runs for every row of a load.
-    day = F.try_to_date(F.nullif(F.regexp_extract(path, r"-(\d{4}-\d{2}-\d{2})[^/]*$", 1), F.lit("")), "yyyy-MM-dd")
-    month = F.try_to_date(F.nullif(F.regexp_extract(path, r"-([a-zA-Z]+\d{4})\.zip$", 1), F.lit("")), "MMMMyyyy")
-    part = F.regexp_extract(path, r"(?i)(?:part|_)(\d+)(?:_|of)\d+\.zip$", 1).try_cast("int")
+    # No text, no date and no part: a text that is none costs an exception, and this runs for every row of a load. Every
+    # pattern ends with the path and takes no "/": only the file name is searched, not the folders before it.
+    name = F.substring_index(path, "/", -1)
+
+    def found(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
+
+    day = F.try_to_date(found(r"-(\d{4}-\d{2}-\d{2})[^/]*$"), "yyyy-MM-dd")
+    month = F.try_to_date(found(r"-([a-zA-Z]+\d{4})\.zip$"), "MMMMyyyy")
+    part = found(r"(?i)(?:part|_)(\d+)(?:_|of)\d+\.zip$").try_cast("int")
     return {"_file_date": F.coalesce(day, month), "_file_part": part}
 
 
