@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import csv
 import io
+import pickle
 import struct
 import sys
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +37,7 @@ ENTRIES = (
     "archive string, entry string, pos long, inner_pos long, offset long, packed long, unpacked long, crc long, method int, "
     "nested boolean, extension string, reject string"
 )
+ENTRY_NAMES = [field.split()[0] for field in ENTRIES.split(", ")]
 LINES = "archive string, entry string, line_no long, line string, reject string"
 BLOCK_BYTES = 4 << 20  # lines are handed on in blocks of about this size; a longer line makes a larger block
 ROWS_PER_LISTING = 10_000
@@ -76,6 +79,19 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _directory(path: str, extensions: list[str]) -> Iterator[tuple]:
+    """Rows of ENTRIES: those of one archive that ``list_entries`` gives, from its directory."""
+    try:
+        with open_file(path) as f, zipfile.ZipFile(f) as z:
+            for pos, e in enumerate(z.infolist()):
+                kind = extension(e.filename)
+                if kind in extensions or kind == "zip":
+                    place = (e.header_offset, e.compress_size, e.file_size, e.CRC, e.compress_type)
+                    yield (path, e.filename, pos, 0, *place, kind not in extensions, kind, None)
+    except Exception as error:
+        yield (path, *[None] * 10, f"archive: {error}")
+
+
 def list_entries(paths: DataFrame, extensions: list[str]) -> DataFrame:
     """Entries with one of the extensions in the archives of column ``path``, and a row per nested archive.
 
@@ -90,20 +106,9 @@ def list_entries(paths: DataFrame, extensions: list[str]) -> DataFrame:
     def run(batches):
         for incoming in batches:
             for path in incoming.column("path").to_pylist():
-                rows = []
-                try:
-                    with open_file(path) as f, zipfile.ZipFile(f) as z:
-                        for pos, e in enumerate(z.infolist()):
-                            kind = extension(e.filename)
-                            if kind in extensions or kind == "zip":
-                                place = (e.header_offset, e.compress_size, e.file_size, e.CRC, e.compress_type)
-                                rows.append((path, e.filename, pos, 0, *place, kind not in extensions, kind, None))
-                            if len(rows) >= ROWS_PER_LISTING:
-                                yield batch(rows)
-                                rows = []
-                except Exception as error:
-                    rows.append((path, *[None] * 10, f"archive: {error}"))
-                yield batch(rows)
+                found = _directory(path, extensions)
+                while rows := list(islice(found, ROWS_PER_LISTING)):
+                    yield batch(rows)
 
     return spread(paths.select("path"), "path").mapInArrow(run, ENTRIES)
 
@@ -142,13 +147,8 @@ def dicts(batch: pa.RecordBatch) -> Iterator[dict]:
         yield dict(zip(names, row))
 
 
-def read_entries(listing: DataFrame, convert: Callable, ddl: str, extensions: list[str]) -> DataFrame:
-    """Rows that ``convert`` makes of listed entries.
-
-    ``convert`` takes an iterator of (listing row, body) and yields Arrow batches of the schema ``ddl``. It runs where
-    the entry is unpacked, so bodies never leave the task. A row with a reject reason comes without a body. The entries
-    of a nested archive come one after the other, those with one of the extensions.
-    """
+def _bodies(rows: Iterator[dict], extensions: list[str]) -> Iterator[tuple[dict, bytes | None]]:
+    """(listing row, body) of listed entries, as ``read_entries`` hands them on."""
 
     def nested(e: dict, body: bytes) -> Iterator[tuple[dict, bytes | None]]:
         with zipfile.ZipFile(io.BytesIO(body)) as inner:
@@ -160,28 +160,62 @@ def read_entries(listing: DataFrame, convert: Callable, ddl: str, extensions: li
                     except Exception as error:
                         yield {**own, "reject": f"entry: {error}"}, None
 
-    def bodies(batches):
-        handle, opened = None, None
-        for batch in batches:
-            for e in dicts(batch):
-                if e["reject"] is not None:
-                    yield e, None
-                    continue
-                try:
-                    if opened != e["archive"]:
-                        handle, opened = open_file(e["archive"]), e["archive"]
-                    body = inflate(handle, e)
-                    if e["nested"]:
-                        yield from nested(e, body)
-                        continue
-                except Exception as error:
-                    opened = None
-                    yield {**e, "reject": f"entry: {error}"}, None
-                    continue
-                yield e, body
+    handle, opened = None, None
+    for e in rows:
+        if e["reject"] is not None:
+            yield e, None
+            continue
+        try:
+            if opened != e["archive"]:
+                handle, opened = open_file(e["archive"]), e["archive"]
+            body = inflate(handle, e)
+            if e["nested"]:
+                yield from nested(e, body)
+                continue
+        except Exception as error:
+            opened = None
+            yield {**e, "reject": f"entry: {error}"}, None
+            continue
+        yield e, body
+
+
+def read_entries(listing: DataFrame, convert: Callable, ddl: str, extensions: list[str]) -> DataFrame:
+    """Rows that ``convert`` makes of listed entries.
 
+    ``convert`` takes an iterator of (listing row, body) and yields Arrow batches of the schema ``ddl``. It runs where
+    the entry is unpacked, so bodies never leave the task. A row with a reject reason comes without a body. The entries
+    of a nested archive come one after the other, those with one of the extensions.
+    """
     dealt = spread(listing, "archive", F.floor(F.col("pos") / ENTRIES_PER_TASK))
-    return dealt.mapInArrow(lambda b: convert(bodies(b)), ddl)
+    return dealt.mapInArrow(lambda batches: convert(_bodies((e for b in batches for e in dicts(b)), extensions)), ddl)
+
+
+def read_archives(paths: DataFrame, convert: Callable, ddl: str, extensions: list[str]) -> DataFrame:
+    """What ``read_entries`` gives of all that ``list_entries`` finds in the archives of column ``path``.
+
+    Neighbours that stay together are one row between the two: most of what a small entry's listing costs is the way there.
+    """
+    schema = pa.schema([("archive", pa.string()), ("block", pa.int64()), ("entries", pa.binary())])
+
+    def block(row: tuple) -> int | None:
+        return None if row[2] is None else row[2] // ENTRIES_PER_TASK
+
+    def run(batches):
+        for incoming in batches:
+            for path in incoming.column("path").to_pylist():
+                blocks = ((path, n, pickle.dumps(list(rows))) for n, rows in groupby(_directory(path, extensions), block))
+                while some := list(islice(blocks, ROWS_PER_LISTING // ENTRIES_PER_TASK)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+    def rows(batches):
+        for b in batches:
+            for packed in b.column("entries"):
+                for row in pickle.loads(packed.as_py()):
+                    yield dict(zip(ENTRY_NAMES, row))
+
+    listing = spread(paths.select("path"), "path").mapInArrow(run, "archive string, block long, entries binary")
+    dealt = spread(listing, "archive", "block").select("entries")
+    return dealt.mapInArrow(lambda batches: convert(_bodies(rows(batches), extensions)), ddl)
 
 
 def _first_entry(z: zipfile.ZipFile, extensions: tuple[str, ...], any_entry: bool) -> str | None:

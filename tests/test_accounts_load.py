@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from firmlake.sources import accounts
-from firmlake.sources.archives import pack
+from firmlake.sources.archives import ENTRIES_PER_TASK, list_entries, pack, read_archives, read_entries
 
 PLAIN = (
     "<html><xbrli:context id='now'><xbrli:endDate>2020-01-31</xbrli:endDate></xbrli:context>"
@@ -69,3 +69,27 @@ def test_packed_archives_hold_their_entries(entries):
     with zipfile.ZipFile(out) as z:
         assert z.testzip() is None
         assert [(i.filename, z.read(i)) for i in z.infolist()] == entries
+
+
+def test_archives_read_at_once_give_what_their_listing_gives(spark, tmp_path):
+    inner = io.BytesIO()
+    pack(inner, [("inner.html", PLAIN.encode()), ("inner.txt", b"no filing")])
+    some = [(f"Prod223_1_{k:08d}_20200131.html", PLAIN.encode()) for k in range(2 * ENTRIES_PER_TASK + 1)]
+    for name, entries in (("a", [*some, ("nested.zip", inner.getvalue()), ("none.zip", b"x"), ("no.txt", b"")]), ("b", some[:1]), ("empty", [])):
+        with open(f"{tmp_path}/{name}.zip", "wb") as out:
+            pack(out, entries)
+    whole = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "damaged.zip").write_bytes(b"\0" * 60 + whole[60:])
+    (tmp_path / "junk.zip").write_bytes(b"junk")
+    paths = [(f"{tmp_path}/{name}.zip",) for name in ("a", "b", "empty", "damaged", "junk", "missing", "a")] + [(None,)]
+    paths = spark.createDataFrame(paths, "path string")
+    kinds = ["html"]
+    convert = accounts.period_converter()
+
+    def rows(df):
+        return sorted(str(r.asDict(recursive=True)) for r in df.collect())
+
+    want = rows(read_entries(list_entries(paths, kinds), convert, accounts.PERIODS, kinds))
+    got = rows(read_archives(paths, convert, accounts.PERIODS, kinds))
+    assert got == want and len(got) > 6 * ENTRIES_PER_TASK
+    assert accounts.read_financials(paths).count() == len(got)
